@@ -29,17 +29,23 @@ def as_array(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
+# Schema names of the kinds a parsed JSON value can have.
+KINDS = {
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "STRING": "string",
+    "BOOLEAN": "boolean",
+    "VOID": "null",
+    "BIGINT": "number",
+    "DECIMAL": "number",
+    "DOUBLE": "number",
+}
+
+
 def kind(v: Column) -> Column:
     """object, array, string, number, boolean or null; SQL null where the value is absent."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(s.startswith("OBJECT"), "object")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s == "STRING", "string")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s == "VOID", "null")
-        .when(s.isNotNull(), "number")
-    )
+    name = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), name)
 
 
 def is_object(v: Column) -> Column:

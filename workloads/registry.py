@@ -7,9 +7,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from colweave.session import tune
-from workloads import corpus
+from workloads import corpus, mapping, reduction
+from workloads.mapping import flagship  # noqa: F401
 
-MODULES = (corpus,)
+MODULES = (corpus, reduction, mapping)
 
 
 def _tuned(query):
