@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colweave.functions.json_text import as_array, field, is_object, kind, strict_json, text_value
+from colweave.functions.staging import stage
 from colweave.functions.text import is_blank, last_position, trim_ws
 from colweave.schemas import DEFAULT_MATCH_TYPE, DEFAULT_REFINE_MESSAGE, MATCH_TYPES
 
@@ -157,25 +158,32 @@ def normalize_replies(replies: DataFrame, envelope: bool = False, aliases: bool
     `source_column` or `source`; it is off by default, which leaves such items without a source.
     """
     reply = F.col("reply_text")
-    staged = replies.withColumn("_json", F.when(~is_blank(reply), extract_json(reply))).withColumn(
-        "_doc", strict_json(F.col("_json"))
-    )
-    doc = F.col("_doc")
+    staged = stage(replies, {"_json": F.when(~is_blank(reply), extract_json(reply))})
+    staged = stage(staged, {"_doc": strict_json(F.col("_json"))})
+    doc, root = F.col("_doc"), F.col("_root")
     if envelope:
-        staged = staged.withColumn("_root", F.when(is_object(doc), F.coalesce(field(doc, "mapping"), doc)))
-        staged = staged.withColumn("_message", F.when(is_object(doc), _cell(doc, "message")))
+        staged = stage(
+            staged,
+            {
+                "_root": F.when(is_object(doc), F.coalesce(field(doc, "mapping"), doc)),
+                "_message": F.when(is_object(doc), _cell(doc, "message")),
+            },
+        )
     else:
         staged = staged.withColumn("_root", doc)
-    root = F.col("_root")
-    staged = (
-        staged.withColumn("_list", F.when(is_object(root), F.coalesce(field(root, "mappings"), field(root, "mapping"))))
-        .withColumn("_read", F.transform(as_array(F.col("_list")), _read_item))
-        .withColumn("_clean", F.coalesce(F.transform("_read", _clean_item(aliases)), F.array()))
-        .withColumn("_source", _names(root, "unmapped_source_columns"))
-        .withColumn("_target", _names(root, "unmapped_target_columns"))
-        .withColumn("_given", _number(root, "global_confidence"))
-        .withColumn("_summary", _cell(root, "analysis_summary"))
+    staged = stage(
+        staged,
+        {
+            "_is_object": is_object(root),
+            "_list": F.when(is_object(root), F.coalesce(field(root, "mappings"), field(root, "mapping"))),
+            "_source": _names(root, "unmapped_source_columns"),
+            "_target": _names(root, "unmapped_target_columns"),
+            "_given": _number(root, "global_confidence"),
+            "_summary": _cell(root, "analysis_summary"),
+        },
     )
+    staged = stage(staged, {"_read": F.transform(as_array(F.col("_list")), _read_item)})
+    staged = stage(staged, {"_clean": F.coalesce(F.transform("_read", _clean_item(aliases)), F.array())})
     fields_ok = (
         (F.col("_list").isNull() | (kind(F.col("_list")) == "array"))
         & F.forall("_clean", lambda i: i["readable"])
@@ -190,7 +198,7 @@ def normalize_replies(replies: DataFrame, envelope: bool = False, aliases: bool
         F.when(is_blank(reply), "empty reply")
         .when(F.col("_json").isNull(), "no JSON in reply")
         .when(doc.isNull(), "invalid JSON")
-        .when(~is_object(root), "mapping is not an object")
+        .when(~F.col("_is_object"), "mapping is not an object")
         .when(~fields_ok, "unexpected kind of value")
     )
     keep = [c for c in replies.columns if c != "reply_text"]
@@ -204,8 +212,9 @@ def normalize_replies(replies: DataFrame, envelope: bool = False, aliases: bool
             ]
         ),
     )
-    staged = staged.withColumn("error", error).withColumn("_items", F.when(F.col("error").isNull(), items))
-    staged = staged.withColumn("mappings", merge_items(F.col("_items")))
+    staged = stage(staged, {"error": error})
+    staged = stage(staged, {"_items": F.when(F.col("error").isNull(), items)})
+    staged = stage(staged, {"mappings": merge_items(F.col("_items"))})
     ok = F.col("error").isNull()
     total = F.aggregate("mappings", F.lit(0.0), lambda acc, i: acc + i["confidence_score"])
     mean = F.coalesce(F.try_divide(total, F.size("mappings")), F.lit(0.0))

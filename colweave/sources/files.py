@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colweave.functions.delimited import first_line, split_quoted, vote_delimiter
 from colweave.functions.json_text import kind, strict_json
+from colweave.functions.staging import stage
 from colweave.functions.text import file_extension, is_blank, trim_ws
 from colweave.schemas import JSON_PROFILE_DEPTH, PREVIEW_ROWS
 
@@ -139,5 +140,5 @@ def profile_json(files: DataFrame, max_depth: int = JSON_PROFILE_DEPTH) -> DataF
     start = F.struct(F.array().cast(PROFILE_NODES).alias("nodes"), root.alias("level"))
     depths = F.sequence(F.lit(1), F.lit(max_depth))
     walked = F.aggregate(depths, start, step, lambda s: F.concat(s["nodes"], report(s["level"])))
-    parsed = files.select(*FILE_KEYS, strict_json(F.col("content")).alias("node")).filter(F.col("node").isNotNull())
+    parsed = stage(files.select(*FILE_KEYS, "content"), {"node": strict_json(F.col("content"))}).filter(F.col("node").isNotNull())
     return parsed.select(*FILE_KEYS, F.inline(walked))
