@@ -7,10 +7,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from colweave.session import tune
-from workloads import corpus, mapping, reduction, replies
+from workloads import corpus, mapping, reduction, replies, sessions
 from workloads.mapping import flagship  # noqa: F401
 
-MODULES = (corpus, reduction, mapping, replies)
+MODULES = (corpus, reduction, mapping, replies, sessions)
 
 
 def _tuned(query):
