@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from colweave.functions.json_text import as_array, is_object, strict_json
 from colweave.functions.text import is_blank, iso_timestamp
-from colweave.schemas import MAPPING_RESULT, SESSION_CHAT, SESSION_FILES, SESSION_RULES
+from colweave.schemas import MAPPING_RESULT, SESSION_CHAT, SESSION_FILES, SESSION_RULES, SUGGESTION_LIMIT
 
 LIST_COLUMNS = ("id", "name", "created_at", "updated_at", "owner_user_id")
 PAYLOADS = {
@@ -77,14 +77,15 @@ def unread_shared(listing: DataFrame, opened: DataFrame) -> DataFrame:
     return unread.groupBy("user_id").agg(F.count("*").alias("n_unread"))
 
 
-def share_suggestions(candidates: DataFrame, shares: DataFrame, asks: DataFrame) -> DataFrame:
+def share_suggestions(candidates: DataFrame, shares: DataFrame, asks: DataFrame, limit: int = SUGGESTION_LIMIT) -> DataFrame:
     """Users to suggest for each ask (project_id, user_id asking), without the asker and present recipients.
 
-    `candidates` is a top-k list, so pairing it with the asks multiplies them by k at most.
+    The candidates are a top-k list; as one scalar value they are attached to every ask without a join.
     """
-    known = candidates.select(F.col("user_id").alias("shared_with_user_id"), "display_name")
-    pairs = asks.join(F.broadcast(known), F.col("user_id") != F.col("shared_with_user_id"))
-    return new_grants(pairs, shares)
+    person = F.struct(F.col("user_id").alias("shared_with_user_id"), "display_name")
+    listed = candidates.limit(limit).agg(F.collect_list(person).alias("people"))
+    offered = asks.withColumn("people", listed.scalar()).select("project_id", "user_id", F.inline("people"))
+    return new_grants(offered.filter(F.col("user_id") != F.col("shared_with_user_id")), shares)
 
 
 def decode_payloads(projects: DataFrame) -> DataFrame:

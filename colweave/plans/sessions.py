@@ -40,10 +40,13 @@ def session_payloads(projects: DataFrame, shares: DataFrame, profiles: DataFrame
     Recipients are a table of their own (`session_shares`), so that a widely shared session is never gathered.
     """
     grants = access_grants(projects, shares)
-    if user_id is not None:
-        grants = grants.filter(F.col("user_id") == user_id)
-    visible = projects.join(grants, "id") if user_id is None else projects.join(grants, "id", "left_semi").withColumn("user_id", F.lit(user_id))
-    decoded = decode_payloads(visible).withColumn("is_owner", F.col("owner_user_id") == F.col("user_id"))
+    if user_id is None:
+        # Decoded once per session, before the join multiplies it.
+        decoded = decode_payloads(projects).join(grants, "id")
+    else:
+        mine = projects.join(grants.filter(F.col("user_id") == user_id), "id", "left_semi")
+        decoded = decode_payloads(mine).withColumn("user_id", F.lit(user_id))
+    decoded = decoded.withColumn("is_owner", F.col("owner_user_id") == F.col("user_id"))
     return session_times(with_display_name(decoded, profiles, "owner_user_id", "owner_display_name"))
 
 

@@ -7,10 +7,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from colweave.session import tune
-from workloads import corpus, mapping, reduction, replies, sessions
+from workloads import corpus, mapping, matching, reduction, replies, sessions, streams
 from workloads.mapping import flagship  # noqa: F401
 
-MODULES = (corpus, reduction, mapping, replies, sessions)
+MODULES = (corpus, reduction, matching, replies, mapping, sessions, streams)
 
 
 def _tuned(query):
