@@ -1,10 +1,10 @@
 """Review edits: a log of edits folded into the review rows.
 
-The result is that of applying the edits of a row one after another in `seq` order. It is computed without gathering
-the log of a row: everything but one fact reduces to "the last edit of a kind", which aggregates on the map side. The
-one exception is the last moment a row ran out of sources, which needs running counts; those are taken over chunks of
-consecutive edits, with per-chunk totals carried from chunk to chunk, so that a row with very many edits is spread
-over many tasks.
+The result is that of applying the edits of a row one after another in `seq` order. Rows with a moderate number of
+edits are folded inside one array. For rows with more, nothing is gathered: everything but one fact reduces to "the
+last edit of a kind", which aggregates on the map side. The exception is the last moment a row ran out of sources,
+which needs running counts; those are taken over chunks of consecutive edits, with per-chunk totals carried from chunk
+to chunk, so that a row with very many edits is spread over many tasks.
 
 Edits: request_id, target_column, seq (unique per row), action, payload (JSON text, see EDIT_PAYLOAD). Actions:
 validate, rollback, unmap, toggle (column), set (match_type, confidence, rule).
@@ -16,18 +16,107 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colweave.functions.text import null_if_blank, trim_ws
-from colweave.schemas import EDIT_PAYLOAD
+from colweave.schemas import DEFAULT_MATCH_TYPE, EDIT_PAYLOAD
 
 KEY = ["request_id", "target_column"]
+FIELDS = ("source_columns", "confidence_score", "match_type", "reasoning", "transformation_rule")
+FOLD_LIMIT = 10_000
 CHUNK = 10_000
 NO_SOURCES = "array<string>"
 
 
-def apply_edits(rows: DataFrame, edits: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Review rows after their edits; rows without edits are kept as they are."""
-    log = edits.withColumn("p", F.from_json("payload", EDIT_PAYLOAD)).select(
-        *KEY, "seq", "action", F.col("p.column").alias("column"), F.struct("p.match_type", "p.confidence", "p.rule").alias("set")
+def apply_edits(rows: DataFrame, edits: DataFrame, fold_limit: int = FOLD_LIMIT, chunk: int = CHUNK) -> DataFrame:
+    """Review rows after their edits; rows without edits are kept as they are.
+
+    The number of edits per row is counted first, from the key columns alone; the form for long logs is planned only
+    if some row needs it.
+    """
+    long_rows = edits.groupBy(*KEY).agg(F.count("*").alias("n")).filter(F.col("n") > fold_limit).select(*KEY)
+    if long_rows.isEmpty():
+        return fold_edits(rows, edits)
+    short = fold_edits(rows.join(long_rows, KEY, "left_anti"), edits.join(long_rows, KEY, "left_anti"))
+    return short.unionByName(
+        scan_edits(rows.join(long_rows, KEY, "left_semi"), edits.join(long_rows, KEY, "left_semi"), chunk)
+    )
+
+
+def _log(edits: DataFrame) -> DataFrame:
+    setting = F.struct(
+        F.coalesce(trim_ws(F.col("p.match_type")), F.lit("")).alias("match_type"),
+        _clamped(F.col("p.confidence")).alias("confidence"),
+        null_if_blank(F.col("p.rule")).alias("rule"),
+    )
+    return edits.withColumn("p", F.from_json("payload", EDIT_PAYLOAD)).select(
+        *KEY, "seq", "action", F.col("p.column").alias("column"), setting.alias("set")
+    )
+
+
+def _clamped(percent: Column) -> Column:
+    """Confidence of an edit: a percentage within 0 to 100, 0 for anything that is not a finite number."""
+    finite = percent.isNotNull() & ~F.isnan(percent) & (F.abs(percent) < F.lit(float("inf")))
+    return F.when(finite, F.least(F.greatest(percent, F.lit(0.0)), F.lit(100.0))).otherwise(0.0)
+
+
+def fold_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits of each row gathered and folded in order; one shuffle of the log."""
+    logs = _log(edits).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("seq", "action", "column", "set"))).alias("log"))
+    start = F.struct(*FIELDS, "status")
+    folded = rows.join(logs, KEY, "left").withColumn("after", F.when(F.col("log").isNotNull(), F.aggregate("log", start, _edit(F.col("original")))))
+    kept = {c: F.when(F.col("log").isNull(), F.col(c)).otherwise(F.col(f"after.{c}")).alias(c) for c in (*FIELDS, "status")}
+    return folded.select(*[kept.get(c, F.col(c)) for c in rows.columns])
+
+
+def _state(status: str, source_columns: Column, confidence_score: Column, match_type: Column, reasoning: Column, rule: Column) -> Column:
+    return F.struct(
+        source_columns.alias("source_columns"),
+        confidence_score.alias("confidence_score"),
+        match_type.alias("match_type"),
+        reasoning.alias("reasoning"),
+        rule.alias("transformation_rule"),
+        F.lit(status).alias("status"),
     )
+
+
+def _edit(original: Column):
+    """State of a row after one edit."""
+    nothing = F.lit(None).cast("string")
+
+    def cleared(sources: Column) -> Column:
+        return _state("pending", sources, F.lit(0.0), F.lit(""), nothing, nothing)
+
+    def step(s: Column, e: Column) -> Column:
+        same = [s[f] for f in FIELDS]
+        restored = [F.when(original.isNotNull(), original[f]).otherwise(s[f]) for f in FIELDS]
+        removed = F.filter(s["source_columns"], lambda c: c != e["column"])
+        toggled = F.when(F.array_contains(s["source_columns"], e["column"]), removed).otherwise(
+            F.array_append(s["source_columns"], e["column"])
+        )
+        typed = F.coalesce(F.nullif(s["match_type"], F.lit("")), F.lit(DEFAULT_MATCH_TYPE))
+        # The new list is bound once: it decides between the two outcomes and is part of both.
+        after_toggle = F.transform(
+            F.array(toggled),
+            lambda t: F.when(F.size(t) == 0, cleared(t)).otherwise(
+                _state("pending", t, s["confidence_score"], typed, s["reasoning"], s["transformation_rule"])
+            ),
+        )[0]
+        return (
+            F.when(e["action"] == "validate", _state("validated", *same))
+            .when(e["action"] == "rollback", _state("pending", *restored))
+            .when(e["action"] == "unmap", cleared(F.array().cast(NO_SOURCES)))
+            .when(e["action"] == "toggle", after_toggle)
+            .when(
+                e["action"] == "set",
+                _state("pending", s["source_columns"], e["set"]["confidence"], e["set"]["match_type"], s["reasoning"], e["set"]["rule"]),
+            )
+            .otherwise(s)
+        )
+
+    return step
+
+
+def scan_edits(rows: DataFrame, edits: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The same result without gathering the edits of a row."""
+    log = _log(edits)
     based = _base_rows(rows, log)
     live = log.join(based.select(*KEY, "reset_seq"), KEY).filter(F.col("seq") > F.coalesce("reset_seq", F.lit(-(2**63)))).drop("reset_seq")
 
@@ -130,25 +219,20 @@ def _final_columns(names: list[str]) -> list[Column]:
     last_set, emptied = F.col("last_set"), F.col("emptied_seq")
     set_wins = F.coalesce(F.col("last_set.seq") > emptied, last_set.isNotNull())
     cleared = emptied.isNotNull()
-    confidence = F.col("last_set.set.confidence")
-    finite = confidence.isNotNull() & ~F.isnan(confidence) & (F.abs(confidence) < F.lit(float("inf")))
-
     def settle(setting: Column, blank: Column, base: str) -> Column:
         return F.when(set_wins, setting).when(cleared, blank).otherwise(F.col(base))
 
     nothing = F.lit(None).cast("string")
-    match_type = settle(F.coalesce(trim_ws(F.col("last_set.set.match_type")), F.lit("")), F.lit(""), "base_match_type")
+    match_type = settle(F.col("last_set.set.match_type"), F.lit(""), "base_match_type")
     # A toggle that leaves sources turns a blank type into the default; settings and clears before it are covered.
     toggled_last = F.col("last_toggle") > F.greatest(F.coalesce("last_set.seq", F.lit(-(2**63))), F.coalesce(emptied, F.lit(-(2**63))))
-    match_type = F.when(F.coalesce(toggled_last, F.lit(False)) & (F.coalesce(match_type, F.lit("")) == ""), "semantic").otherwise(match_type)
+    match_type = F.when(F.coalesce(toggled_last, F.lit(False)) & (F.coalesce(match_type, F.lit("")) == ""), DEFAULT_MATCH_TYPE).otherwise(match_type)
     final = {
         "source_columns": F.coalesce("toggled_sources", "base_source_columns"),
-        "confidence_score": settle(
-            F.when(finite, F.least(F.greatest(confidence, F.lit(0.0)), F.lit(100.0))).otherwise(0.0), F.lit(0.0), "base_confidence_score"
-        ),
+        "confidence_score": settle(F.col("last_set.set.confidence"), F.lit(0.0), "base_confidence_score"),
         "match_type": match_type,
         "reasoning": F.when(cleared, nothing).otherwise(F.col("base_reasoning")),
-        "transformation_rule": settle(null_if_blank(F.col("last_set.set.rule")), nothing, "base_transformation_rule"),
+        "transformation_rule": settle(F.col("last_set.set.rule"), nothing, "base_transformation_rule"),
         "status": F.when(F.col("last_edit").isNull(), F.col("status"))
         .when(F.col("last_edit.action") == "validate", "validated")
         .otherwise("pending"),

@@ -25,6 +25,16 @@ def scan_raw_files(spark: SparkSession, path: str, side: str, request_id: str =
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores where the input comes in fewer pieces than there are cores.
+
+    Text work is heavy per row, and one small file that cannot be split would run on one core. An input with enough
+    splits, which is every large one, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_file_lines(spark: SparkSession, path: str, side: str, request_id: str = "0") -> DataFrame:
     """One row per line, for files too large to hold in a row: a file is read in splits by many tasks.
 

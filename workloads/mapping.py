@@ -381,6 +381,11 @@ def e1_e5_all_edits(spark, sf):
     return _edited(edits.apply_edits(_part_rows(spark, sf), _edits(spark, sf)))
 
 
+def e1_e5_long_logs(spark, sf):
+    """The same log through the form for rows with very many edits, in chunks of consecutive edits."""
+    return _edited(edits.apply_edits(_part_rows(spark, sf), _edits(spark, sf), fold_limit=10, chunk=4096))
+
+
 STATE_AFTER = """
   CASE e.action WHEN 'rollback' THEN CASE WHEN mapped THEN o_sources ELSE s.sources END WHEN 'unmap' THEN []
     WHEN 'toggle' THEN CASE WHEN list_contains(s.sources, e.col) THEN list_filter(s.sources, lambda x: x <> e.col) ELSE list_append(s.sources, e.col) END
@@ -521,6 +526,7 @@ QUERIES = {
     "e4_toggle_sources": (e4_toggle_sources, E4),
     "e5_set_metadata": (e5_set_metadata, E5),
     "e1_e5_all_edits": (e1_e5_all_edits, E1_E5),
+    "e1_e5_long_logs": (e1_e5_long_logs, E1_E5),
     "k1_mapping_json": (k1_mapping_json, K1),
     "k2_mapping_csv": (k2_mapping_csv, K2),
     "k3_sql_text": (k3_sql_text, K3),
