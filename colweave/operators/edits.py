@@ -23,6 +23,10 @@ FIELDS = ("source_columns", "confidence_score", "match_type", "reasoning", "tran
 FOLD_LIMIT = 10_000
 CHUNK = 10_000
 NO_SOURCES = "array<string>"
+STATE = (
+    "struct<source_columns:array<string>,confidence_score:double,match_type:string,reasoning:string,"
+    "transformation_rule:string,status:string>"
+)
 
 
 def apply_edits(rows: DataFrame, edits: DataFrame, fold_limit: int = FOLD_LIMIT, chunk: int = CHUNK) -> DataFrame:
@@ -60,7 +64,8 @@ def _clamped(percent: Column) -> Column:
 def fold_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits of each row gathered and folded in order; one shuffle of the log."""
     logs = _log(edits).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("seq", "action", "column", "set"))).alias("log"))
-    start = F.struct(*FIELDS, "status")
+    # The cast makes every field nullable: a fold keeps the type of its start, and edits may clear any field.
+    start = F.struct(*FIELDS, "status").cast(STATE)
     folded = rows.join(logs, KEY, "left").withColumn("after", F.when(F.col("log").isNotNull(), F.aggregate("log", start, _edit(F.col("original")))))
     kept = {c: F.when(F.col("log").isNull(), F.col(c)).otherwise(F.col(f"after.{c}")).alias(c) for c in (*FIELDS, "status")}
     return folded.select(*[kept.get(c, F.col(c)) for c in rows.columns])

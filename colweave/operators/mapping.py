@@ -17,6 +17,7 @@ from colweave.functions.confidence import (
 from colweave.schemas import RULE_KEYWORDS
 
 KEY = ("request_id", "target_column")
+PLACES = 1_000_000_000  # more than the sources one item can list
 
 
 def merge_duplicates(items: DataFrame) -> DataFrame:
@@ -25,41 +26,35 @@ def merge_duplicates(items: DataFrame) -> DataFrame:
     Sources are the distinct union in order of first appearance, confidence the maximum, match type and reasoning the
     last ones given, the rule the last one that is not null. A target seen once keeps its source list as it is.
 
-    A popular target is first reduced to one row per distinct source, combined on the map side, so the second grouping
-    gathers only what ends up in the result, however many items the target has.
+    A popular target is first reduced to one row per distinct source, combined on the map side, so what is gathered is
+    what ends up in the result, however many items the target has. Sources and the other facts are aggregated apart:
+    the first needs only numbers in its buffers, the second does not have to read a row per source.
     """
-    by_source = (
-        items.select("*", F.posexplode_outer("source_columns").alias("at", "source"))
+    # Place of a source: item first, then place within the item, as one number.
+    place = F.col("pos").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(10,0)") + F.col("at")
+    sources = (
+        items.select(*KEY, "pos", F.posexplode("source_columns").alias("at", "source"))
         .groupBy(*KEY, "source")
-        .agg(
-            F.min(F.struct("pos", "at")).alias("first"),
-            F.min(F.struct("pos", "source_columns")).alias("first_item"),
-            F.min("pos").alias("first_pos"),
-            F.max("pos").alias("last_pos"),
-            F.max("confidence_score").alias("confidence_score"),
-            F.max(F.struct("pos", "match_type", "reasoning")).alias("last"),
-            F.max(F.when(F.col("transformation_rule").isNotNull(), F.struct("pos", "transformation_rule"))).alias("last_rule"),
-        )
+        .agg(F.min(place).alias("place"))
+        .groupBy(*KEY)
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source"))), lambda s: s["source"]).alias("union"))
     )
-    merged = by_source.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), F.struct("first", "source")))).alias("found"),
-        F.min("first_item").alias("first_item"),
-        F.min("first_pos").alias("first_pos"),
-        F.max("last_pos").alias("last_pos"),
+    facts = items.groupBy(*KEY).agg(
+        F.min(F.struct("pos", "source_columns")).alias("first"),
+        F.max(F.struct("pos", "match_type", "reasoning")).alias("last"),
+        F.max(F.when(F.col("transformation_rule").isNotNull(), F.struct("pos", "transformation_rule"))).alias("last_rule"),
         F.max("confidence_score").alias("confidence_score"),
-        F.max("last").alias("last"),
-        F.max("last_rule").alias("last_rule"),
     )
-    union = F.transform("found", lambda f: f["source"])
-    sources = F.when(F.col("first_pos") == F.col("last_pos"), F.col("first_item.source_columns")).otherwise(union)
-    return merged.select(
+    seen_once = F.col("first.pos") == F.col("last.pos")
+    union = F.coalesce("union", F.array().cast("array<string>"))
+    return facts.join(sources, [*KEY], "left").select(
         *KEY,
-        sources.alias("source_columns"),
+        F.when(seen_once, F.col("first.source_columns")).otherwise(union).alias("source_columns"),
         "confidence_score",
         F.col("last.match_type").alias("match_type"),
         F.col("last.reasoning").alias("reasoning"),
         F.col("last_rule.transformation_rule").alias("transformation_rule"),
-        F.col("first_pos").alias("pos"),
+        F.col("first.pos").alias("pos"),
     )
 
 

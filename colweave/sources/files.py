@@ -15,11 +15,11 @@ FILE_KEYS = ("request_id", "side", "file_name")
 
 
 def scan_raw_files(spark: SparkSession, path: str, side: str, request_id: str = "0") -> DataFrame:
-    """Whole text of every file below a path, tagged with its side. Suits files that fit a row."""
+    """Whole text of every file below a path, tagged with its side, oldest first. Suits files that fit a row."""
     return spark.read.text(path, wholetext=True).select(
         F.lit(request_id).alias("request_id"),
         F.lit(side).alias("side"),
-        F.xxhash64("_metadata.file_path").alias("pos"),
+        F.unix_micros("_metadata.file_modification_time").alias("pos"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("value").alias("content"),
     )

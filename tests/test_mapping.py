@@ -107,6 +107,18 @@ def test_edits_equal_one_by_one_application(spark, limits):
     assert got == {r["target_column"]: plain_fold(r, logs[r["target_column"]]) for r in rows}
 
 
+def test_edits_may_clear_columns_that_are_never_null(spark):
+    rows = spark.range(3).select(
+        F.lit("0").alias("request_id"), F.col("id").cast("string").alias("target_column"), F.array(F.lit("c")).alias("source_columns"), F.lit(0.5).alias("confidence_score"),
+        F.lit("exact").alias("match_type"), F.lit("r").alias("reasoning"), F.lit("f").alias("transformation_rule"), F.lit("pending").alias("status"),
+    )
+    rows = rows.withColumn("original", F.struct(*FIELDS))
+    log = spark.range(2).select(F.lit("0").alias("request_id"), F.col("id").cast("string").alias("target_column"), F.lit(1).alias("seq"), F.lit("unmap").alias("action"), F.lit("{}").alias("payload"))
+    for limits in ({}, {"fold_limit": 0}):
+        got = {r["target_column"]: r["reasoning"] for r in edits.apply_edits(rows, log, **limits).collect()}
+        assert got == {"0": None, "1": None, "2": "r"}
+
+
 # --- applying a mapping -------------------------------------------------------------------------------------------
 
 
