@@ -38,7 +38,7 @@ def cells_sql(line: str, delimiter: str = "delimiter") -> str:
 
 
 def s1_raw_file_scan(spark, sf):
-    """Whole pages written once as files would be; here the parquet text column is the file content."""
+    """Whole text of every file with its name and side; the table holds what a scan of a folder of files returns."""
     f = raw_files(spark, sf)
     return f.select("request_id", "side", "file_name", F.char_length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("digest"))
 
@@ -85,7 +85,7 @@ def _json_files(spark, sf):
             F.array("c_custkey", "c_nationkey").alias("keys"),
         )
     )
-    return table(spark, sf, "customer").select(
+    return files.spread(table(spark, sf, "customer")).select(
         F.lit("0").alias("request_id"), F.lit("source").alias("side"),
         F.concat(F.lit("customer_"), F.col("c_custkey").cast("string"), F.lit(".json")).alias("file_name"),
         F.col("c_custkey").alias("pos"), doc.alias("content"),
