@@ -17,6 +17,7 @@ from colweave.functions.delimited import (
     split_plain,
 )
 from colweave.functions.json_text import as_array, kind, strict_json
+from colweave.functions.staging import stage
 from colweave.functions.text import file_extension, numbered_note, trim_ws, utf16_length
 from colweave.schemas import ESSENTIAL_KEYWORDS, LONG_CELL, REDUCTION_LEVELS, REDUCTION_LIMITS
 
@@ -26,21 +27,28 @@ STAGED = ("_ext", "_lines", "_total", "_is_dict", "_delim", "_cells", "_keep", "
 def stage_files(files: DataFrame) -> DataFrame:
     """Add the facts every level needs: lines of delimited files, dictionary header, JSON elements, plain lines."""
     tabular = F.col("_ext").isin("csv", "tsv", "txt")
+    content = F.col("content")
+    staged = stage(
+        files.withColumn("_ext", file_extension(F.col("file_name"))),
+        {
+            "_lines": F.when(tabular, non_blank_lines(content)),
+            "_json": F.when(F.col("_ext") == "json", as_array(strict_json(content))),
+        },
+    )
     header = F.try_element_at("_lines", F.lit(1))
-    return (
-        files.withColumn("_ext", file_extension(F.col("file_name")))
-        .withColumn("_lines", F.when(tabular, non_blank_lines(F.col("content"))))
-        .withColumn("_json", F.when(F.col("_ext") == "json", as_array(strict_json(F.col("content")))))
-        .withColumn("_plain", F.when(~tabular & F.col("_json").isNull(), F.split("content", "\n")))
-        .withColumn("_total", F.size("_lines"))
-        .withColumn("_is_dict", tabular & F.coalesce(looks_like_dictionary(header), F.lit(False)))
-        .withColumn("_delim", F.when(F.col("_is_dict"), presence_delimiter(header)))
-        .withColumn(
-            "_cells", F.when(F.col("_is_dict"), F.transform(split_plain(header, F.col("_delim")), lambda h: F.lower(trim_ws(h))))
-        )
-        .withColumn("_keep", essential_positions(F.col("_cells"), ESSENTIAL_KEYWORDS))
-        .withColumn("_objects", F.when(F.col("_json").isNotNull(), F.from_json("content", "array<string>")))
+    staged = stage(
+        staged,
+        {
+            "_plain": F.when(~tabular & F.col("_json").isNull(), F.split(content, "\n")),
+            "_objects": F.when(F.col("_json").isNotNull(), F.from_json(content, "array<string>")),
+            "_is_dict": tabular & F.coalesce(looks_like_dictionary(header), F.lit(False)),
+        },
     )
+    is_dict = F.col("_is_dict")
+    staged = staged.withColumn("_total", F.size("_lines")).withColumn("_delim", F.when(is_dict, presence_delimiter(header)))
+    cells = F.transform(split_plain(header, F.col("_delim")), lambda h: F.lower(trim_ws(h)))
+    staged = stage(staged, {"_cells": F.when(is_dict, cells)})
+    return stage(staged, {"_keep": essential_positions(F.col("_cells"), ESSENTIAL_KEYWORDS)})
 
 
 # Cells are joined on a line break, which no cell can hold, and the break is then turned into the file's delimiter:

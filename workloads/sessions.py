@@ -244,12 +244,12 @@ J8 = f"WITH {TABLES} SELECT id, owner_user_id AS user_id FROM projects UNION SEL
 
 
 def o1_newest_first(spark, sf):
-    """Rank by update time, as text, over the ten newest sessions."""
+    """All sessions, newest first."""
     p = projects(spark, sf)
-    return p.orderBy(F.desc("updated_at"), "id").limit(10).select("id", iso_timestamp(F.col("updated_at")).alias("updated_at"))
+    return p.orderBy(F.desc("updated_at"), "id").select("id", iso_timestamp(F.col("updated_at")).alias("updated_at"))
 
 
-O1 = f"WITH {TABLES} SELECT id, {ISO.format('updated_at')} AS updated_at FROM projects ORDER BY projects.updated_at DESC, id LIMIT 10"
+O1 = f"WITH {TABLES} SELECT id, {ISO.format('updated_at')} AS updated_at FROM projects ORDER BY projects.updated_at DESC, id"
 
 
 def o4_first_session(spark, sf):
