@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from workloads import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not mounted")
@@ -28,14 +29,14 @@ def plan_of(df):
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query_equals_sql(spark, con, name):
-    df = entry.queries()[name](spark, SF_DIR)
+    df = registry.queries()[name](spark, SF_DIR)
     got = check.rows_of(df.columns, [tuple(r) for r in df.collect()])
-    result = con.execute(entry.oracle_sql()[name])
+    result = con.execute(registry.oracle_sql()[name])
     types = {d[0]: str(d[1]) for d in result.description}
     want = check.rows_of(list(types), result.fetchall())
     assert got == want
