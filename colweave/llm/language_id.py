@@ -117,7 +117,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     order = F.xxhash64(doc_id)
     common = usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(settings.languages).collect()
     names = sorted(r[0] for r in common)
-    ranked = usable.where(F.col(lang).isin(names) & (F.length(text) > 0)).select(lang, order.alias("order"), F.col(doc_id).alias("id"))
+    # A threshold on the hash leaves a few times the sample, so that no task has to rank all rows of a language.
+    keep = F.lit(False)
+    for r in common:
+        share = min(1.0, 4 * settings.sample_docs / r["count"])
+        keep = keep | ((F.col(lang) == r[0]) & (F.pmod(F.xxhash64(doc_id, F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))))
+    ranked = usable.where(keep & (F.length(text) > 0)).select(lang, order.alias("order"), F.col(doc_id).alias("id"))
     first = Window.partitionBy(lang).orderBy("order", "id")
     chosen = ranked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= settings.sample_docs)
     wanted = sorted({r["order"] for r in chosen.select("order").distinct().collect()})

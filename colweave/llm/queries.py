@@ -7,18 +7,57 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm import decontaminate, jaccard_join, language_id, packing, substring_dedup
+from colweave.llm import ann, decontaminate, html_extract, jaccard_join, language_id, packing, ppm, substring_dedup, token_counts, toxicity
 from colweave.llm.common import fold, read_table
 from colweave.llm.shipping import ship
 from colweave.session import tune
 
 
+# The identifier of <|endoftext|> in the tokenizer below.
+END_OF_TEXT = 50256
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = html_extract.extract(read_table(spark, sf_dir, "pages"), html_extract.train())
+    return pages.select("page_id", "url", "text", "n_chars")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of rows that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 5) == 0
+    index = toxicity.train(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    out = toxicity.score(docs, index)
+    predicted = (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    return out.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), predicted, "examples")
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learned from the rows that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = ppm.score(docs.withColumn("learned", fold("doc_id", 7) != 2), "learned")
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, found in flat files of all documents' identifiers."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_path(), END_OF_TEXT)
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every row whose id is divisible by 50, among all rows."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), ann.build(vectors))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed from every document because a window of 35 words holding them starts elsewhere too."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,7 +107,18 @@ def _prepared(query):
     return run
 
 
-ALL = (op6_substring_dedup, op7_packing, op8_language_id, op9_ngram_jaccard_join, op10_decontamination)
+ALL = (
+    op1_html_extraction,
+    op2_toxicity,
+    op3_lm_scoring,
+    op4_token_counts,
+    op5_nearest_neighbours,
+    op6_substring_dedup,
+    op7_packing,
+    op8_language_id,
+    op9_ngram_jaccard_join,
+    op10_decontamination,
+)
 
 
 def queries() -> dict:
