@@ -11,7 +11,6 @@ from colweave.schemas import (
     DEFAULT_TOKEN_LIMIT,
     FILE_OVERHEAD_TOKENS,
     FIXED_OVERHEAD_TOKENS,
-    MAX_REQUEST_BYTES,
     REDUCTION_LEVELS,
     RESPONSE_BUFFER_TOKENS,
     SYSTEM_PROMPT_TOKENS,
@@ -100,10 +99,8 @@ def reject_reason(refine: bool = False) -> Column:
     missing = (F.col("n_source") == 0) | (F.col("n_target") == 0)
     if refine:
         missing = missing | F.col("current_mapping").isNull() | is_blank(F.col("user_message"))
-        text = "source_files, target_files, current_mapping, and user_message are required"
-    else:
-        text = "Both source_files and target_files are required"
-    return F.when(missing, text).when(F.col("n_bytes") > MAX_REQUEST_BYTES, "request body too large")
+        return F.when(missing, "a refine request needs files of both sides, a mapping and a message")
+    return F.when(missing, "a request needs files of both sides")
 
 
 def plan_requests(files: DataFrame, requests: DataFrame, token_limit: int = DEFAULT_TOKEN_LIMIT) -> DataFrame:
@@ -149,8 +146,7 @@ def file_segments(files: DataFrame, tiers: DataFrame) -> DataFrame:
 def assemble_segments(segments: DataFrame, name: str = "prompt") -> DataFrame:
     """Join the segments of each request in order.
 
-    Every accepted request is within the request size limit (50 MiB of file text), so a group is bounded however
-    unevenly requests are spread; larger texts stay in the segment form.
+    A prompt is one text, already reduced to its tier; a prompt that a string cannot hold stays in the segment form.
     """
     ordered = F.array_sort(F.collect_list(F.struct("block", "pos", "text")))
     return segments.groupBy("request_id").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias(name))
@@ -160,19 +156,26 @@ def build_prompts(files: DataFrame, plan: DataFrame) -> DataFrame:
     return assemble_segments(prompt_segments(files, plan))
 
 
+def rejected_refinements(files: DataFrame, refinements: DataFrame) -> DataFrame:
+    """request_id and reason of every refine request that gets no context."""
+    return _sized_refinements(files, refinements).filter(F.col("reject_reason").isNotNull()).select("request_id", "reject_reason")
+
+
+def _sized_refinements(files: DataFrame, refinements: DataFrame) -> DataFrame:
+    sizes = files.groupBy("request_id").agg(
+        F.count_if(F.col("side") == "source").alias("n_source"), F.count_if(F.col("side") == "target").alias("n_target")
+    )
+    known = refinements.join(sizes, "request_id", "left").fillna(0, ["n_source", "n_target"])
+    return known.withColumn("reject_reason", reject_reason(refine=True))
+
+
 def refine_contexts(files: DataFrame, refinements: DataFrame, system_prompt: str = "") -> DataFrame:
     """Message list of every refine request.
 
     `refinements` holds request_id, current_mapping (struct), rules, messages (array of role and content) and
     user_message. Files are never reduced here.
     """
-    sizes = files.groupBy("request_id").agg(
-        F.count_if(F.col("side") == "source").alias("n_source"),
-        F.count_if(F.col("side") == "target").alias("n_target"),
-        F.sum(F.octet_length("content")).cast("bigint").alias("n_bytes"),
-    )
-    known = refinements.join(sizes, "request_id", "left").fillna(0, ["n_source", "n_target", "n_bytes"])
-    accepted = known.withColumn("reject_reason", reject_reason(refine=True)).filter(F.col("reject_reason").isNull())
+    accepted = _sized_refinements(files, refinements).filter(F.col("reject_reason").isNull())
 
     tail = F.concat(
         F.lit(MAPPING_HEAD),

@@ -1,13 +1,13 @@
 """Review edits: a log of edits folded into the review rows.
 
-The result is that of applying the edits of a row one after another in `seq` order. Rows with a moderate number of
-edits are folded inside one array. For rows with more, nothing is gathered: everything but one fact reduces to "the
-last edit of a kind", which aggregates on the map side. The exception is the last moment a row ran out of sources,
-which needs running counts; those are taken over chunks of consecutive edits, with per-chunk totals carried from chunk
-to chunk, so that a row with very many edits is spread over many tasks.
+The result is that of applying the edits of a row one after another in `seq` order. No log is gathered: everything but one
+fact reduces to "the last edit of a kind", which aggregates on the map side. The exception is the last moment a row ran out
+of sources, which needs running counts; those are taken over chunks of consecutive edits, with per-chunk totals carried from
+chunk to chunk. Chunks are cut at quantiles of a row's own `seq` values, so they share its edits evenly however `seq` runs.
 
 Edits: request_id, target_column, seq (unique per row), action, payload (JSON text, see EDIT_PAYLOAD). Actions:
-validate, rollback, unmap, toggle (column), set (match_type, confidence, rule).
+validate, rollback, unmap, toggle (column), set (match_type, confidence, rule). Other edits change nothing and are listed by
+`rejected_edits`.
 """
 
 from __future__ import annotations
@@ -20,39 +20,38 @@ from colweave.schemas import DEFAULT_MATCH_TYPE, EDIT_PAYLOAD
 
 KEY = ["request_id", "target_column"]
 FIELDS = ("source_columns", "confidence_score", "match_type", "reasoning", "transformation_rule")
-FOLD_LIMIT = 10_000
+ACTIONS = ("validate", "rollback", "unmap", "toggle", "set")
 CHUNK = 10_000
+CHUNKS = 64
 NO_SOURCES = "array<string>"
-STATE = (
-    "struct<source_columns:array<string>,confidence_score:double,match_type:string,reasoning:string,"
-    "transformation_rule:string,status:string>"
-)
 
 
-def apply_edits(rows: DataFrame, edits: DataFrame, fold_limit: int = FOLD_LIMIT, chunk: int = CHUNK) -> DataFrame:
-    """Review rows after their edits; rows without edits are kept as they are.
+def _decoded(edits: DataFrame) -> DataFrame:
+    return edits.withColumn("p", F.from_json("payload", EDIT_PAYLOAD))
 
-    The number of edits per row is counted first, from the key columns alone; the form for long logs is planned only
-    if some row needs it.
-    """
-    long_rows = edits.groupBy(*KEY).agg(F.count("*").alias("n")).filter(F.col("n") > fold_limit).select(*KEY)
-    if long_rows.isEmpty():
-        return fold_edits(rows, edits)
-    short = fold_edits(rows.join(long_rows, KEY, "left_anti"), edits.join(long_rows, KEY, "left_anti"))
-    return short.unionByName(
-        scan_edits(rows.join(long_rows, KEY, "left_semi"), edits.join(long_rows, KEY, "left_semi"), chunk)
+
+def _fault() -> Column:
+    """Why an edit cannot be applied; null if it can."""
+    incomplete = F.col("request_id").isNull() | F.col("target_column").isNull() | F.col("seq").isNull()
+    return (
+        F.when(incomplete, "no row or sequence number")
+        .when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "unknown action")
+        .when((F.col("action") == "toggle") & F.col("p.column").isNull(), "no column to toggle")
     )
 
 
+def rejected_edits(edits: DataFrame) -> DataFrame:
+    """Edits that are not applied, with the reason."""
+    return _decoded(edits).withColumn("reason", _fault()).filter(F.col("reason").isNotNull()).drop("p")
+
+
 def _log(edits: DataFrame) -> DataFrame:
     setting = F.struct(
         F.coalesce(trim_ws(F.col("p.match_type")), F.lit("")).alias("match_type"),
         _clamped(F.col("p.confidence")).alias("confidence"),
         null_if_blank(F.col("p.rule")).alias("rule"),
     )
-    return edits.withColumn("p", F.from_json("payload", EDIT_PAYLOAD)).select(
-        *KEY, "seq", "action", F.col("p.column").alias("column"), setting.alias("set")
-    )
+    return _decoded(edits).filter(_fault().isNull()).select(*KEY, "seq", "action", F.col("p.column").alias("column"), setting.alias("set"))
 
 
 def _clamped(percent: Column) -> Column:
@@ -61,90 +60,28 @@ def _clamped(percent: Column) -> Column:
     return F.when(finite, F.least(F.greatest(percent, F.lit(0.0)), F.lit(100.0))).otherwise(0.0)
 
 
-def fold_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits of each row gathered and folded in order; one shuffle of the log."""
-    logs = _log(edits).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("seq", "action", "column", "set"))).alias("log"))
-    # The cast makes every field nullable: a fold keeps the type of its start, and edits may clear any field.
-    start = F.struct(*FIELDS, "status").cast(STATE)
-    folded = rows.join(logs, KEY, "left").withColumn("after", F.when(F.col("log").isNotNull(), F.aggregate("log", start, _edit(F.col("original")))))
-    kept = {c: F.when(F.col("log").isNull(), F.col(c)).otherwise(F.col(f"after.{c}")).alias(c) for c in (*FIELDS, "status")}
-    return folded.select(*[kept.get(c, F.col(c)) for c in rows.columns])
-
-
-def _state(status: str, source_columns: Column, confidence_score: Column, match_type: Column, reasoning: Column, rule: Column) -> Column:
-    return F.struct(
-        source_columns.alias("source_columns"),
-        confidence_score.alias("confidence_score"),
-        match_type.alias("match_type"),
-        reasoning.alias("reasoning"),
-        rule.alias("transformation_rule"),
-        F.lit(status).alias("status"),
-    )
-
-
-def _edit(original: Column):
-    """State of a row after one edit."""
-    nothing = F.lit(None).cast("string")
-
-    def cleared(sources: Column) -> Column:
-        return _state("pending", sources, F.lit(0.0), F.lit(""), nothing, nothing)
-
-    def step(s: Column, e: Column) -> Column:
-        same = [s[f] for f in FIELDS]
-        restored = [F.when(original.isNotNull(), original[f]).otherwise(s[f]) for f in FIELDS]
-        removed = F.filter(s["source_columns"], lambda c: c != e["column"])
-        toggled = F.when(F.array_contains(s["source_columns"], e["column"]), removed).otherwise(
-            F.array_append(s["source_columns"], e["column"])
-        )
-        typed = F.coalesce(F.nullif(s["match_type"], F.lit("")), F.lit(DEFAULT_MATCH_TYPE))
-        # The new list is bound once: it decides between the two outcomes and is part of both.
-        after_toggle = F.transform(
-            F.array(toggled),
-            lambda t: F.when(F.size(t) == 0, cleared(t)).otherwise(
-                _state("pending", t, s["confidence_score"], typed, s["reasoning"], s["transformation_rule"])
-            ),
-        )[0]
-        return (
-            F.when(e["action"] == "validate", _state("validated", *same))
-            .when(e["action"] == "rollback", _state("pending", *restored))
-            .when(e["action"] == "unmap", cleared(F.array().cast(NO_SOURCES)))
-            .when(e["action"] == "toggle", after_toggle)
-            .when(
-                e["action"] == "set",
-                _state("pending", s["source_columns"], e["set"]["confidence"], e["set"]["match_type"], s["reasoning"], e["set"]["rule"]),
-            )
-            .otherwise(s)
-        )
-
-    return step
-
-
-def scan_edits(rows: DataFrame, edits: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The same result without gathering the edits of a row."""
+def apply_edits(rows: DataFrame, edits: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Review rows after their edits; rows without edits are kept as they are."""
     log = _log(edits)
     based = _base_rows(rows, log)
-    live = log.join(based.select(*KEY, "reset_seq"), KEY).filter(F.col("seq") > F.coalesce("reset_seq", F.lit(-(2**63)))).drop("reset_seq")
-
-    last_set = F.max(F.when(F.col("action") == "set", F.struct("seq", "set")))
-    facts = live.groupBy(*KEY).agg(
-        last_set.alias("last_set"),
-        F.max(F.when(F.col("action") == "toggle", F.col("seq"))).alias("last_toggle"),
-    )
-    toggles = live.filter(F.col("action") == "toggle").select(*KEY, "seq", "column")
+    toggles = log.filter(F.col("action") == "toggle").select(*KEY, "seq", "column")
+    toggles = toggles.join(based.select(*KEY, "reset_seq"), KEY).filter(F.col("seq") > F.coalesce("reset_seq", F.lit(-(2**63)))).drop("reset_seq")
     sources, emptied = _toggled_sources(toggles, based, chunk)
-
-    folded = based.join(facts, KEY, "left").join(sources, KEY, "left").join(emptied, KEY, "left")
+    folded = based.join(sources, KEY, "left").join(emptied, KEY, "left")
     return folded.select(*_final_columns(rows.columns))
 
 
 def _base_rows(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """Each row as its last reset left it: untouched, rolled back to its original, or unmapped.
+    """Each row as its last reset left it (untouched, rolled back to its original, or unmapped), and its last edits since.
 
-    A rollback of a row without an original resets nothing but the status.
+    A rollback of a row without an original resets nothing but the status. One aggregate finds the last edit of every
+    kind; the last setting or toggle counts if no reset follows it.
     """
     by_action = log.groupBy(*KEY).agg(
         F.max(F.when(F.col("action") == "rollback", F.col("seq"))).alias("rollback_seq"),
         F.max(F.when(F.col("action") == "unmap", F.col("seq"))).alias("unmap_seq"),
+        F.max(F.when(F.col("action") == "toggle", F.col("seq"))).alias("toggle_seq"),
+        F.max(F.when(F.col("action") == "set", F.struct("seq", "set"))).alias("any_set"),
         F.max(F.struct("seq", "action")).alias("last_edit"),
     )
     joined = rows.join(by_action, KEY, "left")
@@ -152,6 +89,7 @@ def _base_rows(rows: DataFrame, log: DataFrame) -> DataFrame:
     joined = joined.withColumn("reset_seq", F.greatest(rollback, F.col("unmap_seq")))
     rolled = F.coalesce(F.col("reset_seq") == rollback, F.lit(False))
     unmapped = F.coalesce(F.col("reset_seq") == F.col("unmap_seq"), F.lit(False))
+    since = F.coalesce("reset_seq", F.lit(-(2**63)))
 
     def base(name: str, cleared: Column) -> Column:
         return F.when(rolled, F.col(f"original.{name}")).when(unmapped, cleared).otherwise(F.col(name)).alias(f"base_{name}")
@@ -161,6 +99,8 @@ def _base_rows(rows: DataFrame, log: DataFrame) -> DataFrame:
         *rows.columns,
         "reset_seq",
         "last_edit",
+        F.when(F.col("any_set.seq") > since, F.col("any_set")).alias("last_set"),
+        F.when(F.col("toggle_seq") > since, F.col("toggle_seq")).alias("last_toggle"),
         base("source_columns", F.array().cast(NO_SOURCES)),
         base("confidence_score", F.lit(0.0)),
         base("match_type", F.lit("")),
@@ -172,8 +112,11 @@ def _base_rows(rows: DataFrame, log: DataFrame) -> DataFrame:
 def _toggled_sources(toggles: DataFrame, based: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
     """Source list after all toggles, and the last toggle that left a row without any source."""
     base = based.select(*KEY, F.col("base_source_columns").alias("base"))
-    # Dense sequence numbers put at most `chunk` edits of a row into one chunk.
-    placed = toggles.withColumn("chunk", F.col("seq") - F.pmod("seq", F.lit(chunk)))
+    # Rows with more than `chunk` toggles are cut at the quantiles of their sequence numbers.
+    quantiles = F.percentile_approx("seq", [i / CHUNKS for i in range(1, CHUNKS)], 10_000)
+    bounds = toggles.groupBy(*KEY).agg(F.count("*").alias("n"), quantiles.alias("bounds")).filter(F.col("n") > chunk).select(*KEY, "bounds")
+    placed = toggles.join(bounds, KEY, "left")
+    placed = placed.withColumn("chunk", F.size(F.filter(F.coalesce("bounds", F.array().cast("array<bigint>")), lambda b: b < F.col("seq")))).drop("bounds")
     per_chunk = placed.groupBy(*KEY, "column", "chunk").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
 
     # How often a column was toggled before a chunk; one row per chunk, not per edit.

@@ -80,10 +80,10 @@ def unread_shared(listing: DataFrame, opened: DataFrame) -> DataFrame:
 def share_suggestions(candidates: DataFrame, shares: DataFrame, asks: DataFrame, limit: int = SUGGESTION_LIMIT) -> DataFrame:
     """Users to suggest for each ask (project_id, user_id asking), without the asker and present recipients.
 
-    The candidates are a top-k list; as one scalar value they are attached to every ask without a join.
+    The first candidates by name are one scalar value, attached to every ask without a join.
     """
     person = F.struct(F.col("user_id").alias("shared_with_user_id"), "display_name")
-    listed = candidates.limit(limit).agg(F.collect_list(person).alias("people"))
+    listed = candidates.orderBy("display_name", "user_id").limit(limit).agg(F.collect_list(person).alias("people"))
     offered = asks.withColumn("people", listed.scalar()).select("project_id", "user_id", F.inline("people"))
     return new_grants(offered.filter(F.col("user_id") != F.col("shared_with_user_id")), shares)
 

@@ -84,7 +84,6 @@ FIXED_OVERHEAD_TOKENS = 200
 RESPONSE_BUFFER_TOKENS = 4000
 SYSTEM_PROMPT_TOKENS = 609
 DEFAULT_TOKEN_LIMIT = 128_000
-MAX_REQUEST_BYTES = 52_428_800
 
 # Reply contract.
 MATCH_TYPES = ("exact", "semantic", "transformed", "derived", "incompatible")
@@ -97,8 +96,9 @@ SUGGESTION_LIMIT = 30
 
 # Words and type names a transformation rule may use.
 RULE_KEYWORDS = (
-    "SELECT FROM WHERE AS CAST COALESCE CONCAT TRIM UPPER LOWER SUBSTRING CASE WHEN THEN ELSE END AND OR NOT NULL "
-    "IS IN LIKE BETWEEN JOIN LEFT RIGHT INNER ON GROUP BY ORDER HAVING LIMIT OFFSET UNION ALL DISTINCT COUNT SUM "
-    "AVG MIN MAX REPLACE CONVERT VARCHAR INT INTEGER BIGINT FLOAT DOUBLE DECIMAL DATE DATETIME TIMESTAMP STRING "
-    "BOOLEAN TRUE FALSE"
-).split()
+    "SELECT", "FROM", "WHERE", "AS", "CAST", "COALESCE", "CONCAT", "TRIM", "UPPER", "LOWER", "SUBSTRING", "CASE",
+    "WHEN", "THEN", "ELSE", "END", "AND", "OR", "NOT", "NULL", "IS", "IN", "LIKE", "BETWEEN", "JOIN", "LEFT",
+    "RIGHT", "INNER", "ON", "GROUP", "BY", "ORDER", "HAVING", "LIMIT", "OFFSET", "UNION", "ALL", "DISTINCT", "COUNT",
+    "SUM", "AVG", "MIN", "MAX", "REPLACE", "CONVERT", "VARCHAR", "INT", "INTEGER", "BIGINT", "FLOAT", "DOUBLE",
+    "DECIMAL", "DATE", "DATETIME", "TIMESTAMP", "STRING", "BOOLEAN", "TRUE", "FALSE",
+)

@@ -44,6 +44,8 @@ def local_session(cores: str = "8", app_name: str = "colweave", shuffle_partitio
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none, as in tests."""
+    """The folder all executors share; a temporary one only where none is named and everything runs on one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return configured or tempfile.mkdtemp(prefix="colweave-")

@@ -18,7 +18,6 @@ from colweave.operators.mapping import (
 
 ITEM_FIELDS = ("target_column", "source_columns", "confidence_score", "match_type", "reasoning", "transformation_rule")
 KEEP_NULLS = {"ignoreNullFields": "false"}
-MAX_DOCUMENT_ITEMS = 100_000
 DASH = "—"
 
 
@@ -27,21 +26,18 @@ def item_json(items: DataFrame) -> DataFrame:
     return items.select("request_id", F.to_json(F.struct(*ITEM_FIELDS), KEEP_NULLS).alias("json"))
 
 
-def result_documents(items: DataFrame, results: DataFrame, max_items: int = MAX_DOCUMENT_ITEMS) -> DataFrame:
-    """One JSON document per request, items in mapping order.
+def result_documents(items: DataFrame, results: DataFrame) -> DataFrame:
+    """One JSON document per request, items in mapping order; a request without items has an empty list.
 
-    Items are counted before they are gathered; a request with more than `max_items` gets no document and is exported
-    through `item_json`.
+    A document is one text of one mapping, which has a row per column; `item_json` keeps the items apart.
     """
-    small = items.groupBy("request_id").agg(F.count("*").alias("n")).filter(F.col("n") <= max_items).select("request_id")
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.struct(*ITEM_FIELDS).alias("item"))))
-    gathered = items.join(small, "request_id", "left_semi").groupBy("request_id").agg(
-        F.transform(ordered, lambda o: o["item"]).alias("mappings")
-    )
+    gathered = items.groupBy("request_id").agg(F.transform(ordered, lambda o: o["item"]).alias("mappings"))
     rest = ("unmapped_source_columns", "unmapped_target_columns", "global_confidence", "analysis_summary")
-    return results.join(gathered, "request_id").select(
-        "request_id", F.to_json(F.struct("mappings", *rest), KEEP_NULLS).alias("json")
-    )
+    joined = results.join(gathered, "request_id", "left")
+    kind = gathered.schema["mappings"].dataType
+    mappings = F.coalesce("mappings", F.array().cast(kind)).alias("mappings")
+    return joined.select("request_id", F.to_json(F.struct(mappings, *rest), KEEP_NULLS).alias("json"))
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:

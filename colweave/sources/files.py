@@ -14,6 +14,11 @@ from colweave.schemas import JSON_PROFILE_DEPTH, PREVIEW_ROWS
 FILE_KEYS = ("request_id", "side", "file_name")
 
 
+def without_bom(text: Column) -> Column:
+    """Text without the byte order mark that some editors put before it."""
+    return F.when(text.startswith("\ufeff"), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+
+
 def scan_raw_files(spark: SparkSession, path: str, side: str, request_id: str = "0") -> DataFrame:
     """Whole text of every file below a path, tagged with its side, oldest first. Suits files that fit a row."""
     return spark.read.text(path, wholetext=True).select(
@@ -21,20 +26,11 @@ def scan_raw_files(spark: SparkSession, path: str, side: str, request_id: str =
         F.lit(side).alias("side"),
         F.unix_micros("_metadata.file_modification_time").alias("pos"),
         F.col("_metadata.file_name").alias("file_name"),
-        F.col("value").alias("content"),
+        F.col("_metadata.file_path").alias("file_path"),
+        without_bom(F.col("value")).alias("content"),
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores where the input comes in fewer pieces than there are cores.
-
-    Text work is heavy per row, and one small file that cannot be split would run on one core. An input with enough
-    splits, which is every large one, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scan_file_lines(spark: SparkSession, path: str, side: str, request_id: str = "0") -> DataFrame:
     """One row per line, for files too large to hold in a row: a file is read in splits by many tasks.
 
@@ -44,9 +40,10 @@ def scan_file_lines(spark: SparkSession, path: str, side: str, request_id: str =
         F.lit(request_id).alias("request_id"),
         F.lit(side).alias("side"),
         F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_in_task"),
-        F.col("value").alias("line"),
+        F.when(F.col("_metadata.file_block_start") == 0, without_bom(F.col("value"))).otherwise(F.col("value")).alias("line"),
     )
 
 
@@ -55,9 +52,10 @@ def head_lines(lines: DataFrame, n: int) -> DataFrame:
 
     The rank filter is applied inside each map task before the exchange, so a single huge file sends n rows per task.
     """
-    order = Window.partitionBy(*FILE_KEYS).orderBy("block_start", "line_in_task")
+    keys = [*FILE_KEYS, "file_path"]
+    order = Window.partitionBy(*keys).orderBy("block_start", "line_in_task")
     kept = lines.filter(~is_blank(F.col("line"))).withColumn("line_no", F.row_number().over(order))
-    return kept.filter(F.col("line_no") <= n).select(*FILE_KEYS, "line_no", "line")
+    return kept.filter(F.col("line_no") <= n).select(*keys, "line_no", "line")
 
 
 def file_kind(file_name: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from colweave.functions.json_text import strict_json
 from colweave.functions.text import trim_ws, utf16_length
-from colweave.schemas import MAX_REQUEST_BYTES
 
 KNOWN_EVENTS = ("progress", "token", "result", "error")
 FINAL_EVENTS = ("result", "error")
@@ -34,17 +33,14 @@ def fold_parts(chunks: DataFrame, chunks_per_part: int = CHUNKS_PER_PART) -> Dat
     )
 
 
-def fold_chunks(chunks: DataFrame, max_chars: int = MAX_REQUEST_BYTES) -> DataFrame:
+def fold_chunks(chunks: DataFrame) -> DataFrame:
     """Complete reply of every request, with its number of chunks and characters.
 
-    Chunks are joined into parts first, so no group gathers more than a part. A reply longer than `max_chars` is
-    counted but not joined (its text is null); read it from `fold_parts`.
+    Chunks are joined into parts first, so no group gathers more chunks than a part and then more parts than a reply has.
+    A reply is one text; one that a string cannot hold fails the query.
     """
     parts = fold_parts(chunks).withColumnRenamed("part", "seq")
-    totals = parts.groupBy("request_id").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_chars").alias("n_chars"))
-    short = parts.join(totals.filter(F.col("n_chars") <= max_chars).select("request_id"), "request_id", "left_semi")
-    texts = short.groupBy("request_id").agg(_joined("text").alias("reply_text"))
-    return totals.join(texts, "request_id", "left")
+    return parts.groupBy("request_id").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_chars").alias("n_chars"), _joined("text").alias("reply_text"))
 
 
 def _first_final() -> Column:

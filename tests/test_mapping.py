@@ -80,7 +80,7 @@ def plain_fold(row, log):
     return [s[f] for f in FIELDS] + [s["status"]]
 
 
-@pytest.mark.parametrize("limits", [{}, {"fold_limit": 0, "chunk": 4}, {"fold_limit": 12, "chunk": 1000}])
+@pytest.mark.parametrize("limits", [{}, {"chunk": 4}, {"chunk": 0}])
 def test_edits_equal_one_by_one_application(spark, limits):
     rng = random.Random(11)
     rows, logs = [], {}
@@ -114,7 +114,7 @@ def test_edits_may_clear_columns_that_are_never_null(spark):
     )
     rows = rows.withColumn("original", F.struct(*FIELDS))
     log = spark.range(2).select(F.lit("0").alias("request_id"), F.col("id").cast("string").alias("target_column"), F.lit(1).alias("seq"), F.lit("unmap").alias("action"), F.lit("{}").alias("payload"))
-    for limits in ({}, {"fold_limit": 0}):
+    for limits in ({}, {"chunk": 0}):
         got = {r["target_column"]: r["reasoning"] for r in edits.apply_edits(rows, log, **limits).collect()}
         assert got == {"0": None, "1": None, "2": "r"}
 
@@ -153,17 +153,42 @@ def test_silent_renames_are_refused(spark):
         apply.project_mapping(df, [apply.Rule("x", "a"), apply.Rule("x", "b")])
 
 
-@pytest.mark.parametrize("rule", ["(SELECT 1)", "rand()", "a + uuid()", "SUM(a)", "count (*)", "row_number() OVER (ORDER BY a)", "x FROM y"])
+@pytest.mark.parametrize("rule", ["(SELECT 1)", "rand()", "a + uuid()", "SUM(a)", "count (*)", "row_number() OVER (ORDER BY a)", "explode(split(x, ' '))", "first(x)", "count_if(y > 0)", "CURRENT_TIMESTAMP", "current_date", "a; b"])
 def test_unsafe_rules_are_refused(rule):
     with pytest.raises(apply.MappingError):
         apply.check_rule(rule)
 
 
-@pytest.mark.parametrize("rule", ["concat('SELECT ', a)", "t.sum", "summary(a)", "'it''s FROM' || b", "min_value"])
+@pytest.mark.parametrize("rule", ["concat('SELECT ', a)", "t.sum", "'it''s FROM' || b", "min_value", "offset + 1", "limit", "`from`", "TRIM(BOTH ' ' FROM x)", "CASE WHEN a IN (1, 2) THEN (b) END", "CAST(a AS DECIMAL(5, 2))"])
 def test_safe_rules_pass(rule):
     apply.check_rule(rule)
 
 
+def test_rules_on_columns_named_like_keywords(spark):
+    df = spark.createDataFrame([(1, "a "), (2, None)], "offset int, `from` string")
+    out = apply.project_mapping(df, [apply.Rule("n", "offset + 1"), apply.Rule("t", "upper(trim(`from`))"), apply.Rule("c", apply.quote_name("offset"))])
+    assert [tuple(r) for r in out.collect()] == [(2, "A", 1), (3, None, 2)]
+
+
+def test_rejected_edits_are_listed_and_change_nothing(spark):
+    log = spark.createDataFrame(
+        [("0", "t.a", 1, "validate", None), ("0", "t.a", 2, "note", None), ("0", "t.a", 3, "toggle", "{}"), ("0", "t.a", None, "unmap", None), ("0", None, 4, "unmap", None)],
+        "request_id string, target_column string, seq bigint, action string, payload string",
+    )
+    rows = spark.createDataFrame([("0", "t.a", ["a"], 0.5, "exact", None, None, "pending", None)], "request_id string, target_column string, source_columns array<string>, confidence_score double, match_type string, reasoning string, transformation_rule string, status string, original struct<source_columns:array<string>,confidence_score:double,match_type:string,reasoning:string,transformation_rule:string>")
+    after = edits.apply_edits(rows, log).first()
+    assert after["status"] == "validated" and after["source_columns"] == ["a"]
+    assert sorted(r["reason"] for r in edits.rejected_edits(log).collect()) == ["no column to toggle", "no row or sequence number", "no row or sequence number", "unknown action"]
+
+
+def test_sparse_sequence_numbers_are_spread_over_chunks(spark):
+    rows = spark.createDataFrame([("0", "t", [], 0.0, "", None, None, "pending", None)], "request_id string, target_column string, source_columns array<string>, confidence_score double, match_type string, reasoning string, transformation_rule string, status string, original struct<source_columns:array<string>,confidence_score:double,match_type:string,reasoning:string,transformation_rule:string>")
+    n = 20_001
+    log = spark.range(n).selectExpr("'0' as request_id", "'t' as target_column", "1700000000000000 + id * id * 7 as seq", "'toggle' as action", "concat('{\"column\":\"c', id % 2, '\"}') as payload")
+    after = edits.apply_edits(rows, log, chunk=500).first()
+    assert after["source_columns"] == ["c0"] and after["match_type"] == "semantic"  # 10,001 toggles of c0, 10,000 of c1
+
+
 def test_rule_spelling():
     assert apply.to_spark_sql("CONVERT(VARCHAR, concat(a, ','))") == "CAST(concat(a, ',') AS STRING)"
     assert apply.to_spark_sql("convert(decimal(10,2), CONVERT(int, a)) + 1") == "CAST(CAST(a AS int) AS decimal(10,2)) + 1"
@@ -201,7 +226,8 @@ def test_exports_read_back(spark, tmp_path):
     results = spark.createDataFrame([("0", ["s.u"], ["t.v"], 0.5, "ok")], "request_id string, unmapped_source_columns array<string>, unmapped_target_columns array<string>, global_confidence double, analysis_summary string")
     doc = json.loads(exports.result_documents(rows, results).first()["json"])
     assert [m["target_column"] for m in doc["mappings"]] == ["t.a", "t.b", "u"] and doc["mappings"][1]["transformation_rule"] is None
-    assert exports.result_documents(rows, results, max_items=2).count() == 0
+    empty = exports.result_documents(rows.filter("pos < 0"), results).first()
+    assert json.loads(empty["json"])["mappings"] == []
     exports.write_report(review, results, str(tmp_path / "report"))
     unmapped = {(r["side"], r["column_name"]) for r in spark.read.parquet(str(tmp_path / "report" / "unmapped")).collect()}
     assert unmapped == {("source", "s.u"), ("target", "t.v"), ("target", "u")}

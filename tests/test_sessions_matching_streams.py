@@ -204,8 +204,8 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_long_replies_stay_in_parts(spark):
     rows = [("a", i, "token", "xy", T0) for i in range(10)] + [("b", 0, "token", "z", T0)]
     df = spark.createDataFrame(rows, CHUNK)
-    folded = {r["request_id"]: (r["n_chunks"], r["n_chars"], r["reply_text"]) for r in chunks.fold_chunks(df, max_chars=10).collect()}
-    assert folded == {"a": (10, 20, None), "b": (1, 1, "z")}
+    folded = {r["request_id"]: (r["n_chunks"], r["n_chars"], r["reply_text"]) for r in chunks.fold_chunks(df).collect()}
+    assert folded == {"a": (10, 20, "xy" * 10), "b": (1, 1, "z")}
     parts = chunks.fold_parts(df, chunks_per_part=4).filter("request_id = 'a'").orderBy("part").collect()
     assert [p["text"] for p in parts] == ["xy" * 4, "xy" * 4, "xy" * 2]
 

@@ -294,8 +294,8 @@ def _edits(spark, sf):
     )
     return li.select(
         F.lit("0").alias("request_id"), F.concat(F.lit("p."), F.col("l_partkey").cast("string")).alias("target_column"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), action.alias("action"), F.to_json(payload).alias("payload"),
-    ).dropDuplicates(["target_column", "seq"])
+        (F.col("l_orderkey") * 80_000 + F.col("l_suppkey") * 8 + F.col("l_linenumber")).alias("seq"), action.alias("action"), F.to_json(payload).alias("payload"),
+    )
 
 
 def _part_rows(spark, sf):
@@ -318,7 +318,7 @@ def _one_kind(spark, sf, *actions):
     return edits.apply_edits(_part_rows(spark, sf), _edits(spark, sf).filter(F.col("action").isin(*actions)))
 
 
-EDIT_SQL = """edits AS (SELECT DISTINCT ON (l_partkey, l_orderkey, l_linenumber) 'p.' || l_partkey AS target_column, l_orderkey * 8 + l_linenumber AS seq,
+EDIT_SQL = """edits AS (SELECT 'p.' || l_partkey AS target_column, l_orderkey * 80000 + l_suppkey * 8 + l_linenumber AS seq,
   (['toggle', 'toggle', 'set', 'validate', 'rollback', 'unmap', 'toggle'])[l_linenumber] AS action, l_quantity, l_returnflag, l_linenumber, 'c' || (l_suppkey % 3) AS col FROM lineitem),
 rows AS (SELECT 'p.' || p_partkey AS target_column, p_size > 5 AS mapped, CASE WHEN p_size > 5 THEN ['c1', p_type] ELSE [] END AS source_columns,
   CASE WHEN p_size > 5 THEN p_size / 50.0 ELSE 0 END AS confidence_score, CASE WHEN p_size > 5 THEN 'semantic' ELSE '' END AS match_type,
@@ -383,7 +383,7 @@ def e1_e5_all_edits(spark, sf):
 
 def e1_e5_long_logs(spark, sf):
     """The same log through the form for rows with very many edits, in chunks of consecutive edits."""
-    return _edited(edits.apply_edits(_part_rows(spark, sf), _edits(spark, sf), fold_limit=10, chunk=4096))
+    return _edited(edits.apply_edits(_part_rows(spark, sf), _edits(spark, sf), chunk=10))
 
 
 STATE_AFTER = """

@@ -249,14 +249,13 @@ SELECT request_id, CAST(turn AS BIGINT) AS turn, role, md5(c) AS digest FROM m""
 
 
 def c14_rules_text(spark, sf):
-    """Conversation turns of one conversation as its rules; a conversation is short."""
+    """All turns of one conversation as its rules; a conversation is short."""
     turns = table(spark, sf, "conversations")
-    user = F.when(F.col("role") == "user", F.struct("turn", "text"))
-    rules = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(user)), lambda t: t["text"]).alias("contents"))
+    rules = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("contents"))
     return rules.select("conv_id", F.md5(budget.rules_text(F.col("contents"))).alias("digest"))
 
 
-C14 = """SELECT conv_id, md5(nullif(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'user'), ''), '')) AS digest
+C14 = """SELECT conv_id, md5(nullif(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn), ''), '')) AS digest
 FROM conversations GROUP BY conv_id"""
 
 
@@ -273,7 +272,7 @@ C15 = f"""WITH n AS (SELECT CAST(doc_id // {FILES_PER_REQUEST} AS VARCHAR) AS re
     count(*) FILTER (WHERE lang IN ('en', 'fr')) AS n_source, count(*) FILTER (WHERE lang NOT IN ('en', 'fr')) AS n_target
   FROM documents GROUP BY 1)
 SELECT request_id, n_source, n_target,
-  CASE WHEN n_source = 0 OR n_target = 0 THEN 'Both source_files and target_files are required' END AS reject_reason FROM n"""
+  CASE WHEN n_source = 0 OR n_target = 0 THEN 'a request needs files of both sides' END AS reject_reason FROM n"""
 
 QUERIES = {
     "c2_request_estimate": (c2_request_estimate, C2),

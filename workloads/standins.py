@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.sources.files import spread
 
 FILES_PER_REQUEST = 8
 
@@ -19,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw files: eight to a request, sides alternating, three extensions."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ext = F.when(F.col("doc_id") % 3 == 0, "txt").when(F.col("doc_id") % 3 == 1, "csv").otherwise("md")
     return docs.select(
         F.floor(F.col("doc_id") / FILES_PER_REQUEST).cast("string").alias("request_id"),

@@ -12,16 +12,18 @@ from workloads.standins import table
 
 
 def conversation_chunks(spark, sf):
-    """Turns as chunks of one reply per conversation; every fifth turn is empty."""
+    """Turns as chunks of one reply per conversation, and an empty chunk after every fifth turn."""
     c = table(spark, sf, "conversations")
-    payload = F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.lit("")).otherwise(F.col("text"))
+    gaps = c.filter((F.col("conv_id") + F.col("turn")) % 5 == 0).withColumn("text", F.lit(""))
+    c = c.withColumn("turn", F.col("turn") * 2).unionByName(gaps.withColumn("turn", F.col("turn") * 2 + 1))
+    payload = F.col("text")
     ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3 + F.col("turn"))
     return c.select(
         F.col("conv_id").cast("string").alias("request_id"), F.col("turn").cast("bigint").alias("seq"), F.lit("token").alias("event_type"), payload.alias("payload"), ts.alias("ts")
     )
 
 
-CHUNKS = """c AS (SELECT CAST(conv_id AS VARCHAR) AS request_id, turn AS seq, CASE WHEN (conv_id + turn) % 5 = 0 THEN '' ELSE text END AS payload FROM conversations)"""
+CHUNKS = """c AS (SELECT CAST(conv_id AS VARCHAR) AS request_id, turn AS seq, text AS payload FROM conversations)"""
 
 
 def _digested(folded):
