@@ -29,9 +29,13 @@ def _last(value: Column, seq: str = "seq") -> Column:
 
 
 def insert_sessions(projects: DataFrame, created: DataFrame, now: Column) -> DataFrame:
-    """Add sessions: blank names get a default, missing lists are empty. `created` has unique (owner_user_id, seq)."""
+    """Add sessions: blank names get a default, missing lists are empty.
+
+    `created` has unique (owner_user_id, seq) within a batch, and `now` tells batches apart. A session whose id is already
+    there, as after a repeated batch, is not added again.
+    """
     rows = created.select(
-        derived_id("owner_user_id", "seq").alias("id"),
+        derived_id("owner_user_id", "seq", F.unix_micros(now.cast("timestamp"))).alias("id"),
         "owner_user_id",
         F.coalesce(null_if_blank(F.col("name")), session_name(now)).alias("name"),
         *[F.coalesce(F.col(c), F.lit("[]")).alias(c) for c in LIST_PAYLOADS],
@@ -39,7 +43,7 @@ def insert_sessions(projects: DataFrame, created: DataFrame, now: Column) -> Dat
         now.alias("created_at"),
         now.alias("updated_at"),
     )
-    return projects.unionByName(rows)
+    return projects.unionByName(rows.join(projects.select("id"), "id", "left_anti"))
 
 
 def patch_sessions(projects: DataFrame, shares: DataFrame, patches: DataFrame, now: Column) -> DataFrame:

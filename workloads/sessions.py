@@ -105,19 +105,28 @@ def l1_session_list_one_user(spark, sf):
 L1_ONE = f"{L1} WHERE l.user_id = '42'"
 
 
+def _decoded():
+    """Something of every payload, so that all are decoded."""
+    return (
+        F.size("source_files").cast("bigint").alias("n_source"), F.size("target_files").cast("bigint").alias("n_target"), F.size("chat_history").cast("bigint").alias("n_chat"),
+        F.col("current_mapping.analysis_summary").alias("summary"), F.col("rules")[0]["content"].alias("rule"),
+    )
+
+
 def l2_session_payloads(spark, sf):
     d = plans.session_payloads(*_all(spark, sf))
-    return d.select("id", "user_id", "is_owner", "owner_display_name", "updated_at", F.size("source_files").cast("bigint").alias("n_source"))
+    return d.select("id", "user_id", "is_owner", "owner_display_name", "updated_at", *_decoded())
 
 
 L2 = f"""WITH {TABLES}, g AS (SELECT id, owner_user_id AS user_id FROM projects UNION SELECT project_id, shared_with_user_id FROM shares)
 SELECT p.id, g.user_id, g.user_id = owner_user_id AS is_owner, display_name AS owner_display_name, {ISO.format('updated_at')} AS updated_at,
-  CAST(CASE WHEN st = 'O' THEN 1 ELSE 0 END AS BIGINT) AS n_source FROM projects p JOIN g ON g.id = p.id LEFT JOIN profiles o ON o.user_id = owner_user_id"""
+  CAST(CASE WHEN st = 'O' THEN 1 ELSE 0 END AS BIGINT) AS n_source, CAST(0 AS BIGINT) AS n_target, CAST(0 AS BIGINT) AS n_chat,
+  CASE WHEN st = 'O' THEN 's' || p.id END AS summary, 'c' AS rule FROM projects p JOIN g ON g.id = p.id LEFT JOIN profiles o ON o.user_id = owner_user_id"""
 
 
 def l2_session_payloads_one_user(spark, sf):
     d = plans.session_payloads(*_all(spark, sf), user_id="42")
-    return d.select("id", "user_id", "is_owner", "owner_display_name", "updated_at", F.size("source_files").cast("bigint").alias("n_source"))
+    return d.select("id", "user_id", "is_owner", "owner_display_name", "updated_at", *_decoded())
 
 
 L2_ONE = f"{L2} WHERE g.user_id = '42'"
@@ -285,30 +294,35 @@ def w1_insert_sessions(spark, sf):
         F.lit(None).cast("string").alias("rules_json"), F.lit(None).cast("string").alias("current_mapping_json"),
     )
     merged = merges.insert_sessions(projects(spark, sf), created, now())
-    return merged.select("owner_user_id", "name", F.char_length("id").cast("bigint").alias("id_length"), "source_files_json", "target_files_json", iso_timestamp(F.col("created_at")).alias("created_at"))
+    return merged.select("owner_user_id", "name", "id", "source_files_json", "target_files_json", iso_timestamp(F.col("created_at")).alias("created_at"))
 
 
 PAYLOAD_SQL = """CASE st WHEN 'O' THEN '[{"fileName":"f' || id || '.csv","content":"a,b"}]' WHEN 'F' THEN '[{"fileName":"f' || id || '.csv","content":"a,b"}]]' ELSE 'null' END"""
 CURRENT_SQL = """CASE st WHEN 'O' THEN '{"global_confidence":0.5,"analysis_summary":"s' || id || '"}' WHEN 'F' THEN '{bad' END"""
-W1 = f"""WITH {TABLES} SELECT owner_user_id, name, CAST(length(id) AS BIGINT) AS id_length, {PAYLOAD_SQL} AS source_files_json, '[]' AS target_files_json, {ISO.format('created_at')} AS created_at FROM projects
-UNION ALL SELECT CAST(s_suppkey AS VARCHAR), CASE WHEN s_nationkey % 2 = 0 THEN s_name ELSE 'Session 2024-05-06 07:08' END, 36, '[]', '[1]', {ISO.format(NOW_SQL)} FROM supplier"""
+HASH = f"md5(s_suppkey || chr(31) || s_suppkey || chr(31) || epoch_us({NOW_SQL}))"
+NEW_ID = f"concat_ws('-', {HASH}[1:8], {HASH}[9:12], {HASH}[13:16], {HASH}[17:20], {HASH}[21:32])"
+W1 = f"""WITH {TABLES} SELECT owner_user_id, name, id, {PAYLOAD_SQL} AS source_files_json, '[]' AS target_files_json, {ISO.format('created_at')} AS created_at FROM projects
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), CASE WHEN s_nationkey % 2 = 0 THEN s_name ELSE 'Session 2024-05-06 07:08' END, {NEW_ID}, '[]', '[1]', {ISO.format(NOW_SQL)} FROM supplier"""
 
 
 PATCHES = """lines AS (SELECT l_orderkey, l_linenumber, l_partkey, min(l_suppkey) AS l_suppkey, min(l_linestatus) AS l_linestatus, min(l_quantity) AS l_quantity, min(l_tax) AS l_tax
   FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey),
 patches AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, CAST(CASE WHEN l_linenumber = 7 THEN l_suppkey ELSE l_partkey END AS VARCHAR) AS user_id,
   l_linenumber * 1000000 + l_partkey AS seq, CASE WHEN l_linestatus = 'F' THEN 'n' || l_linenumber END AS name, CASE WHEN l_quantity > 25 THEN '[' || l_linenumber || ']' END AS files,
+  CASE WHEN l_quantity <= 25 THEN '[t' || l_linenumber || ']' END AS targets, CASE WHEN l_tax > 0.02 THEN '[c' || l_linenumber || ']' END AS chat,
+  CASE WHEN l_linestatus = 'O' THEN '[r' || l_linenumber || ']' END AS rules,
   CASE WHEN l_tax > 0.04 THEN 'm' || l_linenumber END AS current_mapping FROM lines),
 ok AS (SELECT pa.* FROM patches pa JOIN projects p ON p.id = pa.id WHERE pa.user_id = p.owner_user_id
   OR EXISTS (SELECT 1 FROM shares s WHERE s.project_id = pa.id AND s.shared_with_user_id = pa.user_id AND s.role = 'editor')),
 latest AS (SELECT id, arg_max(name, seq) FILTER (WHERE name IS NOT NULL) AS name, arg_max(files, seq) FILTER (WHERE files IS NOT NULL) AS files,
+  arg_max(targets, seq) FILTER (WHERE targets IS NOT NULL) AS targets, arg_max(chat, seq) FILTER (WHERE chat IS NOT NULL) AS chat, arg_max(rules, seq) FILTER (WHERE rules IS NOT NULL) AS rules,
   arg_max(coalesce(current_mapping, '~'), seq) AS current_mapping FROM ok GROUP BY id)"""
 
 
 def w2_patch_sessions(spark, sf):
     p, s, _ = _all(spark, sf)
     merged = merges.patch_sessions(p, s, _patches(spark, sf), now())
-    return merged.select("id", "name", "source_files_json", "current_mapping_json", iso_timestamp(F.col("updated_at")).alias("updated_at"))
+    return merged.select("id", "name", "source_files_json", "target_files_json", "chat_history_json", "rules_json", "current_mapping_json", iso_timestamp(F.col("updated_at")).alias("updated_at"))
 
 
 def _patches(spark, sf):
@@ -321,14 +335,15 @@ def _patches(spark, sf):
     return raw.select(
         F.col("l_orderkey").cast("string").alias("id"), F.when(F.col("l_linenumber") == 7, F.col("l_suppkey")).otherwise(F.col("l_partkey")).cast("string").alias("user_id"),
         (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("seq"), F.when(F.col("l_linestatus") == "F", F.concat(F.lit(" n"), line)).alias("name"),
-        F.when(F.col("l_quantity") > 25, F.concat(F.lit("["), line, F.lit("]"))).alias("source_files_json"), F.lit(None).cast("string").alias("target_files_json"),
-        F.lit(None).cast("string").alias("chat_history_json"), F.lit(None).cast("string").alias("rules_json"),
+        F.when(F.col("l_quantity") > 25, F.concat(F.lit("["), line, F.lit("]"))).alias("source_files_json"), F.when(F.col("l_quantity") <= 25, F.concat(F.lit("[t"), line, F.lit("]"))).alias("target_files_json"),
+        F.when(F.col("l_tax") > 0.02, F.concat(F.lit("[c"), line, F.lit("]"))).alias("chat_history_json"), F.when(F.col("l_linestatus") == "O", F.concat(F.lit("[r"), line, F.lit("]"))).alias("rules_json"),
         F.when(F.col("l_tax") > 0.04, F.concat(F.lit("m"), line)).alias("current_mapping_json"),
     )
 
 
 W2 = f"""WITH {TABLES}, {PATCHES}
 SELECT p.id, coalesce(l.name, p.name) AS name, coalesce(l.files, {PAYLOAD_SQL.replace("|| id ||", "|| p.id ||")}) AS source_files_json,
+  coalesce(l.targets, '[]') AS target_files_json, coalesce(l.chat, '{{"role":"user"}}') AS chat_history_json, coalesce(l.rules, '[{{"name":"r","content":"c"}}]') AS rules_json,
   CASE WHEN l.id IS NULL THEN {CURRENT_SQL.replace("|| id ||", "|| p.id ||")} ELSE nullif(l.current_mapping, '~') END AS current_mapping_json,
   {ISO.format(f"CASE WHEN l.id IS NULL THEN p.updated_at ELSE {NOW_SQL} END")} AS updated_at FROM projects p LEFT JOIN latest l ON l.id = p.id"""
 
