@@ -12,7 +12,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from colweave.functions.text import contains_any, count_of, is_blank, trim_ws
+from colweave.functions.text import contains_any, count_of, is_blank, trim_script
 from colweave.schemas import DICTIONARY_KEYWORDS
 
 ANY_DELIMITER = "[,;\t|]"
@@ -20,7 +20,7 @@ ANY_DELIMITER = "[,;\t|]"
 
 def first_line(content: Column) -> Column:
     """First line of the trimmed text; the rest of the text is not split."""
-    return F.split(trim_ws(content), "\r?\n", 2)[0]
+    return F.split(trim_script(content), "\r?\n", 2)[0]
 
 
 def non_blank_lines(content: Column, pattern: str = "\n") -> Column:
@@ -65,12 +65,12 @@ def split_quoted(line: Column, delimiter: Column) -> Column:
     """
     pieces = F.split(line, '"')
     marked = F.transform(pieces, lambda s, i: F.when(i % 2 == 0, F.replace(s, delimiter, F.lit('"'))).otherwise(s))
-    return F.transform(F.split(F.array_join(marked, ""), '"'), trim_ws)
+    return F.transform(F.split(F.array_join(marked, ""), '"'), trim_script)
 
 
 def header_names(line: Column) -> Column:
     """Non-blank trimmed names of a header line split on any delimiter."""
-    return F.filter(F.transform(F.split(line, ANY_DELIMITER), trim_ws), lambda h: h != "")
+    return F.filter(F.transform(F.split(line, ANY_DELIMITER), trim_script), lambda h: h != "")
 
 
 def essential_positions(header_cells: Column, words: tuple[str, ...]) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def strict_json(text: Column) -> Column:
@@ -52,6 +55,18 @@ def is_object(v: Column) -> Column:
     return F.coalesce(kind(v) == "object", F.lit(False))
 
 
+def fits(v: Column, data_type: T.DataType) -> Column:
+    """Whether a JSON value has the kinds of a schema all the way down. Absent and null values fit any type."""
+    if isinstance(data_type, T.StructType):
+        inner = reduce(lambda a, b: a & b, [fits(field(v, f.name), f.dataType) for f in data_type.fields])
+        right = (kind(v) == "object") & inner
+    elif isinstance(data_type, T.ArrayType):
+        right = F.coalesce(F.forall(as_array(v), lambda e: fits(e, data_type.elementType)), F.lit(False))
+    else:
+        right = kind(v) == ("string" if isinstance(data_type, T.StringType) else "number")
+    return F.coalesce(kind(v) == "null", F.lit(True)) | F.coalesce(right, F.lit(False))
+
+
 def text_value(v: Column) -> Column:
     """String content of a JSON string, null for absent and JSON null."""
     return F.try_variant_get(v, "$", "string")

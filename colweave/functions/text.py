@@ -21,6 +21,11 @@ def trim_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+def trim_script(c: Column) -> Column:
+    """Trimming as script code does it: the byte order mark counts as white space, the next-line character does not."""
+    return F.btrim(c, F.lit(WHITE_SPACE.replace("\x85", "") + "\ufeff"))
+
+
 def is_blank(c: Column) -> Column:
     """True for null, empty and white-space-only text."""
     return c.isNull() | (trim_ws(c) == "")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colweave.functions.json_text import as_array, is_object, strict_json
+from colweave.functions.json_text import as_array, fits, is_object, strict_json
 from colweave.functions.text import is_blank, iso_timestamp
 from colweave.schemas import MAPPING_RESULT, SESSION_CHAT, SESSION_FILES, SESSION_RULES, SUGGESTION_LIMIT
 
@@ -89,14 +89,15 @@ def share_suggestions(candidates: DataFrame, shares: DataFrame, asks: DataFrame,
 
 
 def decode_payloads(projects: DataFrame) -> DataFrame:
-    """Payload columns as structures. Text that is not JSON of the right kind gives the default: an empty list, or no
-    mapping."""
+    """Payload columns as structures. Text that is not JSON, or has a value of the wrong kind anywhere, gives the default:
+    an empty list, or no mapping."""
     decoded = projects
     for text, (name, schema) in PAYLOADS.items():
-        usable = as_array(strict_json(F.col(text))).isNotNull()
-        value = F.coalesce(F.when(usable, F.from_json(text, schema)), F.array().cast(schema))
-        decoded = decoded.withColumn(name, value)
-    usable = is_object(strict_json(F.col("current_mapping_json")))
+        value = strict_json(F.col(text))
+        usable = as_array(value).isNotNull() & fits(value, schema)
+        decoded = decoded.withColumn(name, F.coalesce(F.when(usable, F.from_json(text, schema)), F.array().cast(schema)))
+    value = strict_json(F.col("current_mapping_json"))
+    usable = is_object(value) & fits(value, MAPPING_RESULT)
     decoded = decoded.withColumn("current_mapping", F.when(usable, F.from_json("current_mapping_json", MAPPING_RESULT)))
     return decoded.drop(*PAYLOADS, "current_mapping_json")
 

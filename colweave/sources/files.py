@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colweave.functions.delimited import first_line, split_quoted, vote_delimiter
 from colweave.functions.json_text import kind, strict_json
 from colweave.functions.staging import stage
-from colweave.functions.text import file_extension, is_blank, trim_ws
+from colweave.functions.text import file_extension, is_blank, trim_script
 from colweave.schemas import JSON_PROFILE_DEPTH, PREVIEW_ROWS
 
 FILE_KEYS = ("request_id", "side", "file_name")
@@ -65,7 +65,7 @@ def file_kind(file_name: Column) -> Column:
 
 def delimited_lines(files: DataFrame) -> DataFrame:
     """Add the voted delimiter and the non-blank lines of every file."""
-    lines = F.filter(F.split(trim_ws(F.col("content")), "\r?\n"), lambda line: ~is_blank(line))
+    lines = F.filter(F.split(trim_script(F.col("content")), "\r?\n"), lambda line: ~is_blank(line))
     return files.withColumn("delimiter", vote_delimiter(first_line(F.col("content")))).withColumn("lines", lines)
 
 

@@ -95,3 +95,21 @@ def test_qualified_names(spark):
     assert one(spark, source_table(F.col("v")), "a.b.c") == "a"
     assert one(spark, source_table(F.col("v")), ".b") is None
     assert one(spark, source_table(F.col("v")), "b") is None
+
+
+def test_script_trimming_knows_the_byte_order_mark(spark):
+    from colweave.sources.files import file_statistics
+
+    files = spark.createDataFrame([("0", "source", 0, "a.csv", "\ufeffid,name\n1,x\n")], "request_id string, side string, pos bigint, file_name string, content string")
+    assert files.select(d.first_line(F.col("content"))).first()[0] == "id,name"
+    assert file_statistics(files).first()["n_rows"] == 1
+
+
+def test_kinds_must_fit_all_the_way_down(spark):
+    from colweave.functions.json_text import fits, strict_json
+    from colweave.schemas import MAPPING_RESULT, SESSION_FILES
+
+    texts = ['[{"fileName":"a","content":null}]', "[]", "[{}]", '[{"fileName":5}]', '["a"]', '{"global_confidence":"x"}', '{"global_confidence":0.5,"mappings":[{"source_columns":["a"]}]}', '{"mappings":[{"source_columns":[1]}]}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("v", strict_json(F.col("t")))
+    assert [r[0] for r in df.select(fits(F.col("v"), SESSION_FILES)).collect()][:5] == [True, True, True, False, False]
+    assert [r[0] for r in df.select(fits(F.col("v"), MAPPING_RESULT)).collect()][5:] == [False, True, False]

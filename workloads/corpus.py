@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from colweave.functions.delimited import first_line, looks_like_dictionary, presence_delimiter, vote_delimiter
 from colweave.functions.text import base_name, estimate_tokens, file_extension
 from colweave.operators import catalog
+from colweave.session import shared_folder
 from colweave.sources import files
 from workloads.standins import RAW_FILES_SQL, raw_files, table
 
@@ -47,6 +50,38 @@ S1 = f"""WITH {RAW_FILES_SQL}
 SELECT request_id, side, file_name, CAST(length(content) AS BIGINT) AS n_chars, md5(content) AS digest FROM raw_files"""
 
 
+def _written_files(spark, sf):
+    """Part names as lines of text files: one folder for each of five groups, all files with the same name."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    part = table(spark, sf, "part")
+    part.select(F.col("p_name").alias("value"), (F.col("p_partkey") % 5).alias("folder")).coalesce(1).write.partitionBy("folder").text(path)
+    return path + "/*"
+
+
+def _folder():
+    return F.regexp_extract("file_path", r"folder=(\d+)", 1).alias("folder")
+
+
+def s1_whole_files(spark, sf):
+    """Files of one name in several folders, each as one text."""
+    found = files.scan_raw_files(spark, _written_files(spark, sf), "source")
+    return found.select(_folder(), F.col("file_name").isNotNull().alias("named"), F.char_length("content").cast("bigint").alias("n_chars"))
+
+
+S1_WHOLE = "SELECT CAST(p_partkey % 5 AS VARCHAR) AS folder, true AS named, CAST(sum(length(p_name) + 1) AS BIGINT) AS n_chars FROM part GROUP BY 1"
+
+
+def s1_file_lines(spark, sf):
+    """The same files line by line, and their first three lines."""
+    lines = files.scan_file_lines(spark, _written_files(spark, sf), "source")
+    heads = files.head_lines(lines, 3).groupBy(_folder()).agg(F.count("*").alias("n_head"))
+    each = lines.groupBy(_folder()).agg(F.count("*").alias("n_lines"), F.sum(F.char_length("line")).cast("bigint").alias("n_chars"))
+    return each.join(heads, "folder")
+
+
+S1_LINES = """SELECT CAST(p_partkey % 5 AS VARCHAR) AS folder, count(*) AS n_lines, CAST(sum(length(p_name)) AS BIGINT) AS n_chars, CAST(least(3, count(*)) AS BIGINT) AS n_head FROM part GROUP BY 1"""
+
+
 def s5_delimited_scan(spark, sf):
     rows = files.scan_delimited(raw_files(spark, sf))
     return rows.select("file_name", F.col("row_no").cast("bigint").alias("row_no"), F.array_join("cells", "¦").alias("cells"))
@@ -304,6 +339,8 @@ def c1_token_estimate(spark, sf):
 C1 = f"WITH {RAW_FILES_SQL} SELECT file_name, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM raw_files"
 
 QUERIES = {
+    "s1_whole_files": (s1_whole_files, S1_WHOLE),
+    "s1_file_lines": (s1_file_lines, S1_LINES),
     "s1_raw_file_scan": (s1_raw_file_scan, S1),
     "s5_delimited_scan": (s5_delimited_scan, S5),
     "s6_quoted_cells": (s6_quoted_cells, S6),

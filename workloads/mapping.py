@@ -418,6 +418,26 @@ def _merged(spark, sf):
     return mapping.merge_duplicates(mapping_items(spark, sf))
 
 
+def k1_result_documents(spark, sf):
+    """Documents of 25 requests; parts are the items of seven of them, the others have none."""
+    part = table(spark, sf, "part")
+    items = part.select(
+        (F.col("p_size") % 7).cast("string").alias("request_id"), F.col("p_partkey").alias("pos"), F.concat(F.lit("t.c"), F.col("p_partkey").cast("string")).alias("target_column"),
+        F.array(F.col("p_type")).alias("source_columns"), F.lit(0.5).alias("confidence_score"), F.lit("exact").alias("match_type"), F.lit(None).cast("string").alias("reasoning"), F.lit(None).cast("string").alias("transformation_rule"),
+    )
+    nothing = F.array().cast("array<string>")
+    results = table(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("string").alias("request_id"), nothing.alias("unmapped_source_columns"), nothing.alias("unmapped_target_columns"), F.lit(0.25).alias("global_confidence"), F.col("n_name").alias("analysis_summary")
+    )
+    documents = exports.result_documents(items, results)
+    return documents.select("request_id", F.char_length("json").cast("bigint").alias("n_chars"), F.md5("json").alias("digest"))
+
+
+K1_DOCUMENTS = """WITH i AS (SELECT p_size % 7 AS r, string_agg('{"target_column":"t.c' || p_partkey || '","source_columns":["' || p_type || '"],"confidence_score":0.5,"match_type":"exact","reasoning":null,"transformation_rule":null}', ',' ORDER BY p_partkey) AS items FROM part GROUP BY 1),
+d AS (SELECT CAST(n_nationkey AS VARCHAR) AS request_id, '{"mappings":[' || coalesce(items, '') || '],"unmapped_source_columns":[],"unmapped_target_columns":[],"global_confidence":0.25,"analysis_summary":"' || n_name || '"}' AS json FROM nation LEFT JOIN i ON r = n_nationkey)
+SELECT request_id, length(json) AS n_chars, md5(json) AS digest FROM d"""
+
+
 def k1_mapping_json(spark, sf):
     """Item objects, read back field by field."""
     text = exports.item_json(_merged(spark, sf))
@@ -528,6 +548,7 @@ QUERIES = {
     "e1_e5_all_edits": (e1_e5_all_edits, E1_E5),
     "e1_e5_long_logs": (e1_e5_long_logs, E1_E5),
     "k1_mapping_json": (k1_mapping_json, K1),
+    "k1_result_documents": (k1_result_documents, K1_DOCUMENTS),
     "k2_mapping_csv": (k2_mapping_csv, K2),
     "k3_sql_text": (k3_sql_text, K3),
     "k3_table_selects": (k3_table_selects, K3_TABLES),

@@ -152,13 +152,17 @@ FROM gs LEFT JOIN n USING (g)"""
 
 
 def s4_n2_reply_scan(spark, sf):
-    """JSON text found in each reply, by length and digest."""
-    found = reply_texts(spark, sf).withColumn("json_text", replies.extract_json(F.col("reply_text")))
-    return found.select("request_id", F.col("json_text").isNotNull().alias("found"), F.left("json_text", F.lit(1)).alias("first"), F.right("json_text", F.lit(1)).alias("last"))
+    """JSON text found in each reply, by length and digest: fenced, between words, bare, or not there."""
+    part = table(spark, sf, "part")
+    json = F.concat(F.lit('{"k":'), F.col("p_partkey").cast("string"), F.lit(',"n":["'), F.col("p_name"), F.lit('",{"t":"}'), F.col("p_type"), F.lit('"}]}')).alias("json")
+    form = F.col("p_partkey") % 4
+    text = F.when(form == 0, F.concat(F.lit("Here:\n```json\n"), json, F.lit("\n```\nbye"))).when(form == 1, F.concat(F.lit("so "), json, F.lit(" done"))).when(form == 2, json).otherwise(F.lit("none"))
+    found = part.select(F.col("p_partkey").cast("string").alias("request_id"), replies.extract_json(text).alias("json_text"))
+    return found.select("request_id", F.char_length("json_text").cast("bigint").alias("n_chars"), F.md5("json_text").alias("digest"))
 
 
-S4 = f"""SELECT CAST(g AS VARCHAR) AS request_id, g % 8 NOT IN (3, 5) AS found, CASE WHEN g % 8 NOT IN (3, 5) THEN '{{' END AS first,
-  CASE WHEN g % 8 NOT IN (3, 5) THEN '}}' END AS last FROM (SELECT DISTINCT p_partkey // {ITEMS_PER_REPLY} AS g FROM part)"""
+S4 = """WITH f AS (SELECT CAST(p_partkey AS VARCHAR) AS request_id, CASE WHEN p_partkey % 4 < 3 THEN '{"k":' || p_partkey || ',"n":["' || p_name || '",{"t":"}' || p_type || '"}]}' END AS t FROM part)
+SELECT request_id, length(t) AS n_chars, md5(t) AS digest FROM f"""
 
 QUERIES = {
     "s4_n2_reply_scan": (s4_n2_reply_scan, S4),

@@ -38,18 +38,25 @@ T1 = f"""WITH {CHUNKS} SELECT request_id, count(*) AS n_chunks, CAST(sum(length(
 FROM c WHERE payload <> '' GROUP BY 1"""
 
 
-def t1_stream_fold(spark, sf):
-    """The same fold as a stream: chunks land in the shared folder, with a late chunk that closes every window."""
+def _streamed(spark, landed, gap="10 minutes"):
+    """Folds of a stream: rows land in the shared folder, with a late one that closes every window."""
     base = f"{shared_folder(spark)}/fold-{uuid.uuid4().hex}"
-    landed = conversation_chunks(spark, sf)
-    closing = spark.range(1).select(
+    closing = landed.limit(1).select(
         F.lit("closing").alias("request_id"), F.lit(0).cast("bigint").alias("seq"), F.lit("token").alias("event_type"), F.lit("x").alias("payload"), F.lit("2100-01-01").cast("timestamp").alias("ts")
     )
-    landed.unionByName(closing).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(landed.schema).parquet(f"{base}/in")
-    chunks.write_folds(chunks.fold_stream(stream), f"{base}/out", f"{base}/checkpoint", available_now=True).awaitTermination()
-    folded = spark.read.parquet(f"{base}/out").filter(F.col("n_chunks") > 0)
-    return _digested(folded)
+    landed.select("request_id", "seq", "event_type", "payload", F.col("ts").cast("timestamp").alias("ts")).unionByName(closing).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+    chunks.write_folds(chunks.fold_stream(stream, gap=gap), f"{base}/out", f"{base}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out").filter("request_id <> 'closing'")
+
+
+def t1_stream_fold(spark, sf):
+    return _digested(_streamed(spark, conversation_chunks(spark, sf)).filter(F.col("n_chunks") > 0))
+
+
+def t2_t4_stream_outcomes(spark, sf):
+    """Outcome and last progress of every request, from a stream of its events."""
+    return _streamed(spark, user_events(spark, sf), gap="3650 days").select("request_id", "outcome", "detail")
 
 
 def user_events(spark, sf):
@@ -90,6 +97,9 @@ def t3_decode_events(spark, sf):
     return decoded.select("request_id", "seq", "event_type", "known", F.try_variant_get("data", "$.k", "bigint").alias("k"), F.try_variant_get("data", "$.token", "string").alias("token"))
 
 
+T2_T4 = f"""WITH {EVENTS} SELECT request_id, coalesce(arg_min(kind, seq) FILTER (WHERE kind IN ('result', 'error')), 'no result') AS outcome,
+  arg_max(props, seq) FILTER (WHERE kind = 'progress') AS detail FROM e GROUP BY 1"""
+
 T3 = """SELECT event_id AS request_id, CAST(0 AS BIGINT) AS seq, 'token' AS event_type, true AS known, CAST(NULL AS BIGINT) AS k, 'a b' AS token FROM events
 UNION ALL SELECT event_id, 2, '', false, NULL, NULL FROM events
 UNION ALL SELECT event_id, 3, CASE event_type WHEN 'purchase' THEN 'result' ELSE event_type END, event_type IN ('purchase', 'error'), CAST(props->>'$.k' AS BIGINT), NULL FROM events"""
@@ -98,6 +108,7 @@ QUERIES = {
     "t1_fold_chunks": (t1_fold_chunks, T1),
     "t1_stream_fold": (t1_stream_fold, T1),
     "t2_request_outcomes": (t2_request_outcomes, T2),
+    "t2_t4_stream_outcomes": (t2_t4_stream_outcomes, T2_T4),
     "t3_decode_events": (t3_decode_events, T3),
     "t4_latest_progress": (t4_latest_progress, T4),
 }
