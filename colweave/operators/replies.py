@@ -145,10 +145,27 @@ def _merge_group(g: Column) -> Column:
 
 
 def merge_items(items: Column) -> Column:
-    """Items with one entry per target, in order of first appearance. Lists without duplicates pass through."""
+    """Items with one entry per target, in order of first appearance. Lists without duplicates pass through.
+
+    Items are sorted by target and cut where the target changes, so a long reply costs its sorting.
+    """
     targets = F.array_distinct(F.transform(items, lambda i: i["target_column"]))
-    groups = F.transform(targets, lambda t: F.filter(items, lambda i: i["target_column"] == t))
-    return F.when(F.size(targets) == F.size(items), items).otherwise(F.transform(groups, _merge_group))
+    keyed = F.array_sort(F.transform(items, lambda i, at: F.struct(i["target_column"].alias("target"), at.alias("at"), i.alias("item"))))
+    # One-element arrays bind a value once; inside a lambda it would be computed for every element.
+    merged = F.transform(F.array(keyed), _merge_sorted)[0]
+    return F.when(F.size(targets) == F.size(items), items).otherwise(merged)
+
+
+def _merge_sorted(keyed: Column) -> Column:
+    changed = lambda s: (s == 1) | (F.element_at(keyed, s)["target"] != F.element_at(keyed, F.greatest(s - 1, F.lit(1)))["target"])
+    starts = F.filter(F.sequence(F.lit(1), F.size(keyed)), changed)
+
+    def cut(begins: Column) -> Column:
+        return F.transform(begins, lambda s, i: F.slice(keyed, s, F.coalesce(F.get(begins, i + 1), F.size(keyed) + 1) - s))
+
+    groups = F.transform(F.array(starts), cut)[0]
+    merged = F.transform(groups, lambda g: F.struct(g[0]["at"].alias("at"), _merge_group(F.transform(g, lambda x: x["item"])).alias("item")))
+    return F.transform(F.array_sort(merged), lambda m: m["item"])
 
 
 def normalize_replies(replies: DataFrame, envelope: bool = False, aliases: bool = False) -> DataFrame:

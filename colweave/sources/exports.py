@@ -166,7 +166,9 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def write_sql(items: DataFrame, path: str) -> None:
-    write_lines(sql_statements(items), path)
+    """One folder for each request, its statements in order over its part files."""
+    ordered = sql_statements(items).orderBy("request_id", "pos")
+    ordered.select("request_id", "value").write.mode("overwrite").partitionBy("request_id").text(path)
 
 
 def write_script(items: DataFrame, path: str) -> None:

@@ -216,7 +216,7 @@ def test_exports_read_back(spark, tmp_path):
     exports.write_json(rows, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 3
     exports.write_sql(rows.filter("pos < 2"), str(tmp_path / "sql"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "sql").glob("part-*")))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "sql" / "request_id=0").glob("part-*")))
     assert text.startswith("-- s.x, s.y -> t.a (derived, 0.9%)\nSELECT concat(x,") and "-- s.z -> t.b (exact, 1%)\nSELECT s.z AS b;" in text
     exports.write_script(rows.filter("pos < 2"), str(tmp_path / "py"))
     script = "".join(p.read_text() for p in sorted((tmp_path / "py").glob("part-*")))
