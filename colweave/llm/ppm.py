@@ -28,7 +28,7 @@ from colweave.llm.common import U64
 ORDER = 5
 END = 10  # a line feed: never part of a word, ends every text and stands before it
 RUN_BYTES = ORDER + 1
-_CHUNK = 1 << 18
+_CHUNK = 1 << 17
 
 
 def stream(found: list[bytes]) -> bytes:
@@ -60,7 +60,36 @@ def runs(parts: list[bytes], marks: np.ndarray) -> np.ndarray:
     return out[:at] | mark
 
 
-def groups_of(docs: list[bytes], limit: int = 4 << 20) -> list[tuple[int, int]]:
+def short_runs(parts: list[bytes]) -> np.ndarray:
+    """Every predicted byte with the two before it, as 24 bits laid out like the longer runs."""
+    buffer = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+    lengths = np.array([len(p) for p in parts], np.int64)
+    keep = np.ones(len(buffer), bool)
+    keep[((np.cumsum(lengths) - lengths)[:, None] + np.arange(ORDER)).ravel()] = False
+    return ((buffer[1:-1] << np.uint32(16)) | (buffer[:-2] << np.uint32(8)) | buffer[2:])[keep[2:]]
+
+
+class Numbers(dict):
+    """Word -> its number in a block, in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
+
+    def ordered(self, shards: int) -> tuple[list[bytes], np.ndarray, list[tuple[int, int, int]]]:
+        """The words by hash, their numbers, and the (shard, from, to) that own them; the same for any order of rows."""
+        words = list(self)
+        hashes = c.WordHashes().of(words)
+        order = np.argsort(hashes)
+        if len(order) and (hashes[order][1:] == hashes[order][:-1]).any():
+            order = np.array(sorted(range(len(words)), key=lambda i: (int(hashes[i]), words[i])))
+        return [words[i] for i in order.tolist()], order, c.by_shard(hashes[order], shards)
+
+
+def groups_of(docs: list, limit: int = 1 << 20) -> list[tuple[int, int]]:
     """Consecutive texts of at most `limit` bytes together (or one longer text), and few enough for 16-bit marks."""
     out, start, size = [], 0, 0
     for i, d in enumerate(docs):
@@ -140,7 +169,7 @@ def _parent(context: np.ndarray, order: int) -> np.ndarray:
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     begins = c.starts_of(keys)
     return keys[begins], np.add.reduceat(counts[order], begins) if len(begins) else counts[:0]
@@ -170,32 +199,31 @@ def summarize(docs: DataFrame, text: str, learned: str, shards: int) -> Shared:
     """
 
     def scan(batches):
-        counts = np.zeros(1 << 24, np.int64)
+        keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
         known, tokens = c.WordHashes(), 0
         words: set[bytes] = set()
         for batch in batches:
-            docs_ = [c.words(t, lower=True) for t, use in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if use]
-            tokens += sum(map(len, docs_)) + len(docs_)
-            for found in docs_:
-                words.update(found)
-            parts = [stream(d) for d in docs_]
-            for a, b in groups_of(parts):
-                key = runs(parts[a:b], np.zeros(b - a, np.int64)) >> U64(16)
-                counts += np.bincount(_shorter(key, ORDER, 2).astype(np.int64), minlength=1 << 24)
+            texts = [t for t, use in zip(batch.column(0), batch.column(1).to_pylist()) if use]
+            for a, b in groups_of([t.as_buffer() or b"" for t in texts]):
+                docs_ = [c.words(t.as_py(), lower=True) for t in texts[a:b]]
+                tokens += sum(map(len, docs_)) + len(docs_)
+                for found in docs_:
+                    words.update(found)
+                low, n = np.unique(short_runs([stream(d) for d in docs_]), return_counts=True)
+                keys, counts = _summed(np.concatenate([keys, low.astype(U64)]), np.concatenate([counts, n]))
             if len(words) > 400_000:
-                yield rows(words, known, np.zeros(0, np.int64), 0)
+                yield rows(words, known, keys[:0], counts[:0], 0)
                 words.clear()
-        yield rows(words, known, counts, tokens)
+        yield rows(words, known, keys, counts, tokens)
 
-    def rows(words, known, counts, tokens):
-        keys = np.flatnonzero(counts)
+    def rows(words, known, keys, counts, tokens):
         ordered = sorted(words)
         owner = (known.of(ordered) % U64(shards)).astype(np.int64)
         order = np.argsort(owner, kind="stable")
         split = np.split(order, c.starts_of(owner[order])[1:]) if ordered else []
         kind = [0] * len(keys) + [1] + [2] * len(split)
         key = [*keys.tolist(), 0, *(int(owner[s[0]]) for s in split)]
-        n = [*counts[keys].tolist(), tokens, *(0 for _ in split)]
+        n = [*counts.tolist(), tokens, *(0 for _ in split)]
         data = [None] * (len(keys) + 1) + [b" ".join(ordered[i] for i in s) for s in split]
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["kind", "key", "n", "data"])
 
@@ -233,44 +261,38 @@ def score(docs: DataFrame, learned: str, doc_id: str = "doc_id", text: str = "te
     def owner_of_runs(keys: np.ndarray) -> np.ndarray:
         return (c.mix(keys >> U64(24)) % U64(blocks)).astype(np.int64)
 
-    def owner_of_words(found: list[bytes], known: c.WordHashes) -> np.ndarray:
-        return (known.of(found) % U64(blocks)).astype(np.int64)
-
     def split(owner: np.ndarray) -> dict[int, np.ndarray]:
         order = np.argsort(owner, kind="stable")
         return {int(owner[part[0]]): part for part in np.split(order, c.starts_of(owner[order])[1:])} if len(owner) else {}
 
-    def distinct_runs(parts: list[bytes], use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct runs of a block and how often the training texts hold each."""
-        made = []
-        for a, b in groups_of(parts):
-            packed = np.sort(runs(parts[a:b], use[a:b]))
-            keys, mark = packed >> U64(16), (packed & U64(1)).astype(np.int64)
-            begins = c.starts_of(keys)
-            made.append((keys[begins], np.add.reduceat(mark, begins)))
-            if len(made) > 8:
-                made = [_summed(np.concatenate([k for k, _ in made]), np.concatenate([n for _, n in made]))]
-        return _summed(np.concatenate([k for k, _ in made]), np.concatenate([n for _, n in made]))
+    def chunks(table: pa.Table):
+        """(from, word lists) of the block's texts, a bounded share of them at a time."""
+        column = table[texts].combine_chunks()
+        for a, b in groups_of([t.as_buffer() or b"" for t in column]):
+            yield a, [c.words(t.as_py(), lower=True) for t in column.slice(a, b - a)]
 
     def ask(table: pa.Table) -> pa.Table:
         use = table["learned"].to_numpy().astype(np.int64)
-        docs_ = [c.words(t.as_py(), lower=True) for t in table[texts]]
-        tally: Counter = Counter()
-        every: set[bytes] = set()
-        for found, u in zip(docs_, use.tolist()):
-            if u:
-                tally.update(found)
-            every.update(found)
-        ordered = sorted(every)
-        times = np.array([tally[w] for w in ordered], np.int64)
-        of_words = split(owner_of_words(ordered, c.WordHashes()))
-        keys, counts = distinct_runs([stream(d) for d in docs_], use)
+        numbers, tally, made = Numbers(), np.zeros(0, np.int64), []
+        for at, docs_ in chunks(table):
+            own = use[at : at + len(docs_)]
+            ids = [numbers.of(found) for found in docs_]
+            grown = np.zeros(len(numbers), np.int64)
+            grown[: len(tally)] = tally
+            tally = grown + np.bincount(np.concatenate([np.zeros(0, np.int32), *(i for i, u in zip(ids, own.tolist()) if u)]), minlength=len(numbers))
+            packed = np.sort(runs([stream(d) for d in docs_], own))
+            keys = packed >> U64(16)
+            begins = c.starts_of(keys)
+            made.append((keys[begins], np.add.reduceat((packed & U64(1)).astype(np.int64), begins)))
+        keys, counts = _summed(np.concatenate([k for k, _ in made]), np.concatenate([n for _, n in made]))
+        words, order, word_parts = numbers.ordered(blocks)
+        times, of_words = tally[order], {shard: (a, b) for shard, a, b in word_parts}
         of_runs = split(owner_of_runs(keys))
         rows = []
         for shard in sorted(of_words.keys() | of_runs.keys()):
-            w, r = of_words.get(shard, []), of_runs.get(shard, np.zeros(0, np.int64))
-            own = np.concatenate([counts[r], times[w] if len(w) else np.zeros(0, np.int64)]).astype(np.uint32)
-            rows.append((shard, keys[r].tobytes(), b" ".join(ordered[i] for i in w), own.tobytes()))
+            (a, b), r = of_words.get(shard, (0, 0)), of_runs.get(shard, np.zeros(0, np.int64))
+            own = np.concatenate([counts[r], times[a:b]]).astype(np.uint32)
+            rows.append((shard, keys[r].tobytes(), b" ".join(words[a:b]), own.tobytes()))
         block = table["block"][0].as_py()
         return pa.table(
             {
@@ -305,34 +327,36 @@ def score(docs: DataFrame, learned: str, doc_id: str = "doc_id", text: str = "te
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         logs = {s: np.frombuffer(x.as_buffer(), np.float32) for s, x in zip(answers["shard"].to_pylist(), answers["logs"])}
         totals = {s: np.frombuffer(x.as_buffer(), np.int64) for s, x in zip(answers["shard"].to_pylist(), answers["totals"])}
-        docs_ = [c.words(t.as_py(), lower=True) for t in table[texts]]
-        ordered = sorted({w for d in docs_ for w in d})
-        count: dict[bytes, int] = {}
-        for shard, at in split(owner_of_words(ordered, c.WordHashes())).items():
-            count.update(zip((ordered[i] for i in at.tolist()), totals[shard].tolist()))
-        parts = [stream(d) for d in docs_]
-        keys, _ = distinct_runs(parts, np.zeros(len(parts), np.int64))
+        numbers, kept = Numbers(), []
+        for _, docs_ in chunks(table):
+            packed = np.sort(runs([stream(d) for d in docs_], np.arange(len(docs_))))
+            keys = packed >> U64(16)
+            begins = c.starts_of(keys)
+            ids = [numbers.of(found) for found in docs_]
+            kept.append((keys[begins], np.diff(np.append(begins, len(keys))), (packed & U64(0xFFFF)).astype(np.uint16), np.concatenate(ids), np.array([len(i) for i in ids])))
+        keys = np.sort(np.concatenate([k[0] for k in kept]))
+        keys = keys[c.starts_of(keys)]
         value = np.zeros(len(keys))
         for shard, at in split(owner_of_runs(keys)).items():
             value[at] = logs[shard]
-        scores = np.zeros(len(parts))
-        for a, b in groups_of(parts):
-            packed = np.sort(runs(parts[a:b], np.arange(b - a)))
-            own = packed >> U64(16)
-            begins = c.starts_of(own)
-            each = np.repeat(value[np.searchsorted(keys, own[begins])], np.diff(np.append(begins, len(own))))
-            scores[a:b] = np.bincount((packed & U64(0xFFFF)).astype(np.int64), each, b - a)
+        _, order, word_parts = numbers.ordered(blocks)
+        count = np.zeros(len(numbers), np.int64)
+        for shard, a, b in word_parts:
+            count[order[a:b]] = totals[shard]
         ends = _ends(held.value)
+        word_log, end_log = np.log10(count + 1), np.log10(ends + 1)
         divisor = np.log10(held.value.tokens + held.value.words + 1)
-        n_tokens, n_known, base_scores = [], [], []
-        for found in docs_:
-            seen = np.fromiter((count[w] for w in found), np.int64, len(found))
-            n_tokens.append(len(found) + 1)
-            n_known.append(int((seen > 0).sum()) + (ends > 0))
-            base_scores.append(float(np.log10(seen + 1).sum() + np.log10(ends + 1) - (len(found) + 1) * divisor))
+        n_tokens, n_known, base_scores, scores = [], [], [], []
+        for own, times, mark, ids, sizes in kept:
+            each = np.repeat(value[np.searchsorted(keys, own)], times)
+            scores += np.bincount(mark, each, len(sizes)).tolist()
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            n_tokens += (sizes + 1).tolist()
+            n_known += (np.bincount(doc, count[ids] > 0, len(sizes)).astype(np.int64) + (ends > 0)).tolist()
+            base_scores += (np.bincount(doc, word_log[ids], len(sizes)) + end_log - (sizes + 1) * divisor).tolist()
         made = {f.name: table[f.name] for f in fields[: len(names)]}
         made |= {"n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64())}
-        made |= {"train_tokens": pa.array([held.value.tokens] * len(parts), pa.int64()), "base_score": pa.array(base_scores, pa.float64()), "score": pa.array(scores, pa.float64())}
+        made |= {"train_tokens": pa.array([held.value.tokens] * len(scores), pa.int64()), "base_score": pa.array(base_scores, pa.float64()), "score": pa.array(scores, pa.float64())}
         return pa.table(made)
 
     fields = [T.StructField(f"c{i}", docs.schema[n].dataType) for i, n in enumerate(names)]
