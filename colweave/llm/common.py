@@ -53,6 +53,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+FILTER_BYTES = 4
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, computed once for each distinct word of a task."""
 
@@ -116,49 +119,50 @@ def in_blocks(docs: DataFrame, doc_id: str, blocks: int) -> DataFrame:
     return docs.withColumn("block", F.pmod(F.xxhash64(doc_id), F.lit(blocks)).cast("int"))
 
 
-KEY_BYTES = 5
-
+def _packed(keys: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of every key."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
-def _packed(keys: np.ndarray) -> bytes:
-    """The low 40 bits of every key. Keys of one shard agree in their remainder as well, so they tell 40 bits more apart."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
 
-
-def _unpacked(data) -> np.ndarray:
-    part = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+def _unpacked(data, width: int) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(-1, width)
     full = np.zeros((len(part), 8), np.uint8)
-    full[:, :KEY_BYTES] = part
+    full[:, :width] = part
     return full.view("<u8").ravel()
 
 
-def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
-    """(shard, positions) of the shards that own some of the keys; positions keep the order of the keys."""
-    owner = ((keys >> U64(40)) * U64(0x9E3779B1) % U64(shards)).astype(np.int64)
-    order = np.argsort(owner, kind="stable")
-    cuts = starts_of(owner[order])
-    return [(int(owner[part[0]]), part) for part in np.split(order, cuts[1:])] if len(keys) else []
+def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of sorted keys; a shard owns a range of the hashes' upper half."""
+    limits = (np.arange(1, shards, dtype=U64) << U64(32)) // U64(shards)
+    cuts = np.concatenate([[0], np.searchsorted(keys >> U64(32), limits), [len(keys)]])
+    return [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
 
 
 PIECES = "block int, shard int, keys binary, counts binary"
 
 
-def pieces_of(block: int, keys: np.ndarray, shards: int) -> pa.Table:
-    """The keys of one block, which may repeat, as distinct keys with counts for each shard."""
-    every, counts = np.unique(keys, return_counts=True)
+def pieces_of(block: int, keys: np.ndarray, shards: int, width: int = 8) -> pa.Table:
+    """The keys of one block, which may repeat, as distinct keys with counts for each shard.
+
+    With a width below 8, keys of a shard that agree in their low bytes are taken for one: enough to filter by.
+    """
+    keys = np.sort(keys)
+    begins = starts_of(keys)
+    every, counts = keys[begins], np.diff(np.append(begins, len(keys)))
     split = by_shard(every, shards)
     return pa.table(
         {
             "block": pa.array([block] * len(split), pa.int32()),
-            "shard": pa.array([s for s, _ in split], pa.int32()),
-            "keys": pa.array([_packed(every[at]) for _, at in split], pa.binary()),
-            "counts": pa.array([np.minimum(counts[at], 255).astype(np.uint8).tobytes() for _, at in split], pa.binary()),
+            "shard": pa.array([s for s, _, _ in split], pa.int32()),
+            "keys": pa.array([_packed(every[a:b], width) for _, a, b in split], pa.binary()),
+            "counts": pa.array([np.minimum(counts[a:b], 255).astype(np.uint8).tobytes() for _, a, b in split], pa.binary()),
         }
     )
 
 
-def _held(table: pa.Table) -> tuple[np.ndarray, list[int]]:
+def _held(table: pa.Table, width: int) -> tuple[np.ndarray, list[int]]:
     """How often each key of a shard's pieces occurs in all of them, and where the pieces end."""
-    parts = [_unpacked(x.as_buffer()) for x in table["keys"]]
+    parts = [_unpacked(x.as_buffer(), width) for x in table["keys"]]
     counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["counts"]])
     every = np.concatenate(parts)
     order = np.argsort(every)
@@ -169,22 +173,22 @@ def _held(table: pa.Table) -> tuple[np.ndarray, list[int]]:
     return held, np.cumsum([len(p) for p in parts])[:-1].tolist()
 
 
-def repeated_keys(pieces: DataFrame) -> DataFrame:
+def repeated_keys(pieces: DataFrame, width: int = 8) -> DataFrame:
     """Pieces -> (block, shard, flags): packed bits, in the order of the keys, of those that occur at least twice."""
 
     def merge(table: pa.Table) -> pa.Table:
-        held, cuts = _held(table)
+        held, cuts = _held(table, width)
         packed = [np.packbits(x > 1).tobytes() for x in np.split(held, cuts)]
         return pa.table({"block": table["block"], "shard": table["shard"], "flags": pa.array(packed, pa.binary())})
 
     return pieces.groupBy("shard").applyInArrow(merge, "block int, shard int, flags binary")
 
 
-def key_ranks(pieces: DataFrame) -> DataFrame:
+def key_ranks(pieces: DataFrame, width: int = 8) -> DataFrame:
     """Pieces -> (block, shard, flags): a byte for each key that grows with the logarithm of its occurrences, 0 for one."""
 
     def merge(table: pa.Table) -> pa.Table:
-        held, cuts = _held(table)
+        held, cuts = _held(table, width)
         rank = np.minimum(255, np.ceil(6 * np.log2(held))).astype(np.uint8)
         return pa.table({"block": table["block"], "shard": table["shard"], "flags": pa.array([x.tobytes() for x in np.split(rank, cuts)], pa.binary())})
 
@@ -193,13 +197,18 @@ def key_ranks(pieces: DataFrame) -> DataFrame:
 
 def answered(keys: np.ndarray, answers: pa.Table, shards: int, bits: bool = True) -> np.ndarray:
     """For each of the block's keys (which may repeat) what its shard says: a flag, or with bits=False its byte."""
-    every = np.unique(keys)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    begins = starts_of(ordered)
+    every = ordered[begins]
     out = np.zeros(len(every), bool if bits else np.uint8)
-    got = {s: f for s, f in zip(answers["shard"].to_pylist(), answers["flags"])}
-    for shard, at in by_shard(every, shards):
+    got = dict(zip(answers["shard"].to_pylist(), answers["flags"]))
+    for shard, a, b in by_shard(every, shards):
         data = np.frombuffer(got[shard].as_buffer(), np.uint8)
-        out[at] = np.unpackbits(data, count=len(at)).astype(bool) if bits else data
-    return out[np.searchsorted(every, keys)]
+        out[a:b] = np.unpackbits(data, count=b - a).view(bool) if bits else data
+    result = np.empty(len(keys), out.dtype)
+    result[order] = np.repeat(out, np.diff(np.append(begins, len(keys))))
+    return result
 
 
 def quoted(name: str) -> Column:

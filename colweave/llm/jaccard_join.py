@@ -4,7 +4,7 @@ A document is the set of its distinct word n-grams. The n-grams are hashed into
 document's point, and two sets overlap in no more n-grams than the sum of their smaller counts. The join goes from coarse
 to fine:
 
-1. Equal sets are one class, represented by its smallest id.
+1. Equal texts are one class, which its smallest id stands for.
 2. Cells: sets of which less than the threshold occurs in any other set fall away. In the others the rarest n-grams, as
    many as a similar set may lack and one more, are cells; similar sets meet in one.
 3. Families: documents connected over cells. No link leaves a family.
@@ -23,7 +23,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colweave.llm import common as c
@@ -130,79 +131,75 @@ def links_within(ids: np.ndarray, stars: np.ndarray, sets: list[np.ndarray], s:
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """All columns, then n_shingles and component_id.
+    """(doc_id, n_shingles, component_id) for every row; other columns are left to the caller to join.
 
     Null texts and texts without words have no n-grams and are linked with nothing, as are rows without an id (whose
-    component is null). Rows that share an id are one document to the links.
+    component is null). Rows that share an id are one node to the links of all their texts.
     """
     s = settings
-    measured = c.with_arrow_columns(docs, [text], {"n_shingles": "bigint", "set_low": "bigint", "set_high": "bigint"}, _fingerprints(s), rows=1024)
-    slim = measured.select(c.quoted(doc_id).cast("bigint").alias("id"), "n_shingles", "set_low", "set_high")
-    slim = c.stored(slim, "sets")
-    same = ["n_shingles", "set_low", "set_high"]
-    classes = slim.where("id is not null and n_shingles > 0").groupBy(*same).agg(F.min("id").alias("representative"))
-    links = _links(docs, doc_id, text, classes.select("representative").distinct(), s)
-    # Copies hang on their class; a repeated id with several texts connects their classes.
-    held = slim.where("id is not null and n_shingles > 0").join(classes, same).select(F.col("id").alias("a"), F.col("representative").alias("b"))
+    digest = F.unhex(F.md5(F.coalesce(c.quoted(text), F.lit("")).cast("binary")))
+    slim = c.stored(docs.select(c.quoted(doc_id).cast("bigint").alias("id"), digest.alias("digest")), "digests")
+    # Equal texts are one class, which its smallest id stands for.
+    classes = slim.groupBy("digest").agg(F.min("id").alias("id"))
+    copies = slim.where("id is not null").join(classes.withColumnRenamed("id", "b"), "digest").select(F.col("id").alias("a"), "b")
+    sizes, links = _links(docs, doc_id, text, digest, classes, s)
     ids = slim.where("id is not null").select("id").distinct()
-    final = c.components(ids, links.union(held), "components").withColumnRenamed("component", "component_id")
-    final = final.withColumnRenamed("id", "component_of")
-    counts = measured.drop("set_low", "set_high")
-    names = [n for n in counts.columns if n.lower() != "component_id"]
-    out = counts.select([c.quoted(n) for n in names]).join(final, c.quoted(doc_id).cast("bigint") == F.col("component_of"), "left")
-    return out.select(*[c.quoted(n) for n in names], "component_id")
+    final = c.components(ids, links.union(copies), "components").withColumnRenamed("component", "component_id")
+    out = slim.join(sizes, "digest", "left").join(final, "id", "left")
+    return out.select(F.col("id").alias(doc_id), F.coalesce("n_shingles", F.lit(0)).cast("bigint").alias("n_shingles"), "component_id")
 
 
-def _fingerprints(s: Settings):
-    def run(columns: list[pa.Array]) -> list[pa.Array]:
-        known, size, low, high = c.WordHashes(), [], [], []
-        for value in columns[0]:
-            found = shingle_set(known.of(c.words(value.as_py(), lower=True)), s.shingle)
-            size.append(len(found))
-            low.append(int(c.mix(found).sum(dtype=U64)))
-            high.append(int(c.mix(found ^ U64(0xA0761D6478BD642F)).sum(dtype=U64)))
-        return [pa.array(size, pa.int64()), *(pa.array(np.array(x, U64).view(np.int64)) for x in (low, high))]
-
-    return run
-
-
-def _links(docs: DataFrame, doc_id: str, text: str, representatives: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): verified links between representatives that connect all that links connect."""
+def _links(docs: DataFrame, doc_id: str, text: str, digest: Column, classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(digest, n_shingles) of the classes with n-grams; (a, b): verified links that connect all that links connect."""
     blocks = c.block_count(docs, text)
-    base = docs.select(c.quoted(doc_id).cast("bigint").alias("id"), c.quoted(text).alias("text"))
+    base = docs.select(c.quoted(doc_id).cast("bigint").alias("id"), c.quoted(text).alias("text"), digest.alias("digest"))
     base = c.in_blocks(base, "id", blocks)
-    chosen = c.in_blocks(representatives.select(F.col("representative").alias("id")), "id", blocks)
-    chosen = chosen.select("block", "id", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("flags"))
+    chosen = c.in_blocks(classes, "id", blocks).select("block", "id", "digest", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("flags"))
 
-    def sets_of(table: pa.Table, side: pa.Table) -> list[tuple[int, np.ndarray]]:
-        wanted = set(side["id"].to_pylist())
+    def sets_of(table: pa.Table, side: pa.Table) -> list[tuple[int | None, bytes, np.ndarray]]:
+        """(id, digest, set) of the block's classes that have n-grams; a class without an id is only measured."""
+        wanted = set(zip(side["id"].to_pylist(), side["digest"].to_pylist()))
         known, out = c.WordHashes(), []
-        for i, t in zip(table["id"].to_pylist(), table["text"]):
-            if i in wanted:
+        for i, d, t in zip(table["id"].to_pylist(), table["digest"].to_pylist(), table["text"]):
+            if (i, d) in wanted:
+                wanted.discard((i, d))
                 found = shingle_set(known.of(c.words(t.as_py(), lower=True)), s.shingle)
                 if len(found):
-                    wanted.discard(i)
-                    out.append((i, found))
+                    out.append((i, d, found))
         return out
 
+    def keys_of(own: list[tuple[int | None, bytes, np.ndarray]]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, U64), *(x for i, _, x in own if i is not None)])
+
     def ask(table: pa.Table, side: pa.Table) -> pa.Table:
-        keys = [x for _, x in sets_of(table, side)]
         block = (table if table.num_rows else side)["block"][0].as_py()
-        return c.pieces_of(block, np.concatenate(keys) if keys else np.zeros(0, U64), blocks)
+        return c.pieces_of(block, keys_of(sets_of(table, side)), blocks, c.FILTER_BYTES)
 
     def survivors(table: pa.Table, side: pa.Table) -> pa.Table:
-        """Sets of which so many n-grams occur elsewhere that another set may be similar."""
-        own = sets_of(table, side)
-        every = np.concatenate([x for _, x in own]) if own else np.zeros(0, U64)
-        again = c.answered(every, side.filter(side["shard"].is_valid()), blocks)
-        cuts = np.cumsum([len(x) for _, x in own])[:-1]
-        kept = [(i, x.tobytes()) for (i, x), keep in zip(own, np.split(again, cuts)) if 100 * int(keep.sum()) >= s.percent * len(x)]
-        return pa.table({"id": pa.array([i for i, _ in kept], pa.int64()), "shingles": pa.array([x for _, x in kept], pa.binary())})
+        """The size of every set, and the sets of which so many n-grams occur elsewhere that another may be similar."""
+        asked = side["shard"].is_valid()
+        own = sets_of(table, side.filter(pa.compute.invert(asked)))
+        again = c.answered(keys_of(own), side.filter(asked), blocks)
+        sets, at = [], 0
+        for i, _, x in own:
+            held = int(again[at : at + len(x)].sum()) if i is not None else 0
+            at += len(x) if i is not None else 0
+            sets.append(x.tobytes() if 100 * held >= s.percent * len(x) else None)
+        return pa.table(
+            {
+                "id": pa.array([i for i, _, _ in own], pa.int64()),
+                "digest": pa.array([d for _, d, _ in own], pa.binary()),
+                "n_shingles": pa.array([len(x) for _, _, x in own], pa.int64()),
+                "shingles": pa.array(sets, pa.binary()),
+            }
+        )
 
     by_block = base.groupBy("block")
-    answers = c.repeated_keys(by_block.cogroup(chosen.groupBy("block")).applyInArrow(ask, c.PIECES))
-    both = chosen.unionByName(answers.select("block", F.lit(None).cast("bigint").alias("id"), "shard", "flags"))
-    sets = c.stored(by_block.cogroup(both.groupBy("block")).applyInArrow(survivors, "id bigint, shingles binary"), "survivors")
+    answers = c.repeated_keys(by_block.cogroup(chosen.groupBy("block")).applyInArrow(ask, c.PIECES), c.FILTER_BYTES)
+    nothing = (F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("binary").alias("digest"))
+    both = chosen.unionByName(answers.select("block", *nothing, "shard", "flags"))
+    measured = c.stored(by_block.cogroup(both.groupBy("block")).applyInArrow(survivors, "id bigint, digest binary, n_shingles bigint, shingles binary"), "sets")
+    sets = measured.where("shingles is not null").select("id", "shingles")
     cells = c.stored(_cells(sets, s), "cells")
     centre = cells.groupBy("cell").agg(F.min("id").alias("centre"))
     meet = cells.join(centre, "cell").where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
@@ -215,7 +212,7 @@ def _links(docs: DataFrame, doc_id: str, text: str, representatives: DataFrame,
     links = _searched(grouped, ["family"], s)
     if not large.isEmpty():
         links = links.union(_large_families(large, sets, s))
-    return c.stored(links, "links")
+    return measured.select("digest", "n_shingles"), c.stored(links, "links")
 
 
 def _cells(sets: DataFrame, s: Settings) -> DataFrame:
@@ -227,7 +224,7 @@ def _cells(sets: DataFrame, s: Settings) -> DataFrame:
         return [np.frombuffer(x.as_buffer(), U64) for x in table["shingles"]]
 
     def ask(table: pa.Table) -> pa.Table:
-        return c.pieces_of(table["block"][0].as_py(), np.concatenate(arrays(table)), blocks)
+        return c.pieces_of(table["block"][0].as_py(), np.concatenate(arrays(table)), blocks, c.FILTER_BYTES)
 
     def place(table: pa.Table, answers: pa.Table) -> pa.Table:
         own = arrays(table)
@@ -236,7 +233,7 @@ def _cells(sets: DataFrame, s: Settings) -> DataFrame:
         ids = np.repeat(table["id"].to_numpy(), [len(k) for k in keys])
         return pa.table({"cell": pa.array(np.concatenate(keys).view(np.int64)), "id": pa.array(ids, pa.int64())})
 
-    answers = c.key_ranks(by_block.applyInArrow(ask, c.PIECES))
+    answers = c.key_ranks(by_block.applyInArrow(ask, c.PIECES), c.FILTER_BYTES)
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(place, "cell bigint, id bigint")
 
 

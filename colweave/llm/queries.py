@@ -82,7 +82,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that links of Jaccard similarity 0.8 or more on five words connect."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return jaccard_join.join(docs).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.join(docs)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

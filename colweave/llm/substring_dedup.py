@@ -84,7 +84,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
     def ask_seeds(table: pa.Table) -> pa.Table:
-        return c.pieces_of(table["block"][0].as_py(), joined([seeds(h, length, anchor)[1] for _, h in hashed(table)]), blocks)
+        return c.pieces_of(table["block"][0].as_py(), joined([seeds(h, length, anchor)[1] for _, h in hashed(table)]), blocks, c.FILTER_BYTES)
 
     def extended(table: pa.Table, answers: pa.Table):
         """Word list, starts and hashes of the extensions, for each document of a block."""
@@ -116,7 +116,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out[name] = pa.array([m[k] for m in made], kind)
         return pa.table(out)
 
-    first = c.stored(c.repeated_keys(base.groupBy("block").applyInArrow(ask_seeds, c.PIECES)), "seeds")
+    first = c.stored(c.repeated_keys(base.groupBy("block").applyInArrow(ask_seeds, c.PIECES), c.FILTER_BYTES), "seeds")
     first = first.withColumn("round", F.lit(1))
     asked = base.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_extensions, c.PIECES)
     second = c.repeated_keys(asked).withColumn("round", F.lit(2))

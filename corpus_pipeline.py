@@ -26,8 +26,8 @@ def _languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of every group of near duplicates; rows without an id belong to no group and stay."""
     ship(tune(spark))
-    grouped = jaccard_join.join(docs)
-    return grouped.where("component_id is null or doc_id = component_id").select(docs.columns)
+    others = jaccard_join.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def _repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
