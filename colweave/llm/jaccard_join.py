@@ -139,18 +139,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings:
     s = settings
     digest = F.unhex(F.md5(F.coalesce(c.quoted(text), F.lit("")).cast("binary")))
     slim = c.stored(docs.select(c.quoted(doc_id).cast("bigint").alias("id"), digest.alias("digest")), "digests")
-    # Equal texts are one class, which its smallest id stands for.
-    classes = slim.groupBy("digest").agg(F.min("id").alias("id"))
-    copies = slim.where("id is not null").join(classes.withColumnRenamed("id", "b"), "digest").select(F.col("id").alias("a"), "b")
-    sizes, links = _links(docs, doc_id, text, digest, classes, s)
+    # Equal texts are one class, which its smallest id stands for; texts without n-grams are none.
+    measured, links = _links(docs, doc_id, text, digest, slim.groupBy("digest").agg(F.min("id").alias("id")), s)
+    copies = slim.where("id is not null").join(measured.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b")
     ids = slim.where("id is not null").select("id").distinct()
     final = c.components(ids, links.union(copies), "components").withColumnRenamed("component", "component_id")
-    out = slim.join(sizes, "digest", "left").join(final, "id", "left")
+    out = slim.join(measured.select("digest", "n_shingles"), "digest", "left").join(final, "id", "left")
     return out.select(F.col("id").alias(doc_id), F.coalesce("n_shingles", F.lit(0)).cast("bigint").alias("n_shingles"), "component_id")
 
 
 def _links(docs: DataFrame, doc_id: str, text: str, digest: Column, classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(digest, n_shingles) of the classes with n-grams; (a, b): verified links that connect all that links connect."""
+    """(digest, id, n_shingles) of the classes with n-grams; (a, b): verified links that connect all that links connect."""
     blocks = c.block_count(docs, text)
     base = docs.select(c.quoted(doc_id).cast("bigint").alias("id"), c.quoted(text).alias("text"), digest.alias("digest"))
     base = c.in_blocks(base, "id", blocks)
@@ -212,7 +211,7 @@ def _links(docs: DataFrame, doc_id: str, text: str, digest: Column, classes: Dat
     links = _searched(grouped, ["family"], s)
     if not large.isEmpty():
         links = links.union(_large_families(large, sets, s))
-    return measured.select("digest", "n_shingles"), c.stored(links, "links")
+    return measured.select("digest", "id", "n_shingles"), c.stored(links, "links")
 
 
 def _cells(sets: DataFrame, s: Settings) -> DataFrame:
