@@ -252,7 +252,8 @@ def _large_families(large: DataFrame, sets: DataFrame, s: Settings) -> DataFrame
         pairs = zip(*([np.frombuffer(x.as_buffer(), U64) for x in column] for column in columns))
         return [pa.array([similar(a, b, s.percent) for a, b in pairs], pa.bool_())]
 
-    open_ = c.stored(large.select("family", "id"), "open")
+    sets = c.stored(sets.join(large.select("id"), "id", "left_semi"), "large-sets")
+    open_, n_open = large.select("family", "id"), large.count()
     stars = []
     for _ in range(s.star_rounds):
         centre = open_.groupBy("family").agg(F.min("id").alias("star"), F.count("*").alias("n")).where(F.col("n") > s.chunk_rows)
@@ -264,6 +265,9 @@ def _large_families(large: DataFrame, sets: DataFrame, s: Settings) -> DataFrame
             break
         stars.append(tested.where("linked").select("family", "id", "star"))
         open_ = c.stored(open_.join(stars[-1].select("id"), "id", "left_anti").select("family", "id"), "open")
+        before, n_open = n_open, open_.count()
+        if n_open > 0.9 * before:
+            break
     # Members without a star have the core NONE; a piece is (core, chunk).
     none = F.lit(-(1 << 63)).cast("bigint")
     members = c.union_all([*[x.withColumn("core", F.col("star")) for x in stars], open_.select("family", "id", F.col("id").alias("star"), none.alias("core"))])
