@@ -30,11 +30,17 @@ HEADLINE = (
     "n13_u3_merge_duplicates",
     "g8_source_tables",
     "e1_e5_all_edits",
+    "e1_e5_long_logs",
+    "m8_coverage",
+    "c13_refine_context",
+    "j6_share_suggestions",
+    "k1_result_documents",
     "l1_session_list",
     "l2_session_payloads",
     "w2_patch_sessions",
     "w4_add_shares",
     "t1_fold_chunks",
+    "t1_stream_fold",
     "t2_request_outcomes",
 )
 
