@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from colweave.llm import common as c
 
 U64 = np.uint64
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -150,7 +151,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings:
 
 def _links(docs: DataFrame, doc_id: str, text: str, digest: Column, classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(digest, id, n_shingles) of the classes with n-grams; (a, b): verified links that connect all that links connect."""
-    blocks = c.block_count(docs, text)
+    blocks = c.block_count(docs, text, BLOCK_BYTES)
     base = docs.select(c.quoted(doc_id).cast("bigint").alias("id"), c.quoted(text).alias("text"), digest.alias("digest"))
     base = c.in_blocks(base, "id", blocks)
     chosen = c.in_blocks(classes, "id", blocks).select("block", "id", "digest", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("flags"))

@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 from colweave.llm import common as c
 
 
+BLOCK_BYTES = 8 << 20
+
+
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     """`pick` (minimum or maximum) of every `width` consecutive values."""
     size = 1
@@ -69,30 +72,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shorter than `length` words lose nothing.
     """
     names = [n for n in docs.columns if n.lower() not in ("n_words", "n_removed", "kept", "spans")]
-    blocks = c.block_count(docs, text)
+    blocks = c.block_count(docs, text, BLOCK_BYTES)
     base = c.in_blocks(docs, doc_id, blocks).select("block", *[c.quoted(n).alias(f"c{i}") for i, n in enumerate(names)])
     texts = f"c{names.index(text)}"
     fields = [T.StructField(f"c{i}", docs.schema[n].dataType) for i, n in enumerate(names)]
 
     def hashed(table: pa.Table):
+        """Word hashes of each text; the words themselves are not kept."""
         known = c.WordHashes()
         for value in table[texts]:
-            found = c.words(value.as_py())
-            yield found, known.of(found)
+            yield known.of(c.words(value.as_py()))
 
     def joined(parts: list[np.ndarray]) -> np.ndarray:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
     def ask_seeds(table: pa.Table) -> pa.Table:
-        return c.pieces_of(table["block"][0].as_py(), joined([seeds(h, length, anchor)[1] for _, h in hashed(table)]), blocks, c.FILTER_BYTES)
+        return c.pieces_of(table["block"][0].as_py(), joined([seeds(h, length, anchor)[1] for h in hashed(table)]), blocks, c.FILTER_BYTES)
 
     def extended(table: pa.Table, answers: pa.Table):
-        """Word list, starts and hashes of the extensions, for each document of a block."""
-        docs_of = [(w, h, *seeds(h, length, anchor)) for w, h in hashed(table)]
-        again = c.answered(joined([x[3] for x in docs_of]), answers, blocks)
-        cuts = np.cumsum([len(x[3]) for x in docs_of])[:-1]
-        for (found, h, at, _), keep in zip(docs_of, np.split(again, cuts)):
-            yield found, *extensions(h, at[keep], length, anchor)
+        """Number of words, starts and hashes of the extensions, for each document of a block."""
+        docs_of = [(h, *seeds(h, length, anchor)) for h in hashed(table)]
+        again = c.answered(joined([x[2] for x in docs_of]), answers, blocks)
+        cuts = np.cumsum([len(x[2]) for x in docs_of])[:-1]
+        for (h, at, _), keep in zip(docs_of, np.split(again, cuts)):
+            yield len(h), *extensions(h, at[keep], length, anchor)
 
     def ask_extensions(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -105,8 +108,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         docs_of = list(extended(table, first))
         again = c.answered(joined([x[2] for x in docs_of]), second, blocks)
         made = []
-        for (found, starts, _), keep in zip(docs_of, np.split(again, np.cumsum([len(x[2]) for x in docs_of])[:-1])):
-            gone = covered(len(found), starts[keep], length)
+        parts = np.split(again, np.cumsum([len(x[2]) for x in docs_of])[:-1])
+        for value, (size, starts, _), keep in zip(table[texts], docs_of, parts):
+            found, gone = c.words(value.as_py()), covered(size, starts[keep], length)
             kept = b" ".join([w for w, x in zip(found, gone.tolist()) if not x]).decode("utf-8", "surrogatepass")
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
             made.append((len(found), int(gone.sum()), kept, [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]))
