@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colweave.llm import decontaminate, jaccard_join, language_id, packing, substring_dedup
-from colweave.llm.common import fold, read_table, scratch
+from colweave.llm.common import fold, read_table, scratch, stored
 from colweave.llm.queries import tokenizer_path
 from colweave.llm.shipping import ship
 from colweave.session import tune
@@ -24,10 +24,26 @@ def _languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every group of near duplicates; rows without an id belong to no group and stay."""
+    """One row of every group of near duplicates, that of the smallest id; texts without words are in no group and stay.
+
+    The join's nodes are (id, text), not ids: rows without an id, or sharing one, are told apart by their texts. A row
+    that repeats id and text is left once.
+    """
     ship(tune(spark))
-    others = jaccard_join.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("node", F.xxhash64("doc_id", "text"))
+    groups = jaccard_join.join(keyed.select("node", "text"), "node").where("n_shingles > 0")
+    groups = groups.groupBy("node").agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    ids = keyed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = stored(groups.join(ids, "node"), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "node"))
+    best = nodes.groupBy("component").agg(first.alias("first")).select("first.node")
+    others = nodes.join(best, "node", "left_anti").select("node")
+    repeated = stored(nodes.where("n > 1").join(best, "node", "left_semi").select("node"), "repeated")
+    if repeated.isEmpty():
+        return keyed.join(others, "node", "left_anti").select(docs.columns)
+    once = keyed.join(repeated, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    left = keyed.join(others.union(repeated), "node", "left_anti").select(docs.columns)
+    return left.unionByName(once.select("row.*"))
 
 
 def _repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

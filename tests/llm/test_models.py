@@ -353,6 +353,27 @@ def test_pipeline_stages_take_effect(spark):
         assert (left.get(r.doc_id) == (kept if gone.any() else r.text)) if kept or not gone.any() else r.doc_id not in left
 
 
+def test_pipeline_keeps_one_row_of_every_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(9)]
+    near = texts[4].rsplit(" ", 1)[0] + " changed"
+    rows = [(1, texts[0]), (1, texts[0])]  # a repeated row
+    rows += [(2, texts[1]), (None, texts[1])]  # a copy without an id
+    rows += [(None, texts[2]), (None, texts[2])]  # copies without an id alone
+    rows += [(3, texts[3]), (7, texts[3]), (7, texts[5])]  # one id, a copy and a text of its own
+    rows += [(8, texts[4]), (None, near), (8, near)]  # near copies sharing an id
+    rows += [(9, texts[6]), (None, texts[7]), (10, texts[8]), (11, texts[8])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = common.stored(dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, SF_DIR), "stage")
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(i or 0 for i, _ in kept) == [0, 0, 1, 2, 3, 7, 8, 9, 10]
+    assert {t if t != near else texts[4] for _, t in kept} == set(texts) and left.columns == docs.columns
+    after = dict(corpus_pipeline.STAGES)["substring_dedup"](spark, left, SF_DIR).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in after) == sorted((i or 0, t) for i, t in kept)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
