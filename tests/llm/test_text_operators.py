@@ -169,6 +169,47 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
         assert {(r.doc_id, r.item_id) for r in rows if r.item_id != 81} == want
 
 
+def brute_leaks(items, text):
+    """The README's definition over the whole document."""
+    words = decontaminate.split_words(text)
+
+    def share(part):
+        width = min(5, len(part))
+        own = {tuple(part[k : k + width]) for k in range(len(part) - width + 1)}
+        held = {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
+        return len(own & held) / len(own)
+
+    out = set()
+    for i, t in items:
+        question, answer = decontaminate.question_and_answer(t)
+        whole = decontaminate.split_words(t)
+        if whole and (share(whole) >= 0.8 or (share(question) >= 0.5 and (not answer or share(answer) >= 0.5))):
+            out.add(i)
+    return out
+
+
+def test_partial_and_separated_leaks_equal_brute_force(spark):
+    rng = random.Random(31)
+    items = [(i, sentence(rng, rng.randint(4, 40), 5000)) for i in range(40)]
+    items += [(100 + i, f"{sentence(rng, rng.randint(6, 40), 5000)}\n{sentence(rng, rng.randint(1, 9), 5000)}") for i in range(40)] + [(200, sentence(rng, 700, 5000))]
+    docs = []
+    for i, t in items:
+        question, answer = decontaminate.question_and_answer(t)
+        far, w = sentence(rng, 900, 5000), decontaminate.split_words(t)
+        docs += [f"{' '.join(question)} {far} {' '.join(answer)}", f"{' '.join(answer)} {far} {' '.join(question)}"]
+        docs += [f"{far} {' '.join(w[: int(len(w) * share)])} x" for share in (0.4, 0.5, 0.62, 0.75, 0.9)]
+        half = len(question) * 5 // 8 + 2
+        docs += [f"{' '.join(question[:half])} {far} {' '.join(answer)}", f"{' '.join(question[: half // 2 + 3])} {far} {' '.join(question[half // 2 :])}", far]
+    docs += [" ".join(items[0][1].split()[:k]) for k in range(6)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    want = {(d, i) for d, t in enumerate(docs) for i in brute_leaks(items, t)}
+    for s in (decontaminate.Settings(), decontaminate.Settings(index_bytes=4000)):
+        rows = decontaminate.find_leaks(frame, decontaminate.build_indexes(benchmark, settings=s)).selectExpr("doc_id", "inline(leaks)").collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == want
+        assert any(r.score < s.threshold for r in rows) and all(0 < r.score < 1 + 1e-9 for r in rows)
+
+
 def test_decontamination_on_odd_rows(spark, odd, none):
     benchmark = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "no id here at all")], "item_id bigint, text string")
     indexes = decontaminate.build_indexes(benchmark)
