@@ -3,12 +3,13 @@
 Centroids come from balanced bisections of a bounded sample. Every vector is indexed in the list of its nearest centroid,
 and boundary vectors in those of a few almost as near. A query walks a neighbour graph of the centroids, which every task
 holds in memory, and takes the lists whose centroids are within a ratio of the nearest one's distance; their vectors are
-compared exactly. Lists above a size are split into parts, so copies of one vector do not meet in one task.
+compared exactly. Queries whose lists hold too few ids take further lists, until they have enough or all. Lists above a size are split into parts, so copies of one vector do not meet in one task.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colweave.llm.common import quoted, with_arrow_columns
+from colweave.llm.common import quoted, starts_of, stored, with_arrow_columns
 
 
 @dataclass(frozen=True)
@@ -145,7 +146,8 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index | None, vec_id:
     """query_id, rank, vec_id, score: the nearest vectors found for each query, its own id left out.
 
     Vectors and queries that are null, zero, of another dimension, or with null or non-finite components take no part.
-    Ties go to the smaller id; rows that share an id count once, with the nearest of their vectors.
+    Ties go to the smaller id; rows that share an id count once, with the nearest of their vectors. A query has fewer than
+    `near` neighbours only if the table has no more ids.
     """
     s, spark = settings, vectors.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -166,16 +168,14 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index | None, vec_id:
         found = [walk(held.value, q, s.search_ratio) for q in unit(_matrix(columns[0], held.value.dimension))]
         return [pa.array(found, pa.list_(pa.int32()))]
 
-    posted = with_arrow_columns(rows, ["v"], {"lists": "array<int>"}, assign).select("id", "v", F.explode("lists").alias("list"))
-    routed = with_arrow_columns(asked, ["v"], {"lists": "array<int>"}, route).select("id", "v", F.explode("lists").alias("list"))
-    # Both sides of a large list are cut into parts; every part of the one meets every part of the other.
-    parts = posted.groupBy("list").agg(F.ceil(F.count("*") / s.part_rows).cast("int").alias("parts"))
-    parts = parts.join(routed.groupBy("list").agg(F.ceil(F.count("*") / s.part_rows).cast("int").alias("sides")), "list")
+    def nearest(lists: int) -> Callable[[list[pa.Array]], list[pa.Array]]:
+        def take(columns: list[pa.Array]) -> list[pa.Array]:
+            order = np.argsort(distances(unit(_matrix(columns[0], held.value.dimension)), held.value.centroids), axis=1, kind="stable")
+            return [pa.array(order[:, :lists].tolist(), pa.list_(pa.int32()))]
+
+        return take
 
-    def placed(frame: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own)
-        both = frame.join(parts, "list").select("id", "v", "list", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
-        return both.select("id", "v", "list", "parts", "sides")
+    posted = with_arrow_columns(rows, ["v"], {"lists": "array<int>"}, assign).select("id", "v", F.explode("lists").alias("list"))
 
     def meet(table: pa.Table, query_table: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
@@ -183,24 +183,55 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index | None, vec_id:
             dimension = held.value.dimension
             own, asking = _matrix(table["v"], dimension), _matrix(query_table["v"], dimension)
             ids = table["id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            own, ids = own[order], ids[order]
+            begins = starts_of(ids)
+            distinct, copies = ids[begins], np.diff(np.append(begins, len(ids)))
             close = unit(own) @ unit(asking).T
             for k, q in enumerate(query_table["id"].to_numpy()):
-                others = np.flatnonzero(ids != q)
-                if not len(others):
+                others = distinct != q
+                if not others.any():
                     continue
-                near = close[others, k]
-                if len(near) > s.near:
-                    others = others[near >= np.partition(near, -s.near)[-s.near] - 1e-9]
-                exact = cosines(own[others], asking[k])
-                best = np.lexsort((ids[others], -exact))[: 2 * s.near]
+                # The bound is that of the best row of each id, so copies of an id do not take the places of others.
+                near = np.maximum.reduceat(close[:, k], begins)
+                least = np.partition(near[others], -s.near)[-s.near] - 1e-9 if others.sum() > s.near else -np.inf
+                rows_near = np.flatnonzero(np.repeat(others, copies) & (close[:, k] >= least))
+                exact = cosines(own[rows_near], asking[k])
+                starts = starts_of(ids[rows_near])
+                found_ids, exact = ids[rows_near][starts], np.maximum.reduceat(exact, starts)
+                best = np.lexsort((found_ids, -exact))[: s.near]
                 out_q += [q] * len(best)
-                out_v += ids[others][best].tolist()
+                out_v += found_ids[best].tolist()
                 out_s += exact[best].tolist()
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
-    keys = ("list", "parts", "sides")
-    found = placed(posted, "parts", "sides").groupBy(*keys).cogroup(placed(routed, "sides", "parts").groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    ranked = found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= s.near)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    def met(asked: DataFrame, router: Callable[[list[pa.Array]], list[pa.Array]]) -> DataFrame:
+        """(query_id, vec_id, score) of the lists that the router gives each query."""
+        routed = with_arrow_columns(asked, ["v"], {"lists": "array<int>"}, router).select("id", "v", F.explode("lists").alias("list"))
+        # Both sides of a large list are cut into parts; every part of the one meets every part of the other.
+        parts = posted.groupBy("list").agg(F.ceil(F.count("*") / s.part_rows).cast("int").alias("parts"))
+        parts = parts.join(routed.groupBy("list").agg(F.ceil(F.count("*") / s.part_rows).cast("int").alias("sides")), "list")
+
+        def placed(frame: DataFrame, own: str, other: str) -> DataFrame:
+            mine = F.pmod(F.xxhash64("id", "v"), F.col(own)).cast("int").alias(own)
+            both = frame.join(parts, "list").select("id", "v", "list", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+            return both.select("id", "v", "list", "parts", "sides")
+
+        keys = ("list", "parts", "sides")
+        both = placed(posted, "parts", "sides").groupBy(*keys).cogroup(placed(routed, "sides", "parts").groupBy(*keys))
+        return both.applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return stored(found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= s.near), "neighbours")
+
+    result, reach, lists = ranked(met(asked, route)), 1, len(index.centroids)
+    while reach < lists:
+        full = result.groupBy("query_id").count().where(F.col("count") >= s.near).select(F.col("query_id").alias("id"))
+        short = asked.join(full, "id", "left_anti")
+        if short.isEmpty():
+            break
+        reach = min(8 * reach, lists)
+        result = ranked(result.drop("rank").unionByName(met(short, nearest(reach))))
+    return result.select("query_id", "rank", "vec_id", "score")

@@ -292,6 +292,35 @@ def test_neighbours_reach_recall_and_break_ties(spark):
     assert hit / every >= 0.9
 
 
+@pytest.mark.parametrize("copies,part_rows", [(2, 2000), (7, 50)])
+def test_neighbours_of_repeated_rows(spark, copies, part_rows):
+    rng = np.random.default_rng(4)
+    data = [(i, rng.normal(size=6).tolist()) for i in range(300)]
+    frame = spark.createDataFrame([r for r in data for _ in range(copies)], "vec_id bigint, embedding array<float>")
+    s = ann.Settings(list_rows=100 * copies, search_ratio=3.0, part_rows=part_rows)
+    rows = ann.search(frame, frame.where("vec_id % 50 = 0"), ann.build(frame, settings=s), settings=s).collect()
+    vectors = np.array([v for _, v in data], np.float32).astype(float)
+    for q in range(0, 300, 50):
+        c = ann.cosines(vectors, vectors[q])
+        c[q] = -2
+        own = sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)
+        assert [(r.rank, r.vec_id) for r in own] == list(enumerate(np.argsort(-c)[:5].tolist(), 1))
+
+
+def test_neighbours_take_further_lists(spark):
+    rng = np.random.default_rng(6)
+    lonely = [1.0] + [0.0] * 7
+    data = [(0, lonely)] * 200 + [(1, [1.0, 0.01] + [0.0] * 6)] * 200 + [(i, [-1.0, *rng.normal(size=7).tolist()]) for i in range(2, 600)]
+    frame = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
+    s = ann.Settings(list_rows=50)
+    index = ann.build(frame, settings=s)
+    rows = ann.search(frame, frame.where("vec_id = 0"), index, settings=s).collect()
+    assert len(index.centroids) > 4 and sorted(r.rank for r in rows) == [1, 2, 3, 4, 5]
+    assert min(rows, key=lambda r: r.rank).vec_id == 1 and len({r.vec_id for r in rows}) == 5
+    few = frame.where("vec_id < 4")
+    assert {r.vec_id for r in ann.search(few, few.where("vec_id = 0"), ann.build(few, settings=s), settings=s).collect()} == {1, 2, 3}
+
+
 def test_neighbours_on_odd_vectors(spark):
     bad = [(50, None), (100, []), (150, [0.0, 0.0]), (200, [1.0, None]), (250, [float("nan"), 1.0]), (300, [float("inf"), 1.0]), (350, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     good = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (400, [2.0, 0.0])]
