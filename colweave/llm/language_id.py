@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colweave.llm.common import starts_of, with_arrow_columns
 
@@ -28,11 +29,11 @@ UNKNOWN = "und"
 class Settings:
     """Bounds of the labelled sample: the automata are broadcast, so their size must not follow the corpus.
 
-    languages: the most frequent ones are learned. sample_docs: labelled documents for each language, taken by a hash of
-    the id. chars_total: letters of all samples together; chars_per_language: of one. Documents are never cut.
+    Every language is learned. sample_docs: labelled documents of one that are looked at, taken by a hash of the id.
+    chars_total: characters of all samples together, divided over the languages; chars_per_language: of one at most.
+    Documents are never cut: those that fit the budget are learned from as a whole, and if none fits, the shortest one.
     """
 
-    languages: int = 64
     sample_docs: int = 300
     chars_per_language: int = 60_000
     chars_total: int = 400_000
@@ -111,33 +112,49 @@ def automaton(language: str, text: np.ndarray, alphabet: int) -> Automaton:
     return Automaton(language, table, float(np.log2(max(2, len(text)))))
 
 
+def fitting(sizes: list[tuple[int, int]], budget: int) -> list[int]:
+    """Keys of (key, size) that fit the budget together, in order; if none fits alone, that of the smallest."""
+    keys, left = [], budget
+    for key, size in sizes:
+        if size <= left:
+            keys.append(key)
+            left -= size
+    return keys or [key for _, key in sorted((size, key) for key, size in sizes)[:1]]
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", settings: Settings = Settings()) -> Model:
     """Learn from the rows that have text and language. The caller leaves out rows that may not be learned from."""
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    order = F.xxhash64(doc_id)
-    common = usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(settings.languages).collect()
-    names = sorted(r[0] for r in common)
-    # A threshold on the hash leaves a few times the sample, so that no task has to rank all rows of a language.
-    keep = F.lit(False)
-    for r in common:
-        share = min(1.0, 4 * settings.sample_docs / r["count"])
-        keep = keep | ((F.col(lang) == r[0]) & (F.pmod(F.xxhash64(doc_id, F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))))
-    ranked = usable.where(keep & (F.length(text) > 0)).select(lang, order.alias("order"), F.col(doc_id).alias("id"))
-    first = Window.partitionBy(lang).orderBy("order", "id")
-    chosen = ranked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= settings.sample_docs)
-    wanted = sorted({r["order"] for r in chosen.select("order").distinct().collect()})
-    share = min(settings.chars_per_language, settings.chars_total // max(1, len(names)))
-    each = max(200, 4 * share // settings.sample_docs)
-    rows = usable.where(order.isin(wanted)).select(lang, order.alias("order"), F.substring(text, 1, each).alias("text")).collect()
+    spark, kind = docs.sparkSession, docs.schema[lang].dataType
+    # Equal texts of a language have one key, so a repeated text is learned from once.
+    labelled = usable.where(F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("order"), F.length(text).alias("size"), F.col(text).alias("text"))
+    counts = {r["lang"]: r for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("order").alias("least")).collect()}
+    names = sorted(counts)
+    if not names:
+        return Model(*letter_classes([], settings.letters), [])
+    # A threshold on the hash leaves a few times the sample, so that no task has to rank all rows of a language; the least
+    # key stays, as copies of few texts could all miss it.
+    shares = [(n, int(min(1.0, 4 * settings.sample_docs / counts[n]["n"]) * (1 << 30)), counts[n]["least"]) for n in names]
+    shares = spark.createDataFrame(shares, T.StructType([T.StructField("lang", kind), T.StructField("share", T.LongType()), T.StructField("least", T.LongType())]))
+    hashed = F.pmod(F.xxhash64("order", F.lit(1)), F.lit(1 << 30))
+    ranked = labelled.join(shares, "lang").where((hashed < F.col("share")) | (F.col("order") == F.col("least")))
+    first = Window.partitionBy("lang").orderBy("order")
+    sizes = ranked.select("lang", "order", "size").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= settings.sample_docs)
+    share = min(settings.chars_per_language, settings.chars_total // len(names))
+    looked: dict[str, list[tuple[int, int]]] = {}
+    for r in sizes.collect():
+        looked.setdefault(r["lang"], []).append((r["order"], r["size"]))
+    wanted = [(n, o) for n in sorted(looked) for o in fitting(sorted(looked[n]), share)]
+    wanted = spark.createDataFrame(wanted, T.StructType([T.StructField("lang", kind), T.StructField("order", T.LongType())]))
+    rows = labelled.join(wanted, ["lang", "order"]).groupBy("lang", "order").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[str]] = {n: [] for n in names}
     for r in sorted(rows, key=lambda r: (r["order"], r["text"])):
-        if r[0] in samples:
-            samples[r[0]].append(r["text"])
+        samples[r["lang"]].append(r["text"])
     classes, alphabet = letter_classes([t for s in samples.values() for t in s], settings.letters)
     automata = []
     for name in names:
         parts = [np.append(codes(t, classes), np.uint8(0)) for t in samples[name]]
-        joined = np.concatenate(parts)[:share] if parts else np.zeros(0, np.uint8)
+        joined = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
         if joined.any():
             automata.append(automaton(name, joined, alphabet))
     return Model(classes, alphabet, automata)

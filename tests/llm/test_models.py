@@ -197,6 +197,29 @@ def test_language_of_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.95
 
 
+def test_languages_are_learned_from_whole_texts(spark):
+    rng = random.Random(14)
+
+    def prose(letters: str, n: int) -> str:
+        return " ".join("".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(n))
+
+    # Pages of one language open with a long header in the letters of the other.
+    docs = [(i, prose("abcdefg", 200) + " " + prose("nopqrst", 400), "xx") for i in range(30)]
+    docs += [(100 + i, prose("abcdefg", 600), "yy") for i in range(30)]
+    model = language_id.train(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
+    asked = spark.createDataFrame([(1, prose("nopqrst", 30)), (2, prose("abcdefg", 30))], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(asked, model).collect()} == {1: "xx", 2: "yy"}
+
+
+def test_every_language_is_learned_and_budgets_hold(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = [(100 * k + i, " ".join([letters[k % 26] + letters[k // 26] * 2] * 30), f"l{k:02d}") for k in range(70) for i in range(2 if k < 60 else 1)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    model = language_id.train(frame)
+    assert [a.language for a in model.automata] == [f"l{k:02d}" for k in range(70)]
+    assert language_id.fitting([(1, 50), (2, 70), (3, 30)], 90) == [1, 3] and language_id.fitting([(1, 50), (2, 40)], 30) == [2]
+
+
 def test_phrases_are_the_longest_matches():
     rng = random.Random(12)
     for _ in range(20):
