@@ -7,7 +7,22 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm import ann, decontaminate, html_extract, jaccard_join, language_id, packing, ppm, substring_dedup, token_counts, toxicity
+from colweave.llm import (
+    ann,
+    centroids,
+    conversations,
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    language_id,
+    oracles,
+    packing,
+    packing_genes,
+    ppm,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from colweave.llm.common import fold, read_table
 from colweave.llm.shipping import ship
 from colweave.session import tune
@@ -92,6 +107,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", F.inline("leaks"))
 
 
+def op11_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in few sequences of 2048 tokens, only longer documents being cut."""
+    return packing_genes.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after ten rounds, with distances and a digest of its centroid."""
+    out = centroids.cluster(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    digest = F.sha2(F.array_join("centroid", ",").cast("binary"), 256).alias("centroid_sha256")
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after planted damage."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damaged(rows), rows)
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over `documents`."""
     import corpus_pipeline
@@ -118,6 +151,9 @@ ALL = (
     op8_language_id,
     op9_ngram_jaccard_join,
     op10_decontamination,
+    op11_genetic_packing,
+    op12_centroid_clustering,
+    op13_conversation_repair,
 )
 
 
@@ -126,5 +162,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL cannot express these operators on whole tables in reasonable time; tests compare them with brute force."""
-    return {}
+    """SQL of the operators that it can express on whole tables; tests compare the others with brute force."""
+    return {"op12_centroid_clustering": oracles.centroid_clustering(), "op13_conversation_repair": oracles.conversation_repair()}
