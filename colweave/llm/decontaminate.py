@@ -1,40 +1,44 @@
-"""Benchmark decontamination: BM25 with block-max WAND over test items, queried by every passage.
-
-Test items are the indexed texts. An item counts as leaked if its question and its answer overlap with the document in runs
-of five words. The runs of every question, answer and whole item are indexed, and a document retrieves the items of which
-it holds as many runs, anywhere in it, as a leak needs; so retrieval excludes nothing that verification accepts.
-
-Leaks are then placed in passages, which are the queries of a BM25 index. A posting holds the BM25 weight of a term in an
-item divided by the item's own total, so a passage that holds all words of an item scores 1 and one threshold serves all
-items. For every passage, all items at the threshold are found; block maxima skip the rest. A leak that no passage holds to
-the threshold, as it is partial or spread over the document, is scored in every passage.
-
-Items are split into entries of at most `entry_words` words, and passages overlap by at least an entry, so each entry that
-a document holds lies whole in one passage.
+"""Benchmark decontamination: BM25 with block-max WAND over test items, queried by every document and passage.
+
+An item counts as leaked if its question and its answer overlap with the document in runs of five words. Items are the
+entries of a BM25 index whose weights are divided by the least weight that an accepted overlap with the item can hold,
+worked out over the lightest runs of question, answer and whole. An accepted overlap then weighs at least 1, so the
+threshold 1 over a document's distinct words excludes nothing that verification accepts. Every document is a query; block
+maxima skip the entries out of reach, and the overlap of question and answer is verified for what is retrieved.
+
+Leaks are then placed in passages, which are the queries of a second index. A posting there holds the BM25 weight of a term
+in an item divided by the item's own total, so a passage that holds all words of an item scores 1 and one threshold serves
+all items. A leak that no passage holds to the threshold, as it is partial or spread over the document, is scored in every
+passage. Long items are split into texts of at most `entry_words` words, and passages overlap by at least as much, so each
+that a document holds lies whole in one passage.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colweave.llm.common import mix, starts_of, with_arrow_columns
+from colweave.llm.common import mix, quoted, rolling, starts_of, stored, union_all, with_arrow_columns
 
 WORD = re.compile(r"\w+")
+BATCH = 512
 LEAKS = "array<struct<item_id:bigint,passage:int,score:double,question_overlap:double,answer_overlap:double>>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """index_bytes bounds the item text of one broadcast index; a larger benchmark is searched in several indexes."""
+    """index_bytes bounds the item text of one broadcast index; a larger benchmark is searched slice by slice."""
 
     k1: float = 1.2
     b: float = 0.75
@@ -69,140 +73,113 @@ def shingles(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
 
 
-class Runs:
-    """The distinct runs of every question, answer and whole item, as hashes of term numbers.
+def run_hashes(ids: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of `width` neighbouring term numbers."""
+    return rolling(mix((ids + 2).astype(np.uint64)), width)
+
+
+class Statistics:
+    """BM25 weights of a text's distinct terms, from the document frequencies of all items."""
+
+    def __init__(self, df: dict[str, int], texts: int, mean_words: float, s: Settings):
+        self.df, self.texts, self.mean_words, self.s = df, texts, mean_words, s
+
+    def weights(self, words: list[str]) -> dict[str, float]:
+        s, tf = self.s, Counter(words)
+        norm = s.k1 * (1 - s.b + s.b * len(words) / self.mean_words)
+        return {t: math.log(1 + (self.texts - self.df[t] + 0.5) / (self.df[t] + 0.5)) * n * (s.k1 + 1) / (n + norm) for t, n in tf.items()}
+
+
+def lightest_runs(weights: np.ndarray, width: int, need: int) -> float:
+    """The least weight that any `need` runs of `width` neighbouring positions cover, each position counted once."""
+    if not need:
+        return 0.0
+    sums = np.concatenate([[0.0], np.cumsum(weights)])
+    far = width + 1
+    # best[j][n]: n runs chosen, the last of them j positions back (width: no overlap any more).
+    best = np.full((far, need + 1), np.inf)
+    best[width, 0] = 0.0
+    for i in range(len(weights) - width + 1):
+        chosen = np.full(need + 1, np.inf)
+        for j in range(1, far):
+            chosen[1:] = np.minimum(chosen[1:], best[j, :-1] + sums[i + width] - sums[i + width - j])
+        best[width] = np.minimum(best[width], best[width - 1])
+        best[2:width] = best[1 : width - 1].copy()
+        if width > 1:
+            best[1] = chosen
+        else:
+            best[width] = np.minimum(best[width], chosen)
+    return float(best[:, need].min())
+
+
+def least_accepted(question: list[str], answer: list[str], whole: list[str], weight: dict[str, float], s: Settings) -> float:
+    """No more than the weight of the distinct words that an accepted overlap with the item holds.
 
-    Part 3 * i is the question of item i, 3 * i + 1 its answer, 3 * i + 2 the whole. Equal hashes of different runs only add
-    items to verify.
+    Every occurrence of a word has an equal part of its weight, so distinct words weigh at least as much as any of their
+    occurrences together.
     """
+    often = Counter(whole)
 
-    def __init__(self, items: list[tuple[int, str]], terms: dict[str, int], s: Settings):
-        self.hash = mix(np.arange(1, len(terms) + 1, dtype=np.uint64))
-        self.factors = mix(np.arange(1, s.shingle + 1, dtype=np.uint64) << np.uint64(32)) | np.uint64(1)
-        self.size = np.zeros(3 * len(items), np.int64)
-        held: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
-        for i, (_, text) in enumerate(items):
-            for kind, part in enumerate((*question_and_answer(text), split_words(text))):
-                if part:
-                    ids, width = np.array([terms[w] for w in part]), min(s.shingle, len(part))
-                    own = np.unique(self.keys(ids, np.arange(len(ids) - width + 1), width))
-                    self.size[3 * i + kind] = len(own)
-                    held[width].append((own, 3 * i + kind))
-        need = np.array([s.part_overlap, s.part_overlap, s.whole_overlap] * len(items))
-        self.need = need * self.size - 1e-9
-        # Width -> (distinct hashes, where the parts of each begin, parts).
-        self.widths = {}
-        for width, parts in held.items():
-            keys = np.concatenate([k for k, _ in parts])
-            of = np.repeat([p for _, p in parts], [len(k) for k, _ in parts])
-            order = np.argsort(keys, kind="stable")
-            begins = starts_of(keys[order])
-            self.widths[width] = keys[order][begins], np.append(begins, len(keys)), of[order]
-
-    def keys(self, ids: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-        total = np.zeros(len(at), np.uint64)
-        for j in range(width):
-            total += self.hash[ids[at + j]] * self.factors[j]
-        return total
-
-    def reached(self, ids: np.ndarray) -> list[int]:
-        """Items of which a document of these term numbers (-1: no item's) holds the runs that a leak needs."""
-        unknown = np.concatenate([[0], np.cumsum(ids < 0)])
-        found = []
-        for width, (known, begins, of) in self.widths.items():
-            if len(ids) < width:
-                continue
-            at = np.flatnonzero(unknown[width:] == unknown[: len(unknown) - width])
-            if not len(at):
-                continue
-            keys = self.keys(ids, at, width)
-            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            place = np.unique(place[known[place] == keys])
-            sizes = begins[place + 1] - begins[place]
-            found.append(of[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins[place], sizes)])
-        if not found:
-            return []
-        parts, counts = np.unique(np.concatenate(found), return_counts=True)
-        parts = parts[counts >= self.need[parts]]
-        item, kind = parts // 3, parts % 3
-        asked = item[kind == 0]
-        asked = asked[(self.size[3 * asked + 1] == 0) | np.isin(asked, item[kind == 1])]
-        return np.union1d(asked, item[kind == 2]).tolist()
+    def least(words: list[str], overlap: float) -> float:
+        width = min(s.shingle, len(words))
+        need = math.ceil(overlap * len(shingles(words, s.shingle)) - 1e-9)
+        return lightest_runs(np.array([weight[w] / often[w] for w in words]), width, need) if words else 0.0
 
+    return min(least(question, s.part_overlap) + least(answer, s.part_overlap), least(whole, s.whole_overlap))
 
-class Index:
+
+class Postings:
     """Postings of terms over entries, ordered by entry, with the largest weight of every block of postings."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], entries: int, mean_words: float, s: Settings):
-        self.s, self.items = s, items
-        self.entry_item: list[int] = []
-        self.item_entry = [0]
-        postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.longest = 1
-        for i, (_, text) in enumerate(items):
-            for part in entries_of(text, s.entry_words):
-                tf, size = Counter(part), len(part)
-                self.longest = max(self.longest, size)
-                norm = s.k1 * (1 - s.b + s.b * size / mean_words)
-                weight = {t: math.log(1 + (entries - df[t] + 0.5) / (df[t] + 0.5)) * n * (s.k1 + 1) / (n + norm) for t, n in tf.items()}
-                total = sum(weight.values())
-                for t, w in weight.items():
-                    postings[t].append((len(self.entry_item), w / total))
-                self.entry_item.append(i)
-            self.item_entry.append(len(self.entry_item))
-        self.terms = {t: k for k, t in enumerate(postings)}
-        self.at = [[e for e, _ in p] for p in postings.values()]
-        self.weight = [[w for _, w in p] for p in postings.values()]
+    def __init__(self, entries: list[dict[int, float]], terms: int, threshold: float, s: Settings):
+        self.size, self.terms, self.threshold = len(entries), terms, threshold
+        self.at: list[list[int]] = [[] for _ in range(terms)]
+        self.weight: list[list[float]] = [[] for _ in range(terms)]
+        for e, weights in enumerate(entries):
+            for t, w in weights.items():
+                self.at[t].append(e)
+                self.weight[t].append(w)
         size = s.postings_block
         self.block_last = [[a[min(i + size, len(a)) - 1] for i in range(0, len(a), size)] for a in self.at]
         self.block_max = [[max(w[i : i + size]) for i in range(0, len(w), size)] for w in self.weight]
-        self.most = [max(w) for w in self.weight]
-        self.runs = Runs(items, self.terms, s)
-        self._split_terms()
+        self.most = [max(w, default=0.0) for w in self.weight]
+        self._split_terms(s.frequent_share * threshold)
 
-    def _split_terms(self) -> None:
+    def _split_terms(self, limit: float) -> None:
         """Leave to WAND's last step the frequent terms, which hold at most a share of the threshold in any entry.
 
-        No entry reaches the threshold without the other, essential terms, so only their postings pick the passages.
+        No entry reaches the threshold without the other, essential terms, so only their postings pick the queries.
         """
-        limit = self.s.frequent_share * self.s.threshold
-        self.frequent = np.zeros(len(self.entry_item))
-        essential = np.ones(len(self.terms), bool)
-        for t, k in sorted(self.terms.items(), key=lambda x: (-len(self.at[x[1]]), len(x[0]), x[0])):
-            after = self.frequent[self.at[k]] + self.weight[k]
+        self.frequent = np.zeros(self.size)
+        essential = np.ones(self.terms, bool)
+        for t in sorted(range(self.terms), key=lambda t: -len(self.at[t])):
+            after = self.frequent[self.at[t]] + self.weight[t]
             if (after <= limit).all():
-                self.frequent[self.at[k]] = after
-                essential[k] = False
+                self.frequent[self.at[t]] = after
+                essential[t] = False
         sizes = np.array([len(a) if e else 0 for a, e in zip(self.at, essential)], np.int64)
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.flat_at = np.array([x for a, e in zip(self.at, essential) if e for x in a], np.int64)
         self.flat_weight = np.array([x for w, e in zip(self.weight, essential) if e for x in w])
 
-    def passages(self, ids: np.ndarray, stride: int) -> np.ndarray:
-        """Passages whose essential terms leave some entry within reach of the threshold; passage k starts at k * stride."""
-        last = max(1, -(-len(ids) // stride) - 1) - 1
-        at = np.flatnonzero(ids >= 0)
-        at = at[self.first[ids[at] + 1] > self.first[ids[at]]]
-        if not len(at):
-            return at
-        half, term = at // stride, ids[at].astype(np.int64)
-        held = np.concatenate([np.minimum(half, last) * len(self.terms) + term, np.clip(half - 1, 0, last) * len(self.terms) + term])
-        held = np.unique(held)
-        passage, term = held // len(self.terms), held % len(self.terms)
+    def within_reach(self, query: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, entry) pairs whose essential terms leave the threshold within reach; (query, term) pairs are distinct."""
         sizes = self.first[term + 1] - self.first[term]
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.first[term], sizes)
-        pair = np.repeat(passage, sizes) * len(self.entry_item) + self.flat_at[inside]
+        pair = np.repeat(query, sizes) * self.size + self.flat_at[inside]
         order = np.argsort(pair)
-        begins = starts_of(pair[order])
-        reached = np.add.reduceat(self.flat_weight[inside][order], begins)
-        pair = pair[order][begins]
-        reached += self.frequent[pair % len(self.entry_item)]
-        return np.unique(pair[reached >= self.s.threshold - 1e-9] // len(self.entry_item))
+        pair = pair[order]
+        begins = starts_of(pair)
+        reached = np.add.reduceat(self.flat_weight[inside][order], begins) if len(begins) else np.zeros(0)
+        pair = pair[begins]
+        reached += self.frequent[pair % max(1, self.size)]
+        pair = pair[reached >= self.threshold - 1e-9]
+        return pair // max(1, self.size), pair % max(1, self.size)
 
     def search(self, terms: list[int]) -> dict[int, float]:
         """Every entry whose weights over the distinct terms reach the threshold, with its score."""
-        least = self.s.threshold - 1e-9
-        cursors = [[self.at[t][0], 0, t] for t in terms]
+        least = self.threshold - 1e-9
+        cursors = [[self.at[t][0], 0, t] for t in terms if self.at[t]]
         found = {}
         while True:
             cursors.sort()
@@ -217,7 +194,7 @@ class Index:
             entry = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == entry:
                 pivot += 1
-            inside, until = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.entry_item)
+            inside, until = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else self.size
             for _, _, t in cursors[: pivot + 1]:
                 block = bisect_left(self.block_last[t], entry)
                 if block < len(self.block_last[t]):
@@ -242,14 +219,77 @@ class Index:
                 moved.append([e, p, t])
             cursors = moved + cursors[pivot + 1 :]
 
-    def best_passages(self, ids: np.ndarray, stride: int) -> dict[int, tuple[float, int]]:
-        """Item -> (score, start) of its best passage, for the items that some passage holds to the threshold."""
+
+class Index:
+    """Two indexes over the same terms: whole items for retrieval, their texts for placing leaks in passages."""
+
+    def __init__(self, items: list[tuple[int | None, str]], df: dict[str, int], texts: int, mean_words: float, s: Settings):
+        self.s, self.items = s, items
+        statistics = Statistics(df, texts, mean_words, s)
+        self.terms: dict[str, int] = {}
+        self.entry_item: list[int] = []
+        self.item_entry = [0]
+        self.longest = 1
+        self.item_terms: list[set[int]] = []
+        self.parts: list[list[tuple[int, frozenset, np.ndarray]]] = []  # question, answer, whole: width, runs, their hashes
+        retrieval, placing = [], []
+        for i, (_, text) in enumerate(items):
+            parts = (*question_and_answer(text), split_words(text))
+            self.item_terms.append({self._number(t) for t in parts[-1]})
+            weight = statistics.weights(parts[-1])
+            least = least_accepted(*parts, weight, s)
+            retrieval.append({self._number(t): w / least for t, w in weight.items()})
+            self.parts.append([(width := min(s.shingle, len(words)), frozenset(shingles(words, s.shingle)), self._hashes(words, width)) for words in parts])
+            for words in entries_of(text, s.entry_words):
+                self.longest = max(self.longest, len(words))
+                weight = statistics.weights(words)
+                total = sum(weight.values())
+                placing.append({self._number(t): w / total for t, w in weight.items()})
+                self.entry_item.append(i)
+            self.item_entry.append(len(self.entry_item))
+        self.retrieval = Postings(retrieval, len(self.terms), 1.0, s)
+        self.placing = Postings(placing, len(self.terms), s.threshold, s)
+        self.at, self.weight, self.search = self.placing.at, self.placing.weight, self.placing.search
+
+    def _number(self, term: str) -> int:
+        return self.terms.setdefault(term, len(self.terms))
+
+    def _hashes(self, words: list[str], width: int) -> np.ndarray:
+        return np.unique(run_hashes(np.array([self._number(t) for t in words], np.int64), width))
+
+    def retrieved(self, ids: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(document, items) for the documents of a batch that retrieve any; ids: term numbers (-1: no item's) of all."""
+        at = np.flatnonzero(ids >= 0)
+        if not len(at):
+            return
+        of = np.searchsorted(begins, at, side="right") - 1
+        held = np.unique(of * len(self.terms) + ids[at])
+        of, term = held // len(self.terms), held % len(self.terms)
+        reached: dict[int, set[int]] = defaultdict(set)
+        for d, i in zip(*(x.tolist() for x in self.retrieval.within_reach(of, term))):
+            reached[d] |= self.item_terms[i]
+        for d, terms in reached.items():
+            low, high = np.searchsorted(of, (d, d + 1))
+            if items := sorted(self.retrieval.search([t for t in term[low:high].tolist() if t in terms])):
+                yield d, items
+
+    def passages(self, ids: np.ndarray, stride: int) -> np.ndarray:
+        """Passages that leave some text within reach of the threshold; passage k starts at k * stride."""
+        last = max(1, -(-len(ids) // stride) - 1) - 1
+        at = np.flatnonzero(ids >= 0)
+        half, term = at // stride, ids[at].astype(np.int64)
+        held = np.concatenate([np.minimum(half, last) * len(self.terms) + term, np.clip(half - 1, 0, last) * len(self.terms) + term])
+        held = np.unique(held)
+        return np.unique(self.placing.within_reach(held // len(self.terms), held % len(self.terms))[0])
+
+    def best_passages(self, ids: np.ndarray, stride: int, items: list[int]) -> dict[int, tuple[float, int]]:
+        """Item -> (score, start) of its best passage, for those of the items that some passage holds to the threshold."""
         best: dict[int, tuple[float, int]] = {}
+        wanted = set().union(*(self.item_terms[i] for i in items))
+        ids = np.where(np.isin(ids, list(wanted)), ids, -1)
         for k in self.passages(ids, stride).tolist():
             a = k * stride
-            terms = np.unique(ids[a : a + 2 * stride])
-            terms = terms[terms >= 0]
-            for entry, score in self.search(terms.tolist()).items():
+            for entry, score in self.search(sorted(wanted.intersection(ids[a : a + 2 * stride].tolist()))).items():
                 i = self.entry_item[entry]
                 if i not in best or score > best[i][0] + 1e-12:
                     best[i] = (score, a)
@@ -274,33 +314,40 @@ class Index:
                     best = (score, a)
         return best
 
-    def leaks(self, words: list[str]) -> list[dict]:
-        """Items leaked into a document of these words, each with its best passage, by item order."""
-        get = self.terms.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-        reached = self.runs.reached(ids)
-        if not reached:
-            return []
-        n, out, accepted = self.s.shingle, [], []
-        inside = {1: set(words)}
-        for i in reached:
-            item_id, text = self.items[i]
-            question, answer = question_and_answer(text)
-            parts = []
-            for part in (question, answer, split_words(text)):
-                own = shingles(part, n)
-                width = min(n, len(part))
-                if width > 1 and width not in inside:
-                    inside[width] = shingles(words, width) if len(words) >= width else set()
-                parts.append((sum((x[0] if width == 1 else x) in inside[width] for x in own) / len(own)) if own else None)
-            asked, answered, whole = parts
+    def leaks(self, words: list[str], ids: np.ndarray, retrieved: list[int]) -> list[dict]:
+        """Those of the retrieved items that a document of these words leaks, each with its best passage, by item order."""
+        accepted = []
+        inside: dict[int, np.ndarray] = {}
+        for i in retrieved:
+            shares = []
+            for width, own, hashes in self.parts[i]:
+                if not own:
+                    shares.append(None)
+                    continue
+                if width not in inside:
+                    inside[width] = run_hashes(ids, width)
+                at = np.flatnonzero(np.isin(inside[width], hashes)).tolist()
+                shares.append(len(own & {tuple(words[p : p + width]) for p in at}) / len(own))
+            asked, answered, whole = shares
             if whole >= self.s.whole_overlap or (asked >= self.s.part_overlap and (answered is None or answered >= self.s.part_overlap)):
-                accepted.append((i, item_id, asked, answered))
+                accepted.append((i, asked, answered))
         stride = max(self.s.least_stride, self.longest)
-        best = self.best_passages(ids, stride) if accepted else {}
-        for i, item_id, asked, answered in accepted:
+        best = self.best_passages(ids, stride, [i for i, _, _ in accepted]) if accepted else {}
+        out = []
+        for i, asked, answered in accepted:
             score, a = best[i] if i in best else self.best_passage(i, ids, stride)
-            out.append({"item_id": item_id, "passage": a, "score": score, "question_overlap": asked, "answer_overlap": answered})
+            out.append({"item_id": self.items[i][0], "passage": a, "score": score, "question_overlap": asked, "answer_overlap": answered})
+        return out
+
+    def leaks_of(self, texts: list[str | None]) -> list[list[dict]]:
+        """Leaks of every text of a batch, whose words are numbered together."""
+        out: list[list[dict]] = [[] for _ in texts]
+        words = [split_words(t) for t in texts]
+        begins = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        numbers = map(self.terms.get, itertools.chain.from_iterable(words), itertools.repeat(-1))
+        ids = np.fromiter(numbers, np.int64, int(begins[-1]))
+        for d, items in self.retrieved(ids, begins):
+            out[d] = self.leaks(words[d], ids[begins[d] : begins[d + 1]], items)
         return out
 
 
@@ -309,54 +356,86 @@ def entries_of(text: str | None, size: int) -> list[list[str]]:
     return [found[i : i + size] for i in range(0, len(found), size)]
 
 
-def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", settings: Settings = Settings()) -> list[Index]:
-    """Indexes of at most `index_bytes` of item text each; term statistics come from all items.
+class Indexes:
+    """The slices of a benchmark, of at most `index_bytes` of item text each; each is built when its turn comes."""
+
+    def __init__(self, items: DataFrame, statistics: DataFrame, slices: int, texts: int, mean_words: float, s: Settings):
+        self.items, self.statistics, self.slices, self.texts, self.mean_words, self.s = items, statistics, slices, texts, mean_words, s
+
+    def __iter__(self) -> Iterator[Index]:
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.slices))
+        for k in range(self.slices):
+            own = self.items.where(part == k)
+            rows = [(r["item_id"], r["text"]) for r in own.collect()]
+            if not rows:
+                continue
+            words = own.select("text").mapInArrow(_distinct_words, "term string").distinct()
+            df = {r["term"]: r["n"] for r in self.statistics.join(words, "term").collect()}
+            yield Index(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), df, self.texts, self.mean_words, self.s)
+
+
+def _distinct_words(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array({w for t in batch.column(0).to_pylist() for w in split_words(t)}, pa.string())], names=["term"])
+
 
-    Items whose text is null or without a word cannot leak and are left out.
+def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", settings: Settings = Settings()) -> Indexes:
+    """The benchmark in slices; term statistics come from all items and are read slice by slice.
+
+    Items whose text is null or without a word cannot leak and are left out. An item without an id keeps its null.
     """
-    spark = items.sparkSession
     usable = items.where(F.col(text).rlike(r"(?U)\w")).select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text"))
     size = usable.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     slices = max(1, -(-size // settings.index_bytes))
 
     def counts(batches):
-        df, entries, total = Counter(), 0, 0
+        df, texts, total = Counter(), 0, 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 for part in entries_of(t, settings.entry_words):
                     df.update(set(part))
-                    entries, total = entries + 1, total + len(part)
-        df[""] = entries
+                    texts, total = texts + 1, total + len(part)
+        df[""] = texts
         df[" "] = total
         yield pa.RecordBatch.from_arrays([pa.array(df.keys(), pa.string()), pa.array(df.values(), pa.int64())], names=["term", "n"])
 
-    terms = usable.select("text").mapInArrow(counts, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    terms = stored(usable.select("text").mapInArrow(counts, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "terms")
     sums = {r["term"]: r["n"] for r in terms.where("term in ('', ' ')").collect()}
-    indexes = []
-    for k in range(slices):
-        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()
-        if not rows:
-            continue
-        own = {t for r in rows for t in split_words(r["text"])}
-        if slices == 1:
-            df = {r["term"]: r["n"] for r in terms.collect()}
-        else:
-            df = {r["term"]: r["n"] for r in terms.join(spark.createDataFrame([(t,) for t in sorted(own)], "term string"), "term").collect()}
-        pairs = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows)
-        indexes.append(Index(pairs, df, sums[""], sums[" "] / sums[""], settings))
-    return indexes
+    texts = sums.get("", 0)
+    return Indexes(usable, terms, slices if texts else 0, texts, sums.get(" ", 0) / max(1, texts), settings)
 
 
-def find_leaks(docs: DataFrame, indexes: list[Index], text: str = "text") -> DataFrame:
-    """Adds `leaks`: the items that each document's whole text leaks, empty for null, empty and clean texts."""
-    held = docs.sparkSession.sparkContext.broadcast(indexes)
+def _with_leaks(docs: DataFrame, index: Index, text: str) -> tuple[DataFrame, Broadcast]:
+    held = docs.sparkSession.sparkContext.broadcast(index)
 
     def scan(columns: list[pa.Array]) -> list[pa.Array]:
-        rows = []
-        for t in columns[0].to_pylist():
-            words = split_words(t)
-            rows.append([leak for index in held.value for leak in index.leaks(words)] if words else [])
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("passage", pa.int32()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-        return [pa.array(rows, kind)]
+        return [pa.array(held.value.leaks_of(columns[0].to_pylist()), kind)]
 
-    return with_arrow_columns(docs, [text], {"leaks": LEAKS}, scan)
+    return with_arrow_columns(docs, [text], {"leaks": LEAKS}, scan, rows=BATCH), held
+
+
+def find_leaks(docs: DataFrame, indexes: Indexes, text: str = "text") -> DataFrame:
+    """Adds `leaks`: the items that each document's whole text leaks, empty for null, empty and clean texts.
+
+    A benchmark of one slice is searched in one pass. With more of them, each slice is broadcast, searched and released
+    before the next is built; what its texts leak is kept by the text's digest and joined at the end.
+    """
+    slices = iter(indexes)
+    first, second = next(slices, None), next(slices, None)
+    names = [c for c in docs.columns if c.lower() != "leaks"]
+    if first is None:
+        return docs.select(*[quoted(c) for c in names], F.array().cast(LEAKS).alias("leaks"))
+    if second is None:
+        return _with_leaks(docs, first, text)[0]
+    texts = docs.select(quoted(text).alias("text")).where("text is not null")
+    found = []
+    for index in itertools.chain([first, second], slices):
+        first = second = None
+        leaking, held = _with_leaks(texts, index, "text")
+        found.append(stored(leaking.where(F.size("leaks") > 0).select(F.md5(F.col("text").cast("binary")).alias("leak_digest"), "leaks").dropDuplicates(["leak_digest"]), "leaks"))
+        held.destroy()
+    sums = union_all(found).groupBy("leak_digest").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    plain = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)], F.md5(quoted(text).cast("binary")).alias("leak_digest"))
+    out = plain.join(sums, "leak_digest", "left")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.coalesce("leaks", F.array().cast(LEAKS)).alias("leaks"))

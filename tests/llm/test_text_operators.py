@@ -1,12 +1,13 @@
 """Substring removal, Jaccard join, decontamination and packing against brute force, and on odd rows."""
 
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import ODD, sentence
+from conftest import ODD, extras_are_kept, sentence
 
 from colweave.llm import common, decontaminate, jaccard_join, packing, substring_dedup
 from colweave.llm.queries import tokenizer_path
@@ -42,6 +43,7 @@ def test_substring_removal_on_odd_rows(odd, none):
     out = substring_dedup.remove_repeats(odd)
     assert "a.b" in out.columns and out.columns.count("kept") == 1
     rows = out.collect()
+    assert extras_are_kept(rows, "kept", "n_words")
     want = brute_kept([t for _, t in ODD], 35)
     assert sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in rows) == sorted((i or -1, n, m) for (i, _), (n, m, _) in zip(ODD, want))
     assert substring_dedup.remove_repeats(none).count() == 0
@@ -210,11 +212,33 @@ def test_partial_and_separated_leaks_equal_brute_force(spark):
         assert any(r.score < s.threshold for r in rows) and all(0 < r.score < 1 + 1e-9 for r in rows)
 
 
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_no_accepted_overlap_weighs_less_than_the_bound(width):
+    rng = random.Random(width)
+    for _ in range(60):
+        weights = np.array([rng.choice([0.0, 0.5, rng.random() * 3]) for _ in range(rng.randint(width, 11))])
+        runs = len(weights) - width + 1
+        for need in range(runs + 1):
+            covers = [{p for r in chosen for p in range(r, r + width)} for chosen in itertools.combinations(range(runs), need)]
+            assert decontaminate.lightest_runs(weights, width, need) == pytest.approx(min(weights[list(c)].sum() for c in covers))
+
+
+def test_an_item_without_an_id_keeps_its_null(spark):
+    items = [(None, "alpha beta gamma delta epsilon zeta"), (-1, "one two three four five six seven")]
+    docs = spark.createDataFrame([(1, items[0][1]), (2, items[1][1])], "doc_id bigint, text string")
+    for s in (decontaminate.Settings(), decontaminate.Settings(index_bytes=20)):
+        indexes = decontaminate.build_indexes(spark.createDataFrame(items, "item_id bigint, text string"), settings=s)
+        rows = decontaminate.find_leaks(docs, indexes).selectExpr("doc_id", "inline(leaks)").collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == {(1, None), (2, -1)}
+
+
 def test_decontamination_on_odd_rows(spark, odd, none):
     benchmark = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "no id here at all")], "item_id bigint, text string")
     indexes = decontaminate.build_indexes(benchmark)
     out = decontaminate.find_leaks(odd, indexes)
-    assert dict(out.dtypes)["leaks"].startswith("array")
+    assert dict(out.dtypes)["leaks"].startswith("array") and extras_are_kept(out.collect(), "leaks")
+    slices = decontaminate.build_indexes(benchmark, settings=decontaminate.Settings(index_bytes=8))
+    assert sorted(map(str, decontaminate.find_leaks(odd, slices).collect())) == sorted(map(str, out.collect())) and slices.slices > 1
     assert sorted(r.doc_id or -1 for r in out.where("size(leaks) > 0").collect()) == [-1, 5, 6, 6]
     assert decontaminate.find_leaks(none, indexes).count() == 0
     assert decontaminate.find_leaks(odd, decontaminate.build_indexes(benchmark.limit(0))).where("size(leaks) > 0").count() == 0
