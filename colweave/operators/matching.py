@@ -1,11 +1,17 @@
 """Deterministic column matching.
 
-A source and a target column are scored by the longest run of consecutive name tokens they share, over the tokens of
-both names, plus a share for equal type families. The best source of every target is found without comparing pairs: all
-runs of a name are keys, each key keeps only the best source that contains it (a minimum, combined on the map side), and
-a target looks up its own runs. For a given run the shortest source name scores highest, so the best source overall
-is always among the ones kept. Work grows with the number of columns, and a token that every column has costs one row
-per map task.
+A source and a target column are scored by their names and type families. Names are alike in three ways, and the largest
+counts: the longest run of consecutive tokens they share, over the tokens of both; the tokens they share in any order, over
+all of theirs, if each has at most one that the other lacks; and their spelling, if one edit (a character changed, added or
+left out) turns one into the other.
+
+The best source of every target is found without comparing pairs. Each way is a set of keys that two names share exactly if
+they are alike in that way: runs; sorted token sets, whole and without one token; spellings, with one character masked or
+left out. A key keeps the best source that has it (a minimum, combined on the map side), and a target looks up its own keys.
+Every key fixes the score of its sources but for their number of tokens, of which the least is best, so the best source
+overall is always among the ones kept. Keys are hashed to 128 bits and sources numbered in order of their names, so the
+minima are numbers; texts are fetched for the winners. Work grows with the number of columns, and a token that every column
+has costs one row for each map task.
 """
 
 from __future__ import annotations
@@ -15,21 +21,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colweave.functions.staging import written
 from colweave.operators.apply import TYPE_ALIASES
 from colweave.operators.catalog import qualified_names
 
 NAME_WEIGHT = 0.8
 TYPE_WEIGHT = 0.2
+ORDER_WEIGHT = 0.95
+SPELLING_WEIGHT = 0.9
+LEAST_RATIO = 0.75
 ANY_FAMILY = "*"
+# Two numbers in one decimal: the first times this, plus the second; scores count in steps of 10**-12.
+PLACE = 1 << 63
+SCORE_STEPS = 10**12
 
 # Declared type names by family.
 TYPE_FAMILIES = {
-    "integer": "int integer bigint smallint tinyint long short",
-    "number": "decimal numeric double float real number",
-    "text": "varchar string text char nvarchar nchar",
-    "date": "date",
-    "timestamp": "timestamp datetime timestamp_ntz",
-    "boolean": "boolean bool",
+    "integer": ("int", "integer", "bigint", "smallint", "tinyint", "long", "short"),
+    "number": ("decimal", "numeric", "double", "float", "real", "number"),
+    "text": ("varchar", "string", "text", "char", "nvarchar", "nchar"),
+    "date": ("date",),
+    "timestamp": ("timestamp", "datetime", "timestamp_ntz"),
+    "boolean": ("boolean", "bool"),
 }
 
 
@@ -43,70 +56,139 @@ def type_family(data_type: Column) -> Column:
     """Family of a declared type, the type itself where it is not known, empty where none is declared."""
     word = F.regexp_extract(F.lower(F.coalesce(data_type, F.lit(""))), r"^\s*(\w*)", 1)
     return reduce(
-        lambda rest, item: F.when(word.isin(*item[1].split()), item[0]).otherwise(rest), TYPE_FAMILIES.items(), word
+        lambda rest, item: F.when(word.isin(*item[1]), item[0]).otherwise(rest), TYPE_FAMILIES.items(), word
     )
 
 
-def token_runs(tokens: Column) -> Column:
-    """All distinct runs of consecutive tokens, as (run, length)."""
-    n = F.size(tokens)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(
-        F.transform(
-            starts,
-            lambda s: F.transform(
-                F.sequence(F.lit(1), n - s + 1),
-                lambda k: F.struct(F.array_join(F.slice(tokens, s, k), " ").alias("run"), k.alias("length")),
-            ),
-        )
-    )
-    return F.array_distinct(runs)
-
-
-def named_columns(catalog: DataFrame, side: str, synonyms: DataFrame | None = None) -> DataFrame:
-    """Distinct columns of one side with their tokens and type family.
+def named_columns(catalog: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """Distinct columns of both sides with an id in order of their names, tokens and type family.
 
-    `synonyms` (name, canonical) replaces whole names, such as dob by birth date, before they are split.
+    `synonyms` (name, canonical) replaces whole names, such as dob by birth date, before they are split. The table is
+    written once; all steps of matching read it.
     """
-    columns = qualified_names(catalog.filter(F.col("side") == side)).select(
-        "request_id", "table_name", "qualified", "data_type", name_tokens(F.col("column_name")).alias("tokens")
-    )
-    columns = columns.dropDuplicates(["request_id", "qualified"])
+    described = F.min(F.struct("table_name", "column_name", "data_type")).alias("c")
+    columns = qualified_names(catalog).groupBy("request_id", "side", "qualified").agg(described)
+    columns = columns.select("request_id", "side", "qualified", "c.table_name", "c.data_type", name_tokens(F.col("c.column_name")).alias("tokens"))
     if synonyms is not None:
         joined = lambda c: F.array_join(name_tokens(F.col(c)), " ")
         known = synonyms.select(joined("name").alias("_name"), name_tokens(F.col("canonical")).alias("_tokens")).dropDuplicates(["_name"])
         columns = columns.withColumn("_name", F.array_join("tokens", " ")).join(known, "_name", "left")
         columns = columns.withColumn("tokens", F.coalesce("_tokens", "tokens")).drop("_name", "_tokens")
-    return columns.withColumn("family", type_family(F.col("data_type")))
+    ordered = columns.withColumn("family", type_family(F.col("data_type"))).orderBy("request_id", "side", "qualified")
+    return written(ordered.withColumn("id", F.monotonically_increasing_id()), "columns")
+
 
+def _counted(n: Column, make) -> Column:
+    """make(i) for i from 1 to n."""
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), make)).otherwise(F.array())
 
-def _keyed_runs(columns: DataFrame) -> DataFrame:
-    """One row per column, run and type key: its own family, and any."""
-    keys = F.explode(F.array("family", F.lit(ANY_FAMILY))).alias("key")
-    return columns.withColumn("n_tokens", F.size("tokens")).select("*", F.inline(token_runs(F.col("tokens")))).select("*", keys)
+
+def _runs(tokens: Column) -> Column:
+    """All runs of consecutive tokens, as (text, tokens)."""
+    n = F.size(tokens)
+    of = lambda s: _counted(n - s + 1, lambda k: F.struct(F.array_join(F.slice(tokens, s, k), " ").alias("text"), k.alias("n")))
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), of))
 
 
-def run_index(sources: DataFrame) -> DataFrame:
-    """Best source per (request, run, type key): the shortest name, then the first by name."""
-    best = F.min(F.struct("n_tokens", "qualified", "table_name", "family", "data_type", F.array_join("tokens", " ").alias("words")))
-    return _keyed_runs(sources).groupBy("request_id", "run", "key").agg(best.alias("source"))
+def _without_one(tokens: Column) -> Column:
+    """A sorted set's texts without one of its tokens, where something is left."""
+    shorter = lambda i: F.array_join(F.concat(F.slice(tokens, F.lit(1), i - 1), F.slice(tokens, i + 1, F.size(tokens))), " ")
+    return F.when(F.size(tokens) > 1, _counted(F.size(tokens), shorter)).otherwise(F.array())
 
 
-def score(length: Column, source_tokens: Column, target_tokens: Column, same_family: Column) -> Column:
-    overlap = length / (source_tokens + target_tokens - length)
-    return F.lit(NAME_WEIGHT) * overlap + F.when(same_family, F.lit(TYPE_WEIGHT)).otherwise(0.0)
+def _edited(word: Column, mark: str) -> Column:
+    """The word with each of its characters replaced by the mark."""
+    return _counted(F.char_length(word), lambda i: F.concat(F.left(word, i - 1), F.lit(mark), F.substring(word, i + 1, F.char_length(word))))
 
 
-def best_matches(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """The best source of every target that shares a token with any source."""
-    looked_up = _keyed_runs(targets).join(run_index(sources), ["request_id", "run", "key"])
-    scored = looked_up.withColumn(
-        "score", score(F.col("length"), F.col("source.n_tokens"), F.col("n_tokens"), F.col("source.family") == F.col("family"))
+def _keys(kind: str, texts: Column, name_score, order=None) -> Column:
+    """Keys of one kind: (kind and text, score of a name that shares it, order among sources)."""
+    return F.transform(
+        texts,
+        lambda t: F.struct(
+            F.concat(F.lit(kind), t["text"] if order is not None else t).alias("text"),
+            (t["n"] if order is not None else F.lit(0)).alias("run"),
+            (name_score if isinstance(name_score, Column) else F.lit(name_score)).cast("double").alias("name_score"),
+            (order if order is not None else F.lit(0)).alias("order"),
+        ),
     )
-    best = F.min(F.struct((-F.col("score")).alias("order"), F.col("source.qualified").alias("name"), F.col("source").alias("source")))
-    return scored.groupBy("request_id", "qualified").agg(best.alias("best")).select(
-        "request_id", "qualified", (-F.col("best.order")).alias("score"), F.col("best.source").alias("source")
+
+
+MASK = "\u0000"
+
+
+def match_keys(tokens: Column, source: bool) -> Column:
+    """Keys that a name offers as a source, or looks up as a target with what sharing them scores."""
+    n, words = F.size(tokens), F.array_sort(F.array_distinct(tokens))
+    spelling = F.array_join(tokens, "")
+    size, long = F.size(words).cast("double"), F.char_length(spelling).cast("double")
+    set_score = lambda shared, every: F.lit(ORDER_WEIGHT) * (shared / every)
+    near = lambda longer: F.lit(SPELLING_WEIGHT) * (1 - 1 / longer)
+    if_long = lambda texts, longer: F.when(1 - 1 / longer >= LEAST_RATIO, F.array_distinct(texts)).otherwise(F.array().cast("array<string>"))
+    whole, fewer = F.array(F.array_join(words, " ")), _without_one(words)
+    masked, left_out = if_long(_edited(spelling, MASK), long), if_long(_edited(spelling, ""), long)
+    runs = _keys("r", F.array_distinct(_runs(tokens)), 0.0, n)
+    if source:
+        kinds = [runs, ("s", whole), ("t", fewer), ("e", F.array(spelling)), ("m", masked), ("d", left_out)]
+        parts = [k if isinstance(k, Column) else _keys(*k, 0.0) for k in kinds]
+    else:
+        parts = [
+            runs,
+            _keys("s", whole, set_score(size, size)),
+            _keys("t", whole, set_score(size, size + 1)),
+            _keys("s", fewer, set_score(size - 1, size)),
+            _keys("t", fewer, set_score(size - 1, size + 1)),
+            _keys("e", F.array(spelling), SPELLING_WEIGHT),
+            _keys("m", masked, near(long)),
+            _keys("d", if_long(F.array(spelling), long + 1), near(long + 1)),
+            _keys("e", left_out, near(long)),
+        ]
+    return F.when(n > 0, F.concat(*parts)).otherwise(F.array().cast("array<struct<text:string,run:int,name_score:double,order:int>>"))
+
+
+def _keyed(columns: DataFrame, source: bool) -> DataFrame:
+    """One row per column, key and type key (its own family, and any); keys as two hashes."""
+    typed = F.explode(F.array(F.lit(ANY_FAMILY), "family")).alias("typed")
+    keyed = columns.select("request_id", "id", F.size("tokens").alias("n_tokens"), "family", F.inline(match_keys(F.col("tokens"), source)))
+    keyed = keyed.select("*", typed)
+    parts = ("request_id", "typed", "text")
+    return keyed.withColumn("h1", F.xxhash64(*parts)).withColumn("h2", F.xxhash64(F.lit(1), *parts))
+
+
+def _pair(first: Column, second: Column) -> Column:
+    """Two whole numbers as one decimal, which sorts like the pair."""
+    return (first.cast("decimal(18,0)") * F.expr(f"{PLACE}BD") + second.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def _first(pair: str) -> Column:
+    return F.expr(f"cast({pair} div {PLACE}BD as bigint)")
+
+
+def _second(pair: str) -> Column:
+    return F.expr(f"cast({pair} % {PLACE}BD as bigint)")
+
+
+def best_ids(named: DataFrame) -> DataFrame:
+    """(id, source_id, score): the best source of every target that is like any; ties go to the first by name."""
+    offered = _keyed(named.filter("side = 'source'"), True)
+    index = offered.groupBy("h1", "h2").agg(F.min(_pair(F.col("order"), F.col("id"))).alias("kept"))
+    wanted = _keyed(named.filter("side = 'target'"), False).select("id", "h1", "h2", "n_tokens", "run", "name_score", (F.col("typed") != ANY_FAMILY).alias("same_family"))
+    found = wanted.join(index, ["h1", "h2"])
+    run = F.col("run").cast("double")
+    overlap = run / (_first("kept") + F.col("n_tokens") - run)
+    score = F.lit(NAME_WEIGHT) * F.when(run > 0, overlap).otherwise(F.col("name_score")) + F.when(F.col("same_family"), F.lit(TYPE_WEIGHT)).otherwise(0.0)
+    distance = F.lit(SCORE_STEPS) - F.round(score * SCORE_STEPS).cast("bigint")
+    best = found.groupBy("id").agg(F.min(_pair(distance, _second("kept"))).alias("best"))
+    return best.select("id", _second("best").alias("source_id"), ((F.lit(SCORE_STEPS) - _first("best")) / F.lit(float(SCORE_STEPS))).alias("score"))
+
+
+def best_matches(named: DataFrame) -> DataFrame:
+    """The targets that are like any source, each with its best source and their score."""
+    sources = named.filter("side = 'source'").select(
+        F.col("id").alias("source_id"), F.struct("qualified", "table_name", "family", "data_type", F.array_join("tokens", " ").alias("words")).alias("source")
     )
+    targets = named.filter("side = 'target'").select("id", "request_id", "qualified", F.col("table_name").alias("target_table"))
+    return best_ids(named).join(sources, "source_id").join(targets, "id").select("request_id", "qualified", "target_table", "score", "source")
 
 
 def spark_type(data_type: Column) -> Column:
@@ -122,13 +204,14 @@ def aligned_tables(matches: DataFrame) -> DataFrame:
     return votes.groupBy("request_id", "target_table").agg(first["source_table"].alias("source_table"))
 
 
-def derived_matches(sources: DataFrame, targets: DataFrame, matches: DataFrame) -> DataFrame:
+def derived_matches(named: DataFrame, matches: DataFrame) -> DataFrame:
     """Targets whose name is made up of several whole source names of the aligned table.
 
     A target has few runs and each names at most one column of the aligned table, so what is gathered per target is
     bounded by its own name.
     """
-    tables = aligned_tables(matches.join(targets.select("request_id", "qualified", F.col("table_name").alias("target_table")), ["request_id", "qualified"]))
+    sources, targets = named.filter("side = 'source'"), named.filter("side = 'target'")
+    tables = aligned_tables(matches)
     n = F.size("tokens")
     spans = F.flatten(
         F.transform(
@@ -160,10 +243,11 @@ def derived_matches(sources: DataFrame, targets: DataFrame, matches: DataFrame)
 
 def match_columns(catalog: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """One mapping item per target column of a catalogue."""
-    sources, targets = named_columns(catalog, "source", synonyms), named_columns(catalog, "target", synonyms)
-    matches = best_matches(sources, targets)
-    derived = derived_matches(sources, targets, matches)
-    joined = targets.join(matches, ["request_id", "qualified"], "left").join(derived, ["request_id", "qualified"], "left")
+    named = named_columns(catalog, synonyms)
+    matches = written(best_matches(named), "matches")
+    derived = derived_matches(named, matches)
+    targets = named.filter("side = 'target'").select("request_id", "qualified", "data_type", "family", "tokens")
+    joined = targets.join(matches.drop("target_table"), ["request_id", "qualified"], "left").join(derived, ["request_id", "qualified"], "left")
 
     matched = F.col("source").isNotNull()
     same_name = F.col("source.words") == F.array_join("tokens", " ")
@@ -187,22 +271,27 @@ def match_columns(catalog: DataFrame, synonyms: DataFrame | None = None) -> Data
         F.when(is_derived, F.col("derived_from")).when(matched, F.array(source)).otherwise(F.array().cast("array<string>")).alias("source_columns"),
         F.coalesce("score", F.lit(0.0)).alias("confidence_score"),
         match_type.alias("match_type"),
-        F.when(is_derived, "name is made up of several source columns").when(matched, F.format_string("shares name tokens with %s", source)).otherwise("no source column shares a name token").alias("reasoning"),
+        F.when(is_derived, "name is made up of several source columns").when(matched, F.format_string("its name is like %s", source)).otherwise("no source column has a name like it").alias("reasoning"),
         rule.alias("transformation_rule"),
     )
 
 
+def _references(items: DataFrame, *targets: Column) -> DataFrame:
+    """(request_id, side, qualified) of the columns that items name, in one pass."""
+    sources = F.transform("source_columns", lambda c: F.struct(F.lit("source").alias("side"), c.alias("qualified")))
+    return items.select("request_id", F.inline(F.concat(sources, *targets)))
+
+
 def unknown_references(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Source and target columns named by items that the catalogue does not have."""
-    sources = items.select("request_id", F.lit("source").alias("side"), F.explode("source_columns").alias("qualified"))
-    targets = items.select("request_id", F.lit("target").alias("side"), F.col("target_column").alias("qualified"))
+    target = F.array(F.struct(F.lit("target").alias("side"), F.col("target_column").alias("qualified")))
     known = qualified_names(catalog).select("request_id", "side", "qualified")
-    return sources.unionByName(targets).distinct().join(known, ["request_id", "side", "qualified"], "left_anti")
+    return _references(items, target).distinct().join(known, ["request_id", "side", "qualified"], "left_anti")
 
 
 def coverage(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Source columns no item uses, and target columns no item fills."""
-    used = items.select("request_id", F.lit("source").alias("side"), F.explode("source_columns").alias("qualified"))
-    filled = items.filter(F.size("source_columns") > 0).select("request_id", F.lit("target").alias("side"), F.col("target_column").alias("qualified"))
+    target = F.array(F.struct(F.lit("target").alias("side"), F.col("target_column").alias("qualified")))
+    filled = F.when(F.size("source_columns") > 0, target).otherwise(F.array().cast("array<struct<side:string,qualified:string>>"))
     known = qualified_names(catalog).select("request_id", "side", "qualified").distinct()
-    return known.join(used.unionByName(filled), ["request_id", "side", "qualified"], "left_anti")
+    return known.join(_references(items, filled), ["request_id", "side", "qualified"], "left_anti")

@@ -140,31 +140,68 @@ def longest_run(a, b):
     return max((k for k in range(1, min(len(a), len(b)) + 1) for i in range(len(a) - k + 1) for j in range(len(b) - k + 1) if a[i : i + k] == b[j : j + k]), default=0)
 
 
-def test_best_match_equals_comparing_all_pairs(spark):
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def name_score(a, b):
+    """The definition, for one pair of token lists."""
+    run = longest_run(a, b)
+    one, two = set(a), set(b)
+    both = len(one & two)
+    sets = 0.95 * both / len(one | two) if both and len(one - two) <= 1 and len(two - one) <= 1 else 0.0
+    x, y = "".join(a), "".join(b)
+    d, longer = edits(x, y), max(len(x), len(y))
+    return max(run / (len(a) + len(b) - run), sets, 0.9 * (1 - d / longer) if d <= 1 and 1 - d / longer >= 0.75 else 0.0)
+
+
+@pytest.mark.parametrize("letters", ["abcde", "ab"])
+def test_best_match_equals_comparing_all_pairs(spark, letters):
     rng = random.Random(5)
-    name = lambda: [rng.choice("abcde") for _ in range(rng.randrange(1, 5))]
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.choice([1, 1, 3, 5])))
+    name = lambda: [word() for _ in range(rng.randrange(1, 5))]
     # One token in most names: a key that nearly every column shares.
-    sides = {s: {f"{s}{i}": (["id"] if rng.random() < 0.7 else []) + name() for i in range(60)} for s in ("s", "t")}
+    sides = {s: {f"{s}{i}": (["id"] if rng.random() < 0.5 else []) + name() for i in range(80)} for s in ("s", "t")}
     types = ["int", "string", "date"]
     typed = {k: rng.choice(types) for side in sides.values() for k in side}
     rows = [("source" if s == "s" else "target", table, "_".join(tokens), typed[table]) for s, side in sides.items() for table, tokens in side.items()]
     c = catalog(spark, *rows)
-    best = matching.best_matches(matching.named_columns(c, "source"), matching.named_columns(c, "target"))
-    got = {r["qualified"]: (r["source"]["qualified"], round(r["score"], 12)) for r in best.collect()}
+    best = matching.best_matches(matching.named_columns(c))
+    got = {r["qualified"]: (r["source"]["qualified"], round(r["score"], 9)) for r in best.collect()}
     expected = {}
     for t, tt in sides["t"].items():
         scored = []
         for s, st in sides["s"].items():
-            k = longest_run(st, tt)
-            if k:
-                scored.append((-(0.8 * (k / (len(st) + len(tt) - k)) + (0.2 if typed[s] == typed[t] else 0.0)), f"{s}.{'_'.join(st)}"))
+            if likeness := name_score(st, tt):
+                scored.append((-round(0.8 * likeness + (0.2 if typed[s] == typed[t] else 0.0), 9), f"{s}.{'_'.join(st)}"))
         if scored:
             score, source = min(scored)
-            expected[f"{t}.{'_'.join(tt)}"] = (source, round(-score, 12))
+            expected[f"{t}.{'_'.join(tt)}"] = (source, -score)
     assert got == expected
     items = matching.match_columns(c)
     assert matching.unknown_references(items, c).count() == 0
-    assert items.count() == 60
+    assert items.count() == 80
+
+
+def test_spelling_and_order_decide(spark):
+    names = lambda side, *names: [(side, side[0], n, "varchar") for n in names]
+    c = catalog(spark, *names("source", "customers", "id_customer_order", "ship_date"), *names("target", "customer", "custmers", "customer_id_order", "shipdate", "x", ""))
+    got = {r["target_column"]: (r["source_columns"], round(r["confidence_score"], 3)) for r in matching.match_columns(c).collect()}
+    assert got["t.customer"] == (["s.customers"], 0.84) and got["t.custmers"] == (["s.customers"], 0.84)
+    assert got["t.customer_id_order"] == (["s.id_customer_order"], 0.96) and got["t.shipdate"] == (["s.ship_date"], 0.92)
+    assert got["t.x"] == ([], 0.0) and len(got) == 6
+
+
+def test_a_type_given_twice_and_an_empty_catalogue(spark):
+    c = catalog(spark, ("source", "s", "a", "int"), ("source", "s", "a", "date"), ("target", "t", "a", None), ("target", "t", "b", "int"))
+    got = {r["target_column"]: (r["source_columns"], r["match_type"]) for r in matching.match_columns(c).collect()}
+    assert got == {"t.a": (["s.a"], "semantic"), "t.b": ([], "incompatible")}
+    assert matching.match_columns(c.limit(0)).count() == 0
 
 
 # --- chunks -------------------------------------------------------------------------------------------------------

@@ -35,7 +35,7 @@ def _first_type(columns):
     return columns.groupBy("request_id", "side", "table_name", "column_name").agg(F.min("data_type").alias("data_type"))
 
 
-CATALOG_SQL = f"""
+_CATALOG = f"""
 p AS (SELECT *, p_partkey // {PARTS_PER_REQUEST} AS r, p_partkey // 20 AS t, string_split(p_name, ' ')[1] AS w1, string_split(p_name, ' ')[2] AS w2 FROM part),
 source AS (SELECT r, 's' || t AS tbl, CASE p_partkey % 5 WHEN 0 THEN w1 WHEN 1 THEN w2 ELSE w1 || '_' || w2 END AS col,
     min((['varchar', 'int', 'date'])[p_size % 3 + 1]) AS ty FROM p GROUP BY ALL),
@@ -44,17 +44,80 @@ target AS (SELECT r, 't' || t AS tbl, CASE p_partkey % 4 WHEN 0 THEN w2 || upper
 fam(ty, family) AS (VALUES ('varchar', 'text'), ('string', 'text'), ('int', 'integer'), ('bigint', 'integer'), ('date', 'date'), ('datetime', 'timestamp')),
 s AS (SELECT r, tbl, tbl || '.' || col AS q, string_split(col, '_') AS tok, ty, family FROM source JOIN fam USING (ty)),
 t AS (SELECT r, tbl, tbl || '.' || col AS q, string_split(regexp_replace(replace(lower(regexp_replace(col, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), ' ', '_'), '_+', '_'), '_') AS tok, ty, family
-      FROM target JOIN fam USING (ty)),
-pairs AS (SELECT t.r, t.q AS tq, s.q AS sq, t.tbl AS tt, s.tbl AS st, s.tok AS s_tok, t.tok AS t_tok, t.ty AS t_ty, s.family = t.family AS same_type, len(s.tok) AS ns, len(t.tok) AS nt,
-    CASE WHEN len(s.tok) = 2 AND contains(' ' || array_to_string(t.tok, ' ') || ' ', ' ' || array_to_string(s.tok, ' ') || ' ') THEN 2
-         WHEN len(list_intersect(s.tok, t.tok)) > 0 THEN 1 ELSE 0 END AS k FROM t JOIN s ON s.r = t.r),
-scored AS (SELECT *, CAST(0.8 AS DOUBLE) * (k / CAST(ns + nt - k AS DOUBLE)) + CASE WHEN same_type THEN CAST(0.2 AS DOUBLE) ELSE 0 END AS score FROM pairs WHERE k > 0),
-best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY r, tq ORDER BY score DESC, sq) = 1)"""
+      FROM target JOIN fam USING (ty)),"""
+
+
+def _runs(tok):
+    return (
+        f"list_distinct(flatten(list_transform(range(1, len({tok}) + 1), lambda i: "
+        f"list_transform(range(i, len({tok}) + 1), lambda j: array_to_string({tok}[i:j], ' ')))))"
+    )
+
+
+# All pairs of a request, scored by the three ways names can be alike.
+PAIRS = f"""
+sx AS (SELECT *, {_runs("tok")} AS runs, list_distinct(tok) AS words, array_to_string(tok, '') AS spelling FROM s),
+tx AS (SELECT *, {_runs("tok")} AS runs, list_distinct(tok) AS words, array_to_string(tok, '') AS spelling FROM t),
+compared AS (SELECT t.r, t.q AS tq, s.q AS sq, t.tbl AS tt, s.tbl AS st, s.tok AS s_tok, t.tok AS t_tok, t.ty AS t_ty, s.family = t.family AS same_type,
+    len(s.tok) AS ns, len(t.tok) AS nt, len(s.words) AS ds, len(t.words) AS dt, len(list_intersect(s.words, t.words)) AS shared,
+    coalesce(list_max(list_transform(list_intersect(s.runs, t.runs), lambda x: len(string_split(x, ' ')))), 0) AS k,
+    levenshtein(s.spelling, t.spelling) AS d, greatest(length(s.spelling), length(t.spelling)) AS longer
+  FROM tx t JOIN sx s ON s.r = t.r),
+named AS (SELECT *, greatest(k / CAST(ns + nt - k AS DOUBLE),
+    CASE WHEN shared > 0 AND ds - shared <= 1 AND dt - shared <= 1 THEN CAST(0.95 AS DOUBLE) * (shared / CAST(ds + dt - shared AS DOUBLE)) ELSE 0 END,
+    CASE WHEN d <= 1 AND 1 - d / CAST(longer AS DOUBLE) >= 0.75 THEN CAST(0.9 AS DOUBLE) * (1 - d / CAST(longer AS DOUBLE)) ELSE 0 END) AS name_score FROM compared),
+scored AS (SELECT *, CAST(0.8 AS DOUBLE) * name_score + CASE WHEN same_type THEN CAST(0.2 AS DOUBLE) ELSE 0 END AS score FROM named WHERE name_score > 0),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY r, tq ORDER BY round(score, 12) DESC, sq) = 1)"""
+CATALOG_SQL = f"{_CATALOG.rstrip().rstrip(',')}, {PAIRS}"
+
+
+def spelled_catalog(spark, sf):
+    """Part names as source columns; as targets the same with other endings, lost or swapped letters, and other orders."""
+    part = table(spark, sf, "part")
+    key = F.col("p_partkey")
+    words = F.split("p_name", " ")
+    w1, w2 = words[0], F.element_at(words, 2)
+    kind = F.lower(F.split("p_type", " ")[0])
+    source_name = (
+        F.when(key % 4 == 0, F.concat(w1, F.lit("s"))).when(key % 4 == 1, F.concat_ws("_", F.lit("id"), w1, kind))
+        .when(key % 4 == 2, F.concat_ws("_", kind, w1, w2)).otherwise(F.concat_ws("_", w1, w2))
+    )
+    target_name = (
+        F.when(key % 6 == 0, w1)
+        .when(key % 6 == 1, F.concat(F.left(w1, F.lit(2)), F.substring(w1, 4, 99)))
+        .when(key % 6 == 2, F.concat_ws("_", w1, kind, F.lit("id")))
+        .when(key % 6 == 3, F.concat_ws(" ", w2, w1, kind))
+        .when(key % 6 == 4, F.concat(w1, F.lit("x"), w2))
+        .otherwise(F.concat_ws("_", w2, F.lit("the"), w1))
+    )
+    columns = ["request_id", "side", "table_name", "column_name", "data_type"]
+    request = F.floor(key / PARTS_PER_REQUEST).cast("string")
+    source = part.select(request, F.lit("source"), F.concat(F.lit("s"), F.floor(key / 20).cast("string")), source_name, F.lit("varchar")).toDF(*columns)
+    target = part.select(request, F.lit("target"), F.concat(F.lit("t"), F.floor(key / 20).cast("string")), target_name, F.lit("string")).toDF(*columns)
+    return _first_type(source.unionByName(target))
+
+
+def m2_spelling_and_order(spark, sf):
+    """Names that differ in spelling or in the order of their words."""
+    return _best(spelled_catalog(spark, sf))
+
+
+M2 = f"""WITH p AS (SELECT *, p_partkey // {PARTS_PER_REQUEST} AS r, p_partkey // 20 AS t, string_split(p_name, ' ')[1] AS w1, string_split(p_name, ' ')[2] AS w2,
+    lower(string_split(p_type, ' ')[1]) AS kind FROM part),
+s AS (SELECT DISTINCT r, 's' || t AS tbl, col, 's' || t || '.' || col AS q, string_split(col, '_') AS tok, 'varchar' AS ty, 'text' AS family FROM (
+    SELECT r, t, CASE p_partkey % 4 WHEN 0 THEN w1 || 's' WHEN 1 THEN 'id_' || w1 || '_' || kind WHEN 2 THEN kind || '_' || w1 || '_' || w2 ELSE w1 || '_' || w2 END AS col FROM p)),
+t AS (SELECT DISTINCT r, 't' || t AS tbl, col, 't' || t || '.' || col AS q, string_split(replace(col, ' ', '_'), '_') AS tok, 'string' AS ty, 'text' AS family FROM (
+    SELECT r, t, CASE p_partkey % 6 WHEN 0 THEN w1 WHEN 1 THEN left(w1, 2) || substring(w1, 4) WHEN 2 THEN w1 || '_' || kind || '_id' WHEN 3 THEN w2 || ' ' || w1 || ' ' || kind
+      WHEN 4 THEN w1 || 'x' || w2 ELSE w2 || '_the_' || w1 END AS col FROM p)), {PAIRS}
+SELECT CAST(r AS VARCHAR) AS request_id, tq AS target_column, sq AS source_column, round(score, 9) AS score FROM best"""
 
 
 def m1_m3_best_match(spark, sf):
-    c = catalog(spark, sf)
-    best = matching.best_matches(matching.named_columns(c, "source"), matching.named_columns(c, "target"))
+    return _best(catalog(spark, sf))
+
+
+def _best(c):
+    best = matching.best_matches(matching.named_columns(c))
     return best.select("request_id", F.col("qualified").alias("target_column"), F.col("source.qualified").alias("source_column"), F.round("score", 9).alias("score"))
 
 
@@ -112,6 +175,7 @@ UNION ALL SELECT CAST(r AS VARCHAR), 'target', target_column FROM items WHERE le
 
 QUERIES = {
     "m1_m3_best_match": (m1_m3_best_match, M1_M3),
+    "m2_spelling_and_order": (m2_spelling_and_order, M2),
     "m4_m6_match_columns": (m4_m6_match_columns, M4_M6),
     "m7_unknown_references": (m7_unknown_references, M7),
     "m8_coverage": (m8_coverage, M8),
