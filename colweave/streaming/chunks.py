@@ -43,6 +43,12 @@ def fold_chunks(chunks: DataFrame) -> DataFrame:
     return parts.groupBy("request_id").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_chars").alias("n_chars"), _joined("text").alias("reply_text"))
 
 
+def complete_replies(events: DataFrame) -> DataFrame:
+    """Whether each request has as many events as sequence numbers from its first to its last."""
+    counted = F.count("*") == F.max("seq") - F.min("seq") + 1
+    return events.groupBy("request_id").agg(counted.alias("complete"))
+
+
 def _first_final() -> Column:
     return F.min(F.when(F.col("event_type").isin(*FINAL_EVENTS), F.struct("seq", "event_type", "payload")))
 
@@ -101,25 +107,64 @@ def event_payloads(decoded: DataFrame) -> DataFrame:
     return decoded.filter("known").select("request_id", "seq", "event_type", payload.alias("payload"))
 
 
-def fold_stream(events: DataFrame, gap: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
-    """Streaming form of the folds: one row per request once it has been quiet for `gap`.
+def _merged_runs(chunks: Column) -> Column:
+    """Chunks with their sequence numbers as texts of runs of consecutive numbers, by first number."""
+    ordered = F.array_sort(chunks)
+    run_of = lambda c, i: c["seq"] - i
+    starts = F.array_distinct(F.transform(ordered, run_of))
+
+    def text(run: Column) -> Column:
+        own = F.filter(ordered, lambda c, i: run_of(c, i) == run)
+        return F.struct(F.element_at(own, 1)["seq"].alias("seq"), F.array_join(F.transform(own, lambda c: c["payload"]), "").alias("payload"))
+
+    return F.array_sort(F.transform(starts, text))
 
-    `events` is a streaming DataFrame (request_id, seq, event_type, payload, ts). The session window and the watermark
-    bound the state to requests still being written. A pause longer than the gap splits a reply, so set the gap above
-    the longest pause expected.
+
+def stream_parts(events: DataFrame, part: str = "1 minute", delay: str = "1 minute") -> DataFrame:
+    """First streaming step: what each request sent in each time window, emitted when the watermark passes its end.
+
+    The state holds the chunks of windows still open, whatever the length of a reply. Chunks later than the watermark are
+    left out; counts of what arrived show it later.
     """
     token = (F.col("event_type") == "token") & (F.coalesce("payload", F.lit("")) != "")
-    chunk = F.when(token, F.struct("seq", "payload"))
-    progress = F.when(F.col("event_type") == "progress", F.struct("seq", "payload"))
-    folded = (
+    parts = (
         events.withWatermark("ts", delay)
-        .groupBy("request_id", F.session_window("ts", gap).alias("session"))
+        .groupBy("request_id", F.window("ts", part).alias("part"))
         .agg(
+            F.count("*").alias("n_events"),
+            F.min("seq").alias("first_seq"),
+            F.max("seq").alias("last_seq"),
             F.count_if(token).alias("n_chunks"),
             F.coalesce(F.sum(F.when(token, utf16_length(F.col("payload")))), F.lit(0)).cast("bigint").alias("n_chars"),
-            F.array_sort(F.collect_list(chunk)).alias("chunks"),
+            F.collect_list(F.when(token, F.struct("seq", "payload"))).alias("chunks"),
             _first_final().alias("final"),
-            F.max(progress).alias("progress"),
+            F.max(F.when(F.col("event_type") == "progress", F.struct("seq", "payload"))).alias("progress"),
+        )
+    )
+    return parts.withColumn("runs", _merged_runs(F.col("chunks"))).withColumn("at", F.window_time("part")).drop("chunks")
+
+
+def fold_stream(events: DataFrame, gap: str = "10 minutes", delay: str = "1 minute", part: str = "1 minute") -> DataFrame:
+    """Streaming form of the folds: one row per request once it has been quiet for `gap`.
+
+    `events` is a streaming DataFrame (request_id, seq, event_type, payload, ts). Two stateful steps follow each other:
+    chunks to parts by time window, parts to requests by session. A part is a few texts of consecutive chunks, so chunks
+    that arrive out of order are put in place across parts, and the state of a request holds its parts. A pause longer
+    than the gap splits a reply, so set the gap above the longest pause expected.
+
+    `complete` says whether as many events arrived as there are sequence numbers from the first to the last: a reply that
+    lost a chunk, or has one twice, is not.
+    """
+    folded = (
+        stream_parts(events, part, delay)
+        .groupBy("request_id", F.session_window("at", gap).alias("session"))
+        .agg(
+            F.sum("n_chunks").alias("n_chunks"),
+            F.sum("n_chars").alias("n_chars"),
+            (F.sum("n_events") == F.max("last_seq") - F.min("first_seq") + 1).alias("complete"),
+            F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
+            F.min("final").alias("final"),
+            F.max("progress").alias("progress"),
         )
     )
     return folded.select(
@@ -128,8 +173,38 @@ def fold_stream(events: DataFrame, gap: str = "10 minutes", delay: str = "1 minu
         F.col("session.end").alias("closed"),
         "n_chunks",
         "n_chars",
-        F.array_join(F.transform("chunks", lambda c: c["payload"]), "").alias("reply_text"),
+        "complete",
+        F.array_join(F.transform("runs", lambda c: c["payload"]), "").alias("reply_text"),
+        F.coalesce("final.event_type", F.lit(NO_RESULT)).alias("outcome"),
+        F.col("progress.payload").alias("detail"),
+    )
+
+
+def early_outcomes(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Streaming outcomes at once: a request leaves with the first result or error that arrives.
+
+    The state holds ids of ended requests for the delay, within which the same request is not reported again; neither
+    tokens nor progress reach it.
+    """
+    final = events.filter(F.col("event_type").isin(*FINAL_EVENTS)).withWatermark("ts", delay)
+    return final.dropDuplicatesWithinWatermark(["request_id"]).select("request_id", F.col("event_type").alias("outcome"), "payload", "ts")
+
+
+def outcome_stream(events: DataFrame, gap: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
+    """Outcome and last progress of each request once it has been quiet for `gap`, also of those without a result.
+
+    Token texts are dropped before the state, which holds one final and one progress event for each open request.
+    """
+    kind = F.col("event_type")
+    slim = events.select("request_id", "seq", "event_type", F.when(kind != "token", F.col("payload")).alias("payload"), "ts")
+    folded = slim.withWatermark("ts", delay).groupBy("request_id", F.session_window("ts", gap).alias("session")).agg(
+        _first_final().alias("final"), F.max(F.when(kind == "progress", F.struct("seq", "payload"))).alias("progress")
+    )
+    return folded.select(
+        "request_id",
+        F.col("session.start").alias("started"),
         F.coalesce("final.event_type", F.lit(NO_RESULT)).alias("outcome"),
+        F.col("final.payload").alias("payload"),
         F.col("progress.payload").alias("detail"),
     )
 

@@ -238,6 +238,60 @@ def test_stream_equals_batch(spark, tmp_path):
         assert s["outcome"] == outcomes[key] and s["detail"] == progress.get(key)
 
 
+def streamed(spark, tmp_path, tables, fold):
+    """Rows of a fold over tables that arrive one after the other."""
+    for rows in tables:
+        spark.createDataFrame(rows, CHUNK).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(CHUNK).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = chunks.write_folds(fold(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint"), available_now=True)
+    query.awaitTermination()
+    return {r["request_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}, query
+
+
+def at(minutes):
+    return T0 + dt.timedelta(minutes=minutes)
+
+
+def test_chunks_out_of_order_are_put_in_place_and_lost_ones_show(spark, tmp_path):
+    token = lambda r, seq, minute: (r, seq, "token", f"{r}{seq} ", at(minute))
+    first = [token("a", 4, 1), token("a", 1, 3), token("b", 2, 1), ("c", 1, "token", "", at(1)), token("d", 1, 1), token("d", 1, 1)]
+    second = [token("a", 3, 0), token("a", 2, 4), token("b", 1, 1), ("c", 2, "result", "{}", at(2)), token("e", 1, 1), token("e", 3, 1)]
+    markers = [[("m", 0, "token", "x", at(10_000))], [("m", 1, "token", "x", at(10_001))]]
+    late = [token("e", 2, 1)]
+    closing = [("closing", 0, "token", "x", at(90_000))]
+    fold = lambda s: chunks.fold_stream(s, gap="20 minutes", delay="30 minutes")
+    rows, _ = streamed(spark, tmp_path, [first, second, *markers, late, closing], fold)
+    got = {k: (r["n_chunks"], r["reply_text"], r["complete"]) for k, r in rows.items() if k in "abcde"}
+    assert got == {"a": (4, "a1 a2 a3 a4 ", True), "b": (2, "b1 b2 ", True), "c": (0, "", True), "d": (2, "d1 d1 ", False), "e": (2, "e1 e3 ", False)}
+    assert rows["c"]["outcome"] == "result"
+
+
+def test_outcomes_leave_at_once_and_tokens_are_not_kept(spark, tmp_path):
+    first = [("a", 1, "token", "t", at(0)), ("a", 2, "result", "{1}", at(1)), ("b", 1, "progress", "p", at(1))]
+    again = [("a", 2, "result", "{1}", at(1)), ("a", 3, "error", "late", at(2)), ("b", 2, "error", "e", at(2))]
+    rows, query = streamed(spark, tmp_path, [first, again], chunks.early_outcomes)
+    assert {k: (r["outcome"], r["payload"]) for k, r in rows.items()} == {"a": ("result", "{1}"), "b": ("error", "e")}
+    state = query.lastProgress["stateOperators"]
+    assert len(state) == 1 and state[0]["numRowsTotal"] <= 2
+    plan = chunks.outcome_stream(spark.createDataFrame(first, CHUNK))
+    assert "CASE WHEN NOT (event_type" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_outcome_stream_equals_batch(spark, tmp_path):
+    batch, rows = events(spark)
+    closing = [("closing", 0, "token", "x", T0 + dt.timedelta(days=9))]
+    got, _ = streamed(spark, tmp_path, [rows, closing], chunks.outcome_stream)
+    assert {k: (r["outcome"], r["payload"]) for k, r in got.items()} == {r["request_id"]: (r["outcome"], r["payload"]) for r in chunks.request_outcomes(batch).collect()}
+    progress = {r["request_id"]: r["detail"] for r in chunks.latest_progress(batch).collect()}
+    assert all(r["detail"] == progress.get(k) for k, r in got.items())
+
+
+def test_complete_replies_in_batch(spark):
+    rows = [("a", i, "token", "x", T0) for i in (3, 4, 5)] + [("b", i, "token", "x", T0) for i in (1, 3)] + [("c", 1, "token", "x", T0)] * 2
+    got = {r["request_id"]: r["complete"] for r in chunks.complete_replies(spark.createDataFrame(rows, CHUNK)).collect()}
+    assert got == {"a": True, "b": False, "c": False}
+
+
 def test_long_replies_stay_in_parts(spark):
     rows = [("a", i, "token", "xy", T0) for i in range(10)] + [("b", 0, "token", "z", T0)]
     df = spark.createDataFrame(rows, CHUNK)
