@@ -2,8 +2,11 @@
 
 The result is that of applying the edits of a row one after another in `seq` order. No log is gathered: everything but one
 fact reduces to "the last edit of a kind", which aggregates on the map side. The exception is the last moment a row ran out
-of sources, which needs running counts; those are taken over chunks of consecutive edits, with per-chunk totals carried from
-chunk to chunk. Chunks are cut at quantiles of a row's own `seq` values, so they share its edits evenly however `seq` runs.
+of sources. Its sources at any moment are a set that toggles change, and a set is followed by one number: the exclusive or
+of the hashes of its columns, which is that of no columns only if none is left. So it is a prefix scan in two passes. The
+log is cut into chunks of consecutive edits by a range partitioning on row and `seq`, which splits long logs evenly, and
+written with the running value inside each chunk; the totals of a row's chunks then give what each chunk starts from.
+Hashes have 128 bits.
 
 Edits: request_id, target_column, seq (unique per row), action, payload (JSON text, see EDIT_PAYLOAD). Actions:
 validate, rollback, unmap, toggle (column), set (match_type, confidence, rule). Other edits change nothing and are listed by
@@ -15,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colweave.functions.staging import written
 from colweave.functions.text import null_if_blank, trim_ws
 from colweave.schemas import DEFAULT_MATCH_TYPE, EDIT_PAYLOAD
 
 KEY = ["request_id", "target_column"]
 FIELDS = ("source_columns", "confidence_score", "match_type", "reasoning", "transformation_rule")
 ACTIONS = ("validate", "rollback", "unmap", "toggle", "set")
-CHUNK = 10_000
-CHUNKS = 64
+NEVER = -(2**63)
 NO_SOURCES = "array<string>"
 
 
@@ -60,106 +63,103 @@ def _clamped(percent: Column) -> Column:
     return F.when(finite, F.least(F.greatest(percent, F.lit(0.0)), F.lit(100.0))).otherwise(0.0)
 
 
-def apply_edits(rows: DataFrame, edits: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Review rows after their edits; rows without edits are kept as they are."""
+def _hashes(column: Column) -> tuple[Column, Column]:
+    return F.xxhash64(column), F.xxhash64(F.lit(1), column)
+
+
+def _both(first: Column, second: Column) -> Column:
+    """Exclusive or of two pairs of hashes."""
+    return F.struct(first["h1"].bitwiseXOR(second["h1"]).alias("h1"), first["h2"].bitwiseXOR(second["h2"]).alias("h2"))
+
+
+def _set_hash(columns: Column) -> Column:
+    distinct = F.array_distinct(F.coalesce(columns, F.array().cast(NO_SOURCES)))
+    of = lambda i: F.aggregate(F.transform(distinct, lambda c: _hashes(c)[i]), F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(h))
+    return F.struct(of(0).alias("h1"), of(1).alias("h2"))
+
+
+def _scanned(edits: DataFrame, chunks: int | None) -> DataFrame:
+    """The log in chunks of consecutive edits, with the hash of a row's toggles since its chunk began."""
     log = _log(edits)
-    based = _base_rows(rows, log)
-    toggles = log.filter(F.col("action") == "toggle").select(*KEY, "seq", "column")
-    toggles = toggles.join(based.select(*KEY, "reset_seq"), KEY).filter(F.col("seq") > F.coalesce("reset_seq", F.lit(-(2**63)))).drop("reset_seq")
-    sources, emptied = _toggled_sources(toggles, based, chunk)
-    folded = based.join(sources, KEY, "left").join(emptied, KEY, "left")
-    return folded.select(*_final_columns(rows.columns))
+    ranged = log.repartitionByRange(chunks, *KEY, "seq") if chunks else log.repartitionByRange(*KEY, "seq")
+    ranged = ranged.withColumn("chunk", F.spark_partition_id())
+    running = Window.partitionBy(*KEY, "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    toggled = [F.bit_xor(F.when(F.col("action") == "toggle", h).otherwise(F.lit(0))).over(running) for h in _hashes(F.col("column"))]
+    return written(ranged.withColumn("toggled", F.struct(toggled[0].alias("h1"), toggled[1].alias("h2"))), "edits")
+
+
+def apply_edits(rows: DataFrame, edits: DataFrame, chunks: int | None = None) -> DataFrame:
+    """Review rows after their edits; rows without edits are kept as they are.
+
+    `chunks` sets how many ranges the log is cut into; by default as many as the session has shuffle partitions.
+    """
+    log = _scanned(edits, chunks)
+    based = written(_base_rows(rows, log), "edited-rows")
+    toggles = log.filter(F.col("action") == "toggle").select(*KEY, "chunk", "seq", "column", "toggled")
+    since = based.filter("last_toggle is not null").select(*KEY, "reset_seq", "goal", "starts")
+    toggles = toggles.join(since, KEY).filter(F.col("seq") > F.coalesce("reset_seq", F.lit(NEVER)))
+    # A row is without sources where all toggles so far undo its base list: where the hash so far is the goal.
+    start = F.element_at(F.filter("starts", lambda x: x["chunk"] == F.col("chunk")), 1)["toggled"]
+    empty = _both(start, F.col("toggled")) == F.col("goal")
+    per_column = toggles.groupBy(*KEY, "column").agg(F.count("*").alias("n"), F.max("seq").alias("seq"), F.max(F.when(empty, F.col("seq"))).alias("emptied_seq"))
+    changed = per_column.groupBy(*KEY).agg(F.collect_list(F.struct("seq", "column", "n")).alias("changed"), F.max("emptied_seq").alias("emptied_seq"))
+    folded = based.join(changed, KEY, "left")
+    # Columns that were toggled leave the base list; those present in the end follow in the order they were added.
+    touched = F.transform("changed", lambda x: x["column"])
+    present = lambda x: (F.array_contains("base_source_columns", x["column"]).cast("int") + x["n"]) % 2 == 1
+    added = F.transform(F.array_sort(F.filter("changed", present)), lambda x: x["column"])
+    kept = F.filter("base_source_columns", lambda c: ~F.array_contains(touched, c))
+    return folded.withColumn("toggled_sources", F.concat(kept, added)).select(*_final_columns(rows.columns))
 
 
 def _base_rows(rows: DataFrame, log: DataFrame) -> DataFrame:
     """Each row as its last reset left it (untouched, rolled back to its original, or unmapped), and its last edits since.
 
-    A rollback of a row without an original resets nothing but the status. One aggregate finds the last edit of every
-    kind; the last setting or toggle counts if no reset follows it.
+    A rollback of a row without an original resets nothing but the status. Totals of chunks are added up by row: `starts`
+    holds the hash of all toggles before each chunk, `goal` that of the toggles up to the reset and the base list, which
+    the hash so far equals whenever no source is left.
     """
-    by_action = log.groupBy(*KEY).agg(
-        F.max(F.when(F.col("action") == "rollback", F.col("seq"))).alias("rollback_seq"),
-        F.max(F.when(F.col("action") == "unmap", F.col("seq"))).alias("unmap_seq"),
+    at = lambda action: F.max(F.when(F.col("action") == action, F.struct("seq", "toggled")))
+    totals = log.groupBy(*KEY, "chunk").agg(
+        at("rollback").alias("rollback"),
+        at("unmap").alias("unmap"),
         F.max(F.when(F.col("action") == "toggle", F.col("seq"))).alias("toggle_seq"),
         F.max(F.when(F.col("action") == "set", F.struct("seq", "set"))).alias("any_set"),
-        F.max(F.struct("seq", "action")).alias("last_edit"),
+        F.max(F.struct("seq", "action", "toggled")).alias("last_edit"),
     )
-    joined = rows.join(by_action, KEY, "left")
-    rollback = F.when(F.col("original").isNotNull(), F.col("rollback_seq"))
-    joined = joined.withColumn("reset_seq", F.greatest(rollback, F.col("unmap_seq")))
-    rolled = F.coalesce(F.col("reset_seq") == rollback, F.lit(False))
-    unmapped = F.coalesce(F.col("reset_seq") == F.col("unmap_seq"), F.lit(False))
-    since = F.coalesce("reset_seq", F.lit(-(2**63)))
+    earlier = Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.bit_xor(f"last_edit.toggled.{h}").over(earlier), F.lit(0)).alias(h) for h in ("h1", "h2")]
+    totals = totals.withColumn("start", F.struct(*before))
+    reset = lambda name: F.max(F.when(F.col(name).isNotNull(), F.struct(F.col(f"{name}.seq").alias("seq"), _both(F.col("start"), F.col(f"{name}.toggled")).alias("toggled"))))
+    by_row = totals.groupBy(*KEY).agg(
+        reset("rollback").alias("rollback"),
+        reset("unmap").alias("unmap"),
+        F.max("toggle_seq").alias("toggle_seq"),
+        F.max("any_set").alias("any_set"),
+        F.max("last_edit").alias("last_edit"),
+        F.collect_list(F.struct("chunk", F.col("start").alias("toggled"))).alias("starts"),
+    )
+    joined = rows.join(by_row, KEY, "left")
+    rollback = F.when(F.col("original").isNotNull(), F.col("rollback"))
+    rolled = F.coalesce(rollback["seq"] > F.coalesce("unmap.seq", F.lit(NEVER)), F.lit(False))
+    joined = joined.withColumn("rolled", rolled).withColumn("reset", F.when(F.col("rolled"), F.col("rollback")).otherwise(F.col("unmap")))
+    since = F.coalesce("reset.seq", F.lit(NEVER))
 
     def base(name: str, cleared: Column) -> Column:
-        return F.when(rolled, F.col(f"original.{name}")).when(unmapped, cleared).otherwise(F.col(name)).alias(f"base_{name}")
+        return F.when(F.col("rolled"), F.col(f"original.{name}")).when(F.col("reset").isNotNull(), cleared).otherwise(F.col(name))
 
-    nothing = F.lit(None).cast("string")
+    nothing, zero = F.lit(None).cast("string"), F.struct(F.lit(0).cast("bigint").alias("h1"), F.lit(0).cast("bigint").alias("h2"))
+    cleared = {"source_columns": F.array().cast(NO_SOURCES), "confidence_score": F.lit(0.0), "match_type": F.lit(""), "reasoning": nothing, "transformation_rule": nothing}
     return joined.select(
         *rows.columns,
-        "reset_seq",
-        "last_edit",
+        F.col("reset.seq").alias("reset_seq"),
+        F.col("last_edit.action").alias("last_action"),
         F.when(F.col("any_set.seq") > since, F.col("any_set")).alias("last_set"),
         F.when(F.col("toggle_seq") > since, F.col("toggle_seq")).alias("last_toggle"),
-        base("source_columns", F.array().cast(NO_SOURCES)),
-        base("confidence_score", F.lit(0.0)),
-        base("match_type", F.lit("")),
-        base("reasoning", nothing),
-        base("transformation_rule", nothing),
-    )
-
-
-def _toggled_sources(toggles: DataFrame, based: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """Source list after all toggles, and the last toggle that left a row without any source."""
-    base = based.select(*KEY, F.col("base_source_columns").alias("base"))
-    # Rows with more than `chunk` toggles are cut at the quantiles of their sequence numbers.
-    quantiles = F.percentile_approx("seq", [i / CHUNKS for i in range(1, CHUNKS)], 10_000)
-    bounds = toggles.groupBy(*KEY).agg(F.count("*").alias("n"), quantiles.alias("bounds")).filter(F.col("n") > chunk).select(*KEY, "bounds")
-    placed = toggles.join(bounds, KEY, "left")
-    placed = placed.withColumn("chunk", F.size(F.filter(F.coalesce("bounds", F.array().cast("array<bigint>")), lambda b: b < F.col("seq")))).drop("bounds")
-    per_chunk = placed.groupBy(*KEY, "column", "chunk").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
-
-    # How often a column was toggled before a chunk; one row per chunk, not per edit.
-    earlier = Window.partitionBy(*KEY, "column").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    per_chunk = per_chunk.join(base, KEY).withColumn("in_base", F.array_contains("base", F.col("column")).cast("int")).drop("base")
-    present = lambda toggled: (F.col("in_base") + toggled) % 2
-
-    totals = per_chunk.groupBy(*KEY, "column").agg(
-        F.sum("n").alias("n"), F.max("last_seq").alias("last_seq"), F.max("in_base").alias("in_base")
-    )
-    # Columns that were toggled leave the base list; those present in the end follow in the order they were added.
-    changed = totals.groupBy(*KEY).agg(
-        F.collect_list("column").alias("touched"),
-        F.array_sort(F.collect_list(F.when(present(F.col("n")) == 1, F.struct("last_seq", "column")))).alias("added"),
-    )
-    sources = base.join(changed, KEY).select(
-        *KEY,
-        F.concat(
-            F.filter("base", lambda c: ~F.array_contains("touched", c)), F.transform("added", lambda a: a["column"])
-        ).alias("toggled_sources"),
-    )
-
-    # Columns present before each chunk = base columns + changes made by earlier chunks.
-    change = present(F.col("before") + F.col("n")) - present(F.col("before"))
-    prior = Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunk_start = (
-        per_chunk.groupBy(*KEY, "chunk")
-        .agg(F.sum(change).alias("change"))
-        .withColumn("changed_before", F.coalesce(F.sum("change").over(prior), F.lit(0)))
-        .join(base, KEY)
-        .select(*KEY, "chunk", (F.size(F.array_distinct("base")) + F.col("changed_before")).alias("at_start"))
-    )
-    in_chunk = Window.partitionBy(*KEY, "chunk", "column").orderBy("seq")
-    steps = placed.join(per_chunk.select(*KEY, "column", "chunk", "before", "in_base"), [*KEY, "column", "chunk"])
-    steps = steps.withColumn("toggled", F.col("before") + F.row_number().over(in_chunk))
-    steps = steps.withColumn("step", F.when(present(F.col("toggled")) == 1, 1).otherwise(-1))
-    running = Window.partitionBy(*KEY, "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    counted = steps.withColumn("moved", F.sum("step").over(running)).join(chunk_start, [*KEY, "chunk"])
-    emptied = (
-        counted.filter(F.col("at_start") + F.col("moved") == 0).groupBy(*KEY).agg(F.max("seq").alias("emptied_seq"))
+        "starts",
+        _both(F.coalesce("reset.toggled", zero), _set_hash(base("source_columns", cleared["source_columns"]))).alias("goal"),
+        *[base(name, cleared[name]).alias(f"base_{name}") for name in FIELDS],
     )
-    return sources, emptied
 
 
 def _final_columns(names: list[str]) -> list[Column]:
@@ -173,7 +173,7 @@ def _final_columns(names: list[str]) -> list[Column]:
     nothing = F.lit(None).cast("string")
     match_type = settle(F.col("last_set.set.match_type"), F.lit(""), "base_match_type")
     # A toggle that leaves sources turns a blank type into the default; settings and clears before it are covered.
-    toggled_last = F.col("last_toggle") > F.greatest(F.coalesce("last_set.seq", F.lit(-(2**63))), F.coalesce(emptied, F.lit(-(2**63))))
+    toggled_last = F.col("last_toggle") > F.greatest(F.coalesce("last_set.seq", F.lit(NEVER)), F.coalesce(emptied, F.lit(NEVER)))
     match_type = F.when(F.coalesce(toggled_last, F.lit(False)) & (F.coalesce(match_type, F.lit("")) == ""), DEFAULT_MATCH_TYPE).otherwise(match_type)
     final = {
         "source_columns": F.coalesce("toggled_sources", "base_source_columns"),
@@ -181,8 +181,8 @@ def _final_columns(names: list[str]) -> list[Column]:
         "match_type": match_type,
         "reasoning": F.when(cleared, nothing).otherwise(F.col("base_reasoning")),
         "transformation_rule": settle(F.col("last_set.set.rule"), nothing, "base_transformation_rule"),
-        "status": F.when(F.col("last_edit").isNull(), F.col("status"))
-        .when(F.col("last_edit.action") == "validate", "validated")
+        "status": F.when(F.col("last_action").isNull(), F.col("status"))
+        .when(F.col("last_action") == "validate", "validated")
         .otherwise("pending"),
     }
     return [final[c].alias(c) if c in final else F.col(c) for c in names]

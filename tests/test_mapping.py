@@ -80,7 +80,7 @@ def plain_fold(row, log):
     return [s[f] for f in FIELDS] + [s["status"]]
 
 
-@pytest.mark.parametrize("limits", [{}, {"chunk": 4}, {"chunk": 0}])
+@pytest.mark.parametrize("limits", [{}, {"chunks": 40}, {"chunks": 1000}])
 def test_edits_equal_one_by_one_application(spark, limits):
     rng = random.Random(11)
     rows, logs = [], {}
@@ -107,6 +107,16 @@ def test_edits_equal_one_by_one_application(spark, limits):
     assert got == {r["target_column"]: plain_fold(r, logs[r["target_column"]]) for r in rows}
 
 
+def test_the_edit_log_is_read_once_and_shuffled_little(spark, tmp_path):
+    rows = spark.createDataFrame([("0", f"t{i}", ["a"], 0.5, "exact", None, None, "pending", None) for i in range(9)], ROW)
+    log = spark.range(90).selectExpr("'0' as request_id", "concat('t', id % 10) as target_column", "id as seq", "'toggle' as action", "concat('{\"column\":\"c', id % 3, '\"}') as payload")
+    log.write.parquet(str(tmp_path / "log"))
+    out = edits.apply_edits(rows, spark.read.parquet(str(tmp_path / "log")), chunks=7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6 and str(tmp_path) not in plan
+    assert out.count() == 9
+
+
 def test_edits_may_clear_columns_that_are_never_null(spark):
     rows = spark.range(3).select(
         F.lit("0").alias("request_id"), F.col("id").cast("string").alias("target_column"), F.array(F.lit("c")).alias("source_columns"), F.lit(0.5).alias("confidence_score"),
@@ -114,7 +124,7 @@ def test_edits_may_clear_columns_that_are_never_null(spark):
     )
     rows = rows.withColumn("original", F.struct(*FIELDS))
     log = spark.range(2).select(F.lit("0").alias("request_id"), F.col("id").cast("string").alias("target_column"), F.lit(1).alias("seq"), F.lit("unmap").alias("action"), F.lit("{}").alias("payload"))
-    for limits in ({}, {"chunk": 0}):
+    for limits in ({}, {"chunks": 50}):
         got = {r["target_column"]: r["reasoning"] for r in edits.apply_edits(rows, log, **limits).collect()}
         assert got == {"0": None, "1": None, "2": "r"}
 
@@ -185,7 +195,7 @@ def test_sparse_sequence_numbers_are_spread_over_chunks(spark):
     rows = spark.createDataFrame([("0", "t", [], 0.0, "", None, None, "pending", None)], "request_id string, target_column string, source_columns array<string>, confidence_score double, match_type string, reasoning string, transformation_rule string, status string, original struct<source_columns:array<string>,confidence_score:double,match_type:string,reasoning:string,transformation_rule:string>")
     n = 20_001
     log = spark.range(n).selectExpr("'0' as request_id", "'t' as target_column", "1700000000000000 + id * id * 7 as seq", "'toggle' as action", "concat('{\"column\":\"c', id % 2, '\"}') as payload")
-    after = edits.apply_edits(rows, log, chunk=500).first()
+    after = edits.apply_edits(rows, log, chunks=40).first()
     assert after["source_columns"] == ["c0"] and after["match_type"] == "semantic"  # 10,001 toggles of c0, 10,000 of c1
 
 

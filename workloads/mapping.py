@@ -382,8 +382,8 @@ def e1_e5_all_edits(spark, sf):
 
 
 def e1_e5_long_logs(spark, sf):
-    """The same log through the form for rows with very many edits, in chunks of consecutive edits."""
-    return _edited(edits.apply_edits(_part_rows(spark, sf), _edits(spark, sf), chunk=10))
+    """The same log cut into so many chunks that the edits of most rows lie in several."""
+    return _edited(edits.apply_edits(_part_rows(spark, sf), _edits(spark, sf), chunks=100))
 
 
 STATE_AFTER = """
