@@ -70,3 +70,37 @@ def fits(v: Column, data_type: T.DataType) -> Column:
 def text_value(v: Column) -> Column:
     """String content of a JSON string, null for absent and JSON null."""
     return F.try_variant_get(v, "$", "string")
+
+
+# Text of a JSON value in pieces: strings, structural characters, and runs of anything else.
+TOKEN = r'"(?:[^"\\]|\\.)*+"|[\[\]{},]|[^"\[\]{},]++'
+JSON_SPACE = " \t\n\r"
+
+
+def element_spans(text: Column, most: int) -> Column:
+    """(first, after): 1-based positions around the first elements of a valid JSON array, at most so many.
+
+    The text is scanned by position and depth; nothing is parsed or written anew.
+    """
+    spans = F.array().cast("array<struct<first:int,after:int>>")
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("first"), spans.alias("spans"))
+
+    def step(state: Column, token: Column) -> Column:
+        at, depth = state["at"], state["depth"]
+        after = at + F.char_length(token)
+        opens, closes = token.isin("[", "{"), token.isin("]", "}")
+        ends = (depth == 1) & (F.size(state["spans"]) < most) & token.isin(",", "]")
+        found = F.array(F.struct(state["first"].alias("first"), at.alias("after")))
+        return F.struct(
+            after.alias("at"),
+            (depth + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            F.when((depth == 0) & opens | ends, after).otherwise(state["first"]).alias("first"),
+            F.when(ends, F.concat(state["spans"], found)).otherwise(state["spans"]).alias("spans"),
+        )
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), start, step, lambda state: state["spans"])
+
+
+def raw_elements(text: Column, spans: Column) -> Column:
+    """The text of the elements exactly as written, without the space around them."""
+    return F.transform(spans, lambda s: F.btrim(F.substring(text, s["first"], s["after"] - s["first"]), F.lit(JSON_SPACE)))

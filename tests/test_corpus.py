@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def test_heavy_falls_back_to_cutting_cells(files):
 def test_json_arrays(files):
     text = '[{"b": 1, "a": [1, 2]}, "x\\"y", null, 4]'
     assert reduced(files, "light", "a.json", text) == text
-    assert reduced(files, "medium", "a.json", text) == '[\n{"b":1,"a":[1,2]},\n"x\\"y"\n]\n// ... (2 more objects, 4 total)'
+    assert reduced(files, "medium", "a.json", text) == '[\n{"b": 1, "a": [1, 2]},\n"x\\"y"\n]\n// ... (2 more objects, 4 total)'
     assert reduced(files, "heavy", "a.json", "[1] tail") == "[1] tail"
 
 
@@ -153,3 +154,57 @@ def test_scans_of_folders(spark, tmp_path):
         ("a.csv", 1, "x,y"), ("a.csv", 2, "1,2"), ("b.txt", 1, "only line"),
     ]
     assert "WindowGroupLimit" in heads._jdf.queryExecution().executedPlan().toString()
+
+
+# --- raw elements and lengths --------------------------------------------------------------------------------------
+
+
+def written(rng, depth=0):
+    """A JSON value as text, with odd spacing and spelling."""
+    space = lambda: rng.choice(["", " ", "\n", "\t "])
+    kind = rng.choice(["n", "s", "c"] + ["a", "o"] * (depth < 3))
+    if kind == "n":
+        return rng.choice(["1.50", "1e3", "-0", "0.10", "12", "1E-7"])
+    if kind == "s":
+        return json.dumps(rng.choice(["", "a,b", "]}[{", 'q"\\', "é\U0001f600", "x" * 60]), ensure_ascii=rng.random() < 0.5)
+    if kind == "c":
+        return rng.choice(["true", "false", "null"])
+    items = [written(rng, depth + 1) for _ in range(rng.randrange(4))]
+    if kind == "o":
+        items = [f'{space()}"k{i}"{space()}:{space()}{v}' for i, v in enumerate(items)]
+        return "{" + f"{space()},{space()}".join(items) + space() + "}"
+    return "[" + space() + f"{space()},{space()}".join(items) + space() + "]"
+
+
+def test_kept_json_elements_are_cut_from_the_raw_text(files):
+    rng = random.Random(4)
+    arrays = [[written(rng) for _ in range(n)] for n in (0, 1, 2, 3, 5, 6, 7, 9) for _ in range(6)]
+    texts = [" \n[ " + " ,\n".join(a) + "\t]\n" for a in arrays]
+    frame = files(*[(f"f{i}.json", t) for i, t in enumerate(texts)])
+    for level, keep in (("light", 5), ("medium", 2), ("heavy", 1)):
+        got = {r["file_name"]: r["content"] for r in reduction.reduce_files(frame, level).collect()}
+        for i, (a, t) in enumerate(zip(arrays, texts)):
+            json.loads(t)
+            cut = "[\n" + ",\n".join(a[:keep]) + f"\n]\n// ... ({len(a) - keep} more objects, {len(a)} total)"
+            assert got[f"f{i}.json"] == (cut if len(a) > keep else t)
+
+
+def test_lengths_are_those_of_the_reduced_texts(spark, files):
+    rng = random.Random(9)
+    word = lambda: rng.choice(["a", "é", "\U0001f600" * 3, "x" * 70, "é" * 49 + "\U0001f600", "", " pad "])
+    rows = [("empty.csv", ""), ("blank.txt", " \n \n"), ("e.json", "[]"), ("bad.json", "[1,\n" * 600), ("noext", "a\nb"), ("long.md", "l\n" * 700)]
+    for i in range(40):
+        d = rng.choice([",", ";", "\t"])
+        head = rng.choice([["Table Name", "Column", "Data Type", "note"], ["table", "x"], ["id", "v"], ["TABLE", "field", "descr"]])
+        lines = [d.join(head)] + [d.join(word() for _ in range(rng.randrange(1, 6))) for _ in range(rng.choice([1, 4, 9, 30]))]
+        rows.append((f"d{i}.{rng.choice(['csv', 'tsv', 'txt'])}", rng.choice(["\n", "\n\n"]).join(lines)))
+        rows.append((f"j{i}.json", "[" + ",".join(written(rng) for _ in range(rng.randrange(9))) + "]"))
+    frame = files(*rows)
+    utf16 = lambda t: len(t.encode("utf-16-le")) // 2
+    lengths = {r["file_name"]: r for r in reduction.file_lengths(frame).collect()}
+    assert all(lengths[n]["len_raw"] == utf16(t) for n, t in rows)
+    for level in ("light", "medium", "heavy"):
+        for r in reduction.reduce_files(frame, level).collect():
+            assert lengths[r["file_name"]][f"len_{level}"] == utf16(r["content"]), (level, r["file_name"])
+    plan = reduction.file_lengths(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "more data rows" not in plan and "array_join" not in plan

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colweave.operators import budget, reduction
 from colweave.schemas import REDUCTION_LEVELS, REDUCTION_LIMITS, SYSTEM_PROMPT_TOKENS
-from workloads.corpus import WS, _part_files
+from workloads.corpus import WS
 from workloads.standins import FILES_PER_REQUEST, RAW_FILES_SQL, REQUESTS_SQL, raw_files, requests, table
 
 TOKEN_LIMIT = 8_000
@@ -120,8 +120,18 @@ C8 = _dict_sql(CUT_ROW, "'Table ; column_name;Data Type;description'", "''")
 
 
 def _json_arrays(spark, sf):
-    rows = F.transform("parts", lambda p: F.struct(p["p_size"].alias("zz_size"), p["p_name"].alias("name")))
-    return _part_files(spark, sf, F.to_json(rows), "json")
+    """JSON arrays as people write them: numbers of several spellings, nested values, brackets in strings, inner space."""
+    part = table(spark, sf, "part")
+    key = F.col("p_partkey")
+    number = F.when(key % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit(".50"))).when(key % 3 == 1, F.concat(F.col("p_size").cast("string"), F.lit("e3"))).otherwise("-0")
+    row = F.concat(
+        F.lit('{"zz_size" : '), number, F.lit(',  "name":"'), "p_name", F.lit(' ], \\" } [", "more":[1,\t{"x":[2, "a,b"]} ]\n}')
+    )
+    item = F.when(key % 7 == 0, F.concat(F.lit('"only, ['), "p_name", F.lit('"'))).when(key % 7 == 1, number).when(key % 7 == 2, "null").otherwise(row)
+    files = part.groupBy(F.floor(key / 5).cast("bigint").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("item")))).alias("items"))
+    text = F.concat(F.lit(" [ "), F.array_join(F.transform("items", lambda r: r["item"]), " ,\n"), F.lit("\t]\n"))
+    name = F.concat(F.lit("parts_"), F.col("pos").cast("string"), F.lit(".json"))
+    return files.select(F.lit("0").alias("request_id"), F.lit("source").alias("side"), "pos", name.alias("file_name"), text.alias("content"))
 
 
 def c9_json_array_head(spark, sf):
@@ -130,17 +140,38 @@ def c9_json_array_head(spark, sf):
 
 def _json_sql(level: str) -> str:
     keep = REDUCTION_LIMITS[level][1]
-    full = "'[' || array_to_string(objs, ',') || ']'"
+    full = "' [ ' || array_to_string(objs, ' ,' || chr(10)) || chr(9) || ']' || chr(10)"
     cut = f"'[' || chr(10) || array_to_string(objs[1:{keep}], ',' || chr(10)) || chr(10) || ']' || chr(10) || '// ... (' || (len(objs) - {keep}) || ' more objects, ' || len(objs) || ' total)'"
     return f"SELECT file_name, '{level}' AS level, CASE WHEN len(objs) > {keep} THEN {cut} ELSE {full} END AS c FROM files"
 
 
-C9 = f"""WITH files AS (SELECT 'parts_' || (p_partkey // 5) || '.json' AS file_name,
-  list('{{"zz_size":' || p_size || ',"name":"' || p_name || '"}}' ORDER BY p_partkey) AS objs FROM part GROUP BY p_partkey // 5),
+JSON_FILES = """items AS (SELECT p_partkey, p_name, CASE p_partkey % 3 WHEN 0 THEN p_size || '.50' WHEN 1 THEN p_size || 'e3' ELSE '-0' END AS num FROM part),
+files AS (SELECT 'parts_' || (p_partkey // 5) || '.json' AS file_name,
+  list(CASE p_partkey % 7 WHEN 0 THEN '"only, [' || p_name || '"' WHEN 1 THEN num WHEN 2 THEN 'null'
+    ELSE '{"zz_size" : ' || num || ',  "name":"' || p_name || ' ], \\" } [", "more":[1,' || chr(9) || '{"x":[2, "a,b"]} ]' || chr(10) || '}' END ORDER BY p_partkey) AS objs
+  FROM items GROUP BY p_partkey // 5)"""
+C9 = f"""WITH {JSON_FILES},
 r AS ({" UNION ALL ".join(_json_sql(lv) for lv in REDUCTION_LEVELS)})
 SELECT file_name, level, CAST(length(c) AS BIGINT) AS n_chars, md5(c) AS digest FROM r"""
 
 
+def c11_lengths(spark, sf):
+    """Lengths of JSON arrays and dictionaries at every level, by arithmetic."""
+    files = _json_arrays(spark, sf).unionByName(_dictionaries(spark, sf))
+    return reduction.file_lengths(files).select("file_name", "len_raw", *[f"len_{lv}" for lv in REDUCTION_LEVELS])
+
+
+C11_LENGTHS = f"""WITH {JSON_FILES},
+j AS ({" UNION ALL ".join(_json_sql(lv) for lv in REDUCTION_LEVELS)}),
+raw AS (SELECT file_name, length(' [ ' || array_to_string(objs, ' ,' || chr(10)) || chr(9) || ']' || chr(10)) AS n FROM files),
+d AS (SELECT 'dict_' || g || '.csv' AS file_name, count(*) AS n, sum(length({FULL_ROW})) AS f, sum(length({CUT_ROW})) AS m, sum(length({KEPT_ROW})) AS h FROM {_PARTS} GROUP BY g),
+w AS (SELECT *, length('Table ; column_name;Data Type;description') AS title FROM d)
+SELECT raw.file_name, CAST(raw.n AS BIGINT) AS len_raw, {", ".join(f"CAST(max(length(c)) FILTER (level = '{lv}') AS BIGINT) AS len_{lv}" for lv in REDUCTION_LEVELS)}
+FROM raw JOIN j USING (file_name) GROUP BY ALL
+UNION ALL SELECT file_name, CAST(title + 2 + f + n - 1 AS BIGINT), CAST(title + 2 + f + n - 1 AS BIGINT), CAST(CASE WHEN n + 1 <= {REDUCTION_LIMITS["medium"][0]} THEN title + 2 + f + n - 1 ELSE title + m + n END AS BIGINT),
+  CAST(CASE WHEN n + 1 <= {REDUCTION_LIMITS["heavy"][0]} THEN title + 2 + f + n - 1 ELSE length('Table;column_name;Data Type') + h + n + length('(compressed: kept 3 of 4 columns)') + 1 END AS BIGINT) FROM w"""
+
+
 # --- budget ------------------------------------------------------------------------------------------------------
 
 ESTIMATES_SQL = f"""{RAW_FILES_SQL}, {REQUESTS_SQL},
@@ -284,6 +315,7 @@ QUERIES = {
     "c9_json_array_head": (c9_json_array_head, C9),
     "c10_text_head": (c10_text_head, C10),
     "c11_tier_choice": (c11_tier_choice, C11),
+    "c11_lengths": (c11_lengths, C11_LENGTHS),
     "c12_prompt_text": (c12_prompt_text, C12),
     "c13_refine_context": (c13_refine_context, C13),
     "c14_rules_text": (c14_rules_text, C14),
