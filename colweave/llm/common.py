@@ -1,7 +1,7 @@
 """Helpers shared by the operators: words, held-out rows, blocks of documents, and questions put to shards of keys.
 
-Blocks and shards are the two sides of the global lookups. A block is a bounded share of the documents (by a hash of the
-id); a shard is a bounded share of all keys (by a hash of the key). Each block sends its distinct keys to the shards, a
+Blocks and shards are the two sides of the global lookups. A block is a bounded share of the documents (by a hash of id
+and text); a shard is a bounded share of all keys (by a hash of the key). Each block sends its distinct keys to the shards, a
 shard sees every holder of its keys, and the answers go back to the blocks. Keys are distinct within a block before they
 travel, so one frequent key costs a shard at most one entry for each block.
 """
@@ -111,12 +111,13 @@ def starts_of(sorted_values: np.ndarray) -> np.ndarray:
 
 def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     """How many blocks keep each near `block_bytes` of text; more than the cores of the session, so all have work."""
-    size = docs.agg(F.sum(F.octet_length(text).cast("bigint") + 64)).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(quoted(text)).cast("bigint") + 64)).first()[0] or 0
     return max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // block_bytes))
 
 
-def in_blocks(docs: DataFrame, doc_id: str, blocks: int) -> DataFrame:
-    return docs.withColumn("block", F.pmod(F.xxhash64(doc_id), F.lit(blocks)).cast("int"))
+def block_of(columns: list[Column], blocks: int) -> Column:
+    """The block of a row; by id and text (or its digest), so rows without an id or sharing one are spread."""
+    return F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int").alias("block")
 
 
 def _packed(keys: np.ndarray, width: int) -> bytes:

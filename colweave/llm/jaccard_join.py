@@ -153,8 +153,9 @@ def _links(docs: DataFrame, doc_id: str, text: str, digest: Column, classes: Dat
     """(digest, id, n_shingles) of the classes with n-grams; (a, b): verified links that connect all that links connect."""
     blocks = c.block_count(docs, text, BLOCK_BYTES)
     base = docs.select(c.quoted(doc_id).cast("bigint").alias("id"), c.quoted(text).alias("text"), digest.alias("digest"))
-    base = c.in_blocks(base, "id", blocks)
-    chosen = c.in_blocks(classes, "id", blocks).select("block", "id", "digest", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("flags"))
+    block = c.block_of([F.col("id"), F.col("digest")], blocks)
+    base = base.withColumn("block", block)
+    chosen = classes.select(block, "id", "digest", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("flags"))
 
     def sets_of(table: pa.Table, side: pa.Table) -> list[tuple[int | None, bytes, np.ndarray]]:
         """(id, digest, set) of the block's classes that have n-grams; a class without an id is only measured."""
@@ -218,7 +219,7 @@ def _links(docs: DataFrame, doc_id: str, text: str, digest: Column, classes: Dat
 def _cells(sets: DataFrame, s: Settings) -> DataFrame:
     """(cell, id) for the cells of every set."""
     blocks = c.block_count(sets, "shingles")
-    by_block = c.in_blocks(sets, "id", blocks).groupBy("block")
+    by_block = sets.withColumn("block", c.block_of([F.col("id")], blocks)).groupBy("block")
 
     def arrays(table: pa.Table) -> list[np.ndarray]:
         return [np.frombuffer(x.as_buffer(), U64) for x in table["shingles"]]

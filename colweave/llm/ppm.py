@@ -233,7 +233,7 @@ def summarize(docs: DataFrame, text: str, learned: str, shards: int) -> Shared:
             every.update(x.as_py().split(b" "))
         return pa.table({"n": pa.array([len(every)], pa.int64())})
 
-    found = c.stored(docs.select(c.quoted(text).alias("text"), F.col(learned)).where(learned).mapInArrow(scan, "kind int, key bigint, n bigint, data binary"), "summary")
+    found = c.stored(docs.select(c.quoted(text).alias("text"), c.quoted(learned).alias("learned")).where("learned").mapInArrow(scan, "kind int, key bigint, n bigint, data binary"), "summary")
     low = found.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()
     tokens = found.where("kind = 1").agg(F.sum("n")).first()[0] or 0
     words = found.where("kind = 2").select("key", "data").groupBy("key").applyInArrow(distinct, "n bigint").agg(F.sum("n")).first()[0] or 0
@@ -255,7 +255,8 @@ def score(docs: DataFrame, learned: str, doc_id: str = "doc_id", text: str = "te
     blocks = c.block_count(docs, text, block_bytes)
     shared = summarize(docs, text, learned, blocks)
     held = docs.sparkSession.sparkContext.broadcast(shared)
-    base = c.in_blocks(docs, doc_id, blocks).select("block", F.coalesce(learned, F.lit(False)).alias("learned"), *[c.quoted(n).alias(f"c{i}") for i, n in enumerate(names)])
+    block = c.block_of([c.quoted(doc_id), c.quoted(text)], blocks)
+    base = docs.select(block, F.coalesce(c.quoted(learned), F.lit(False)).alias("learned"), *[c.quoted(n).alias(f"c{i}") for i, n in enumerate(names)])
     texts = f"c{names.index(text)}"
 
     def owner_of_runs(keys: np.ndarray) -> np.ndarray:

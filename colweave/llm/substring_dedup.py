@@ -73,7 +73,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     names = [n for n in docs.columns if n.lower() not in ("n_words", "n_removed", "kept", "spans")]
     blocks = c.block_count(docs, text, BLOCK_BYTES)
-    base = c.in_blocks(docs, doc_id, blocks).select("block", *[c.quoted(n).alias(f"c{i}") for i, n in enumerate(names)])
+    block = c.block_of([c.quoted(doc_id), c.quoted(text)], blocks)
+    base = docs.select(block, *[c.quoted(n).alias(f"c{i}") for i, n in enumerate(names)])
     texts = f"c{names.index(text)}"
     fields = [T.StructField(f"c{i}", docs.schema[n].dataType) for i, n in enumerate(names)]
 

@@ -36,12 +36,34 @@ ODD = [
 ]
 
 
+#: Extra columns of the odd rows: names that operators give to their own columns, and a type that cannot be compared.
+EXTRA = {
+    "lang_pred": ("string", "x"),
+    "Score": ("double", 1.0),
+    "component_id": ("string", "c"),
+    "a.b": ("string", "d"),
+    "n_words": ("string", "e"),
+    "leaks": ("string", "f"),
+    "kept": ("string", "g"),
+    "toxicity": ("string", "h"),
+    "c0": ("int", 4),
+    **{name: ("string", f"own {name}") for name in ("block", "shard", "node", "id", "digest", "i0", "o0", "row", "part", "rest", "text_hash", "seq", "learned_", "word", "bucket", "rank")},
+    "m": ("map<string,int>", {"k": 1}),
+}
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
-    """The odd rows with extra columns, among them names that operators give to their own columns."""
-    clashing = "lang_pred string, Score double, block int, shard int, component_id string, `a.b` string, n_words string, leaks string, kept string, toxicity string, c0 int"
-    rows = [(i, t, "x", 1.0, 2, 3, "c", "d", "e", "f", "g", "h", 4) for i, t in ODD]
-    return spark.createDataFrame(rows, f"doc_id bigint, text string, {clashing}")
+    """The odd rows with extra columns."""
+    kinds = ", ".join(f"`{name}` {kind}" for name, (kind, _) in EXTRA.items())
+    return spark.createDataFrame([(i, t, *(v for _, v in EXTRA.values())) for i, t in ODD], f"doc_id bigint, text string, {kinds}")
+
+
+def extras_are_kept(rows, *replaced: str) -> bool:
+    """Every extra column has its own value in all rows; `replaced` are outputs of the operator of the same name."""
+    gone = {name.lower() for name in replaced}
+    left = {name: value for name, (_, value) in EXTRA.items() if name.lower() not in gone}
+    return bool(rows) and all(r[name] == value for r in rows for name, value in left.items())
 
 
 @pytest.fixture(scope="session")
