@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colweave.functions.delimited import first_line, header_names, looks_like_dictionary, presence_delimiter, split_plain
 from colweave.functions.json_text import as_array, field, is_object, kind, strict_json, text_value
+from colweave.functions.staging import written
 from colweave.functions.text import base_name, is_blank, null_if_blank, trim_ws
 
 KEYS = ("request_id", "side", "file_name")
@@ -167,3 +168,34 @@ def search_columns(catalog: DataFrame, query: str) -> DataFrame:
     named = qualified_names(catalog)
     wanted = query.strip().lower()
     return named.filter(F.contains(F.lower("qualified"), F.lit(wanted))) if wanted else named
+
+
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct pieces of a text of the given size; the empty piece for size 0."""
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - size + 1, F.lit(1)))
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+    return F.when(size == 0, F.array(F.lit(""))).when(F.char_length(text) < size, F.array().cast("array<string>")).otherwise(pieces)
+
+
+def search_columns_for(catalog: DataFrame, searches: DataFrame) -> DataFrame:
+    """`search_columns` for many searches (search_id, query) at once.
+
+    Distinct names are indexed by their pieces of up to three characters. Each search looks up the rarest piece of its
+    query, so a piece that every name has is read only for queries made of such pieces, and its hits are verified.
+    """
+    named = qualified_names(catalog).withColumn("lowered", F.lower("qualified"))
+    wanted = searches.select("search_id", F.lower(trim_ws(F.coalesce("query", F.lit("")))).alias("wanted"))
+    queries = wanted.select("wanted").distinct()
+    pieces = _grams(F.col("wanted"), F.least(F.char_length("wanted"), F.lit(GRAM)))
+    asked = queries.select("wanted", F.size(pieces).alias("n_pieces"), F.explode(pieces).alias("gram"))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: _grams(F.col("lowered"), n)))
+    index = named.select("lowered").distinct().select("lowered", F.explode(every).alias("gram"))
+    index = written(index.join(asked.select("gram").distinct(), "gram", "left_semi"), "grams")
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "gram").groupBy("wanted", "n_pieces").agg(F.count("*").alias("found"), F.min(F.struct("n", "gram")).alias("rarest"))
+    rarest = rarest.filter(F.col("found") == F.col("n_pieces")).select("wanted", "rarest.gram")
+    hits = rarest.join(index, "gram").filter(F.contains("lowered", F.col("wanted"))).select("wanted", "lowered")
+    return wanted.join(hits, "wanted").join(named, "lowered").select("search_id", *[c for c in named.columns if c != "lowered"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colweave.functions.staging import written
 from colweave.functions.text import is_blank, null_if_blank, session_name, trim_ws
 from colweave.operators.sessions import access_grants
 
@@ -49,22 +50,28 @@ def insert_sessions(projects: DataFrame, created: DataFrame, now: Column) -> Dat
 def patch_sessions(projects: DataFrame, shares: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
     """Patch sessions on behalf of their owner or an editor; other patches are ignored.
 
-    A null field keeps the old value, except the current mapping: the last patch sets it, and null clears it.
+    A null field keeps the old value, except the current mapping: the last patch sets it, and null clears it. First the
+    number of the patch that wins each field is found, then the texts of the winning patches are fetched, which are at
+    most one for each field; allowed patches are written once for both.
     """
-    allowed = patches.join(access_grants(projects, shares, role="editor"), ["id", "user_id"], "left_semi")
+    allowed = written(patches.join(access_grants(projects, shares, role="editor"), ["id", "user_id"], "left_semi"), "patches")
     fields = ("name", *LIST_PAYLOADS)
-    latest = allowed.groupBy("id").agg(
-        F.max("seq").alias("patched"),
-        F.max(F.struct("seq", "current_mapping_json")).alias("mapping"),
-        *[_last(F.col(c)).alias(f"new_{c}") for c in fields],
-    )
-    joined = projects.join(latest, "id", "left")
+    wins = [F.max(F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"seq_{c}") for c in fields]
+    latest = allowed.groupBy("id").agg(F.max("seq").alias("patched"), *wins)
+    winning = F.array("patched", *[f"seq_{c}" for c in fields])
+    texts = allowed.select("id", "seq", *fields, "current_mapping_json").join(latest.select("id", winning.alias("winning")), "id")
+    texts = texts.filter(F.array_contains("winning", F.col("seq"))).groupBy("id").agg(F.collect_list(F.struct("seq", *fields, "current_mapping_json")).alias("texts"))
+    joined = projects.join(latest.join(texts, "id"), "id", "left")
+
+    def new(c: str, seq: str) -> Column:
+        return F.array_max(F.transform(F.filter("texts", lambda t: t["seq"] == F.col(seq)), lambda t: t[c]))
+
     patched = F.col("patched").isNotNull()
     change = {
-        "name": F.coalesce(trim_ws(F.col("new_name")), F.col("name")),
-        "current_mapping_json": F.when(patched, F.col("mapping.current_mapping_json")).otherwise(F.col("current_mapping_json")),
+        "name": F.coalesce(trim_ws(new("name", "seq_name")), F.col("name")),
+        "current_mapping_json": F.when(patched, new("current_mapping_json", "patched")).otherwise(F.col("current_mapping_json")),
         "updated_at": F.when(patched, now).otherwise(F.col("updated_at")),
-        **{c: F.coalesce(f"new_{c}", c) for c in LIST_PAYLOADS},
+        **{c: F.coalesce(new(c, f"seq_{c}"), F.col(c)) for c in LIST_PAYLOADS},
     }
     return joined.select(*[change[c].alias(c) if c in change else F.col(c) for c in projects.columns])
 

@@ -80,12 +80,18 @@ def unread_shared(listing: DataFrame, opened: DataFrame) -> DataFrame:
 def share_suggestions(candidates: DataFrame, shares: DataFrame, asks: DataFrame, limit: int = SUGGESTION_LIMIT) -> DataFrame:
     """Users to suggest for each ask (project_id, user_id asking), without the asker and present recipients.
 
-    The first candidates by name are one scalar value, attached to every ask without a join.
+    The first candidates by name are at most `limit` rows and are read first; every ask then takes the present recipients
+    among them from its list.
     """
-    person = F.struct(F.col("user_id").alias("shared_with_user_id"), "display_name")
-    listed = candidates.orderBy("display_name", "user_id").limit(limit).agg(F.collect_list(person).alias("people"))
-    offered = asks.withColumn("people", listed.scalar()).select("project_id", "user_id", F.inline("people"))
-    return new_grants(offered.filter(F.col("user_id") != F.col("shared_with_user_id")), shares)
+    listed = candidates.orderBy("display_name", "user_id").limit(limit).select("user_id", "display_name").collect()
+    if not listed:
+        return asks.select("project_id", "user_id", F.lit("").alias("shared_with_user_id"), F.lit("").alias("display_name")).limit(0)
+    people = F.array(*[F.struct(F.lit(u).alias("shared_with_user_id"), F.lit(n).alias("display_name")) for u, n in listed])
+    present = shares.filter(F.col("shared_with_user_id").isin([u for u, _ in listed]))
+    present = present.groupBy("project_id").agg(F.collect_set("shared_with_user_id").alias("present"))
+    offered = asks.select("project_id", "user_id").join(present, "project_id", "left")
+    missing = lambda p: (p["shared_with_user_id"] != F.col("user_id")) & ~F.array_contains(F.coalesce("present", F.array().cast("array<string>")), p["shared_with_user_id"])
+    return offered.select("project_id", "user_id", F.inline(F.filter(people, missing)))
 
 
 def decode_payloads(projects: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colweave.functions.text import iso_timestamp
+from colweave.functions.staging import written
+from colweave.functions.text import iso_timestamp, trim_ws
 from colweave.operators.sessions import (
     access_grants,
     decode_payloads,
@@ -23,7 +24,8 @@ def list_sessions(projects: DataFrame, shares: DataFrame, profiles: DataFrame, u
     """Sessions of one user, or of all users at once, newest first.
 
     Owned and shared lists are added up: a session shared with its own owner is listed twice. With a user given, both
-    filters reach the scans.
+    filters reach the scans. For all users the listing is in order of users, then time, by ranges that also split the list
+    of a user with very many sessions; it is written first, so that finding the ranges does not repeat its joins.
     """
     owned_from, shared_from = projects, shares
     if user_id is not None:
@@ -31,7 +33,10 @@ def list_sessions(projects: DataFrame, shares: DataFrame, profiles: DataFrame, u
         shared_from = shares.filter(F.col("shared_with_user_id") == user_id)
     listing = owned_sessions(owned_from).unionByName(shared_sessions(projects, shared_from))
     named = with_display_name(listing, profiles, "owner_user_id", "owner_display_name")
-    return session_times(named.orderBy(F.desc("updated_at"), "id"))
+    if user_id is not None:
+        return session_times(named.orderBy(F.desc("updated_at"), "id"))
+    order = ("user_id", F.desc("updated_at"), "id")
+    return session_times(written(named, "listing").repartitionByRange(*order).sortWithinPartitions(*order))
 
 
 def session_payloads(projects: DataFrame, shares: DataFrame, profiles: DataFrame, user_id: str | None = None) -> DataFrame:
@@ -81,3 +86,21 @@ def known_users(
     return known.select("user_id", "display_name").orderBy("display_name", "user_id").limit(limit)
 
 
+def known_users_for(
+    projects: DataFrame, shares: DataFrame, profiles: DataFrame, asks: DataFrame, limit: int = SUGGESTION_LIMIT
+) -> DataFrame:
+    """`known_users` for many asks (ask_id, prefix) at once, each with its rank.
+
+    Users are keyed by those beginnings of name and id that have the length of an asked prefix; a key that nobody asks for
+    goes before the first users of each are chosen, and the choice starts on the map side.
+    """
+    known = profiles.filter(has_real_name()).join(user_ids(projects, shares), "user_id", "left_semi").select("user_id", "display_name")
+    wanted = asks.select("ask_id", F.lower(trim_ws(F.coalesce("prefix", F.lit("")))).alias("prefix"))
+    asked = wanted.select("prefix").distinct()
+    lengths = asked.agg(F.collect_set(F.char_length("prefix")).alias("lengths"))
+    beginnings = lambda text: F.transform(F.filter("lengths", lambda n: n <= F.char_length(text)), lambda n: F.left(text, n))
+    keyed = known.withColumn("lengths", lengths.scalar())
+    keyed = keyed.select("user_id", "display_name", F.explode(F.array_distinct(F.flatten(F.transform(F.array(F.lower("display_name"), F.lower("user_id")), beginnings)))).alias("prefix"))
+    ordered = Window.partitionBy("prefix").orderBy("display_name", "user_id")
+    first = keyed.join(asked, "prefix", "left_semi").withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= limit)
+    return wanted.join(first, "prefix").select("ask_id", "rank", "user_id", "display_name")

@@ -208,3 +208,14 @@ def test_lengths_are_those_of_the_reduced_texts(spark, files):
             assert lengths[r["file_name"]][f"len_{level}"] == utf16(r["content"]), (level, r["file_name"])
     plan = reduction.file_lengths(frame)._jdf.queryExecution().optimizedPlan().toString()
     assert "more data rows" not in plan and "array_join" not in plan
+
+
+def test_many_searches_at_once_equal_one_by_one(spark):
+    names = ["Orders.id", "orders.Order Id", "a.b", "x.ab", "x.é%_", "x.aaa"]
+    columns = spark.createDataFrame([("0", "source", f, *n.split(".")) for n in names for f in ("one", "two")], "request_id string, side string, file_name string, table_name string, column_name string")
+    queries = ["", "  ", None, "o", "ID", "r i", "orders.", "aaa", "aaaa", "%_", "É%", "zzz", ".", "order id", "ab", "aab"]
+    searches = spark.createDataFrame(list(enumerate(queries)), "search_id int, query string")
+    got = sorted((r["search_id"], r["file_name"], r["qualified"]) for r in catalog.search_columns_for(columns, searches).collect())
+    want = sorted((i, r["file_name"], r["qualified"]) for i, q in enumerate(queries) for r in catalog.search_columns(columns, q or "").collect())
+    assert got == want
+    assert catalog.search_columns_for(columns.limit(0), searches).count() == 0 and catalog.search_columns_for(columns, searches.limit(0)).count() == 0

@@ -68,3 +68,24 @@ def test_file_work_does_not_shuffle(spark):
     for name in ("a9_header_columns", "a13_file_statistics", "c3_c4_reduce_all_levels", "s5_delimited_scan"):
         plan = plan_of(entry.queries()[name](spark, SF_DIR))
         assert "hashpartitioning" not in plan and "rangepartitioning" not in plan, name
+
+
+@pytest.mark.parametrize(
+    "name,scans,exchanges,sorts",
+    [("m8_coverage", 10, 10, 4), ("e1_e5_all_edits", 4, 6, 0), ("j6_share_suggestions", 3, 3, 2), ("w2_patch_sessions", 5, 5, 0)],
+)
+def test_plans_stay_small(spark, name, scans, exchanges, sorts):
+    """Scans, hash exchanges and sort aggregates before adaptive execution."""
+    plan = plan_of(registry.queries()[name](spark, SF_DIR))
+    assert plan.count("Scan parquet") <= scans and plan.count("Exchange hashpartitioning") <= exchanges and plan.count("SortAggregate") <= sorts
+
+
+def test_bulk_lookups_join_on_keys(spark):
+    for name in ("a12_bulk_search", "l4_known_users_bulk", "m2_spelling_and_order"):
+        plan = plan_of(registry.queries()[name](spark, SF_DIR))
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" in plan, name
+
+
+def test_the_listing_of_all_users_is_in_order(spark):
+    rows = [(r["user_id"], r["updated_at"]) for r in registry.queries()["l1_session_list"](spark, SF_DIR).collect()]
+    assert all(a[0] < b[0] or (a[0] == b[0] and a[1] >= b[1]) for a, b in zip(rows, rows[1:]))

@@ -50,6 +50,18 @@ def test_known_users_need_a_real_name(tables):
     assert plans.known_users(*tables, prefix="x").count() == 0
 
 
+def test_known_users_for_many_asks_equal_one_by_one(spark, tables):
+    projects, shares, _ = tables
+    names = [("ann", "Ann"), ("bob", "anna"), ("eve", "Bert"), ("kim", "kim"), ("zoe", "Éva")]
+    profiles = spark.createDataFrame([(u, n, T0) for u, n in names], "user_id string, display_name string, last_updated timestamp_ntz")
+    shares = shares.union(spark.createDataFrame([("s9", "p1", "zoe", "viewer", T0), ("s8", "p1", "kim", "viewer", T0)], shares.schema))
+    prefixes = ["", None, " A", "ann", "anna", "annas", "b", "E", "é", "kim", "bo"]
+    asks = spark.createDataFrame(list(enumerate(prefixes)), "ask_id int, prefix string")
+    got = sorted(map(tuple, plans.known_users_for(projects, shares, profiles, asks, limit=2).collect()))
+    want = sorted((i, k, r["user_id"], r["display_name"]) for i, p in enumerate(prefixes) for k, r in enumerate(plans.known_users(projects, shares, profiles, p, 2).collect(), 1))
+    assert got == want
+
+
 def patches(spark, *rows):
     cols = ("id", "user_id", "seq", "name", "source_files_json", "target_files_json", "chat_history_json", "current_mapping_json", "rules_json")
     schema = ", ".join(f"{c} {'int' if c == 'seq' else 'string'}" for c in cols)

@@ -51,10 +51,11 @@ SELECT request_id, side, file_name, CAST(length(content) AS BIGINT) AS n_chars,
 
 
 def _written_files(spark, sf):
-    """Part names as lines of text files: one folder for each of five groups, all files with the same name."""
+    """Part names as lines of text files: a folder for every hundred parts. Tasks write many folders each, with files of
+    one name in all of them."""
     path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
     part = table(spark, sf, "part")
-    part.select(F.col("p_name").alias("value"), (F.col("p_partkey") % 5).alias("folder")).coalesce(1).write.partitionBy("folder").text(path)
+    part.select(F.col("p_name").alias("value"), F.floor(F.col("p_partkey") / 100).alias("folder")).repartition("folder").write.partitionBy("folder").text(path)
     return path + "/*"
 
 
@@ -68,7 +69,7 @@ def s1_whole_files(spark, sf):
     return found.select(_folder(), F.col("file_name").isNotNull().alias("named"), F.char_length("content").cast("bigint").alias("n_chars"))
 
 
-S1_WHOLE = "SELECT CAST(p_partkey % 5 AS VARCHAR) AS folder, true AS named, CAST(sum(length(p_name) + 1) AS BIGINT) AS n_chars FROM part GROUP BY 1"
+S1_WHOLE = "SELECT CAST(p_partkey // 100 AS VARCHAR) AS folder, true AS named, CAST(sum(length(p_name) + 1) AS BIGINT) AS n_chars FROM part GROUP BY 1"
 
 
 def s1_file_lines(spark, sf):
@@ -79,7 +80,7 @@ def s1_file_lines(spark, sf):
     return each.join(heads, "folder")
 
 
-S1_LINES = """SELECT CAST(p_partkey % 5 AS VARCHAR) AS folder, count(*) AS n_lines, CAST(sum(length(p_name)) AS BIGINT) AS n_chars, CAST(least(3, count(*)) AS BIGINT) AS n_head FROM part GROUP BY 1"""
+S1_LINES = """SELECT CAST(p_partkey // 100 AS VARCHAR) AS folder, count(*) AS n_lines, CAST(sum(length(p_name)) AS BIGINT) AS n_chars, CAST(least(3, count(*)) AS BIGINT) AS n_head FROM part GROUP BY 1"""
 
 
 def s5_delimited_scan(spark, sf):
@@ -311,6 +312,25 @@ A12 = f"""SELECT file_name, table_name || '.' || column_name AS qualified, ordin
 WHERE contains(lower(table_name || '.' || column_name), '_wi')"""
 
 
+def _searches(spark, sf):
+    """Pieces of part names of several lengths, some of them in upper case or blank, as searches of many users."""
+    part = table(spark, sf, "part")
+    key = F.col("p_partkey")
+    piece = F.substring("p_name", (key % 4 + 1).cast("int"), (key % 6).cast("int"))
+    return part.filter("p_partkey % 10 < 9").select(key.alias("search_id"), F.when(key % 2 == 0, F.upper(piece)).otherwise(F.concat(F.lit(" "), piece)).alias("query"))
+
+
+def a12_bulk_search(spark, sf):
+    """All searches against the catalogue at once: how many columns each finds, and the first of them."""
+    found = catalog.search_columns_for(catalog.list_columns(schema_documents(spark, sf)), _searches(spark, sf))
+    return found.groupBy("search_id").agg(F.count("*").alias("n_found"), F.min("qualified").alias("first_found"))
+
+
+A12_BULK = f"""WITH names AS (SELECT table_name || '.' || column_name AS qualified, count(*) AS n FROM ({A6}) GROUP BY 1),
+q AS (SELECT p_partkey AS search_id, lower(trim(substring(p_name, p_partkey % 4 + 1, p_partkey % 6))) AS wanted FROM part WHERE p_partkey % 10 < 9)
+SELECT search_id, CAST(sum(n) AS BIGINT) AS n_found, min(qualified) AS first_found FROM q JOIN names ON contains(lower(qualified), wanted) GROUP BY 1"""
+
+
 def a13_file_statistics(spark, sf):
     stats = files.file_statistics(raw_files(spark, sf))
     return stats.select("file_name", F.col("n_columns").cast("bigint").alias("n_columns"), F.col("n_rows").cast("bigint").alias("n_rows"))
@@ -356,6 +376,7 @@ QUERIES = {
     "a10_dictionary_columns": (a10_dictionary_columns, A10),
     "a11_text_schema_columns": (a11_text_schema_columns, A11),
     "a12_catalog_search": (a12_catalog_search, A12),
+    "a12_bulk_search": (a12_bulk_search, A12_BULK),
     "a13_file_statistics": (a13_file_statistics, A13),
     "a14_numbered_preview": (a14_numbered_preview, A14),
     "c1_token_estimate": (c1_token_estimate, C1),

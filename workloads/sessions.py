@@ -177,6 +177,24 @@ def l4_known_users_prefix(spark, sf):
 L4_PREFIX = f"""WITH {TABLES} {_known("AND (starts_with(lower(display_name), 'customer#0000001') OR starts_with(lower(user_id), 'customer#0000001'))")}"""
 
 
+def l4_known_users_bulk(spark, sf):
+    """Beginnings of names and ids typed by every third customer."""
+    c = table(spark, sf, "customer").filter("c_custkey % 3 = 0")
+    key = F.col("c_custkey")
+    typed = F.when(key % 2 == 0, F.upper(F.left("c_name", 9 + (key % 10).cast("int")))).otherwise(F.concat(F.lit(" "), F.left(key.cast("string"), F.lit(2))))
+    asks = c.select(key.alias("ask_id"), F.when(key % 5 != 0, typed).otherwise(" ").alias("prefix"))
+    found = plans.known_users_for(*_all(spark, sf), asks)
+    return found.select("ask_id", F.col("rank").cast("bigint").alias("rank"), "user_id", "display_name")
+
+
+L4_BULK = f"""WITH {TABLES}, k AS (SELECT user_id, display_name FROM profiles WHERE trim(display_name) <> '' AND display_name <> user_id
+  AND user_id IN (SELECT owner_user_id FROM projects UNION SELECT shared_with_user_id FROM shares)),
+asks AS (SELECT c_custkey AS ask_id, lower(trim(CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN left(c_name, 9 + c_custkey % 10) ELSE left(CAST(c_custkey AS VARCHAR), 2) END)) AS prefix
+  FROM customer WHERE c_custkey % 3 = 0)
+SELECT ask_id, row_number() OVER (PARTITION BY ask_id ORDER BY display_name, user_id) AS rank, user_id, display_name
+FROM asks JOIN k ON starts_with(lower(display_name), prefix) OR starts_with(lower(user_id), prefix) QUALIFY rank <= 30"""
+
+
 def j1_shared_projects(spark, sf):
     p, s, _ = _all(spark, sf)
     return sessions.shared_sessions(p, s).select("user_id", "id", "name", "is_owner")
@@ -477,6 +495,7 @@ QUERIES = {
     "l3_owner_shares": (l3_owner_shares, L3),
     "l4_o3_known_users": (l4_known_users, L4),
     "l4_known_users_prefix": (l4_known_users_prefix, L4_PREFIX),
+    "l4_known_users_bulk": (l4_known_users_bulk, L4_BULK),
     "j1_shared_projects": (j1_shared_projects, J1),
     "j2_owner_names": (j2_owner_names, J2),
     "j3_visible_sessions": (j3_visible_sessions, J3),
