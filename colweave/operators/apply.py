@@ -1,11 +1,19 @@
-"""Applying a mapping to data: rules are Spark SQL expressions over the source DataFrame."""
+"""Applying a mapping to data: rules are Spark SQL expressions over the source DataFrame, or queries over source tables.
+
+What a rule may do is decided on its analysed plan. An expression has to be a projection of its table that gives one value
+for each row, the same in every run; so generators, windows, subqueries and values of the moment are refused, however they
+are written, and any other function is allowed. A query may filter, join on a condition, group, and unite its registered
+tables, and has to give one row for each key of the target.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colweave.functions.confidence import column_part, is_mapped, table_part
@@ -13,23 +21,34 @@ from colweave.functions.confidence import column_part, is_mapped, table_part
 # Type names and calls of the rule language that Spark spells differently.
 TYPE_ALIASES = {"VARCHAR": "STRING", "DATETIME": "TIMESTAMP"}
 AGGREGATES = ("COUNT", "SUM", "AVG", "MIN", "MAX")
-# Calls a rule may make: they give one value for each row, and the same one in every run.
-ALLOWED_CALLS = frozenset(
-    "abs add_months array array_contains array_join base64 bigint bin bit_length boolean btrim cast ceil ceiling char char_length"
-    " character_length chr coalesce concat concat_ws contains conv convert crc32 date date_add date_diff date_format date_from_unix_date"
-    " date_sub date_trunc dateadd datediff day dayofmonth dayofweek dayofyear decimal decode double element_at elt encode endswith exp"
-    " extract find_in_set float floor format_number format_string from_unixtime from_utc_timestamp get_json_object greatest hash hex hour"
-    " if ifnull initcap instr int isnan isnotnull isnull last_day lcase least left length levenshtein ln locate log log10 log2 lower lpad"
-    " ltrim make_date make_timestamp map mask md5 minute mod month months_between named_struct nanvl negative next_day nullif nvl nvl2"
-    " octet_length overlay position pow power printf quarter regexp_extract regexp_like regexp_replace regexp_substr repeat replace reverse"
-    " right rint round rpad rtrim second sha sha1 sha2 sign signum smallint soundex split split_part sqrt startswith string struct substr"
-    " substring substring_index timestamp timestamp_micros timestamp_millis timestamp_seconds tinyint to_char to_date to_json to_number"
-    " to_timestamp to_utc_timestamp translate trim trunc try_add try_cast try_divide try_element_at try_multiply try_subtract"
-    " try_to_number try_to_timestamp ucase unbase64 unhex unix_date unix_timestamp upper weekday weekofyear when xxhash64 year".split()
-)
+# Calls that the text of a rule may make where no table is at hand to analyse it: one value for each row, the same in every run.
+ALLOWED_CALLS = frozenset((
+    "abs", "add_months", "array", "array_contains", "array_join", "base64", "bigint", "bin", "bit_length", "boolean",
+    "btrim", "cast", "ceil", "ceiling", "char", "char_length", "character_length", "chr", "coalesce", "concat",
+    "concat_ws", "contains", "conv", "convert", "crc32", "date", "date_add", "date_diff", "date_format",
+    "date_from_unix_date", "date_sub", "date_trunc", "dateadd", "datediff", "day", "dayofmonth", "dayofweek",
+    "dayofyear", "decimal", "decode", "double", "element_at", "elt", "encode", "endswith", "exp", "extract",
+    "find_in_set", "float", "floor", "format_number", "format_string", "from_unixtime", "from_utc_timestamp",
+    "get_json_object", "greatest", "hash", "hex", "hour", "if", "ifnull", "initcap", "instr", "int", "isnan",
+    "isnotnull", "isnull", "last_day", "lcase", "least", "left", "length", "levenshtein", "ln", "locate", "log",
+    "log10", "log2", "lower", "lpad", "ltrim", "make_date", "make_timestamp", "map", "mask", "md5", "minute", "mod",
+    "month", "months_between", "named_struct", "nanvl", "negative", "next_day", "nullif", "nvl", "nvl2",
+    "octet_length", "overlay", "position", "pow", "power", "printf", "quarter", "regexp_extract", "regexp_like",
+    "regexp_replace", "regexp_substr", "repeat", "replace", "reverse", "right", "rint", "round", "rpad", "rtrim",
+    "second", "sha", "sha1", "sha2", "sign", "signum", "smallint", "soundex", "split", "split_part", "sqrt",
+    "startswith", "string", "struct", "substr", "substring", "substring_index", "timestamp", "timestamp_micros",
+    "timestamp_millis", "timestamp_seconds", "tinyint", "to_char", "to_date", "to_json", "to_number", "to_timestamp",
+    "to_utc_timestamp", "translate", "trim", "trunc", "try_add", "try_cast", "try_divide", "try_element_at",
+    "try_multiply", "try_subtract", "try_to_number", "try_to_timestamp", "ucase", "unbase64", "unhex", "unix_date",
+    "unix_timestamp", "upper", "weekday", "weekofyear", "when", "xxhash64", "year",
+))
 # Words before a parenthesis that are no calls, and values that differ between runs without one.
-OPERATORS = frozenset("and or not in like rlike ilike between is case when then else end from for as distinct varchar decimal numeric array map struct".split())
-CHANGING_WORDS = frozenset("current_timestamp current_date current_time current_user localtimestamp now session_user user current_timezone".split())
+OPERATORS = frozenset((
+    "and", "or", "not", "in", "like", "rlike", "ilike", "between", "is", "case", "when", "then", "else", "end", "from", "for", "as", "distinct", "varchar", "decimal", "numeric", "array", "map", "struct",
+))
+CHANGING_WORDS = frozenset((
+    "current_timestamp", "current_date", "current_time", "current_user", "localtimestamp", "now", "session_user", "user", "current_timezone",
+))
 
 
 class MappingError(ValueError):
@@ -81,11 +100,14 @@ def to_spark_sql(rule: str) -> str:
 
 
 def check_rule(rule: str, grouped: bool = False) -> None:
-    """Refuse what a column rule may not do: query other tables, differ between runs, or change the row count.
+    """Refuse by its text what a column rule may not do: query other tables, differ between runs, or change the row count.
 
-    Calls must be on the list of allowed ones; aggregates are allowed under group keys only. Literals and quoted names are
-    left out, and a bare name is a column whatever keyword it resembles.
+    For rules that are written before their table is known; `check_on` decides where it is. Calls must be on the list of
+    allowed ones, quoted or not; aggregates are allowed under group keys only. Literals and quoted names are left out, and
+    a bare name is a column whatever keyword it resembles.
     """
+    if re.search(r"[`\"]\s*\(", re.sub(r"'(?:[^'\\]|''|\\.)*'", "''", rule)):
+        raise MappingError(f"a quoted name cannot be called: {rule}")
     bare = " ".join(re.split(r"""'(?:[^'\\]|''|\\.)*'|`[^`]*`|"[^"]*\"""", rule))
     if re.search(r"\bSELECT\b|;|--|/\*", bare, re.IGNORECASE):
         raise MappingError(f"a rule cannot be a query: {rule}")
@@ -101,6 +123,139 @@ def check_rule(rule: str, grouped: bool = False) -> None:
             raise MappingError(f"{word} differs between runs: {rule}")
 
 
+# ---- analysed plans -------------------------------------------------------------------------------------------------
+
+# Expressions whose value depends on when, where or by whom a query is run, though Spark folds them within one run.
+OF_THE_MOMENT = frozenset((
+    "CurrentTimestamp", "Now", "CurrentDate", "CurrentTime", "CurDateExpressionBuilder", "LocalTimestamp", "CurrentTimeZone", "CurrentUser", "SessionUser",
+    "CurrentDatabase", "CurrentCatalog", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "SparkPartitionID", "MonotonicallyIncreasingID",
+))
+SUBQUERIES = frozenset(("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery", "DynamicPruningSubquery"))
+
+
+def _seq(items) -> list:
+    return [items.apply(i) for i in range(items.length())]
+
+
+def _expressions(root) -> Iterator:
+    yield root
+    for child in _seq(root.children()):
+        yield from _expressions(child)
+
+
+def _faults(node, rule: str) -> None:
+    """Refuse expressions of a plan node that read other tables or differ between runs."""
+    for root in _seq(node.expressions()):
+        if not root.deterministic():
+            raise MappingError(f"its value differs between runs: {rule}")
+        for e in _expressions(root):
+            kind = e.getClass().getSimpleName()
+            if kind in OF_THE_MOMENT:
+                raise MappingError(f"{e.prettyName()} differs between runs: {rule}")
+            if kind in SUBQUERIES:
+                raise MappingError(f"a rule cannot hold a query: {rule}")
+
+
+def check_on(df: DataFrame, *rules: str) -> None:
+    """Refuse rules unless each is, on this table, one value for each row that is the same in every run.
+
+    All are analysed together; where that fails, one by one, to name the rule at fault.
+    """
+    try:
+        plan = df.select(*[F.expr(rule) for rule in rules])._jdf.queryExecution().analyzed()
+        own = df._jdf.queryExecution().analyzed()
+        if plan.nodeName() != "Project" or not plan.children().apply(0).sameResult(own):
+            raise MappingError(f"a rule gives one value for each row, without generators, aggregates and windows: {rules[0]}")
+        _faults(plan, rules[0])
+    except (AnalysisException, ParseException, MappingError) as e:
+        if len(rules) > 1:
+            for rule in rules:
+                check_on(df, rule)
+        if isinstance(e, MappingError):
+            raise
+        raise MappingError(f"{rules[0]}: {e}") from e
+
+
+@dataclass(frozen=True)
+class QueryRule:
+    """A target column filled by a query over registered tables, which gives the keys and, last, the value."""
+
+    target: str
+    query: str
+    keys: tuple[str, ...]
+
+
+# Plan nodes a query may consist of, and why others are refused.
+QUERY_NODES = frozenset(("Project", "Filter", "Join", "Aggregate", "Union", "Distinct", "SubqueryAlias", "View", "Subquery"))
+REFUSED_NODES = {
+    "Sort": "a target table has no order (ORDER BY)",
+    "GlobalLimit": "rows would be lost (LIMIT)",
+    "LocalLimit": "rows would be lost (LIMIT)",
+    "Offset": "rows would be lost (OFFSET)",
+    "Tail": "rows would be lost (TAIL)",
+    "Sample": "rows would be lost (TABLESAMPLE)",
+    "Window": "windows are not part of the rule language",
+    "Generate": "generators change the number of rows",
+}
+
+
+def _check_query(node, tables: set[str], rule: str) -> None:
+    kind = node.nodeName()
+    if kind in REFUSED_NODES:
+        raise MappingError(f"{REFUSED_NODES[kind]}: {rule}")
+    if kind not in QUERY_NODES:
+        raise MappingError(f"only the registered tables can be read ({kind}): {rule}")
+    if kind == "SubqueryAlias" and node.children().apply(0).nodeName() == "View" and node.alias() in tables:
+        return
+    if kind == "Join" and node.condition().isEmpty():
+        raise MappingError(f"a join needs a condition (ON): {rule}")
+    _faults(node, rule)
+    children = _seq(node.children())
+    if not children:
+        raise MappingError(f"only the registered tables can be read ({kind}): {rule}")
+    for child in children:
+        _check_query(child, tables, rule)
+
+
+def checked_query(spark: SparkSession, tables: dict[str, DataFrame], query: str) -> DataFrame:
+    """A query over the tables under their names, refused unless its plan is made of what a rule may do."""
+    taken = [name for name in tables if spark.catalog.tableExists(name)]
+    if taken:
+        raise MappingError(f"the session already has tables named {taken}")
+    try:
+        for name, df in tables.items():
+            df.createTempView(name)
+        result = spark.sql(to_spark_sql(query))
+        plan = result._jdf.queryExecution().analyzed()
+    except (AnalysisException, ParseException) as e:
+        raise MappingError(f"{query}: {e}") from e
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+    _check_query(plan, set(tables), query)
+    return result
+
+
+def query_mapping(rows: DataFrame, tables: dict[str, DataFrame], rules: list[QueryRule]) -> DataFrame:
+    """Target rows with columns filled by queries, looked up by key; a key without a row gets null.
+
+    A query that gives a key more than one row fails, when it runs, instead of multiplying the target's rows.
+    """
+    _refuse_repeated([r.target for r in rules])
+    for rule in rules:
+        found = checked_query(rows.sparkSession, tables, rule.query)
+        if len(found.columns) != len(rule.keys) + 1:
+            raise MappingError(f"a query gives its keys and one value: {rule.query}")
+        found = found.toDF(*[f"_key{i}" for i in range(len(rule.keys))], "_value")
+        each = found.groupBy(*found.columns[:-1]).agg(F.count("*").alias("_n"), F.min("_value").alias("_value"))
+        message = F.lit(f"the rule of {rule.target} gives a key several rows")
+        value = F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col("_value"))
+        same = [rows[quote_name(k)] == F.col(f"_key{i}") for i, k in enumerate(rule.keys)]
+        kept = [rows[quote_name(c)] for c in rows.columns if c != rule.target]
+        rows = rows.join(each, same, "left").select(*kept, value.alias(rule.target))
+    return rows
+
+
 def quote_name(qualified: str) -> str:
     return ".".join(f"`{part}`" for part in qualified.split("."))
 
@@ -145,8 +300,8 @@ def project_mapping(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
     One narrow select: filters and column pruning reach the scan, and nothing shuffles.
     """
-    for rule in rules:
-        check_rule(rule.expression)
+    if rules:
+        check_on(df, *[r.expression for r in rules])
     _refuse_repeated([r.target for r in rules])
     return df.select(*[_typed(r).alias(r.target) for r in rules])
 
@@ -158,8 +313,8 @@ def chain_mapping(df: DataFrame, rules: list[Rule]) -> DataFrame:
     Spark accepts silently, are refused.
     """
     for rule in rules:
-        check_rule(rule.expression)
         if rule.source is None:
+            check_on(df, rule.expression)
             df = df.withColumn(rule.target, _typed(rule))
             continue
         source = rule.source.split(".")[-1]

@@ -174,6 +174,68 @@ def test_safe_rules_pass(rule):
     apply.check_rule(rule)
 
 
+@pytest.mark.parametrize(
+    "rule",
+    ["`explode`(split(x,' '))", "`first`(x)", "`rand`()", "`current_timestamp`()", "now()", "current_date", "sum(n)", "uuid()", "row_number() over (order by x)", "(select 1)", "x, n", "missing + 1", "stack(2, 1, 2)", "input_file_name()", "monotonically_increasing_id()"],
+)
+def test_rules_are_checked_on_their_analysed_plan(spark, rule):
+    df = spark.createDataFrame([("a b", 1), ("c d", 2)], "x string, n int")
+    with pytest.raises(apply.MappingError):
+        apply.project_mapping(df, [apply.Rule("ok", "n"), apply.Rule("t", rule)])
+    with pytest.raises(apply.MappingError):
+        apply.chain_mapping(df, [apply.Rule("t", rule)])
+
+
+@pytest.mark.parametrize("rule", ["`explode`(split(x,' '))", "`first`(x)", "`rand`()", '"rand"()'])
+def test_quoted_names_cannot_be_called(rule):
+    with pytest.raises(apply.MappingError):
+        apply.check_rule(rule)
+
+
+def test_harmless_functions_pass_on_a_table(spark):
+    df = spark.createDataFrame([("a b", 1)], "x string, n int")
+    rules = [apply.Rule("t", "array_join(transform(split(x, ' '), w -> upper(w)), '-')"), apply.Rule("m", "aggregate(sequence(1, n), 0, (a, b) -> a + b)")]
+    assert [tuple(r) for r in apply.project_mapping(df, rules).collect()] == [("A-B", 1)]
+
+
+def test_every_keyword_of_the_rule_editor_is_accepted_or_refused_with_a_reason():
+    from workloads import mapping as workload
+
+    shown = [r.query for r in workload.QUERY_RULES] + list(workload.REFUSED_QUERIES)
+    scalar = "CONVERT(VARCHAR, p_partkey) UPPER TRIM LOWER SUBSTRING LIKE NOT NULL REPLACE BIGINT INTEGER DECIMAL DOUBLE BOOLEAN TRUE DATETIME COALESCE"
+    aggregate = "COUNT SUM MAX MIN AVG DISTINCT"
+    types = "INT FLOAT DATE TIMESTAMP STRING FALSE"
+    keywords = (
+        "SELECT", "FROM", "WHERE", "AS", "CAST", "COALESCE", "CONCAT", "TRIM", "UPPER", "LOWER", "SUBSTRING", "CASE", "WHEN", "THEN", "ELSE", "END", "AND", "OR", "NOT", "NULL",
+        "IS", "IN", "LIKE", "BETWEEN", "JOIN", "LEFT", "RIGHT", "INNER", "ON", "GROUP", "BY", "ORDER", "HAVING", "LIMIT", "OFFSET", "UNION", "ALL", "DISTINCT", "COUNT", "SUM",
+        "AVG", "MIN", "MAX", "REPLACE", "CONVERT", "VARCHAR", "INT", "INTEGER", "BIGINT", "FLOAT", "DOUBLE", "DECIMAL", "DATE", "DATETIME", "TIMESTAMP", "STRING", "BOOLEAN", "TRUE", "FALSE",
+    )
+    words = set(" ".join([*shown, scalar, aggregate, types, "CAST OR"]).replace("(", " ").replace(")", " ").replace(",", " ").split())
+    assert len(keywords) == 59 and set(keywords) <= words
+
+
+@pytest.mark.parametrize("kind", ["INT", "FLOAT", "DATE", "TIMESTAMP", "STRING", "BIGINT", "VARCHAR", "DATETIME"])
+def test_type_names_of_the_editor_work(spark, kind):
+    df = spark.createDataFrame([("2024",)], "x string")
+    out = apply.project_mapping(df, [apply.Rule("t", apply.to_spark_sql(f"CONVERT({kind}, x) IS NOT NULL AND NOT FALSE"))])
+    assert out.first()[0] is True
+
+
+def test_query_rules_give_one_row_for_each_key(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, keep string")
+    lines = spark.createDataFrame([(1, 10), (1, 20), (2, 5)], "k int, v int")
+    made = apply.query_mapping(rows, {"lines": lines}, [apply.QueryRule("total", "SELECT k, SUM(v) FROM lines GROUP BY k", ("k",)), apply.QueryRule("keep", "SELECT k, 'n' || v FROM lines WHERE v = 5", ("k",))])
+    assert sorted(map(tuple, made.collect()), key=lambda r: r[0]) == [(1, 30, None), (2, 5, "n5"), (3, None, None)] and made.columns == ["k", "total", "keep"]
+    several = apply.query_mapping(rows, {"lines": lines}, [apply.QueryRule("v", "SELECT k, v FROM lines", ("k",))])
+    with pytest.raises(Exception, match="several rows"):
+        several.collect()
+    assert not spark.catalog.tableExists("lines")
+    with pytest.raises(apply.MappingError, match="cannot be found"):
+        apply.checked_query(spark, {"lines": lines}, "SELECT k, v FROM elsewhere")
+    with pytest.raises(apply.MappingError, match="keys and one value"):
+        apply.query_mapping(rows, {"lines": lines}, [apply.QueryRule("v", "SELECT k FROM lines", ("k",))])
+
+
 def test_rules_on_columns_named_like_keywords(spark):
     df = spark.createDataFrame([(1, "a "), (2, None)], "offset int, `from` string")
     out = apply.project_mapping(df, [apply.Rule("n", "offset + 1"), apply.Rule("t", "upper(trim(`from`))"), apply.Rule("c", apply.quote_name("offset"))])

@@ -120,6 +120,69 @@ X4_AGG = """SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n,
   min(l_quantity) AS smallest, round(avg(l_quantity), 6) AS mean, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY ALL"""
 
 
+# Rules that are queries: columns of the parts table filled from its lines and suppliers.
+QUERY_RULES = (
+    apply.QueryRule(
+        "sold",
+        "SELECT p.p_partkey, SUM(l.l_quantity) FROM lineitem AS l INNER JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_discount BETWEEN 0.01 AND 0.09 "
+        "GROUP BY p.p_partkey HAVING COUNT(*) > 2",
+        ("p_partkey",),
+    ),
+    apply.QueryRule(
+        "last_flag",
+        "SELECT p.p_partkey, MAX(CASE WHEN l.l_returnflag IS NULL THEN 'none' ELSE LOWER(l.l_returnflag) END) FROM lineitem l RIGHT JOIN part p "
+        "ON l.l_partkey = p.p_partkey AND NOT l.l_linestatus = 'F' GROUP BY p.p_partkey",
+        ("p_partkey",),
+    ),
+    apply.QueryRule(
+        "size_class",
+        "SELECT p_partkey, 'small' FROM part WHERE p_size < 10 UNION ALL SELECT p_partkey, CONCAT('size ', CONVERT(VARCHAR, p_size)) FROM part WHERE p_size >= 10 AND p_size IN (10, 20, 30)",
+        ("p_partkey",),
+    ),
+    apply.QueryRule(
+        "lines",
+        "SELECT p.p_partkey, COALESCE(COUNT(DISTINCT l.l_orderkey), 0) FROM part p LEFT JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem UNION SELECT l_orderkey, l_partkey FROM lineitem) l "
+        "ON l.l_partkey = p.p_partkey GROUP BY p.p_partkey",
+        ("p_partkey",),
+    ),
+)
+# Query rules that are refused, and why.
+REFUSED_QUERIES = {
+    "SELECT p_partkey, p_name FROM part ORDER BY p_name": "no order",
+    "SELECT p_partkey, p_name FROM part LIMIT 5": "rows would be lost",
+    "SELECT p_partkey, p_name FROM part OFFSET 5": "rows would be lost",
+    "SELECT p.p_partkey, l_quantity FROM part p, lineitem": "needs a condition",
+    "SELECT p_partkey, explode(split(p_name, ' ')) FROM part": "generators",
+    "SELECT p_partkey, `rand`() FROM part": "differs between runs",
+    "SELECT p_partkey, current_date() FROM part": "differs between runs",
+    "SELECT p_partkey, row_number() OVER (ORDER BY p_name) FROM part": "windows",
+    "SELECT p_partkey, (SELECT MAX(l_quantity) FROM lineitem) FROM part": "cannot hold a query",
+    "SELECT id, id FROM range(5)": "only the registered tables",
+}
+
+
+def x4_query_rules(spark, sf):
+    """Rules with joins, groups and unions fill columns of every part; what may not be a rule is refused on the same tables."""
+    tables = {"part": table(spark, sf, "part"), "lineitem": table(spark, sf, "lineitem")}
+    for query, reason in REFUSED_QUERIES.items():
+        try:
+            apply.checked_query(spark, tables, query)
+        except apply.MappingError as e:
+            if reason not in str(e):
+                raise
+        else:
+            raise AssertionError(f"accepted: {query}")
+    rows = tables["part"].select("p_partkey")
+    return apply.query_mapping(rows, tables, list(QUERY_RULES))
+
+
+X4_QUERIES = """SELECT p_partkey,
+  (SELECT CASE WHEN count(*) > 2 THEN sum(l_quantity) END FROM lineitem WHERE l_partkey = p_partkey AND l_discount BETWEEN 0.01 AND 0.09) AS sold,
+  (SELECT coalesce(max(lower(l_returnflag)), 'none') FROM lineitem WHERE l_partkey = p_partkey AND l_linestatus <> 'F') AS last_flag,
+  CASE WHEN p_size < 10 THEN 'small' WHEN p_size IN (10, 20, 30) THEN 'size ' || p_size END AS size_class,
+  (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_partkey = p_partkey) AS lines FROM part"""
+
+
 def x5_cast_failures(spark, sf):
     rules = [
         apply.Rule("priority", "substring(o_orderpriority, 1, 1)", "int"), apply.Rule("label", "o_orderpriority", "int"),
@@ -528,6 +591,7 @@ QUERIES = {
     "x2_chain_mapping": (x2_chain_mapping, X2),
     "x3_multi_source_mapping": (x3_multi_source_mapping, X3),
     "x4_rule_language": (x4_rule_language, X4),
+    "x4_query_rules": (x4_query_rules, X4_QUERIES),
     "x4_aggregate_rules": (x4_aggregate_rules, X4_AGG),
     "x5_cast_failures": (x5_cast_failures, X5),
     "n13_u3_merge_duplicates": (n13_merge_duplicates, N13),
