@@ -99,6 +99,32 @@ def to_spark_sql(rule: str) -> str:
     return text
 
 
+def _nested(depth: int) -> str:
+    """Text with balanced parentheses up to a depth, and literals."""
+    inner = rf"|\((?:{_nested(depth - 1)})*+\)" if depth else ""
+    return rf"[^()']|'(?:[^']|'')*+'{inner}"
+
+
+LITERAL = r"'(?:[^']|'')*+'"
+CONVERT_CALL = rf"(?i)\bCONVERT\s*\(\s*(\w+(?:\s*\([\d\s,]*\))?)\s*,\s*((?:{_nested(6)})*+)\)"
+NESTED_CONVERTS = 4
+
+
+def spark_spelling(rule: Column) -> Column:
+    """`to_spark_sql` for a column of rules, for calls nested up to four times with six levels of parentheses.
+
+    A rule that has the words inside a literal is left as it is.
+    """
+    words = r"(?i)\b(CONVERT\s*\(|VARCHAR\b|DATETIME\b)"
+    changed = rule
+    for _ in range(NESTED_CONVERTS):
+        changed = F.regexp_replace(changed, CONVERT_CALL, "CAST($2 AS $1)")
+    for name, spark_name in TYPE_ALIASES.items():
+        changed = F.regexp_replace(changed, rf"(?i)\b{name}\b(?!\s*\()", spark_name)
+    quoted = F.exists(F.regexp_extract_all(rule, F.lit(LITERAL), F.lit(0)), lambda x: x.rlike(words))
+    return F.when(rule.rlike(words) & ~quoted, changed).otherwise(rule)
+
+
 def check_rule(rule: str, grouped: bool = False) -> None:
     """Refuse by its text what a column rule may not do: query other tables, differ between runs, or change the row count.
 

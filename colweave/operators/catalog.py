@@ -39,6 +39,11 @@ def list_columns(files: DataFrame) -> DataFrame:
     document order; other valid JSON lists nothing; anything else lists the cells of its first line, split on any of
     the four delimiters.
     """
+    return _explode(*_listed(files))
+
+
+def _listed(files: DataFrame) -> tuple[DataFrame, Column]:
+    """Files with staged columns, and the entries they list by their form."""
     staged = (
         files.withColumn("_doc", strict_json(F.col("content")))
         .withColumn("_columns", F.when(is_object(F.col("_doc")), field(F.col("_doc"), "columns")))
@@ -73,14 +78,19 @@ def list_columns(files: DataFrame) -> DataFrame:
         .when(is_object(doc) & ~F.coalesce(empty_value, F.lit(False)), headers)
         .when(kind(doc) == "array", F.coalesce(keys, F.array().cast(ENTRY)))
     )
-    return _explode(staged, entries.cast(ENTRY))
+    return staged, entries.cast(ENTRY)
 
 
 def list_dictionary_columns(files: DataFrame) -> DataFrame:
     """Columns described by the rows of a data dictionary; cells are picked by their header."""
+    staged, entries = _dictionary(files)
+    return _explode(staged.filter(looks_like_dictionary(F.col("_header"))), entries)
+
+
+def _dictionary(files: DataFrame) -> tuple[DataFrame, Column]:
+    """Files with staged columns, and the entries that their rows describe if they are dictionaries."""
     lines = F.filter(F.split("content", "\r?\n"), lambda line: ~is_blank(line))
     staged = files.withColumn("_lines", lines).withColumn("_header", F.lower(F.try_element_at("_lines", F.lit(1))))
-    staged = staged.filter(looks_like_dictionary(F.col("_header")))
     staged = staged.withColumn("_delim", presence_delimiter(F.col("_header")))
     staged = staged.withColumn("_names", F.transform(split_plain(F.col("_header"), F.col("_delim")), trim_ws))
 
@@ -94,10 +104,11 @@ def list_dictionary_columns(files: DataFrame) -> DataFrame:
 
     has = lambda word: lambda h: F.contains(h, F.lit(word))
     staged = staged.select(
-        *KEYS,
+        *files.columns,
         "_lines",
+        "_header",
         "_delim",
-        base_name(F.col("file_name")).alias("_base"),
+        base_name(F.col("file_name")).alias("_file_base"),
         position(has("table")).alias("_table_at"),
         position(has("column"), has("field"), lambda h: F.contains(h, F.lit("name")) & ~F.contains(h, F.lit("table"))).alias("_column_at"),
         position(has("type")).alias("_type_at"),
@@ -110,10 +121,10 @@ def list_dictionary_columns(files: DataFrame) -> DataFrame:
         nullable = F.when(F.lower(at("_null_at")).isin("true", "yes", "y", "1"), True).when(
             F.lower(at("_null_at")).isin("false", "no", "n", "0"), False
         )
-        return _entry(F.coalesce(at("_table_at"), F.col("_base")), at("_column_at"), at("_type_at"), nullable)
+        return _entry(F.coalesce(at("_table_at"), F.col("_file_base")), at("_column_at"), at("_type_at"), nullable)
 
     rows = F.transform(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0))), row)
-    return _explode(staged, F.filter(rows, lambda e: e["column_name"].isNotNull()))
+    return staged, F.filter(rows, lambda e: e["column_name"].isNotNull())
 
 
 # Fixed formats of free-text schemas: `=== TITLE (table) ===` headings and `name (type, ...)` lines.
@@ -124,7 +135,10 @@ COLUMN_LINE = r"^\s*([A-Za-z_]\w*)\s*\(\s*([A-Za-z]\w*(?:\s*\(\s*\d+(?:\s*,\s*\d
 
 def list_text_columns(files: DataFrame) -> DataFrame:
     """Columns described by free text, one `name (type, ...)` per line under an optional heading per table."""
+    return _explode(files, _free_text())
+
 
+def _free_text() -> Column:
     def columns_of(section: Column) -> Column:
         lines = F.split(section, "\r?\n")
         heading = F.regexp_extract(F.get(lines, F.lit(0)), HEADING, 1)
@@ -135,27 +149,27 @@ def list_text_columns(files: DataFrame) -> DataFrame:
             lambda line: _entry(table, F.regexp_extract(line, COLUMN_LINE, 1), F.regexp_extract(line, COLUMN_LINE, 2)),
         )
 
-    return _explode(files, F.flatten(F.transform(F.split("content", SECTION_START), columns_of)))
+    return F.flatten(F.transform(F.split("content", SECTION_START), columns_of))
 
 
 def described_columns(files: DataFrame) -> DataFrame:
     """Catalogue of what files describe: dictionaries row by row, free-text schemas line by line, the rest by form.
 
-    A text file counts as a free-text schema when one of its lines has the form of a column line.
+    A text file counts as a free-text schema when one of its lines has the form of a column line. All forms are told
+    apart and listed in one pass over the files.
     """
+    staged, listed = _listed(files)
+    staged, described = _dictionary(staged)
     head = F.lower(first_line(F.col("content")))
-    is_json = strict_json(F.col("content")).isNotNull()
     is_dictionary = looks_like_dictionary(head) & F.coalesce(head.rlike("[,;\t]"), F.lit(False))
-    form = F.when(is_json, "listed").when(is_dictionary, "dictionary").when(
-        F.col("content").rlike("(?m)" + COLUMN_LINE), "text"
-    ).otherwise("listed")
-    formed = files.withColumn("_form", form)
-    pick = lambda name: formed.filter(F.col("_form") == name).drop("_form")
-    return (
-        list_columns(pick("listed"))
-        .unionByName(list_dictionary_columns(pick("dictionary")))
-        .unionByName(list_text_columns(pick("text")))
+    entries = (
+        F.when(F.col("_doc").isNotNull(), listed)
+        .when(is_dictionary & looks_like_dictionary(F.col("_header")), described)
+        .when(is_dictionary, F.array().cast(ENTRY))
+        .when(F.col("content").rlike("(?m)" + COLUMN_LINE), _free_text())
+        .otherwise(listed)
     )
+    return _explode(staged, entries.cast(ENTRY))
 
 
 def qualified_names(catalog: DataFrame) -> DataFrame:

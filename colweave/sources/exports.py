@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colweave.functions.confidence import column_part, confidence_percent, is_mapped, table_part
+from colweave.operators.apply import spark_spelling
 from colweave.operators.mapping import (
     detail_rows,
     match_type_or_default,
@@ -117,13 +118,13 @@ def _python_text(c: Column) -> Column:
 
 
 def script_lines(items: DataFrame) -> DataFrame:
-    """One DataFrame call per item: a rule becomes withColumn, a copy renames its first source.
+    """One DataFrame call per item: a rule, in Spark's spelling, becomes withColumn, a copy renames its first source.
 
     The lines belong between SCRIPT_HEAD and SCRIPT_TAIL.
     """
     target = column_part(F.col("target_column"))
     first = F.coalesce(F.nullif(column_part(F.try_element_at("source_columns", F.lit(1))), F.lit("")), target)
-    rule = F.nullif("transformation_rule", F.lit(""))
+    rule = spark_spelling(F.nullif("transformation_rule", F.lit("")))
     call = F.when(
         rule.isNotNull(), F.format_string('    .withColumn("%s", F.expr("%s"))', _python_text(target), _python_text(rule))
     ).otherwise(F.format_string('    .withColumnRenamed("%s", "%s")', _python_text(first), _python_text(target)))

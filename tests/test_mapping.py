@@ -261,6 +261,17 @@ def test_sparse_sequence_numbers_are_spread_over_chunks(spark):
     assert after["source_columns"] == ["c0"] and after["match_type"] == "semantic"  # 10,001 toggles of c0, 10,000 of c1
 
 
+def test_a_column_of_rules_is_spelt_like_single_ones(spark):
+    rules = [
+        "CONVERT(VARCHAR, concat(a, ','))", "convert(decimal(10,2), CONVERT(int, a)) + 1", "CAST(a AS VARCHAR(5))", "upper(CONVERT(VARCHAR, trim(concat(a, (b), 'x)')))) || CONVERT( DATETIME ,b)",
+        "CAST(a AS datetime)", "a + 1", "CONVERT(int, CONVERT(bigint, CONVERT(VARCHAR, a)))", "concat('it''s', CONVERT(VARCHAR, a))", "varchar_column", "converted(a, b)",
+    ]
+    rows = spark.createDataFrame([(r,) for r in rules], "rule string").select("rule", apply.spark_spelling(F.col("rule")).alias("spelt")).collect()
+    assert {r["rule"]: r["spelt"] for r in rows} == {r: apply.to_spark_sql(r) for r in rules}
+    kept = spark.createDataFrame([("concat('CONVERT(VARCHAR, a)', b)",)], "rule string").select(apply.spark_spelling(F.col("rule"))).first()[0]
+    assert kept == "concat('CONVERT(VARCHAR, a)', b)"
+
+
 def test_rule_spelling():
     assert apply.to_spark_sql("CONVERT(VARCHAR, concat(a, ','))") == "CAST(concat(a, ',') AS STRING)"
     assert apply.to_spark_sql("convert(decimal(10,2), CONVERT(int, a)) + 1") == "CAST(CAST(a AS int) AS decimal(10,2)) + 1"

@@ -37,6 +37,8 @@ def cells_sql(line: str, delimiter: str = "delimiter") -> str:
         lambda c: trim(c, {WS}))"""
 
 
+PARTS_PER_FILE = 5
+
 # --- scans -------------------------------------------------------------------------------------------------------
 
 
@@ -140,6 +142,34 @@ SELECT 'customer_' || c_custkey || '.json' AS file_name, path, CAST(depth AS BIG
        CAST(n_children AS BIGINT) AS n_children FROM customer CROSS JOIN shape"""
 
 
+def s7_varied_profile(spark, sf):
+    """Arrays of values of all kinds, one for each part of a file."""
+    part = table(spark, sf, "part")
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    tags = F.to_json(F.split("p_name", " "))
+    value = (
+        F.when(key % 5 == 0, size).when(key % 5 == 1, F.concat(F.lit('"'), "p_type", F.lit('"'))).when(key % 5 == 2, "null")
+        .when(key % 5 == 3, F.concat(F.lit('{"size": '), size, F.lit(', "tags": '), tags, F.lit("}")))
+        .otherwise(F.element_at(F.array(F.lit("[]"), F.lit("{}"), F.lit("true")), (F.col("p_size") % 3 + 1).cast("int")))
+    )
+    files_of = part.groupBy(F.floor(key / PARTS_PER_FILE).cast("bigint").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", value.alias("v")))).alias("vs"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("vs", lambda x: x["v"]), ", "), F.lit("]"))
+    made = files_of.select(F.lit("0").alias("request_id"), F.lit("source").alias("side"), "pos", F.concat(F.lit("v_"), F.col("pos").cast("string"), F.lit(".json")).alias("file_name"), text.alias("content"))
+    nodes = files.profile_json(made)
+    return nodes.select("file_name", "path", F.col("depth").cast("bigint").alias("depth"), "kind", F.col("n_children").cast("bigint").alias("n_children"))
+
+
+S7_VARIED = f"""WITH p AS (SELECT *, p_partkey // {PARTS_PER_FILE} AS g, '$[' || (row_number() OVER (PARTITION BY p_partkey // {PARTS_PER_FILE} ORDER BY p_partkey) - 1) || ']' AS place,
+  string_split(p_name, ' ') AS tags FROM part),
+n AS (SELECT g, '$' AS path, 0 AS depth, 'array' AS kind, count(*) AS n_children FROM p GROUP BY g
+  UNION ALL SELECT g, place, 1, CASE p_partkey % 5 WHEN 0 THEN 'number' WHEN 1 THEN 'string' WHEN 2 THEN 'null' WHEN 3 THEN 'object' ELSE (['array', 'object', 'boolean'])[p_size % 3 + 1] END,
+    CASE WHEN p_partkey % 5 = 3 THEN 2 ELSE 0 END FROM p
+  UNION ALL SELECT g, place || '.size', 2, 'number', 0 FROM p WHERE p_partkey % 5 = 3
+  UNION ALL SELECT g, place || '.tags', 2, 'array', len(tags) FROM p WHERE p_partkey % 5 = 3
+  UNION ALL SELECT g, place || '.tags[' || unnest(range(len(tags))) || ']', 3, 'string', 0 FROM p WHERE p_partkey % 5 = 3)
+SELECT 'v_' || g || '.json' AS file_name, path, CAST(depth AS BIGINT) AS depth, kind, CAST(n_children AS BIGINT) AS n_children FROM n"""
+
+
 # --- file facts --------------------------------------------------------------------------------------------------
 
 
@@ -180,7 +210,6 @@ A5 = f"""WITH lines AS (SELECT page_id, unnest(string_split(html, '>')) AS line
 SELECT page_id, count(*) FILTER (WHERE len(list_filter({KEYWORDS}, lambda k: contains(lower(line), k))) >= 2) AS n_dictionary_lines
 FROM lines GROUP BY page_id"""
 
-PARTS_PER_FILE = 5
 
 
 def _part_files(spark, sf, content, ext):
@@ -365,6 +394,7 @@ QUERIES = {
     "s5_delimited_scan": (s5_delimited_scan, S5),
     "s6_quoted_cells": (s6_quoted_cells, S6),
     "s7_json_profile": (s7_json_profile, S7),
+    "s7_varied_profile": (s7_varied_profile, S7_VARIED),
     "a1_a2_file_names": (a1_a2_file_names, A1_A2),
     "a3_delimiter_vote": (a3_delimiter_vote, A3),
     "a4_delimiter_presence": (a4_delimiter_presence, A4),

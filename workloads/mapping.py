@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colweave.functions.confidence import column_part, confidence_band, confidence_percent, table_part
-from colweave.operators import apply, edits, mapping
+from colweave.operators import apply, catalog, edits, mapping, matching
 from colweave.sources import exports
-from workloads.standins import MAPPING_ITEMS_SQL, mapping_items, table
+from workloads.standins import ITEM_REQUESTS, MAPPING_ITEMS_SQL, mapping_items, table
 
 # --- flagship: the example orders mapping ----------------------------------------------------------------------
 
@@ -120,6 +120,22 @@ X4_AGG = """SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n,
   min(l_quantity) AS smallest, round(avg(l_quantity), 6) AS mean, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY ALL"""
 
 
+def x_files_to_rows(spark, sf):
+    """From files to rows: a header and a free-text schema become a catalogue, its columns are matched, the mapping is
+    applied to the table that the header describes."""
+    orders = table(spark, sf, "orders")
+    wanted = "=== Orders (orders_new) ===\norderkey (bigint)\norder_status (varchar)\ntotalprice (double, not null)\norderdate (date)\no_custkey (varchar)\nshipping (text)"
+    rows = [("0", "source", "orders.csv", ",".join(orders.columns)), ("0", "target", "orders_new.txt", wanted)]
+    described = catalog.described_columns(spark.createDataFrame(rows, "request_id string, side string, file_name string, content string"))
+    items = matching.match_columns(described)
+    types = {r["column_name"]: r["data_type"] for r in described.filter("side = 'target'").collect()}
+    return _as_text(apply.project_mapping(orders.alias("orders"), apply.rules_for(items, "orders_new", types)), "orderdate")
+
+
+X_FILES = """SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS orderdate, CAST(o_orderkey AS BIGINT) AS orderkey, o_orderstatus AS order_status,
+  CAST(o_totalprice AS DOUBLE) AS totalprice FROM orders"""
+
+
 # Rules that are queries: columns of the parts table filled from its lines and suppliers.
 QUERY_RULES = (
     apply.QueryRule(
@@ -199,14 +215,14 @@ UNION ALL SELECT 'order_date', 'date', 0 FROM orders WHERE o_orderkey = (SELECT
 # --- merge and reports -----------------------------------------------------------------------------------------
 
 MERGED_SQL = f"""{MAPPING_ITEMS_SQL},
-src AS (SELECT target_column, s, min((pos, ix)) AS first_at FROM
-         (SELECT target_column, pos, unnest(source_columns) AS s, generate_subscripts(source_columns, 1) AS ix FROM mapping_items) GROUP BY ALL),
-lists AS (SELECT target_column, list(s ORDER BY first_at) AS sources FROM src GROUP BY 1),
-merged AS (SELECT '0' AS request_id, m.target_column,
+src AS (SELECT request_id, target_column, s, min((pos, ix)) AS first_at FROM
+         (SELECT request_id, target_column, pos, unnest(source_columns) AS s, generate_subscripts(source_columns, 1) AS ix FROM mapping_items) GROUP BY ALL),
+lists AS (SELECT request_id, target_column, list(s ORDER BY first_at) AS sources FROM src GROUP BY ALL),
+merged AS (SELECT m.request_id, m.target_column,
     CASE WHEN count(*) = 1 THEN any_value(source_columns) ELSE any_value(sources) END AS source_columns,
     max(confidence_score) AS confidence_score, arg_max(match_type, pos) AS match_type, arg_max(reasoning, pos) AS reasoning,
     arg_max(transformation_rule, pos) FILTER (WHERE transformation_rule IS NOT NULL) AS transformation_rule, min(pos) AS pos
-  FROM mapping_items m JOIN lists USING (target_column) GROUP BY m.target_column)"""
+  FROM mapping_items m JOIN lists USING (request_id, target_column) GROUP BY m.request_id, m.target_column)"""
 
 
 def _text_sources(df):
@@ -225,13 +241,13 @@ def _results(spark, sf):
     s = table(spark, sf, "supplier")
     target = F.when(F.col("s_nationkey") == 0, F.col("s_name")).otherwise(F.concat(F.lit("Brand#"), F.col("s_nationkey").cast("string"), F.lit("."), F.col("s_name")))
     return s.select(
-        F.lit("0").alias("request_id"), F.array(target).alias("unmapped_target_columns"),
+        (F.col("s_suppkey") % ITEM_REQUESTS).cast("string").alias("request_id"), F.array(target).alias("unmapped_target_columns"),
         F.array(F.concat(F.lit("src."), "s_name")).alias("unmapped_source_columns"),
     )
 
 
 REVIEW_SQL = f"""{MERGED_SQL},
-unmapped AS (SELECT '0' AS request_id, CASE WHEN s_nationkey = 0 THEN s_name ELSE 'Brand#' || s_nationkey || '.' || s_name END AS target_column FROM supplier),
+unmapped AS (SELECT CAST(s_suppkey % {ITEM_REQUESTS} AS VARCHAR) AS request_id, CASE WHEN s_nationkey = 0 THEN s_name ELSE 'Brand#' || s_nationkey || '.' || s_name END AS target_column FROM supplier),
 review AS (SELECT request_id, target_column, source_columns, confidence_score, match_type, reasoning, transformation_rule, 'pending' AS status, pos FROM merged
   UNION ALL SELECT request_id, target_column, [], 0.0, '', NULL, NULL, 'pending', NULL FROM unmapped),
 graded AS (SELECT *, len(source_columns) > 0 AS mapped,
@@ -245,17 +261,17 @@ def _review(spark, sf):
 
 
 def g1_review_rows(spark, sf):
-    return _text_sources(_review(spark, sf)).select("target_column", "source_columns", "confidence_score", "match_type", "status")
+    return _text_sources(_review(spark, sf)).select("request_id", "target_column", "source_columns", "confidence_score", "match_type", "status")
 
 
-G1 = f"WITH {REVIEW_SQL} SELECT target_column, array_to_string(source_columns, '|') AS source_columns, confidence_score, match_type, status FROM review"
+G1 = f"WITH {REVIEW_SQL} SELECT request_id, target_column, array_to_string(source_columns, '|') AS source_columns, confidence_score, match_type, status FROM review"
 
 
 def g2_g3_unmapped_rows(spark, sf):
-    return mapping.unmapped_only(_review(spark, sf)).select("target_column", "status")
+    return mapping.unmapped_only(_review(spark, sf)).select("request_id", "target_column", "status")
 
 
-G2_G3 = f"WITH {REVIEW_SQL} SELECT target_column, status FROM graded WHERE NOT mapped"
+G2_G3 = f"WITH {REVIEW_SQL} SELECT request_id, target_column, status FROM graded WHERE NOT mapped"
 
 
 def g4_g5_confidence(spark, sf):
@@ -281,26 +297,26 @@ SELECT page_id, CASE WHEN contains(h, '.') THEN regexp_replace(h, '\\.[^.]*$', '
 
 
 def g7_table_report(spark, sf):
-    return mapping.table_report(_review(spark, sf)).drop("request_id")
+    return mapping.table_report(_review(spark, sf))
 
 
-REPORT_SQL = """report AS (SELECT target_table, count(*) FILTER (WHERE mapped) AS n_mapped, count(*) FILTER (WHERE NOT mapped) AS n_unmapped, count(*) AS n_total,
-  coalesce(CAST(sum(percent) FILTER (WHERE mapped) AS DOUBLE) / nullif(count(*) FILTER (WHERE mapped), 0), 0) AS mean FROM graded GROUP BY target_table)"""
+REPORT_SQL = """report AS (SELECT request_id, target_table, count(*) FILTER (WHERE mapped) AS n_mapped, count(*) FILTER (WHERE NOT mapped) AS n_unmapped, count(*) AS n_total,
+  coalesce(CAST(sum(percent) FILTER (WHERE mapped) AS DOUBLE) / nullif(count(*) FILTER (WHERE mapped), 0), 0) AS mean FROM graded GROUP BY request_id, target_table)"""
 G7 = f"""WITH {REVIEW_SQL}, {REPORT_SQL}
-SELECT target_table, n_mapped, n_unmapped, n_total, CAST(floor(mean + 0.5) AS BIGINT) AS mean_percent,
+SELECT request_id, target_table, n_mapped, n_unmapped, n_total, CAST(floor(mean + 0.5) AS BIGINT) AS mean_percent,
   CASE WHEN mean >= 80 THEN 'high' WHEN mean >= 50 THEN 'medium' ELSE 'low' END AS band FROM report"""
 
 
 def g8_source_tables(spark, sf):
     report = mapping.table_report_with_sources(_review(spark, sf))
-    return report.select("target_table", F.array_join("source_tables", "|").alias("source_tables"), "n_total")
+    return report.select("request_id", "target_table", F.array_join("source_tables", "|").alias("source_tables"), "n_total")
 
 
-G8 = f"""WITH {REVIEW_SQL}, s AS (SELECT target_table, unnest(source_columns) AS c FROM graded WHERE mapped),
-t AS (SELECT DISTINCT target_table, split_part(c, '.', 1) AS st FROM s WHERE position('.' IN c) > 1),
-a AS (SELECT target_table, string_agg(st, '|' ORDER BY st) AS source_tables FROM t GROUP BY 1),
-n AS (SELECT target_table, count(*) AS n_total FROM graded GROUP BY 1)
-SELECT target_table, coalesce(source_tables, '') AS source_tables, n_total FROM n LEFT JOIN a USING (target_table)"""
+G8 = f"""WITH {REVIEW_SQL}, s AS (SELECT request_id, target_table, unnest(source_columns) AS c FROM graded WHERE mapped),
+t AS (SELECT DISTINCT request_id, target_table, split_part(c, '.', 1) AS st FROM s WHERE position('.' IN c) > 1),
+a AS (SELECT request_id, target_table, string_agg(st, '|' ORDER BY st) AS source_tables FROM t GROUP BY ALL),
+n AS (SELECT request_id, target_table, count(*) AS n_total FROM graded GROUP BY ALL)
+SELECT request_id, target_table, coalesce(source_tables, '') AS source_tables, n_total FROM n LEFT JOIN a USING (request_id, target_table)"""
 
 
 def g9_summary_cards(spark, sf):
@@ -332,19 +348,24 @@ def g12_rule_lineage(spark, sf):
         F.concat(F.lit("CONCAT(T."), F.upper(F.split_part("transformation_rule", F.lit("("), F.lit(2))), F.lit(", ' red small ', CASE WHEN large > 1 THEN 1 END)")),
     )
     items = items.withColumn("transformation_rule", F.replace("transformation_rule", F.lit("),"), F.lit(",")))
-    words = table(spark, sf, "part").select(F.lit("0").alias("request_id"), F.explode(F.split("p_name", " ")).alias("qualified"))
+    words = table(spark, sf, "part").select((F.col("p_partkey") % ITEM_REQUESTS).cast("string").alias("request_id"), F.explode(F.split("p_name", " ")).alias("qualified"))
     lineage = mapping.rule_lineage(items, words)
-    return lineage.groupBy("target_column", "source_column").agg(F.count("*").alias("n"))
+    return lineage.groupBy("request_id", "target_column", "source_column").agg(F.count("*").alias("n"))
 
 
-G12 = f"""WITH {MAPPING_ITEMS_SQL}, w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS q FROM part),
-r AS (SELECT target_column, source_columns[2] AS first_word FROM mapping_items WHERE transformation_rule IS NOT NULL),
-n AS (SELECT target_column, first_word AS name FROM r UNION SELECT target_column, 'large' FROM r)
-SELECT target_column, q AS source_column, CAST(count(DISTINCT q) AS BIGINT) AS n FROM n JOIN w ON name = q GROUP BY 1, 2"""
+G12 = f"""WITH {MAPPING_ITEMS_SQL}, w AS (SELECT DISTINCT CAST(p_partkey % {ITEM_REQUESTS} AS VARCHAR) AS request_id, unnest(string_split(p_name, ' ')) AS q FROM part),
+r AS (SELECT request_id, target_column, source_columns[2] AS first_word FROM mapping_items WHERE transformation_rule IS NOT NULL),
+n AS (SELECT request_id, target_column, first_word AS name FROM r UNION SELECT request_id, target_column, 'large' FROM r)
+SELECT n.request_id, target_column, q AS source_column, CAST(count(DISTINCT q) AS BIGINT) AS n FROM n JOIN w ON name = q AND n.request_id = w.request_id GROUP BY 1, 2, 3"""
 
 # --- edits -----------------------------------------------------------------------------------------------------
 
 
+def _row_of(part):
+    """Request and target of a part's row; requests use the same targets."""
+    return (part % ITEM_REQUESTS).cast("string").alias("request_id"), F.concat(F.lit("p."), F.floor(part / ITEM_REQUESTS).cast("string")).alias("target_column")
+
+
 def _edits(spark, sf):
     """An edit log from line items: every line of a part edits that part's row."""
     li = table(spark, sf, "lineitem")
@@ -356,7 +377,7 @@ def _edits(spark, sf):
         F.when(action == "set", F.when(F.col("l_returnflag") == "A", F.lit("  ")).otherwise(F.concat(F.lit(" f"), F.col("l_linenumber").cast("string")))).alias("rule"),
     )
     return li.select(
-        F.lit("0").alias("request_id"), F.concat(F.lit("p."), F.col("l_partkey").cast("string")).alias("target_column"),
+        *_row_of(F.col("l_partkey")),
         (F.col("l_orderkey") * 80_000 + F.col("l_suppkey") * 8 + F.col("l_linenumber")).alias("seq"), action.alias("action"), F.to_json(payload).alias("payload"),
     )
 
@@ -366,7 +387,7 @@ def _part_rows(spark, sf):
     part = table(spark, sf, "part")
     mapped = F.col("p_size") > 5
     rows = part.select(
-        F.lit("0").alias("request_id"), F.concat(F.lit("p."), F.col("p_partkey").cast("string")).alias("target_column"),
+        *_row_of(F.col("p_partkey")),
         F.when(mapped, F.array(F.lit("c1"), F.col("p_type"))).otherwise(F.array().cast("array<string>")).alias("source_columns"),
         F.when(mapped, F.col("p_size") / F.lit(50.0)).otherwise(0.0).alias("confidence_score"),
         F.when(mapped, F.lit("semantic")).otherwise("").alias("match_type"),
@@ -381,15 +402,16 @@ def _one_kind(spark, sf, *actions):
     return edits.apply_edits(_part_rows(spark, sf), _edits(spark, sf).filter(F.col("action").isin(*actions)))
 
 
-EDIT_SQL = """edits AS (SELECT 'p.' || l_partkey AS target_column, l_orderkey * 80000 + l_suppkey * 8 + l_linenumber AS seq,
+EDIT_SQL = f"""edits AS (SELECT (l_partkey % {ITEM_REQUESTS}) || '/p.' || (l_partkey // {ITEM_REQUESTS}) AS target_column, l_orderkey * 80000 + l_suppkey * 8 + l_linenumber AS seq,
   (['toggle', 'toggle', 'set', 'validate', 'rollback', 'unmap', 'toggle'])[l_linenumber] AS action, l_quantity, l_returnflag, l_linenumber, 'c' || (l_suppkey % 3) AS col FROM lineitem),
-rows AS (SELECT 'p.' || p_partkey AS target_column, p_size > 5 AS mapped, CASE WHEN p_size > 5 THEN ['c1', p_type] ELSE [] END AS source_columns,
+rows AS (SELECT (p_partkey % {ITEM_REQUESTS}) || '/p.' || (p_partkey // {ITEM_REQUESTS}) AS target_column, p_size > 5 AS mapped, CASE WHEN p_size > 5 THEN ['c1', p_type] ELSE [] END AS source_columns,
   CASE WHEN p_size > 5 THEN p_size / 50.0 ELSE 0 END AS confidence_score, CASE WHEN p_size > 5 THEN 'semantic' ELSE '' END AS match_type,
   CASE WHEN p_size > 5 THEN p_name END AS reasoning, CASE WHEN p_size > 5 THEN 'trim(x)' END AS transformation_rule FROM part)"""
 
 
 def _edited(df):
-    return df.select("target_column", F.array_join("source_columns", "|").alias("source_columns"), "confidence_score", "match_type", "reasoning", "transformation_rule", "status")
+    """Rows under request and target as one text."""
+    return df.select(F.concat_ws("/", "request_id", "target_column").alias("target_column"), F.array_join("source_columns", "|").alias("source_columns"), "confidence_score", "match_type", "reasoning", "transformation_rule", "status")
 
 
 def e1_validate(spark, sf):
@@ -415,7 +437,7 @@ SELECT target_column, CASE WHEN cleared THEN '' ELSE array_to_string(source_colu
 
 def e4_toggle_sources(spark, sf):
     """Source lists after toggles only."""
-    return _one_kind(spark, sf, "toggle").select("target_column", F.array_join("source_columns", "|").alias("source_columns"))
+    return _edited(_one_kind(spark, sf, "toggle")).select("target_column", "source_columns")
 
 
 E4 = f"""WITH {EDIT_SQL}, t AS (SELECT target_column, col, count(*) AS n, max(seq) AS last FROM edits WHERE action = 'toggle' GROUP BY ALL),
@@ -505,11 +527,11 @@ def k1_mapping_json(spark, sf):
     """Item objects, read back field by field."""
     text = exports.item_json(_merged(spark, sf))
     parsed = F.from_json("json", "target_column string, source_columns array<string>, confidence_score double, match_type string, reasoning string, transformation_rule string").alias("j")
-    back = text.select(parsed, F.array_join(F.json_object_keys("json"), ",").alias("keys")).select("keys", "j.*")
-    return _text_sources(back)
+    back = text.select(F.col("request_id").alias("request"), parsed, F.array_join(F.json_object_keys("json"), ",").alias("keys")).select("request", "keys", "j.*")
+    return _text_sources(back.withColumnRenamed("request", "request_id"))
 
 
-K1 = f"""WITH {MERGED_SQL} SELECT 'target_column,source_columns,confidence_score,match_type,reasoning,transformation_rule' AS keys, target_column,
+K1 = f"""WITH {MERGED_SQL} SELECT request_id, 'target_column,source_columns,confidence_score,match_type,reasoning,transformation_rule' AS keys, target_column,
   array_to_string(source_columns, '|') AS source_columns, confidence_score, match_type, reasoning, transformation_rule FROM merged"""
 
 
@@ -525,31 +547,35 @@ K2 = f"""WITH {REVIEW_SQL} SELECT {DETAIL.format("array_to_string(source_columns
 
 
 def k3_sql_text(spark, sf):
-    return exports.sql_statements(_merged(spark, sf)).select("pos", "value")
+    return exports.sql_statements(_merged(spark, sf)).select("request_id", "pos", "value")
 
 
 _SRC = "array_to_string(source_columns, ', ')"
-K3 = f"""WITH {MERGED_SQL} SELECT pos, '-- ' || {_SRC} || ' -> ' || target_column || ' (' || match_type || ', '
+K3 = f"""WITH {MERGED_SQL} SELECT request_id, pos, '-- ' || {_SRC} || ' -> ' || target_column || ' (' || match_type || ', '
   || CASE WHEN confidence_score = floor(confidence_score) THEN CAST(CAST(confidence_score AS BIGINT) AS VARCHAR) ELSE CAST(confidence_score AS VARCHAR) END || '%)' || chr(10)
   || 'SELECT ' || coalesce(nullif(transformation_rule, ''), {_SRC}) || ' AS ' || string_split(target_column, '.')[-1] || ';' || chr(10) AS value FROM merged"""
 
 
 def k3_table_selects(spark, sf):
-    return exports.table_select_lines(_merged(spark, sf)).select("target_table", F.col("block").cast("bigint").alias("block"), "value")
+    return exports.table_select_lines(_merged(spark, sf)).select("request_id", "target_table", F.col("block").cast("bigint").alias("block"), "value")
 
 
 K3_TABLES = f"""WITH {REVIEW_SQL}, m AS (SELECT * FROM graded WHERE mapped),
-t AS (SELECT DISTINCT target_table, CASE WHEN contains(c, '.') THEN split_part(c, '.', 1) ELSE 'Mappings' END AS name FROM (SELECT target_table, unnest(source_columns) AS c FROM m))
-SELECT target_table, CAST(0 AS BIGINT) AS block, CASE WHEN pos = min(pos) OVER (PARTITION BY target_table) THEN 'SELECT ' ELSE '     , ' END
+t AS (SELECT DISTINCT request_id, target_table, CASE WHEN contains(c, '.') THEN split_part(c, '.', 1) ELSE 'Mappings' END AS name FROM (SELECT request_id, target_table, unnest(source_columns) AS c FROM m))
+SELECT request_id, target_table, CAST(0 AS BIGINT) AS block, CASE WHEN pos = min(pos) OVER (PARTITION BY request_id, target_table) THEN 'SELECT ' ELSE '     , ' END
   || coalesce(transformation_rule, {_SRC}) || ' AS ' || short AS value FROM m
-UNION ALL SELECT target_table, 1, CASE WHEN name = min(name) OVER (PARTITION BY target_table) THEN 'FROM ' ELSE '   , ' END || name FROM t"""
+UNION ALL SELECT request_id, target_table, 1, CASE WHEN name = min(name) OVER (PARTITION BY request_id, target_table) THEN 'FROM ' ELSE '   , ' END || name FROM t"""
 
 
 def k4_script_text(spark, sf):
-    return exports.script_lines(_merged(spark, sf)).select("pos", "value")
+    """Every fourth rule is written with CONVERT and a bare VARCHAR, which the script has in Spark's spelling."""
+    items = _merged(spark, sf)
+    rule = F.when(F.col("pos") % 4 == 0, F.concat(F.lit("CONVERT(VARCHAR, "), F.col("transformation_rule"), F.lit(")"))).otherwise(F.col("transformation_rule"))
+    return exports.script_lines(items.withColumn("transformation_rule", rule)).select("request_id", "pos", "value")
 
 
-K4 = f"""WITH {MERGED_SQL} SELECT pos, CASE WHEN transformation_rule IS NOT NULL THEN '    .withColumn("' || string_split(target_column, '.')[-1] || '", F.expr("' || transformation_rule || '"))'
+K4 = f"""WITH {MERGED_SQL} SELECT request_id, pos, CASE WHEN transformation_rule IS NOT NULL THEN '    .withColumn("' || string_split(target_column, '.')[-1] || '", F.expr("'
+    || CASE WHEN pos % 4 = 0 THEN 'CAST(' || transformation_rule || ' AS STRING)' ELSE transformation_rule END || '"))'
   ELSE '    .withColumnRenamed("' || string_split(source_columns[1], '.')[-1] || '", "' || string_split(target_column, '.')[-1] || '")' END AS value FROM merged"""
 
 
@@ -567,7 +593,7 @@ def k5_report_unmapped(spark, sf):
     return exports.report_tables(_review(spark, sf), _results(spark, sf))["unmapped"]
 
 
-K5_UNMAPPED = f"""WITH {REVIEW_SQL} SELECT '0' AS request_id, 'src.' || s_name AS column_name, 'source' AS side FROM supplier
+K5_UNMAPPED = f"""WITH {REVIEW_SQL} SELECT CAST(s_suppkey % {ITEM_REQUESTS} AS VARCHAR) AS request_id, 'src.' || s_name AS column_name, 'source' AS side FROM supplier
 UNION ALL SELECT DISTINCT request_id, target_column, 'target' FROM graded WHERE NOT mapped"""
 
 
@@ -591,6 +617,7 @@ QUERIES = {
     "x2_chain_mapping": (x2_chain_mapping, X2),
     "x3_multi_source_mapping": (x3_multi_source_mapping, X3),
     "x4_rule_language": (x4_rule_language, X4),
+    "x_files_to_rows": (x_files_to_rows, X_FILES),
     "x4_query_rules": (x4_query_rules, X4_QUERIES),
     "x4_aggregate_rules": (x4_aggregate_rules, X4_AGG),
     "x5_cast_failures": (x5_cast_failures, X5),

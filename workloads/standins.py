@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 
 FILES_PER_REQUEST = 8
+ITEM_REQUESTS = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +62,11 @@ requests AS (
 
 
 def mapping_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mapping item per part: many parts share a target, so duplicates merge."""
+    """One mapping item per part, in a few requests that name the same targets; many parts share a target, so duplicates merge."""
     part = table(spark, sf_dir, "part")
     words = F.split("p_name", " ")
     return part.select(
-        F.lit("0").alias("request_id"),
+        (F.col("p_partkey") % ITEM_REQUESTS).cast("string").alias("request_id"),
         F.concat_ws(".", "p_brand", F.try_element_at(words, F.lit(2))).alias("target_column"),
         F.array(F.concat_ws(".", words[0], F.col("p_type")), words[0]).alias("source_columns"),
         (F.col("p_size") / F.lit(50.0)).alias("confidence_score"),
@@ -76,9 +77,9 @@ def mapping_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MAPPING_ITEMS_SQL = """
+MAPPING_ITEMS_SQL = f"""
 mapping_items AS (
-  SELECT '0' AS request_id,
+  SELECT CAST(p_partkey % {ITEM_REQUESTS} AS VARCHAR) AS request_id,
          p_brand || '.' || string_split(p_name, ' ')[2] AS target_column,
          [string_split(p_name, ' ')[1] || '.' || p_type, string_split(p_name, ' ')[1]] AS source_columns,
          p_size / 50.0 AS confidence_score,
