@@ -3,7 +3,8 @@
 Centroids come from balanced bisections of a bounded sample. Every vector is indexed in the list of its nearest centroid,
 and boundary vectors in those of a few almost as near. A query walks a neighbour graph of the centroids, which every task
 holds in memory, and takes the lists whose centroids are within a ratio of the nearest one's distance; their vectors are
-compared exactly. Queries whose lists hold too few ids take further lists, until they have enough or all. Lists above a size are split into parts, so copies of one vector do not meet in one task.
+compared exactly. Queries whose lists hold too few ids take further lists, until they have enough or all. Lists above a
+size are split into parts, so copies of one vector do not meet in one task.
 """
 
 from __future__ import annotations
@@ -49,7 +50,17 @@ class Index:
     entry: int
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near 1, so that no square leaves the range of doubles.
+
+    Scaling by a power of two rounds nothing, so cosines are those of the vectors as they are.
+    """
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, initial=0.0))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -139,6 +150,7 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Exact cosines in double precision, row by row, so equal vectors get equal values."""
+    vectors, query = scaled(vectors), scaled(query[None])[0]
     return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
