@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colweave.functions.staging import written
 from colweave.functions.text import estimate_tokens, is_blank, null_if_blank, tokens_for_length, trim_ws
 from colweave.operators.reduction import file_lengths, reduce_to_tier
 from colweave.schemas import (
@@ -112,10 +113,10 @@ def prompt_segments(files: DataFrame, plan: DataFrame) -> DataFrame:
     """The prompt of every accepted request as ordered text segments, one row per file and heading.
 
     The segment form has no size limit: nothing is gathered per request. Sizes were summed in a first, length-only
-    pass, so file text crosses the network once, and already reduced where the plan table is small enough for
-    Spark to broadcast it.
+    pass, whose plan is written once, so file text is read once more and crosses the network once, already reduced where
+    the plan table is small enough for Spark to broadcast it.
     """
-    accepted = plan.filter(F.col("reject_reason").isNull())
+    accepted = written(plan.filter(F.col("reject_reason").isNull()).select("request_id", "user_instruction", "rules", "tier"), "plan")
     head = F.concat(
         F.lit(PROMPT_HEAD),
         F.coalesce(F.concat(F.lit(INSTRUCTION_HEAD), null_if_blank(F.col("user_instruction"))), F.lit("")),
@@ -175,7 +176,7 @@ def refine_contexts(files: DataFrame, refinements: DataFrame, system_prompt: str
     `refinements` holds request_id, current_mapping (struct), rules, messages (array of role and content) and
     user_message. Files are never reduced here.
     """
-    accepted = _sized_refinements(files, refinements).filter(F.col("reject_reason").isNull())
+    accepted = written(_sized_refinements(files, refinements).filter(F.col("reject_reason").isNull()), "refinements")
 
     tail = F.concat(
         F.lit(MAPPING_HEAD),
