@@ -7,9 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import ODD, SF_DIR, sentence
+from conftest import EXTRA, ODD, SF_DIR, extras_are_kept, sentence
 
-from colweave.llm import ann, common, html_extract, labelled_pages, language_id, ppm, token_counts, toxicity
+from colweave.llm import ann, common, html_extract, labelled_pages, language_id, ppm, queries, token_counts, toxicity
 from colweave.llm.queries import END_OF_TEXT, tokenizer_path
 
 PAGE = (
@@ -54,7 +54,7 @@ def test_labelled_pages_of_another_filling(content):
         page = html_extract.parse(html)
         labels = []
         for i, raw in enumerate(page.attributes):
-            own = [m[2] for m in html_extract._ATTRIBUTE.finditer(raw) if m[1] == "data-y"]
+            own = [m[2] or m[3] for m in html_extract._ATTRIBUTE.finditer(raw) if m[1] == "data-y"]
             labels.append(int(own[0]) if own else labels[page.parents[i]] if i else 0)
         belief = html_extract.marginals(page, content)
         right += sum((belief[node] > 0.5) == bool(labels[node]) for node, _ in page.blocks)
@@ -62,6 +62,35 @@ def test_labelled_pages_of_another_filling(content):
     assert right / every > 0.97
 
 
+def blocks_judged_right(content, pages):
+    right = every = 0
+    for html in pages:
+        page = html_extract.parse(html)
+        labels = []
+        for i, raw in enumerate(page.attributes):
+            own = [m[2] or m[3] or m[4] for m in html_extract._ATTRIBUTE.finditer(raw) if m[1] == "data-y"]
+            labels.append(int(own[0]) if own else labels[page.parents[i]] if i else 0)
+        belief = html_extract.marginals(page, content)
+        right += sum((belief[node] > 0.5) == bool(labels[node]) for node, _ in page.blocks)
+        every += len(page.blocks)
+    return right / every
+
+
+def test_layouts_left_out_of_training(monkeypatch):
+    """Every written layout, by a model that has not seen it; the mean over layouts, and the worst."""
+    layouts, shares = labelled_pages.LAYOUTS, []
+    for k in range(len(layouts)):
+        monkeypatch.setattr(labelled_pages, "LAYOUTS", layouts[:k] + layouts[k + 1 :])
+        shares.append(blocks_judged_right(html_extract.train(), labelled_pages.filled(layouts[k : k + 1], 12, 99)))
+    print([round(x, 3) for x in shares])
+    assert sum(shares) / len(shares) >= 0.95 and min(shares) >= 0.8
+
+
+def test_composed_pages_of_other_seeds(content):
+    rng = random.Random(501)
+    assert blocks_judged_right(content, labelled_pages.filled(tuple(labelled_pages.composed(rng) for _ in range(200)), 1, 77)) >= 0.97
+
+
 @pytest.mark.parametrize("html", ["", "<", "<<<>>>", "a < b > c", "<div " * 50, "<p>" * 20_000, "<p><td></b></html><foot", '<a href="x', "&#0;&#x110000;&bogus;&am", "<!--"])
 def test_broken_pages_do_not_crash(content, html):
     assert isinstance(html_extract.main_text(html, content), str)
@@ -115,11 +144,77 @@ def test_nearest_examples_are_exact():
         assert {e for c, e in got if c > cut + 1e-9} == {e for c, e in want if c > cut + 1e-9}
 
 
+@pytest.mark.parametrize("changed", [{}, {"block": 3, "frequent": 0.2}, {"frequent": 0.0}, {"table_bytes": 0}])
+def test_all_words_are_searched_through_training(spark, changed):
+    """Nearest examples, votes and evidence against brute force over all words of all examples."""
+    docs, labels = toxic_docs(spark, 160)
+    s = toxicity.Settings(near=5, **changed)
+    index = toxicity.train(docs, labels.where("doc_id % 4 <> 0"), settings=s)
+    texts = {r.doc_id: Counter(toxicity.WORD.findall(r.text.lower())) for r in docs.collect()}
+    toxic = {i: i % 5 == 0 for i in texts if i % 4}
+    words = set().union(*(texts[i] for i in toxic))
+    assert set(index.terms) == words
+    df = Counter(w for t in texts.values() for w in t)
+
+    def weight(w):
+        n, held, of = len(toxic), sum(w in texts[i] for i in toxic), sum(toxic.values())
+        a = sum(w in texts[i] and toxic[i] for i in toxic)
+        cells = [(a, of, held), (of - a, of, n - held), (held - a, n - of, held), (n - of - held + a, n - of, n - held)]
+        g = 2 * sum(o * math.log(o * n / (r * c)) for o, r, c in cells if o) if a * (n - of) > (held - a) * of else 0.0
+        clear = max(g, 0.0) ** 2
+        return (math.log((1 + len(texts)) / (1 + df[w])) + 1) * (0.1 + 0.9 * clear / (clear + s.clear**4))
+
+    weights = {w: weight(w) for w in words}
+
+    def unit(t):
+        v = {w: (1 + math.log(n)) * weights[w] for w, n in t.items() if w in words}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: unit(texts[i]) for i in toxic}
+    for r in toxicity.score(docs, index, evidence=5).collect():
+        v = unit(texts[r.doc_id])
+        want = sorted((-sum(x * u.get(w, 0.0) for w, x in v.items()), i) for i, u in vectors.items())[:5]
+        assert [e.cosine for e in r.examples] == pytest.approx([-c for c, _ in want if c < 0], abs=1e-9)
+        near = {e.doc_id for e in r.examples}
+        assert {i for c, i in want if c < want[-1][0] - 1e-9} <= near
+        vote = sum(toxic[i] / (0.05 + 1 - min(1, -c)) for c, i in want) / sum(1 / (0.05 + 1 - min(1, -c)) for c, i in want)
+        if near == {i for _, i in want}:
+            assert r.toxicity == pytest.approx(float(np.interp(vote, *index.knots)), abs=1e-6)
+
+
+def test_rare_toxic_words_are_caught(spark):
+    """Sixty insults, each in four labelled documents."""
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(3000):
+        words = sentence(rng, rng.randint(20, 60), 2000).split()
+        if i % 10 == 0:
+            words.insert(rng.randrange(len(words)), f"insult{i // 10 % 60}")
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 10 == 0)))
+    frame, marks = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    held = "doc_id >= 2400"
+    index = toxicity.train(frame, marks.where(f"not {held}"))
+    rows = toxicity.score(frame.where(held), index).collect()
+    caught = [r.toxicity >= 0.5 for r in rows if r.doc_id % 10 == 0]
+    assert sum(caught) >= 0.8 * len(caught) and sum(r.toxicity >= 0.5 for r in rows if r.doc_id % 10) <= 6
+    assert all(r.examples for r in rows)
+
+
+def test_texts_without_evidence_are_few(spark):
+    rows = queries.queries()["op2_toxicity"](spark, SF_DIR.replace("0.001", "0.01")).collect()
+    without = sum(not r.examples for r in rows) / len(rows)
+    print(f"share of texts without evidence: {without:.4f}")
+    assert without < 0.01
+
+
 def test_toxicity_on_odd_rows(spark, odd, none):
     docs, labels = toxic_docs(spark, 100)
     index = toxicity.train(docs, labels.union(spark.createDataFrame([(None, 1, 1), (3, None, 0), (5, 0, 0)], labels.schema)))
     out = toxicity.score(odd, index)
     assert out.columns.count("toxicity") == 1 and dict(out.dtypes)["toxicity"] == "double" and out.count() == len(ODD)
+    assert extras_are_kept(out.collect(), "toxicity")
     assert toxicity.score(none, index).count() == 0
     empty = toxicity.train(docs, labels.limit(0))
     assert {r.toxicity < 0.5 for r in toxicity.score(odd, empty).collect()} == {True}
@@ -183,6 +278,7 @@ def test_scores_on_odd_rows(spark, odd, none):
     marked = odd.selectExpr("*", "coalesce(doc_id % 3 <> 0, null) as learned")
     rows = ppm.score(marked, "learned").collect()
     assert len(rows) == len(ODD) and all(r.score <= 0 and r.n_tokens >= 1 for r in rows)
+    assert extras_are_kept(rows, "score")
     assert [r.n_tokens for r in rows if r.doc_id in (1, 2, 3)] == [1, 1, 1]
     assert ppm.score(none.selectExpr("*", "true as learned"), "learned").count() == 0
     unlearned = ppm.score(odd.selectExpr("*", "false as learned"), "learned").where("doc_id = 5").first()
@@ -245,7 +341,7 @@ def test_language_on_odd_rows(spark, odd, none):
     out = language_id.identify(odd, model)
     assert out.columns.count("lang_pred") == 1 and {r.lang_pred for r in out.where("doc_id < 5").collect()} == {"und"}
     assert {r.lang_pred for r in out.where("doc_id >= 5").collect()} <= {"en", "de"} and out.count() == len(ODD)
-    assert all(0 <= r.lang_score <= 1 for r in out.collect())
+    assert all(0 <= r.lang_score <= 1 for r in out.collect()) and extras_are_kept(out.collect(), "lang_pred")
     assert language_id.identify(none, model).count() == 0
     assert {r.lang_pred for r in language_id.identify(odd, language_id.train(docs.limit(0))).collect()} == {"und"}
 
@@ -356,6 +452,20 @@ def test_neighbours_on_odd_vectors(spark):
     assert ann.build(frame.limit(0)) is None and ann.search(frame, frame, None).count() == 0
 
 
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    """Components whose squares leave the range of doubles take part like all others, with the same cosines."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 8))
+    scales = [1.0, 2.0**600, 2.0**-600, 2.0**1000, 2.0**-1000]
+    rows = [(i, (base[i] * scales[i % 5]).tolist()) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    plain = spark.createDataFrame([(i, base[i].tolist()) for i in range(60)], "vec_id bigint, embedding array<double>")
+    answers = [
+        sorted(map(tuple, ann.search(f, f.where("vec_id % 7 = 0"), ann.build(f)).collect())) for f in (frame, plain)
+    ]
+    assert answers[0] == answers[1] and len(answers[0]) == 45 and all(-1 <= r[3] <= 1 + 1e-12 for r in answers[0])
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(i, i) for i in range(3)] + [(None, 4)]
@@ -426,8 +536,30 @@ def test_pipeline_keeps_one_row_of_every_group(spark):
     assert sorted((r.doc_id or 0, r.text) for r in after) == sorted((i or 0, t) for i, t in kept)
 
 
+def test_pipeline_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+
+    kinds = ", ".join(f"`{name}` {kind}" for name, (kind, _) in EXTRA.items())
+    rows = [(i, t, "en", "s", len(t or ""), *(v for _, v in EXTRA.values())) for i, t in [*ODD, (20, "the cat of the house and the dog"), (20, "the cat of the house and the dog")]]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, source string, n_chars bigint, {kinds}")
+    frame = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = common.stored(stage(spark, frame, SF_DIR), "stage")
+        assert frame.dtypes == docs.dtypes and extras_are_kept(frame.collect())
+        none = stage(spark, docs.limit(0), SF_DIR)
+        assert none.columns == docs.columns and none.count() == 0
+    assert [r.doc_id for r in frame.collect()].count(20) == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, SF_DIR).where("start = 0").count() == frame.count()
+
+
+def test_rows_without_an_id_are_spread_over_blocks(spark):
+    rows = spark.range(100_000).selectExpr("cast(null as bigint) as doc_id", "concat('text ', id) as text")
+    sizes = [r["count"] for r in rows.groupBy(common.block_of([rows.doc_id, rows.text], 16)).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.2 * 100_000 / 16
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
