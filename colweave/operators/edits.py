@@ -48,13 +48,13 @@ def rejected_edits(edits: DataFrame) -> DataFrame:
     return _decoded(edits).withColumn("reason", _fault()).filter(F.col("reason").isNotNull()).drop("p")
 
 
-def _log(edits: DataFrame) -> DataFrame:
+def _log(edits: DataFrame, *kept: str) -> DataFrame:
     setting = F.struct(
         F.coalesce(trim_ws(F.col("p.match_type")), F.lit("")).alias("match_type"),
         _clamped(F.col("p.confidence")).alias("confidence"),
         null_if_blank(F.col("p.rule")).alias("rule"),
     )
-    return _decoded(edits).filter(_fault().isNull()).select(*KEY, "seq", "action", F.col("p.column").alias("column"), setting.alias("set"))
+    return _decoded(edits).filter(_fault().isNull()).select(*KEY, *kept, "seq", "action", F.col("p.column").alias("column"), setting.alias("set"))
 
 
 def _clamped(percent: Column) -> Column:
@@ -80,9 +80,9 @@ def _set_hash(columns: Column) -> Column:
 
 def _scanned(edits: DataFrame, chunks: int | None) -> DataFrame:
     """The log in chunks of consecutive edits, with the hash of a row's toggles since its chunk began."""
-    log = _log(edits)
-    ranged = log.repartitionByRange(chunks, *KEY, "seq") if chunks else log.repartitionByRange(*KEY, "seq")
-    ranged = ranged.withColumn("chunk", F.spark_partition_id())
+    raw = edits.select(*KEY, "seq", "action", "payload")  # decoded after the ranges are found, which reads the log twice
+    ranged = raw.repartitionByRange(chunks, *KEY, "seq") if chunks else raw.repartitionByRange(*KEY, "seq")
+    ranged = _log(ranged.withColumn("chunk", F.spark_partition_id()), "chunk")
     running = Window.partitionBy(*KEY, "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     toggled = [F.bit_xor(F.when(F.col("action") == "toggle", h).otherwise(F.lit(0))).over(running) for h in _hashes(F.col("column"))]
     return written(ranged.withColumn("toggled", F.struct(toggled[0].alias("h1"), toggled[1].alias("h2"))), "edits")
