@@ -2,8 +2,9 @@
 
 Centroids come from balanced bisections of a bounded sample. Every vector is indexed in the list of its nearest centroid,
 and boundary vectors in those of a few almost as near. A query walks a neighbour graph of the centroids, which every task
-holds in memory, and takes the lists whose centroids are within a ratio of the nearest one's distance; their vectors are
-compared exactly. Queries whose lists hold too few ids take further lists, until they have enough or all. Lists above a
+holds in memory, and takes the lists whose centroids are within a ratio of the nearest one's distance, and a few nearest
+ones in any case; their vectors are compared exactly. The walk starts from centroids spread over all of them, since
+clusters that lie apart are not linked by the graph. Queries whose lists hold too few ids take further lists, until they have enough or all. Lists above a
 size are split into parts, so copies of one vector do not meet in one task.
 """
 
@@ -26,8 +27,9 @@ class Settings:
     """sample bounds the vectors that fit the centroids, lists the centroids; both are broadcast or collected.
 
     near: neighbours of a query. replicas, replica_ratio: lists of a vector and how far they may be, against the nearest.
-    search_ratio: the same for a query's lists. degree: edges of a centroid. part_rows: vectors or queries of one task's
-    meeting. seed decides the bisections.
+    search_ratio: the same for a query's lists. least_lists: lists of a query at least. degree: edges of a centroid.
+    entries: centroids from which a walk starts. part_rows: vectors or queries of one task's meeting. seed decides the
+    bisections.
     """
 
     sample: int = 20_000
@@ -37,7 +39,9 @@ class Settings:
     replicas: int = 3
     replica_ratio: float = 1.02
     search_ratio: float = 1.2
+    least_lists: int = 24
     degree: int = 24
+    entries: int = 256
     part_rows: int = 2000
     seed: int = 11
 
@@ -47,7 +51,7 @@ class Index:
     dimension: int
     centroids: np.ndarray
     edges: np.ndarray
-    entry: int
+    entries: np.ndarray
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -113,24 +117,36 @@ def build(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     centroids = np.unique(bisect(sample, max(1, min(s.lists, n // s.list_rows)), s.seed), axis=0)
     between = distances(centroids, centroids)
     edges = np.argsort(between, axis=1, kind="stable")[:, 1 : s.degree + 1]
-    return Index(dimension, centroids, edges, int(np.argmin(distances(centroids, centroids.mean(axis=0, keepdims=True)))))
+    return Index(dimension, centroids, edges, spread(centroids, s.entries))
 
 
-def walk(index: Index, query: np.ndarray, ratio: float) -> list[int]:
-    """Lists whose centroids are within `ratio` of the nearest centroid's distance, by best-first search of the graph."""
+def spread(centroids: np.ndarray, most: int) -> np.ndarray:
+    """The most central centroid, then each time the one farthest from all taken so far; so no far cluster is left out."""
+    taken = [int(np.argmin(distances(centroids, centroids.mean(axis=0, keepdims=True))))]
+    away = ((centroids - centroids[taken[0]]) ** 2).sum(axis=1)
+    while len(taken) < min(most, len(centroids)):
+        taken.append(int(np.argmax(away)))
+        away = np.minimum(away, ((centroids - centroids[taken[-1]]) ** 2).sum(axis=1))
+        away[taken] = -1.0
+    return np.array(taken)
+
+
+def walk(index: Index, query: np.ndarray, ratio: float, least: int) -> list[int]:
+    """Lists whose centroids are within `ratio` of the nearest centroid's distance, and the `least` nearest found, by
+    best-first search of the graph."""
 
     def measure(nodes: np.ndarray) -> np.ndarray:
         return np.sqrt(((index.centroids[nodes] - query) ** 2).sum(axis=1))
 
     seen = np.zeros(len(index.centroids), bool)
-    seen[index.entry] = True
-    first = float(measure(np.array([index.entry]))[0])
-    heap, found, best = [(first, index.entry)], [], first
+    seen[index.entries] = True
+    heap = sorted(zip(measure(index.entries).tolist(), index.entries.tolist()))
+    found, best = [], heap[0][0]
     tries = 0
     while heap:
         d, node = heapq.heappop(heap)
         # A few steps beyond the ratio lead over gaps of the graph.
-        tries = tries + 1 if d > ratio * best else 0
+        tries = tries + 1 if d > ratio * best and len(found) >= least else 0
         if tries > 16:
             break
         found.append((d, node))
@@ -140,7 +156,7 @@ def walk(index: Index, query: np.ndarray, ratio: float) -> list[int]:
         for e, m in zip(measure(near).tolist(), near.tolist()):
             best = min(best, e)
             heapq.heappush(heap, (e, m))
-    return [node for d, node in found if d <= ratio * best]
+    return [node for k, (d, node) in enumerate(sorted(found)) if k < least or d <= ratio * best]
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -177,7 +193,7 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index | None, vec_id:
         return [pa.array([o[k].tolist() for o, k in zip(order, keep)], pa.list_(pa.int32()))]
 
     def route(columns: list[pa.Array]) -> list[pa.Array]:
-        found = [walk(held.value, q, s.search_ratio) for q in unit(_matrix(columns[0], held.value.dimension))]
+        found = [walk(held.value, q, s.search_ratio, s.least_lists) for q in unit(_matrix(columns[0], held.value.dimension))]
         return [pa.array(found, pa.list_(pa.int32()))]
 
     def nearest(lists: int) -> Callable[[list[pa.Array]], list[pa.Array]]:

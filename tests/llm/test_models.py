@@ -411,6 +411,34 @@ def test_neighbours_reach_recall_and_break_ties(spark):
     assert hit / every >= 0.9
 
 
+def neighbour_recall(spark, data, settings):
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<double>")
+    index = ann.build(frame, settings=settings)
+    found = {}
+    for r in ann.search(frame, frame.where("vec_id % 50 = 0"), index, settings=settings).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, len(data), 50):
+        c = ann.cosines(data, data[q])
+        c[q] = -2
+        hit += len(found[q] & set(np.argsort(-c)[:5].tolist()))
+    return hit / (5 * len(range(0, len(data), 50))), len(index.centroids)
+
+
+def test_neighbours_in_clusters_far_apart(spark):
+    """Clusters that the graph of centroids does not link are reached."""
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(4, 16))[np.arange(3000) % 4] + 0.02 * rng.normal(size=(3000, 16))
+    recall, lists = neighbour_recall(spark, data, ann.Settings(list_rows=20))
+    assert lists > 4 * 25 and recall >= 0.9
+
+
+def test_neighbours_in_few_dimensions(spark):
+    """A query near one centroid has neighbours in lists far beyond the ratio."""
+    recall, lists = neighbour_recall(spark, np.random.default_rng(3).normal(size=(3000, 6)), ann.Settings(list_rows=40))
+    assert lists > 50 and recall >= 0.9
+
+
 @pytest.mark.parametrize("copies,part_rows", [(2, 2000), (7, 50)])
 def test_neighbours_of_repeated_rows(spark, copies, part_rows):
     rng = np.random.default_rng(4)
