@@ -168,12 +168,18 @@ def _second(pair: str) -> Column:
     return F.expr(f"cast({pair} % {PLACE}BD as bigint)")
 
 
+def _merged(frame: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: rows made by a generator, or read from a small compressed file, take far
+    more memory than Spark's estimate of them."""
+    return frame.hint("merge")
+
+
 def best_ids(named: DataFrame) -> DataFrame:
     """(id, source_id, score): the best source of every target that is like any; ties go to the first by name."""
     offered = _keyed(named.filter("side = 'source'"), True)
     index = offered.groupBy("h1", "h2").agg(F.min(_pair(F.col("order"), F.col("id"))).alias("kept"))
     wanted = _keyed(named.filter("side = 'target'"), False).select("id", "h1", "h2", "n_tokens", "run", "name_score", (F.col("typed") != ANY_FAMILY).alias("same_family"))
-    found = wanted.join(index, ["h1", "h2"])
+    found = _merged(wanted).join(index, ["h1", "h2"])
     run = F.col("run").cast("double")
     overlap = run / (_first("kept") + F.col("n_tokens") - run)
     score = F.lit(NAME_WEIGHT) * F.when(run > 0, overlap).otherwise(F.col("name_score")) + F.when(F.col("same_family"), F.lit(TYPE_WEIGHT)).otherwise(0.0)
@@ -188,7 +194,7 @@ def best_matches(named: DataFrame) -> DataFrame:
         F.col("id").alias("source_id"), F.struct("qualified", "table_name", "family", "data_type", F.array_join("tokens", " ").alias("words")).alias("source")
     )
     targets = named.filter("side = 'target'").select("id", "request_id", "qualified", F.col("table_name").alias("target_table"))
-    return best_ids(named).join(sources, "source_id").join(targets, "id").select("request_id", "qualified", "target_table", "score", "source")
+    return best_ids(named).join(_merged(sources), "source_id").join(_merged(targets), "id").select("request_id", "qualified", "target_table", "score", "source")
 
 
 def spark_type(data_type: Column) -> Column:
@@ -223,11 +229,11 @@ def derived_matches(named: DataFrame, matches: DataFrame) -> DataFrame:
         )
     )
     wanted = targets.filter(n > 1).select("request_id", "qualified", F.col("table_name").alias("target_table"), n.alias("n_tokens"), F.inline(spans))
-    wanted = wanted.filter((F.col("last") - F.col("first") + 1) < F.col("n_tokens")).join(tables, ["request_id", "target_table"])
+    wanted = _merged(wanted.filter((F.col("last") - F.col("first") + 1) < F.col("n_tokens"))).join(tables, ["request_id", "target_table"])
     named = sources.groupBy("request_id", F.col("table_name").alias("source_table"), F.array_join("tokens", " ").alias("words")).agg(
         F.min("qualified").alias("source")
     )
-    parts = wanted.join(named, ["request_id", "source_table", "words"]).groupBy("request_id", "qualified", "n_tokens").agg(
+    parts = _merged(wanted).join(named, ["request_id", "source_table", "words"]).groupBy("request_id", "qualified", "n_tokens").agg(
         F.array_sort(F.collect_list(F.struct("first", "last", "source"))).alias("found")
     )
     # Keep the widest spans only, then ask whether they cover the whole name.
@@ -245,9 +251,9 @@ def match_columns(catalog: DataFrame, synonyms: DataFrame | None = None) -> Data
     """One mapping item per target column of a catalogue."""
     named = named_columns(catalog, synonyms)
     matches = written(best_matches(named), "matches")
-    derived = derived_matches(named, matches)
+    derived = written(derived_matches(named, matches), "derived")
     targets = named.filter("side = 'target'").select("request_id", "qualified", "data_type", "family", "tokens")
-    joined = targets.join(matches.drop("target_table"), ["request_id", "qualified"], "left").join(derived, ["request_id", "qualified"], "left")
+    joined = targets.join(_merged(matches.drop("target_table")), ["request_id", "qualified"], "left").join(_merged(derived), ["request_id", "qualified"], "left")
 
     matched = F.col("source").isNotNull()
     same_name = F.col("source.words") == F.array_join("tokens", " ")
@@ -286,7 +292,7 @@ def unknown_references(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Source and target columns named by items that the catalogue does not have."""
     target = F.array(F.struct(F.lit("target").alias("side"), F.col("target_column").alias("qualified")))
     known = qualified_names(catalog).select("request_id", "side", "qualified")
-    return _references(items, target).distinct().join(known, ["request_id", "side", "qualified"], "left_anti")
+    return _references(items, target).distinct().join(_merged(known), ["request_id", "side", "qualified"], "left_anti")
 
 
 def coverage(items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -294,4 +300,4 @@ def coverage(items: DataFrame, catalog: DataFrame) -> DataFrame:
     target = F.array(F.struct(F.lit("target").alias("side"), F.col("target_column").alias("qualified")))
     filled = F.when(F.size("source_columns") > 0, target).otherwise(F.array().cast("array<struct<side:string,qualified:string>>"))
     known = qualified_names(catalog).select("request_id", "side", "qualified").distinct()
-    return known.join(_references(items, filled), ["request_id", "side", "qualified"], "left_anti")
+    return known.join(_merged(_references(items, filled)), ["request_id", "side", "qualified"], "left_anti")

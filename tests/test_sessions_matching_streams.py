@@ -200,6 +200,22 @@ def test_best_match_equals_comparing_all_pairs(spark, letters):
     assert items.count() == 80
 
 
+def broadcasts(df):
+    """Rows that the finished plan of a collected table sent to every task."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_keys_of_names_are_not_broadcast(spark):
+    """Keys come out of a generator, and the tables from small files: their size is not what Spark takes it for."""
+    names = ["_".join([*"abcdefgh"[i % 8 :], f"w{i}"]) for i in range(60)]
+    rows = [(r, side, "t", n, "int") for r in "01" for side in ("source", "target") for n in names]
+    catalog = spark.createDataFrame(rows, "request_id string, side string, table_name string, column_name string, data_type string")
+    items = matching.match_columns(catalog)
+    for df in (matching.best_matches(matching.named_columns(catalog)), items, matching.unknown_references(items, catalog), matching.coverage(items, catalog)):
+        df.collect()
+        assert broadcasts(df) == 0
+
+
 def test_spelling_and_order_decide(spark):
     names = lambda side, *names: [(side, side[0], n, "varchar") for n in names]
     c = catalog(spark, *names("source", "customers", "id_customer_order", "ship_date"), *names("target", "customer", "custmers", "customer_id_order", "shipdate", "x", ""))
