@@ -194,14 +194,20 @@ def _grams(text: Column, size: Column) -> Column:
     return F.when(size == 0, F.array(F.lit(""))).when(F.char_length(text) < size, F.array().cast("array<string>")).otherwise(pieces)
 
 
+def search_text(query: Column) -> Column:
+    """What a search looks for: the query in lower case without outer blanks, empty for none."""
+    return F.lower(trim_ws(F.coalesce(query, F.lit(""))))
+
+
 def search_columns_for(catalog: DataFrame, searches: DataFrame) -> DataFrame:
     """`search_columns` for many searches (search_id, query) at once.
 
     Distinct names are indexed by their pieces of up to three characters. Each search looks up the rarest piece of its
-    query, so a piece that every name has is read only for queries made of such pieces, and its hits are verified.
+    query, so a piece that every name has is read only for queries made of such pieces, and its hits are verified. Pieces and
+    hits take far more memory than Spark's estimate of them, so they are never broadcast.
     """
     named = qualified_names(catalog).withColumn("lowered", F.lower("qualified"))
-    wanted = searches.select("search_id", F.lower(trim_ws(F.coalesce("query", F.lit("")))).alias("wanted"))
+    wanted = searches.select("search_id", search_text(F.col("query")).alias("wanted"))
     queries = wanted.select("wanted").distinct()
     pieces = _grams(F.col("wanted"), F.least(F.char_length("wanted"), F.lit(GRAM)))
     asked = queries.select("wanted", F.size(pieces).alias("n_pieces"), F.explode(pieces).alias("gram"))
@@ -211,5 +217,5 @@ def search_columns_for(catalog: DataFrame, searches: DataFrame) -> DataFrame:
     often = index.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = asked.join(often, "gram").groupBy("wanted", "n_pieces").agg(F.count("*").alias("found"), F.min(F.struct("n", "gram")).alias("rarest"))
     rarest = rarest.filter(F.col("found") == F.col("n_pieces")).select("wanted", "rarest.gram")
-    hits = rarest.join(index, "gram").filter(F.contains("lowered", F.col("wanted"))).select("wanted", "lowered")
-    return wanted.join(hits, "wanted").join(named, "lowered").select("search_id", *[c for c in named.columns if c != "lowered"])
+    hits = rarest.join(index.hint("merge"), "gram").filter(F.contains("lowered", F.col("wanted"))).select("wanted", "lowered")
+    return wanted.join(hits.hint("merge"), "wanted").join(named.hint("merge"), "lowered").select("search_id", *[c for c in named.columns if c != "lowered"])

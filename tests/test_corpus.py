@@ -219,3 +219,19 @@ def test_many_searches_at_once_equal_one_by_one(spark):
     want = sorted((i, r["file_name"], r["qualified"]) for i, q in enumerate(queries) for r in catalog.search_columns(columns, q or "").collect())
     assert got == want
     assert catalog.search_columns_for(columns.limit(0), searches).count() == 0 and catalog.search_columns_for(columns, searches.limit(0)).count() == 0
+
+
+def test_equal_searches_are_looked_up_once(spark, tmp_path, monkeypatch):
+    """What many users search is found once, not once for each of them."""
+    from workloads import corpus
+
+    rows = [(60 * i + k, "red bolt" if k % 2 else "hot ring", "Brand#1", "SMALL", 3, 1.5) for i in range(4) for k in range(60)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    plain, asked = corpus.catalog.search_columns_for, []
+    monkeypatch.setattr(corpus.catalog, "search_columns_for", lambda columns, searches: asked.append(searches.count()) or plain(columns, searches))
+    found = {r["search_id"]: (r["n_found"], r["first_found"]) for r in corpus.a12_bulk_search(spark, str(tmp_path)).collect()}
+    searches = corpus._searches(spark, str(tmp_path)).collect()
+    assert asked[0] < len(searches) / 10
+    names = [c["table_name"] + "." + c["column_name"] for c in catalog.list_columns(corpus.schema_documents(spark, str(tmp_path))).collect()]
+    hits = {r["search_id"]: [n for n in names if r["query"].strip().lower() in n.lower()] for r in searches}
+    assert found == {k: (len(h), min(h)) for k, h in hits.items() if h}
