@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -305,6 +306,20 @@ def test_outcomes_leave_at_once_and_tokens_are_not_kept(spark, tmp_path):
     assert "CASE WHEN NOT (event_type" in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tables_of_many_files_arrive_in_few_batches(spark, monkeypatch):
+    """A table that arrives is one batch, so the batches do not grow in number with the files."""
+    from workloads import streams
+
+    schema = "request_id string, seq bigint, event_type string, payload string, ts string"
+    rows = [(str(i), 1, "result", f"end {i}", "2024-01-01 10:00:00") for i in range(60)]
+    ends, folders, plain = spark.createDataFrame(rows, schema).repartition(12, "request_id"), [], chunks.write_folds
+    monkeypatch.setattr(streams.chunks, "write_folds", lambda folded, path, checkpoint, **more: folders.append(checkpoint) or plain(folded, path, checkpoint, **more))
+    out = streams._streamed(spark, [ends, ends], chunks.early_outcomes)
+    assert sorted(r["request_id"] for r in out.collect()) == sorted(str(i) for i in range(60))
+    commits = [f for f in os.listdir(f"{folders[0]}/commits") if f.isdigit()]
+    assert len(set(folders)) == 1 and len(commits) <= 6
+
+
 def test_outcome_stream_equals_batch(spark, tmp_path):
     batch, rows = events(spark)
     closing = [("closing", 0, "token", "x", T0 + dt.timedelta(days=9))]

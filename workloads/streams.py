@@ -51,15 +51,16 @@ def _closing(landed):
 def _streamed(spark, arrivals, fold):
     """What a fold makes of a stream in which the tables arrive one after the other, and then a closing event.
 
-    Files land in the shared folder; each is a batch of its own, so later tables meet the watermark of earlier ones.
+    Files land in the shared folder. Of several tables each is a batch of its own, however many files it has, so later
+    tables meet the watermark of earlier ones: the stream is resumed from its checkpoint when the next has landed.
     """
     base = f"{shared_folder(spark)}/fold-{uuid.uuid4().hex}"
-    for rows in (*arrivals, _closing(arrivals[0])):
+    landing = (*arrivals, _closing(arrivals[0]))
+    for n, rows in enumerate(landing, 1):
         rows.select(*EVENT_COLUMNS, F.col("ts").cast("timestamp").alias("ts")).write.mode("append").parquet(f"{base}/in")
-    schema = spark.read.parquet(f"{base}/in").schema
-    reader = spark.readStream.schema(schema)
-    stream = (reader.option("maxFilesPerTrigger", 1) if len(arrivals) > 1 else reader).parquet(f"{base}/in")
-    chunks.write_folds(fold(stream), f"{base}/out", f"{base}/checkpoint", available_now=True).awaitTermination()
+        if len(arrivals) > 1 or n == len(landing):
+            stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+            chunks.write_folds(fold(stream), f"{base}/out", f"{base}/checkpoint", available_now=True).awaitTermination()
     return spark.read.parquet(f"{base}/out").filter("request_id <> 'closing'")
 
 
