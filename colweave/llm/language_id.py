@@ -44,7 +44,8 @@ class Settings:
 @dataclass
 class Automaton:
     language: str
-    moves: np.ndarray  # state * alphabet + letter -> state; 0 is both the root and "no move"
+    columns: np.ndarray  # letter -> column of the moves; 0 for letters that its text lacks
+    moves: np.ndarray  # state * width + column -> state; 0 is both the root and "no move"
     cost: float
 
 
@@ -80,7 +81,7 @@ def codes(text: str | None, classes: np.ndarray) -> np.ndarray:
 
 
 def automaton(language: str, text: np.ndarray, alphabet: int) -> Automaton:
-    """The suffix automaton of a sequence of letters, with its moves in one table."""
+    """The suffix automaton of a sequence of letters, with its moves in one table of the letters that occur."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -106,10 +107,14 @@ def automaton(language: str, text: np.ndarray, alphabet: int) -> Automaton:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.zeros(len(moves) * alphabet, np.int32)
-    at = np.fromiter((s * alphabet + c for s, m in enumerate(moves) for c in m), np.int64)
+    own = np.unique(text)
+    columns = np.zeros(alphabet, np.uint8)
+    columns[own] = np.arange(1, len(own) + 1)
+    width, column = len(own) + 1, columns.tolist()
+    table = np.zeros(len(moves) * width, np.int32)
+    at = np.fromiter((s * width + column[c] for s, m in enumerate(moves) for c in m), np.int64)
     table[at] = np.fromiter((t for m in moves for t in m.values()), np.int32)
-    return Automaton(language, table, float(np.log2(max(2, len(text)))))
+    return Automaton(language, columns, table, float(np.log2(max(2, len(text)))))
 
 
 def fitting(sizes: list[tuple[int, int]], budget: int) -> list[int]:
@@ -160,10 +165,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     return Model(classes, alphabet, automata)
 
 
-def phrase_counts(pieces: np.ndarray, lengths: np.ndarray, found: Automaton, alphabet: int) -> np.ndarray:
+def phrase_counts(pieces: np.ndarray, lengths: np.ndarray, found: Automaton) -> np.ndarray:
     """Phrases of every piece. `pieces` holds one piece a column, longest first; `lengths` their letters."""
-    moves = found.moves
-    root = moves[:alphabet]
+    moves, width = found.moves, np.int32(found.columns.max() + 1)
+    root = moves[:width]
+    pieces = found.columns[pieces]
     state = np.zeros(pieces.shape[1], np.int32)
     count = np.zeros(pieces.shape[1], np.int32)
     active = np.searchsorted(-lengths, -np.arange(pieces.shape[0]), side="left")
@@ -172,7 +178,7 @@ def phrase_counts(pieces: np.ndarray, lengths: np.ndarray, found: Automaton, alp
             break
         c = pieces[step, :n]
         before = state[:n]
-        after = moves[before * np.int32(alphabet) + c]
+        after = moves[before * width + c]
         stuck = after == 0
         again = root[c]
         count[:n] += (stuck & (before != 0)).view(np.int8)
@@ -200,7 +206,7 @@ def costs(texts: list[str | None], model: Model, piece: int) -> tuple[np.ndarray
             lanes[k, : len(own)] = own
         lanes = np.ascontiguousarray(lanes[order].T)
         for k, a in enumerate(model.automata):
-            phrases = phrase_counts(lanes, length[order], a, model.alphabet)
+            phrases = phrase_counts(lanes, length[order], a)
             total[:, k] = np.bincount(row[order], phrases, len(texts)) * a.cost
     return total / np.maximum(sizes, 1)[:, None], sizes
 

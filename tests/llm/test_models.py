@@ -316,6 +316,14 @@ def test_every_language_is_learned_and_budgets_hold(spark):
     assert language_id.fitting([(1, 50), (2, 70), (3, 30)], 90) == [1, 3] and language_id.fitting([(1, 50), (2, 40)], 30) == [2]
 
 
+def test_automata_hold_moves_of_their_own_letters():
+    """An automaton that every task holds has columns for the letters of its text, not for those of all languages."""
+    classes, alphabet = language_id.letter_classes(["abcdefghijklmnopqrstuvwxyz"], 62)
+    codes = language_id.codes("abba abba", classes)
+    found = language_id.automaton("x", codes, alphabet)
+    assert alphabet > 40 and len(found.moves) <= 2 * (len(codes) + 1) * 4
+
+
 def test_phrases_are_the_longest_matches():
     rng = random.Random(12)
     for _ in range(20):
