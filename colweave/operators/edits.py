@@ -1,12 +1,13 @@
 """Review edits: a log of edits folded into the review rows.
 
 The result is that of applying the edits of a row one after another in `seq` order. No log is gathered: everything but one
-fact reduces to "the last edit of a kind", which aggregates on the map side. The exception is the last moment a row ran out
-of sources. Its sources at any moment are a set that toggles change, and a set is followed by one number: the exclusive or
-of the hashes of its columns, which is that of no columns only if none is left. So it is a prefix scan in two passes. The
-log is cut into chunks of consecutive edits by a range partitioning on row and `seq`, which splits long logs evenly, and
-written with the running value inside each chunk; the totals of a row's chunks then give what each chunk starts from.
-Hashes have 128 bits.
+fact reduces to "the last edit of a kind". The exception is the last moment a row ran out of sources. Its sources at any
+moment are a set that toggles change, and a set is followed by one number: the exclusive or of the hashes of its columns,
+which is that of no columns only if none is left. So it is a prefix scan in two passes. The log is cut into chunks of
+consecutive edits of a row and shuffled and sorted once, by row, chunk and `seq`. Most rows are one chunk; a row with a long
+log is cut at quantiles of its sequence numbers, so that no chunk is much longer than a task's share. Of each chunk the last
+edits and the toggles since its last unmapping are written, with the running value inside the chunk; the totals of a row's
+chunks then give what each chunk starts from. Hashes have 128 bits.
 
 Edits: request_id, target_column, seq (unique per row), action, payload (JSON text, see EDIT_PAYLOAD). Actions:
 validate, rollback, unmap, toggle (column), set (match_type, confidence, rule). Other edits change nothing and are listed by
@@ -15,10 +16,12 @@ validate, rollback, unmap, toggle (column), set (match_type, confidence, rule).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colweave.functions.staging import written
+from colweave.functions.staging import stage, written
 from colweave.functions.text import null_if_blank, trim_ws
 from colweave.schemas import DEFAULT_MATCH_TYPE, EDIT_PAYLOAD
 
@@ -27,6 +30,8 @@ FIELDS = ("source_columns", "confidence_score", "match_type", "reasoning", "tran
 ACTIONS = ("validate", "rollback", "unmap", "toggle", "set")
 NEVER = -(2**63)
 NO_SOURCES = "array<string>"
+# Edits sampled to find where long logs are cut, in all and at least for each chunk.
+SAMPLED, SAMPLED_PER_CHUNK = 1_000_000, 1_000
 
 
 def _decoded(edits: DataFrame) -> DataFrame:
@@ -48,13 +53,22 @@ def rejected_edits(edits: DataFrame) -> DataFrame:
     return _decoded(edits).withColumn("reason", _fault()).filter(F.col("reason").isNotNull()).drop("p")
 
 
-def _log(edits: DataFrame, *kept: str) -> DataFrame:
-    setting = F.struct(
-        F.coalesce(trim_ws(F.col("p.match_type")), F.lit("")).alias("match_type"),
-        _clamped(F.col("p.confidence")).alias("confidence"),
-        null_if_blank(F.col("p.rule")).alias("rule"),
+def _log(edits: DataFrame) -> DataFrame:
+    """Edits that are applied: toggles with their column, settings with their payload, which is decoded only if it is the last."""
+    column = F.when(F.col("action") == "toggle", F.from_json("payload", EDIT_PAYLOAD)["column"])
+    used = edits.select(*KEY, "seq", "action", F.struct(column.alias("column")).alias("p"), F.when(F.col("action") == "set", F.col("payload")).alias("set"))
+    # Staged, as a plain filter would make and decode payloads a second time.
+    valid = stage(used, {"fault": _fault()}).filter(F.col("fault").isNull())
+    return valid.select(*KEY, "seq", "action", F.col("p.column").alias("column"), "set")
+
+
+def _setting(payload: Column) -> Column:
+    p = F.from_json(payload, EDIT_PAYLOAD)
+    return F.struct(
+        F.coalesce(trim_ws(p["match_type"]), F.lit("")).alias("match_type"),
+        _clamped(p["confidence"]).alias("confidence"),
+        null_if_blank(p["rule"]).alias("rule"),
     )
-    return _decoded(edits).filter(_fault().isNull()).select(*KEY, *kept, "seq", "action", F.col("p.column").alias("column"), setting.alias("set"))
 
 
 def _clamped(percent: Column) -> Column:
@@ -78,25 +92,64 @@ def _set_hash(columns: Column) -> Column:
     return F.struct(of(0).alias("h1"), of(1).alias("h2"))
 
 
+def _cuts(edits: DataFrame, chunks: int) -> DataFrame:
+    """The rows whose edits lie in several chunks, by the hash of their key, and the sequence numbers their chunks end at.
+
+    Chunks are laid end to end over the log, row after row, and the first chunk of a row begins at a place in it that depends
+    on the hash. So a row is cut with a probability of its share of a chunk, always if it is longer, and about as many rows
+    as there are chunks are cut. As for range partitioning, a sample finds the places; where they are changes no result.
+    """
+    n_edits = edits.count()
+    share = max(1, math.ceil(n_edits / chunks))
+    part = min(1.0, max(SAMPLED, SAMPLED_PER_CHUNK * chunks) / max(1, n_edits))
+    keys = edits.filter(F.col("request_id").isNotNull() & F.col("target_column").isNotNull() & F.col("seq").isNotNull())
+    keys = keys.select(F.xxhash64(*KEY).alias("row"), "seq")
+    keys = keys.sample(part, 7) if part < 1 else keys
+    begun, n = F.pmod("row", F.lit(share)), F.col("n") / part
+    cut = keys.groupBy("row").agg(F.count("*").alias("n")).filter(begun + n > share)
+    parts = max(chunks, 2)
+    quantiles = F.percentile_approx("seq", [i / parts for i in range(1, parts)])
+    at = lambda i: F.floor((begun + n * i / parts) / share)
+    seqs = keys.join(F.broadcast(cut), "row").groupBy("row", "n").agg(quantiles.alias("quantiles"))
+    return seqs.select("row", F.filter("quantiles", lambda q, i: at(i + 1) > at(i)).alias("ends"))
+
+
+def _chunked(edits: DataFrame, chunks: int) -> DataFrame:
+    """The log with the chunk of each edit, counted from 0 in each row."""
+    log = _log(edits).withColumn("row", F.xxhash64(*KEY)).join(F.broadcast(_cuts(edits, chunks)), "row", "left")
+    chunk = F.when(F.col("ends").isNotNull(), F.size(F.filter("ends", lambda end: end < F.col("seq")))).otherwise(0)
+    return log.withColumn("chunk", chunk).drop("row", "ends")
+
+
 def _scanned(edits: DataFrame, chunks: int | None) -> DataFrame:
-    """The log in chunks of consecutive edits, with the hash of a row's toggles since its chunk began."""
-    raw = edits.select(*KEY, "seq", "action", "payload")  # decoded after the ranges are found, which reads the log twice
-    ranged = raw.repartitionByRange(chunks, *KEY, "seq") if chunks else raw.repartitionByRange(*KEY, "seq")
-    ranged = _log(ranged.withColumn("chunk", F.spark_partition_id()), "chunk")
-    running = Window.partitionBy(*KEY, "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    """What later steps need of each chunk: its last edit, those of each kind, and all toggles since it was last unmapped.
+
+    `toggled` is the hash of a row's toggles since its chunk began. All windows share one shuffle and one sort.
+    """
+    log = _chunked(edits, chunks or int(edits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    chunk = Window.partitionBy(*reversed(KEY), "chunk").orderBy("seq")  # targets first: they differ more, so they sort faster
+    running, whole = (chunk.rowsBetween(Window.unboundedPreceding, end) for end in (0, Window.unboundedFollowing))
     toggled = [F.bit_xor(F.when(F.col("action") == "toggle", h).otherwise(F.lit(0))).over(running) for h in _hashes(F.col("column"))]
-    return written(ranged.withColumn("toggled", F.struct(toggled[0].alias("h1"), toggled[1].alias("h2"))), "edits")
+    last = {action: F.max(F.when(F.col("action") == action, F.col("seq"))).over(whole).alias(f"last_{action}") for action in ("rollback", "unmap", "set")}
+    log = log.select("*", F.struct(toggled[0].alias("h1"), toggled[1].alias("h2")).alias("toggled"), F.max("seq").over(whole).alias("last_edit"), *last.values())
+    needed = (F.col("seq") == F.col("last_edit")) | ((F.col("action") == "toggle") & (F.col("seq") > F.coalesce("last_unmap", F.lit(NEVER))))
+    for action in last:
+        needed |= (F.col("action") == action) & (F.col("seq") == F.col(f"last_{action}"))
+    log = log.filter(needed).select(*KEY, "chunk", "seq", "action", "column", F.when(F.col("action") == "set", _setting(F.col("set"))).alias("set"), "toggled")
+    return written(log, "edits")
 
 
 def apply_edits(rows: DataFrame, edits: DataFrame, chunks: int | None = None) -> DataFrame:
     """Review rows after their edits; rows without edits are kept as they are.
 
-    `chunks` sets how many ranges the log is cut into; by default as many as the session has shuffle partitions.
+    `chunks` sets how many chunks the log would make if it were that of one row, and so how long a chunk may be; by default as
+    many as the session has shuffle partitions.
     """
     log = _scanned(edits, chunks)
     based = written(_base_rows(rows, log), "edited-rows")
     toggles = log.filter(F.col("action") == "toggle").select(*KEY, "chunk", "seq", "column", "toggled")
-    since = based.filter("last_toggle is not null").select(*KEY, "reset_seq", "goal", "starts")
+    # Both sides grow with the log, and the files are much smaller than their rows: never broadcast.
+    since = based.filter("last_toggle is not null").select(*KEY, "reset_seq", "goal", "starts").hint("merge")
     toggles = toggles.join(since, KEY).filter(F.col("seq") > F.coalesce("reset_seq", F.lit(NEVER)))
     # A row is without sources where all toggles so far undo its base list: where the hash so far is the goal.
     start = F.element_at(F.filter("starts", lambda x: x["chunk"] == F.col("chunk")), 1)["toggled"]

@@ -117,6 +117,22 @@ def test_the_edit_log_is_read_once_and_shuffled_little(spark, tmp_path):
     assert out.count() == 9
 
 
+def test_the_edit_log_is_sorted_once_and_written_without_what_no_longer_counts(spark, monkeypatch):
+    """100 edits each of 40 rows, unmapped at the 95th: 5 toggles and the unmapping are left of a row; one long log of as many edits is cut."""
+    kept = {}
+    monkeypatch.setattr(edits, "written", lambda df, name: kept.setdefault(name, df))
+    action = "case when id % 100 = 94 then 'unmap' else 'toggle' end as action"
+    short = spark.range(4000).selectExpr("'0' as request_id", "concat('t', floor(id / 100)) as target_column", "id as seq", action, "concat('{\"column\":\"c', id % 3, '\"}') as payload")
+    long = spark.range(4000).selectExpr("'0' as request_id", "'long' as target_column", "id * id as seq", "'toggle' as action", "concat('{\"column\":\"c', id % 3, '\"}') as payload")
+    log = edits._scanned(short.union(long), 8)
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and plan.count("Window [") == 1
+    lengths = {(r["target_column"], r["chunk"]): r["count"] for r in log.groupBy("target_column", "chunk").count().collect()}
+    whole = {t: n for (t, c), n in lengths.items() if t != "long" and (t, 1) not in lengths}
+    assert len(whole) > 20 and set(whole.values()) == {6}
+    assert sum(n for (t, _), n in lengths.items() if t == "long") == 4000 and max(lengths.values()) <= 1600 and len([t for t, _ in lengths if t == "long"]) >= 4
+
+
 def test_edits_may_clear_columns_that_are_never_null(spark):
     rows = spark.range(3).select(
         F.lit("0").alias("request_id"), F.col("id").cast("string").alias("target_column"), F.array(F.lit("c")).alias("source_columns"), F.lit(0.5).alias("confidence_score"),
