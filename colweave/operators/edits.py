@@ -104,7 +104,7 @@ def _cuts(edits: DataFrame, chunks: int) -> DataFrame:
     part = min(1.0, max(SAMPLED, SAMPLED_PER_CHUNK * chunks) / max(1, n_edits))
     keys = edits.filter(F.col("request_id").isNotNull() & F.col("target_column").isNotNull() & F.col("seq").isNotNull())
     keys = keys.select(F.xxhash64(*KEY).alias("row"), "seq")
-    keys = keys.sample(part, 7) if part < 1 else keys
+    keys = written(keys.sample(part, 7), "sampled-edits") if part < 1 else keys
     begun, n = F.pmod("row", F.lit(share)), F.col("n") / part
     cut = keys.groupBy("row").agg(F.count("*").alias("n")).filter(begun + n > share)
     parts = max(chunks, 2)
